@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact
+from . import decontaminate, exact
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    joined = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", joined, "contaminated")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
-ORACLES = {"op3_exact_dedup": exact.ORACLE}
+QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op3_exact_dedup": op3_exact_dedup}
+ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op3_exact_dedup": exact.ORACLE}
