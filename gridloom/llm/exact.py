@@ -59,7 +59,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = df.select(C.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("h"))
     tested = possible_repeats(C.staged(digests, "digests"), broadcast_bytes)
     rest = tested.filter("again").select("id", "sha")
-    groups = rest.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = C.staged(rest.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     shared = rest.join(groups.hint("merge"), "sha").select("id", "keep_id", "group_size", "sha")
     single = tested.filter(~F.col("again")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     rows = single.unionByName(shared)
