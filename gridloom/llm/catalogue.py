@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, packing, simhash
+from . import decontaminate, exact, language, packing, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", joined, "contaminated")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.drop_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination, "op3_exact_dedup": op3_exact_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op8_simhash_near_dedup": op8_simhash_near_dedup}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_language_id": op10_language_id,
+}
 ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op3_exact_dedup": exact.ORACLE}
