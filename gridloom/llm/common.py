@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Largest table, in bytes, that an operator broadcasts. Each caller works out the size before it broadcasts.
 BROADCAST_BYTES = 32 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -36,10 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder: it cuts the lineage and outlives lost executors."""
+    """df as a table written in the shared folder: it cuts the lineage and outlives lost executors.
+
+    Once it is written, the shuffle files that led to it serve nothing, so Spark may delete them at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
