@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, katz, language, packing, pii, simhash, substring, suffix
+from . import decontaminate, exact, katz, language, lines, packing, pii, simhash, substring, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.drop_repeated_runs(table(spark, sf_dir, "documents")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -57,10 +61,11 @@ QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op7_katz_language_model": op7_katz_language_model,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op3_exact_dedup": exact.ORACLE, "op9_substring_dedup": substring.ORACLE}
+ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op3_exact_dedup": exact.ORACLE, "op5_line_dedup": lines.ORACLE, "op9_substring_dedup": substring.ORACLE}
