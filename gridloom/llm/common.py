@@ -62,21 +62,18 @@ def packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(col(id_col).alias("id"), col(text_col).alias("text"), F.struct(*[col(c) for c in df.columns]).alias("row"))
 
 
-def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key long, id, text): key is unique and orders rows as id does, nulls last.
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+    """(key long, id, text), and row (see packed) if wanted: key is unique and orders rows as id does, nulls last.
 
     Where ids are unique integers the key is the id, and nothing moves but the ids that are counted. Else rows are sorted by id (ties by
     text) and numbered in a table in the shared folder.
     """
-    base = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    base = packed(df, id_col, text_col).withColumn("text", F.col("text").cast("string"))
+    base = base if rows else base.drop("row")
     kind = base.schema["id"].dataType.simpleString()
     if kind in ("tinyint", "smallint", "int", "bigint"):
         again = base.select("id").groupBy("id").count().filter("count > 1 OR id IS NULL").limit(1).count()
         if not again:
-            return base.select(F.col("id").cast("long").alias("key"), "id", "text")
+            return base.select(F.col("id").cast("long").alias("key"), *base.columns)
     order = base.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text"))
-    return staged(order.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "keyed")
-
-
-def sum_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.sum(value).alias(value))
+    return staged(order.select(F.monotonically_increasing_id().alias("key"), *base.columns), "keyed")

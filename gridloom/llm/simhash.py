@@ -265,3 +265,13 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = near_duplicates(rows, shingle, most)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """The rows of df, with all their columns, that stay: of each group of simhash_groups the one with the smallest id (null ids last; of
+    rows that share it one, by their texts' hash). The ids of the others meet the rows, which move only if those ids are too many to broadcast."""
+    rows = C.keyed(df, id_col, text_col, rows=True)
+    found = near_duplicates(rows.select(F.col("key").alias("id"), "text"), shingle, most)
+    gone = C.staged(found.filter("id != component_id").select(F.col("id").alias("key")), "gone")
+    gone = F.broadcast(gone) if gone.count() * 24 <= C.BROADCAST_BYTES else gone
+    return rows.join(gone, "key", "left_anti").select("row.*")

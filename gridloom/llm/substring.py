@@ -101,7 +101,7 @@ class FMIndex:
         return length
 
 
-def repeats(blocks: list[bytes], gram: np.ndarray, key: np.ndarray, start: np.ndarray, n: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats(blocks: list[bytes], gram: np.ndarray, key: np.ndarray, start: np.ndarray, anchor: np.ndarray, n: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, first, end) of windows of n words that occur at least twice in the blocks."""
     index = FMIndex([b.split() for b in blocks])
     begin = np.cumsum(index.sizes + 1) - index.sizes - 1
@@ -122,7 +122,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     finder = finder or Finder(LENGTH, GRAM, words=True, every=True)
     docs, n = C.keyed(df, id_col, text_col), finder.n
-    found = with_spans(docs, finder.spans(docs, lambda blocks, gram, key, start: repeats(blocks, gram, key, start, n))).select("id", "text", "spans")
+    found = with_spans(docs, finder.spans(docs, lambda *found: repeats(*found, n))).select("id", "text", "spans")
     schema = T.StructType([found.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType())])
 
     def cut(batches):

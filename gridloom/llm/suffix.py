@@ -80,18 +80,22 @@ class Suffixes:
         return out
 
 
-def repeats(blocks: list[bytes], gram: np.ndarray, key: np.ndarray, start: np.ndarray, n: int = LENGTH, tokens=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, first, end) of windows of n bytes that occur in an earlier place (key, start) of the blocks with the same gram."""
+def repeats(blocks: list[bytes], gram: np.ndarray, key: np.ndarray, start: np.ndarray, anchor: np.ndarray, n: int = LENGTH, tokens=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, first, end) of windows of n bytes that occur in an earlier place (key, start) of the blocks with the same gram, which then has
+    the same place in the window."""
     size = np.array([len(b) for b in blocks], np.int64)
     text = np.frombuffer(b"".join(blocks), np.uint8)
     begin = np.cumsum(size) - size
     windows = size - n + 1
     block, first = np.repeat(np.arange(len(blocks)), windows), ranges(np.zeros(len(blocks), np.int64), windows)
-    by = np.lexsort((start[block] + first, key[block], gram[block]))  # the sort is stable: of equal strings the earliest place comes first
-    block, first = block[by], first[by]
+    place = anchor[block] - first
+    by = np.lexsort((start[block] + first, key[block], place, gram[block]))  # the sort is stable: of equal strings the earliest place comes first
+    block, first, place = block[by], first[by], place[by]
+    group = np.cumsum(np.concatenate([[0], (gram[block[1:]] != gram[block[:-1]]) | (place[1:] != place[:-1])]))
+    alone = np.bincount(group)[group] == 1
+    block, first, group = block[~alone], first[~alone], group[~alone]
     at = begin[block] + first
     own = Suffixes(text, n, tokens(text) if tokens else None)
-    group = np.unique(gram[block], return_inverse=True)[1]
     order = own.sort(at, group)
     a, b = at[order[:-1]], at[order[1:]]
     same = (group[order[:-1]] == group[order[1:]]) & (own.extension(a, b) >= n)
@@ -107,7 +111,7 @@ def removed(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
     """docs (key, text) with spans: (start, end) byte spans to remove, an array that may overlap, or null."""
     finder = finder or Finder(LENGTH, GRAM, words=False, every=False)
     n = finder.n
-    return with_spans(docs, finder.spans(docs, lambda blocks, gram, key, start: repeats(blocks, gram, key, start, n)))
+    return with_spans(docs, finder.spans(docs, lambda *found: repeats(*found, n)))
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", finder: Finder | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ gram and of its block (the tokens of all its windows) for about every (n-k)/2 to
 
 1. Anchors with equal blocks meet in a sort by (gram, block, document, start): all windows of all but the first of them also start earlier.
    A gram with one block is thereby settled; one with several is ambiguous, since blocks can share some of their windows.
-2. The blocks of ambiguous grams alone are sent, as bytes, to be compared window by window (`resolve`: a suffix array, or an FM-index).
+2. Of ambiguous grams alone, the first place of each block is sent with its bytes, to be compared window by window (`resolve`: a suffix
+   array, or an FM-index).
 3. A document's spans meet its text.
 
 Before each shuffle a batch keeps the first of its equal blocks. A gram that a sample of documents shows to be very common (a line of a
@@ -29,8 +30,8 @@ from .arrow import column, pieces, ranges, utf8
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Ambiguous grams looked for in one scan; more take more scans.
-GRAMS = 4_000_000
+#: Blocks looked for in one scan; more take more scans.
+PLACES = 4_000_000
 #: One in so many documents is sampled for common grams; a gram seen so often in the sample is common.
 SAMPLE, COMMON = 16, 200
 _LOW = (1 << 22) - 1
@@ -111,7 +112,7 @@ class Anchors:
         long = np.flatnonzero(batch.size >= n)
         if total < n or not len(long):
             self.doc = self.start = self.more = np.empty(0, np.int64)
-            self.gram = self.block = np.empty(0, np.uint64)
+            self.gram, self.block, self.anchor = np.empty(0, np.uint64), np.empty(0, np.uint64), self.doc
             return
         if total - k + 1 > _LOW:
             grams = _coarse(mix(one.sliding(k), 4), w)
@@ -138,7 +139,7 @@ class Anchors:
                 anchor = np.concatenate([anchor[~hot], start])
                 self.more = np.concatenate([self.more[~hot], np.zeros(len(start), np.int64)])
                 self.gram = np.concatenate([self.gram[~hot], mix(one.of(start, n), 6)])
-        size = self.more + n
+        self.anchor, size = anchor, self.more + n
         self.block = mix(two.of(self.start, size) ^ mix(one.of(self.start, size), 7) ^ mix((anchor - self.start).astype(np.uint64) << np.uint64(32) | self.more.astype(np.uint64), 8), 9)
 
 
@@ -180,9 +181,9 @@ def _rows(gram, block, key, start, more, kind) -> pa.RecordBatch:
 class Finder:
     """Finds windows that repeat. every: all places of a repeated window count, else all but the first (by key, then start)."""
 
-    def __init__(self, n: int, k: int, words: bool, every: bool, batch: int = 1 << 20, sample: int = SAMPLE, common: int = COMMON, grams: int = GRAMS):
+    def __init__(self, n: int, k: int, words: bool, every: bool, batch: int = 1 << 20, sample: int = SAMPLE, common: int = COMMON, places: int = PLACES):
         self.n, self.k, self.words, self.every, self.batch = n, k, words, every, batch
-        self.sample, self.common, self.grams = sample, common, grams
+        self.sample, self.common, self.places = sample, common, places
 
     def _anchors(self, batches, common) -> Iterator[tuple[Batch, np.ndarray, Anchors, np.ndarray]]:
         """Each batch, its keys, its anchors, and each anchor's start in its document."""
@@ -233,16 +234,16 @@ class Finder:
                     again = np.ones(len(rows), bool)
                     again[first] = False
                 yield _out(rows[again, 2], rows[again, 3], rows[again, 3] + rows[again, 4] + n, SPAN)
-                gram, blocks = np.unique(rows[first, 0], return_counts=True)
-                gram = gram[blocks > 1]
-                yield _out(gram, gram, gram, MANY)
+                _, gram, blocks = np.unique(rows[first, 0], return_inverse=True, return_counts=True)
+                many = first[blocks[gram] > 1]
+                yield _out(_place(rows[many, 2], rows[many, 3]), rows[many, 0], rows[many, 0], MANY)  # the gram in start's place
 
         return scan, meet
 
-    def spans(self, docs: DataFrame, resolve: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    def spans(self, docs: DataFrame, resolve: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
         """docs (key, text) to (key, start, end): spans of repeated windows' tokens, which may overlap and repeat.
 
-        resolve(blocks, gram, key, start): for blocks of tokens, their grams and the place of their first window, arrays (block, first, end) of its windows that repeat.
+        resolve(blocks, gram, key, start, anchor): for blocks of tokens, their grams, the place of their first window and the gram's in it, arrays (block, first, end) of its windows that repeat.
         """
         spark = docs.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -251,33 +252,39 @@ class Finder:
         sorted_ = docs.mapInArrow(scan, ROW).repartition(parts, "gram").sortWithinPartitions("gram", "block", "key", "start")
         settled = C.staged(sorted_.mapInArrow(meet, "key long, start long, end long, kind byte"), "settled")
         found = settled.filter(F.col("kind") == SPAN).select("key", "start", "end")
-        ambiguous = settled.filter(F.col("kind") == MANY).select(F.col("key").alias("gram"))
-        passes = -(-ambiguous.count() // self.grams)
+        ambiguous = settled.filter(F.col("kind") == MANY).select(F.col("key").alias("place"), F.col("start").alias("gram"))
+        passes = -(-ambiguous.count() // self.places)
         for i in range(passes):
-            own = ambiguous.filter(F.pmod(F.xxhash64("gram"), F.lit(passes)) == i)
-            grams = spark.sparkContext.broadcast(np.sort(own.toArrow().column("gram").to_numpy()))  # about GRAMS of 8 bytes
-            blocks = docs.mapInArrow(self._blocks(common, grams), "gram long, key long, start long, bytes binary")
+            own = ambiguous.filter(F.pmod(F.xxhash64("gram"), F.lit(passes)) == i).select("place")
+            wanted = np.sort(own.toArrow().column("place").to_numpy())  # about PLACES of 8 bytes
+            if not len(wanted):
+                continue
+            places = spark.sparkContext.broadcast(wanted)
+            blocks = docs.mapInArrow(self._blocks(common, places), "gram long, key long, start long, anchor int, bytes binary")
             met = blocks.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_resolver(resolve), "key long, start long, end long")
             found = found.unionByName(C.staged(met, "resolved"))
         return found
 
-    def _blocks(self, common, grams):
+    def _blocks(self, common, places):
         finder, n = self, self.n
 
         def scan(batches):
-            own_common, wanted = common.value, grams.value
+            own_common, wanted = common.value, places.value
             for own, key, found, start in finder._anchors(batches, own_common):
-                gram, block = found.gram.view(np.int64), found.block.view(np.int64)
-                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)] == gram)
-                at = at[np.lexsort((start[at], key[at], block[at], gram[at]))]
-                at = at[_starts(np.stack([gram[at], block[at]], axis=1))]
+                place = _place(key, start)
+                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, place), len(wanted) - 1)] == place)
                 byte, size = own.bytes_of(found.start[at], found.more[at] + n)
                 raw = own.raw
-                yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(key[at]), pa.array(start[at]), pa.array([raw[b : b + s].tobytes() for b, s in zip(byte.tolist(), size.tolist(), strict=True)], pa.binary())], ["gram", "key", "start", "bytes"])
+                blocks = pa.array([raw[b : b + s].tobytes() for b, s in zip(byte.tolist(), size.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(found.gram[at].view(np.int64)), pa.array(key[at]), pa.array(start[at]), pa.array(found.anchor[at] - found.start[at], pa.int32()), blocks], ["gram", "key", "start", "anchor", "bytes"])
 
         return scan
 
 
+def _place(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (mix(key.astype(np.uint64), 21) * np.uint64(BASE) + mix(start.astype(np.uint64), 22)).view(np.int64)
+
+
 def _out(key, start, end, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(end), pa.array(np.full(len(key), kind), pa.int8())], ["key", "start", "end", "kind"])
 
@@ -301,21 +308,22 @@ def grouped(batches, names: list[str], most: int = 100_000) -> Iterator[np.ndarr
 
 def _resolver(resolve, most: int = 1 << 20):
     def run(batches):
-        gram, key, start, blocks, size = [], [], [], [], 0
+        gram, key, start, anchor, blocks, size = [], [], [], [], [], 0
 
         def done():
-            block, first, end = resolve(blocks, np.array(gram), np.array(key), np.array(start))
+            block, first, end = resolve(blocks, np.array(gram), np.array(key), np.array(start), np.array(anchor))
             k, s = np.array(key)[block], np.array(start)[block]
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s + first), pa.array(s + end)], ["key", "start", "end"])
 
         for batch in batches:
-            for g, k, s, b in zip(*(column(batch, c).to_pylist() for c in ("gram", "key", "start", "bytes")), strict=True):
+            for g, k, s, a, b in zip(*(column(batch, c).to_pylist() for c in ("gram", "key", "start", "anchor", "bytes")), strict=True):
                 if size >= most and g != gram[-1]:
                     yield done()
-                    gram, key, start, blocks, size = [], [], [], [], 0
+                    gram, key, start, anchor, blocks, size = [], [], [], [], [], 0
                 gram.append(g)
                 key.append(k)
                 start.append(s)
+                anchor.append(a)
                 blocks.append(b)
                 size += len(b)
         if blocks:

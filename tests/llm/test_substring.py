@@ -20,7 +20,7 @@ def brute(rows, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("finder", [None, dict(n=12, k=4, sample=1, common=3, batch=2000), dict(n=12, k=4, batch=500, grams=5), dict(n=4, k=2, batch=900)])
+@pytest.mark.parametrize("finder", [None, dict(n=12, k=4, sample=1, common=3, batch=2000), dict(n=12, k=4, batch=500, places=5), dict(n=4, k=2, batch=900)])
 def test_words(make, texts, finder):
     rows = [*enumerate(texts), (100, None), (101, "ab " * 400), (5, texts[5]), (None, texts[9]), (102, "x y z " * 30 + "\x0b\x1c w"), (103, " ".join(texts[17].split()[100:400]))]
     got = substring.drop_repeats(make(rows), finder=Finder(words=True, every=True, **finder) if finder else None).collect()

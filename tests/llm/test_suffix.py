@@ -20,7 +20,7 @@ def brute(rows, n=100):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("finder", [None, dict(n=40, k=12, sample=1, common=3, batch=2000), dict(n=40, k=12, batch=500, grams=5), dict(n=9, k=2, batch=900)])
+@pytest.mark.parametrize("finder", [None, dict(n=40, k=12, sample=1, common=3, batch=2000), dict(n=40, k=12, batch=500, places=5), dict(n=9, k=2, batch=900)])
 def test_bytes(make, texts, finder):
     rows = [*enumerate(texts), (100, None), (101, "ab" * 400), (102, "abc" + "ab" * 100), (103, texts[17])]
     if not finder:
@@ -34,8 +34,8 @@ def test_collisions_are_found():
     r = np.random.default_rng(2)
     blocks = [r.integers(97, 100, 60).astype(np.uint8).tobytes() for _ in range(40)] + [b"abc" * 20] * 3
     gram, key, start = np.sort(r.integers(0, 3, len(blocks))), r.permutation(len(blocks)), np.zeros(len(blocks), np.int64)
-    want = suffix.repeats(blocks, gram, key, start, 7)
-    bad = suffix.repeats(blocks, gram, key, start, 7, tokens=lambda t: np.zeros(len(t), np.uint64))
+    want = suffix.repeats(blocks, gram, key, start, start, 7)
+    bad = suffix.repeats(blocks, gram, key, start, start, 7, tokens=lambda t: np.zeros(len(t), np.uint64))
     assert sorted(zip(*map(np.ndarray.tolist, want), strict=True)) == sorted(zip(*map(np.ndarray.tolist, bad), strict=True))
 
 
