@@ -90,7 +90,11 @@ def cube(by_fold: DataFrame, group: tuple[str, ...]) -> DataFrame:
     values = F.array(*[F.round(c, d) for c, d in (("map50", 4), ("precision", 4), ("recall", 4), ("fscore", 4), ("mae", 3))])
     folds = by_fold.groupBy(*group, "threshold").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("fold").cast("string").alias("k"), values.alias("v"))))).alias("folds"))
     entry = F.struct(F.format_string("%.2f", "threshold").alias("k"), F.col("folds").alias("v"))
-    return folds.groupBy(*group).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("metrics"))
+    return folds.groupBy(*group).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry), _by_key))).alias("metrics"))
+
+
+def _by_key(a: Column, b: Column) -> Column:
+    return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
 
 
 def scatter(images: DataFrame, kept: DataFrame, truths: DataFrame, thresholds: list[float] | None = None, keys: tuple[str, ...] = ("fold", "image_id")) -> DataFrame:

@@ -31,8 +31,20 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    """A small file at the driver."""
-    return spark.read.text(path, wholetext=True).first()[0]
+    """One file at the driver, also one whose name starts with an underscore, which Spark's readers pass over."""
+    fs, at = _fs(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _document(spark: SparkSession, path: str) -> DataFrame:
+    """One row, value: a file's text. An annotation file is one JSON object, which no reader can split."""
+    if path.rsplit("/", 1)[-1].startswith(("_", ".")):
+        return spark.createDataFrame([(read_text(spark, path),)], "value string")
+    return spark.read.text(path, wholetext=True)
 
 
 def annotation_path(spark: SparkSession, folder: str) -> str | None:
@@ -47,13 +59,13 @@ def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         if not found:
             raise FileNotFoundError(f"no annotation file in {path}")
         path = found
-    doc = spark.read.schema(COCO).option("multiLine", True).json(path)
-    return {k: doc.select(F.inline(k)) for k in ("images", "annotations", "categories")}
+    doc = _document(spark, path).select(F.from_json("value", COCO).alias("d"))
+    return {k: doc.select(F.inline(f"d.{k}")) for k in ("images", "annotations", "categories")}
 
 
 def coco_raw(spark: SparkSession, path: str, part: str) -> DataFrame:
     """Entries of one part with every field they have: id and the entry as JSON text."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"{part} array<map<string,string>>").alias("d"))
+    text = _document(spark, path).select(F.from_json("value", f"{part} array<map<string,string>>").alias("d"))
     rows = text.select(F.explode(f"d.{part}").alias("e"))
     return rows.select(F.col("e")["id"].cast("long").alias("id"), F.to_json("e").alias("entry"))
 
