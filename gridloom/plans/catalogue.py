@@ -654,3 +654,84 @@ def _(spark, d):
 def _(spark, d):
     own = stats.long_form(_results(spark, d), ["map50", "recall"])
     return stats.unioned(own, own.withColumn("model", F.lit("baseline"))).groupBy("model", "metric").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Compositions
+
+EVAL = NMS + f""", fin AS (SELECT det.* FROM det JOIN nms USING (det_id)),
+pr AS (SELECT o.image_id, o.fold, o.det_id, o.score, gt.gt_id, {iou_of('o', 'gt')} AS iou FROM fin o JOIN gt ON o.image_id = gt.image_id AND o.x1 < gt.x2 AND gt.x1 < o.x2 AND o.y1 < gt.y2 AND gt.y1 < o.y2),
+br AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, gt_id) AS n FROM pr),
+mt AS (SELECT o.image_id, o.fold, o.det_id, o.score, br.gt_id, coalesce(br.iou >= 0.5, FALSE) AS near FROM fin o LEFT JOIN br ON o.det_id = br.det_id AND br.n = 1),
+matches AS (SELECT *, near AND row_number() OVER (PARTITION BY image_id, gt_id, near ORDER BY score DESC, det_id) = 1 AS is_tp FROM mt),
+cr AS (SELECT img.image_id, img.fold, coalesce(g, 0) AS groundtruth, coalesce(w, 0) AS raw_predicted, coalesce(p, 0) AS predicted, coalesce(t, 0) AS tp FROM img LEFT JOIN (SELECT image_id, count(*) AS g FROM gt GROUP BY ALL) USING (image_id)
+  LEFT JOIN (SELECT image_id, count(*) AS w FROM det GROUP BY ALL) USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS p, count(*) FILTER (WHERE is_tp) AS t FROM matches GROUP BY ALL) USING (image_id)),
+counts AS (SELECT *, raw_predicted - predicted AS removed_by_suppression, predicted - tp AS fp, groundtruth - tp AS fn FROM cr)"""
+
+
+def _evaluated(spark, d):
+    from ..operators.evaluation import evaluate
+
+    return evaluate(X.images(spark, d), X.truths(spark, d), X.detections(spark, d))
+
+
+@query("evaluation_counting", sql(EVAL + " SELECT fold, image_id, groundtruth, raw_predicted, predicted, removed_by_suppression, tp, fp, fn FROM counts"))
+def _(spark, d):
+    return _evaluated(spark, d)[1]
+
+
+@query("evaluation_results", sql(EVAL + """, s AS (SELECT fold, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(abs(predicted - groundtruth)) AS mae, sqrt(avg((predicted - groundtruth) * (predicted - groundtruth))) AS rmse FROM counts GROUP BY ALL),
+q AS (SELECT *, tp / (tp + fp + 1e-9) AS precision, tp / (tp + fn + 1e-9) AS recall FROM s)
+SELECT fold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall + 1e-9), 6) AS fscore, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM q"""))
+def _(spark, d):
+    return rounded(_evaluated(spark, d)[0].select("fold", "precision", "recall", "fscore", "mae", "rmse"), "precision", "recall", "fscore", "mae", "rmse")
+
+
+@query("suppression_summary", sql(NMS + """, f AS (SELECT image_id, count(*) AS final_count, min(score) AS a, max(score) AS b, avg(score) AS m FROM det JOIN nms USING (det_id) GROUP BY ALL), r AS (SELECT image_id, count(*) AS raw_count FROM det GROUP BY ALL)
+SELECT img.image_id, coalesce(raw_count, 0) AS raw_count, coalesce(final_count, 0) AS final_count, round(a, 3) AS score_min, round(b, 3) AS score_max, coalesce(raw_count, 0) - coalesce(final_count, 0) AS duplicates_removed FROM img LEFT JOIN f USING (image_id) LEFT JOIN r USING (image_id)"""))
+def _(spark, d):
+    own = X.detections(spark, d)
+    return inference.summary(X.images(spark, d), own, suppression.nms(own)).drop("score_mean")
+
+
+@query("threshold_grid", sql(f", st AS (SELECT unnest({sweep.VALIDATION}::DOUBLE[]) AS threshold) SELECT threshold, fold, count(*) AS n FROM det JOIN st ON score >= threshold GROUP BY ALL"))
+def _(spark, d):
+    return X.detections(spark, d).select("fold", sweep._reached(sweep.VALIDATION)).groupBy("threshold", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scatter_counts", sql(NMS + f", st AS (SELECT unnest({STEPS}::DOUBLE[]) AS threshold), k AS (SELECT image_id, threshold, count(*) AS n FROM det JOIN nms USING (det_id) JOIN st ON score >= threshold GROUP BY ALL), g AS (SELECT image_id, count(*) AS gt FROM gt GROUP BY ALL) SELECT img.fold, img.image_id, coalesce(gt, 0) AS gt, st.threshold, coalesce(n, 0) AS n FROM img CROSS JOIN st LEFT JOIN g USING (image_id) LEFT JOIN k ON k.image_id = img.image_id AND k.threshold = st.threshold"))
+def _(spark, d):
+    kept = sweep.at_thresholds(X.detections(spark, d), STEPS, keys=("fold", "image_id"))
+    own = sweep.scatter(X.images(spark, d), kept, X.truths(spark, d), STEPS)
+    return own.select("fold", "image_id", "gt", F.explode("pred").alias("threshold", "n"))
+
+
+@query("threshold_cube")
+def _(spark, d):
+    return sweep.cube(_fold_metrics(spark, d).withColumn("arch", F.lit("made")), ("arch",))
+
+
+@query("letterbox_params", sql(", r AS (SELECT DISTINCT width, height FROM img), s AS (SELECT *, least(640.0::DOUBLE / width, 640.0::DOUBLE / height) AS scale FROM r) SELECT width, height, CAST(floor((640 - CAST(trunc(width * scale) AS INT)) / 2.0) AS INT) AS pad_x, CAST(floor((640 - CAST(trunc(height * scale) AS INT)) / 2.0) AS INT) AS pad_y FROM s"))
+def _(spark, d):
+    box = tiling.letterbox(F.col("width"), F.col("height"))
+    return X.images(spark, d).select("width", "height").distinct().select("width", "height", box["pad_x"].alias("pad_x"), box["pad_y"].alias("pad_y"))
+
+
+@query("overlap_metadata", sql(tile_sql("sahi") + " SELECT image_id, x, y, 640 AS tile_side, 96 AS overlap_x, 96 AS overlap_y FROM tl"))
+def _(spark, d):
+    own = tiling.overlap_metadata(_tiled(spark, d, "sahi"), TILINGS["sahi"])
+    return own.select("image_id", "x", "y", F.col("tile_size")[0].alias("tile_side"), F.col("overlap_px")[0].alias("overlap_x"), F.col("overlap_px")[1].alias("overlap_y"))
+
+
+@query("parsed_labels", sql("SELECT 'img_' || image_id AS sample_name, CAST(sum(category_id - 1) AS BIGINT) AS classes, count(*) AS n, CAST(sum(w) AS BIGINT) AS total FROM ann GROUP BY ALL"))
+def _(spark, d):
+    from ..sources.readers import parsed_labels
+
+    one = F.struct("ann_id", F.concat_ws(" ", (F.col("category_id") - 1).cast("string"), *[F.col(c).cast("string") for c in ("x", "y", "w", "h")]).alias("line"))
+    lines = X.annotations(spark, d).groupBy(F.concat(F.lit("img_"), F.col("image_id").cast("string")).alias("sample_name")).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(one)), lambda s: s["line"]), F.lit("short 1 2")).alias("text"))
+    return parsed_labels(lines).groupBy("sample_name").agg(F.sum("cls").alias("classes"), F.count(F.lit(1)).alias("n"), F.sum("w").cast("long").alias("total"))
+
+
+@query("fold_members", sql(tile_sql("sahi") + " SELECT DISTINCT CAST(fold AS INT) AS split_fold, 'train' AS split, 'img_' || image_id AS stem FROM tl"))
+def _(spark, d):
+    own = tiling.tile_names(tiling.tiles(X.images(spark, d), TILINGS["sahi"]))
+    return labels.fold_members(own.select(F.col("fold").cast("int").alias("split_fold"), F.lit("train").alias("split"), F.col("tile_file").alias("sample_name")))
