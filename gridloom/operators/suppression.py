@@ -2,7 +2,7 @@
 
 Detections are rows (keys, det_id, label, score, x1, y1, x2, y2). A group (an image, or an image and a label) is one array, sorted by falling score
 and then det_id, and a fold over it keeps or drops each box; groups are bounded by what one image holds. Adaptive suppression and fusion
-depend on what remains or on boxes that move, so they run as grouped Arrow functions.
+depend on what remains or on boxes that move, so they run in Arrow batches that hold one group at a time.
 """
 
 from __future__ import annotations
@@ -65,13 +65,38 @@ def _by_group(dets: DataFrame, keys: list[str], run: Callable[[np.ndarray, np.nd
     """run(boxes, scores, ids) in falling order of scores, to the same of what stays."""
     schema = T.StructType([*[dets.schema[k] for k in keys], T.StructField("det_id", T.LongType()), T.StructField("score", T.DoubleType()), *[T.StructField(e, T.DoubleType()) for e in G.EDGES]])
 
-    def apply(pdf):
-        pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
-        boxes, scores, ids = run(pdf[list(G.EDGES)].to_numpy(float), pdf["score"].to_numpy(float), pdf["det_id"].to_numpy())
-        out = {k: pdf[k].iloc[0] for k in keys} | {"det_id": ids, "score": scores} | {e: boxes[:, i] for i, e in enumerate(G.EDGES)}
-        return type(pdf)(out, index=range(len(ids)))[schema.names]
-
-    return dets.select(*keys, "det_id", "score", *G.EDGES).groupBy(*keys).applyInPandas(apply, schema)
+    def starts(pdf) -> np.ndarray:
+        values = [pdf[k].to_numpy() for k in keys]
+        new = np.zeros(len(pdf) - 1, bool)
+        for v in values:
+            new |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    def done(pdf):
+        boxes, scores, ids = pdf[list(G.EDGES)].to_numpy(float), pdf["score"].to_numpy(float), pdf["det_id"].to_numpy()
+        first = starts(pdf)
+        parts = [run(boxes[a:b], scores[a:b], ids[a:b]) for a, b in zip(first, np.append(first[1:], len(pdf)), strict=True)]
+        owner = np.repeat(first, [len(p[2]) for p in parts])
+        box = np.concatenate([p[0] for p in parts])
+        out = {k: pdf[k].to_numpy()[owner] for k in keys} | {"det_id": np.concatenate([p[2] for p in parts]), "score": np.concatenate([p[1] for p in parts])} | {e: box[:, i] for i, e in enumerate(G.EDGES)}
+        return type(pdf)(out)[schema.names]
+
+    def stream(frames):
+        import pandas as pd
+
+        held = None
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(pdf):
+                cut = int(starts(pdf)[-1])  # the last group may go on
+                held = pdf.iloc[cut:]
+                if cut:
+                    yield done(pdf.iloc[:cut])
+        if held is not None and len(held):
+            yield done(held)
+
+    rows = dets.select(*keys, "det_id", "score", *G.EDGES).repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "det_id")
+    return rows.mapInPandas(stream, schema)
 
 
 def _likeness(box: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
