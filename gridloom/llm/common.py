@@ -49,7 +49,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing will read again."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def col(name: str) -> Column:

@@ -29,9 +29,10 @@ from .windows import Batch, mix
 
 K = 5
 #: Slots (powers of two) for frequent words and contexts, and for frequent pairs; at most half as many entries are offered.
-WORD_BITS, PAIR_BITS = 21, 22
+WORD_BITS, PAIR_BITS = 20, 21
 #: Tokens that a task gathers before it sends them, and tokens to a part.
-GATHER, PART = 1_500_000, 3_000_000
+GATHER, PART = 750_000, 1_000_000
+RARE = np.uint64(1 << 63)
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -54,6 +55,16 @@ def pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return mix(mix(one, 11) * np.uint64(0x9E3779B97F4A7C15) + two, 12)
 
 
+def planes(ids: np.ndarray) -> np.ndarray:
+    """Sorted numbers as the bytes of their differences, the lowest bytes first, which compress to what differs."""
+    steps = np.diff(ids, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def unplanes(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -75,22 +86,47 @@ def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nd
 
 
 class Hot:
-    """A broadcast table of bounded size: each key has one slot, the first offered key keeps it, and the others are not hot."""
+    """A broadcast table of bounded size: each key has one slot, the first offered key keeps it, and the others are not hot.
+
+    It has at most 2^bits slots, and no more than four for each key; only the keys and values travel."""
 
     def __init__(self, bits: int, keys: np.ndarray, *values: np.ndarray):
-        self.mask, slot = np.uint64((1 << bits) - 1), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
-        _, first = np.unique(slot, return_index=True)
-        self.keys = np.full(1 << bits, 0, np.uint64)
-        self.keys[slot[first]] = keys[first]
-        self.values = [np.zeros(1 << bits, v.dtype) for v in values]
-        for own, v in zip(self.values, values, strict=True):
-            own[slot[first]] = v[first]
+        self.bits = min(bits, max(4, int(4 * len(keys)).bit_length()))
+        _, first = np.unique(keys & np.uint64((1 << self.bits) - 1), return_index=True)
+        self.own = [keys[first], *[v[first] for v in values]]
+        self._fill()
+
+    def _fill(self):
+        self.mask = np.uint64((1 << self.bits) - 1)
+        slot = (self.own[0] & self.mask).astype(np.int64)
+        self.slots = [np.zeros(1 << self.bits, v.dtype) for v in self.own]
+        for table, v in zip(self.slots, self.own, strict=True):
+            table[slot] = v
+
+    def __getstate__(self):
+        return self.bits, self.own
+
+    def __setstate__(self, state):
+        self.bits, self.own = state
+        self._fill()
+        self.own = None  # a worker only looks up
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """Whether each key is hot, and its values."""
         slot = (keys & self.mask).astype(np.int64)
-        found = self.keys[slot] == keys
-        return [found, *[v[slot] for v in self.values]]
+        return [self.slots[0][slot] == keys, *[v[slot] for v in self.slots[1:]]]
+
+    def pair_ids(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """A number for each pair: both words' slots if both are hot, else a hash with the top bit set."""
+        a, b = (before & self.mask).astype(np.int64), (word & self.mask).astype(np.int64)
+        hot = (self.slots[0][a] == before) & (self.slots[0][b] == word)
+        return np.where(hot, b.astype(np.uint64) << np.uint64(24) | a.astype(np.uint64), pair_hash(before, word) | RARE)
+
+    def words_of(self, ids: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both words of sorted pair ids; before and word are those of the ids with the top bit set, which come last."""
+        hot = ids[: len(ids) - len(before)]
+        a, b = (hot & np.uint64((1 << 24) - 1)).astype(np.int64), (hot >> np.uint64(24)).astype(np.int64)
+        return np.concatenate([self.slots[0][a], before]), np.concatenate([self.slots[0][b], word])
 
 
 @dataclass
@@ -153,7 +189,7 @@ class _Stream:
     """Tokens of texts, with the word before each: keys' row numbers, before, word."""
 
     def __init__(self, texts: list[bytes]):
-        batch = Batch([t.lower() for t in texts], words=True)
+        batch = Batch([t.lower() for t in texts], words=True, hashes=1)
         size = batch.size + 1
         ends = np.cumsum(size)
         self.size, self.doc = size, np.repeat(np.arange(len(texts)), size)
@@ -172,6 +208,13 @@ def _blobs(part: np.ndarray, arrays: list[np.ndarray], kind: int) -> list[tuple[
     return [(int(p), kind, packed(*[a[s:e] for a in arrays])) for p, s, e in zip(own.tolist(), first.tolist(), ends.tolist(), strict=True)]
 
 
+def _by_part(part: np.ndarray):
+    """Each part with the places of its rows, in their order."""
+    order = np.argsort(part, kind="stable")
+    own, first = np.unique(part[order], return_index=True)
+    yield from zip(own.tolist(), np.split(order, first[1:]), strict=True)
+
+
 BLOB = "part int, kind int, data binary"
 COUNTS, PAIRS, CONTEXTS, EVENTS, ASKS, SCORES, CHECKS = range(7)
 
@@ -222,11 +265,14 @@ def _collected(table: DataFrame, kind: int, pick) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*[unpacked(d) for d in table.select("kind", "data").mapInArrow(run, "data binary").toArrow().column("data").to_pylist()], strict=True)]
 
 
-def _hot(bits: int, found: list[np.ndarray], counts: np.ndarray | None = None) -> Hot:
-    if not found:
-        return Hot(bits, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0))
-    order = np.argsort(-(found[1] if counts is None else counts).astype(np.int64), kind="stable")
-    return Hot(bits, *[f[order] for f in found])
+def _hot(bits: int, found: list[np.ndarray], like: str, first: np.uint64 | None = None) -> Hot:
+    """The entries by falling second column; first is a key that comes before all, with zeros."""
+    found = found or [np.empty(0, k) for k in like]
+    order = np.argsort(-found[1].astype(np.int64), kind="stable")
+    own = [f[order].astype(k) for f, k in zip(found, like, strict=True)]
+    if first is not None:
+        own = [np.concatenate([np.array([first if i == 0 else 0], v.dtype), v]) for i, v in enumerate(own)]
+    return Hot(bits, *own)
 
 
 def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, gather: int = GATHER, part: int = PART) -> Model:
@@ -242,7 +288,7 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
             word, n = summed(*map(np.concatenate, zip(*held, strict=True)))
             return next(_batched(_table(_blobs(part_of(word, floor), [word, n], COUNTS))))
 
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             word, n = np.unique(_Stream(utf8(column(batch, "text"))).word, return_counts=True)
             held.append((word, n))
             size += len(word)
@@ -261,8 +307,8 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
     tokens, types, words = stats[K + 2], stats[K + 1], Discount(stats[: K + 1])
     parts = max(floor, -(-tokens // part))
     least = _least(stats, 1 << word_bits - 1)
-    hot_words = _hot(word_bits, _collected(unigrams, COUNTS, lambda a: [x[a[1] >= least] for x in a]))
-    hot_words.values[1:] = []
+    hot_words = _hot(word_bits, _collected(unigrams, COUNTS, lambda a: [x[a[1] >= least] for x in a]), "Ql", BEGIN)
+    C.release(unigrams)
     free = float(words.freed(np.array(stats[:K], np.int64)))
     over, unknown = (tokens, free / tokens) if free else (tokens + 1, 1 / (tokens + 1))
     shared = spark.sparkContext.broadcast(hot_words)
@@ -272,16 +318,17 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
 
         def send():
             before, word = map(np.concatenate, zip(*held, strict=True))
-            both = pair_hash(before, word)
-            way = np.where(shared.value.find(word)[0], both, word)
-            order = np.lexsort((both, way))
-            both = both[order]
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            n = np.diff(np.append(first, len(both)))
-            at = order[first]
-            return next(_batched(_table(_blobs(part_of(way[at], parts), [before[at], word[at], n.astype(np.int32)], PAIRS))))
-
-        for batch in pieces(batches, "text", 4 << 20):
+            ids = shared.value.pair_ids(before, word)
+            ids, at, n = np.unique(ids, return_index=True, return_counts=True)
+            before, word = before[at], word[at]
+            part = part_of(np.where(shared.value.find(word)[0], mix(ids, 14), word), parts)
+            rows = []
+            for p, own in _by_part(part):
+                rare = own[ids[own] >= RARE]
+                rows.append((p, PAIRS, packed(planes(ids[own]), n[own].astype(np.uint32), before[rare], word[rare])))
+            return next(_batched(_table(rows)))
+
+        for batch in pieces(batches, "text", 1 << 20):
             own = _Stream(utf8(column(batch, "text")))
             held.append((own.before, own.word))
             size += len(own.word)
@@ -292,20 +339,22 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
             yield send()
 
     def build(key, table):
-        before, word, n = _joined(_held(table, PAIRS), "QQi")
-        both = pair_hash(before, word)
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-        n = np.add.reduceat(n[order], first, dtype=np.int64)
-        before, word, both = before[order[first]], word[order[first]], both[first]
+        parts_ = []
+        for raw, n, before, word in _held(table, PAIRS):
+            ids = unplanes(raw)
+            parts_.append((ids, n, *shared.value.words_of(ids, before, word)))
+        both, n, before, word = _joined(parts_, "QIQQ")
+        del parts_
+        both, at, inverse = np.unique(both, return_index=True, return_inverse=True)
+        n = np.bincount(inverse, n, len(both)).astype(np.int64)
+        before, word = before[at], word[at]
         hot, count2 = shared.value.find(word)
         rare, rare_count = summed(word[~hot], n[~hot])
         count2 = np.where(hot, count2, looked_up(rare, rare_count, word))
         lower = words.counts(count2) / over
         small = [(n == r).astype(np.int64) for r in range(1, K + 1)]
         context = summed(before, n, *small, lower)
-        rows = [(key[0].as_py(), PAIRS, packed(both, n.astype(np.uint32)), _histogram(n)), (key[0].as_py(), COUNTS, packed(rare, rare_count), None)]
+        rows = [(key[0].as_py(), PAIRS, packed(planes(both), n.astype(np.uint32)), _histogram(n)), (key[0].as_py(), COUNTS, packed(rare, rare_count), None)]
         rows += [(*r, None) for r in _blobs(part_of(context[0], parts), context, CONTEXTS)]
         return _table(rows, ("part", "kind", "data", "stats"))
 
@@ -313,8 +362,7 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
     stats = _sums(made)
     discount = Discount(stats[: K + 1])
     least = _least(stats, 1 << pair_bits - 1)
-    hot_pairs = _hot(pair_bits, _collected(made, PAIRS, lambda a: [x[a[1] >= least] for x in a]))
-    hot_pairs.values[1:] = []
+    hot_pairs = _hot(pair_bits, _collected(made, PAIRS, lambda a: [mix(unplanes(a[0])[a[1] >= least], 14), a[1][a[1] >= least]]), "QI")
 
     def gathered(key, table):
         context, total, *rest = summed(*_joined(_held(table, CONTEXTS), "Qllllllld"))
@@ -323,7 +371,7 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
 
     contexts = C.staged(made.filter(F.col("kind") == CONTEXTS).select("part", "kind", "data").groupBy("part").applyInArrow(gathered, BLOB + ", stats array<long>"), "contexts")
     least_context = _least(_sums(contexts), 1 << word_bits - 1)
-    hot_contexts = _hot(word_bits, _collected(contexts, CONTEXTS, lambda a: [x[a[1] >= least_context + 1] for x in a]))
+    hot_contexts = _hot(word_bits, _collected(contexts, CONTEXTS, lambda a: [x[a[1] >= least_context + 1] for x in a]), "Qdd")
     return Model(made.filter(F.col("kind") != CONTEXTS).select("part", "kind", "data"), contexts.select("part", "kind", "data"), parts, tokens, types, words, discount, unknown, float(over), hot_words, hot_pairs, hot_contexts)
 
 
@@ -345,16 +393,21 @@ def score(docs: DataFrame, model: Model, gather: int = GATHER) -> DataFrame:
         m, held, size = shared.value, [], 0
 
         def send():
-            key, before, word, way = map(np.concatenate, zip(*held, strict=True))
-            order = np.argsort(way, kind="stable")
-            way = way[order]
-            return next(_batched(_table(_blobs(part_of(way, parts), [key[order], before[order], word[order]], EVENTS))))
-
-        for batch in pieces(batches, "text", 4 << 20):
+            key, before, word, ids, frequent = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(ids, kind="stable")
+            key, before, word, ids = key[order], before[order], word[order], ids[order]
+            part, rows = part_of(np.where(frequent[order], mix(ids, 14), word), parts), []
+            for p, at in _by_part(part):
+                rare = at[ids[at] >= RARE]
+                docs_, which = np.unique(key[at], return_inverse=True)
+                rows.append((p, EVENTS, packed(planes(ids[at]), before[rare], word[rare], docs_, which.astype(np.uint16 if len(docs_) < 1 << 16 else np.int64))))
+            return next(_batched(_table(rows)))
+
+        for batch in pieces(batches, "text", 1 << 20):
             keys, own = column(batch, "key").to_numpy(), _Stream(utf8(column(batch, "text")))
-            both = pair_hash(own.before, own.word)
+            both = m.hot_words.pair_ids(own.before, own.word)
             frequent, n2 = m.hot_words.find(own.word)
-            near, n = m.hot_pairs.find(both)
+            near, n = m.hot_pairs.find(mix(both, 14))
             inside, over, weight = m.hot_contexts.find(own.before)
             done = frequent & near & inside
             high = np.zeros(len(both))
@@ -365,7 +418,7 @@ def score(docs: DataFrame, model: Model, gather: int = GATHER) -> DataFrame:
             order = np.argsort(part_of(mix(keys.astype(np.uint64), 13), parts), kind="stable")
             yield next(_batched(_table(_blobs(part_of(mix(keys.astype(np.uint64), 13), parts)[order], [keys[order], own.size[order], *[r[order] for r in rows]], SCORES))))
             rest = np.flatnonzero(~done)
-            held.append((keys[own.doc[rest]], own.before[rest], own.word[rest], np.where(frequent[rest], both[rest], own.word[rest])))
+            held.append((keys[own.doc[rest]], own.before[rest], own.word[rest], both[rest], frequent[rest]))
             size += len(rest)
             if size > gather:
                 yield send()
@@ -379,12 +432,17 @@ def score(docs: DataFrame, model: Model, gather: int = GATHER) -> DataFrame:
     def evaluate(key, table):
         """Tokens at their pair's part: the pair if it is known, else the word, times the weight of the context."""
         m, rows = shared.value, passed(table, SCORES)
-        doc, before, word = _joined(_held(table, EVENTS), "lQQ")
-        pairs, counts = _joined(_held(table, PAIRS), "QI")
+        seen_ = []
+        for raw, before, word, docs_, which in _held(table, EVENTS):
+            ids = unplanes(raw)
+            seen_.append((ids, *m.hot_words.words_of(ids, before, word), docs_[which]))
+        ids, before, word, doc = _joined(seen_, "QQQl")
+        del seen_
+        pairs, counts = _joined([(unplanes(a), c) for a, c in _held(table, PAIRS)], "QI")
         rare, rare_count = _joined(_held(table, COUNTS), "Ql")
         frequent, n2 = m.hot_words.find(word)
         n2 = np.where(frequent, n2, looked_up(rare, rare_count, word))
-        n = looked_up(pairs, counts, pair_hash(before, word)).astype(np.int64)
+        n = looked_up(pairs, counts, ids).astype(np.int64)
         low = np.where(frequent, 0.0, base(n2))
         high = np.log10(np.where(n > 0, m.pairs.counts(n), m.word(n2)))
         inside, over, weight = m.hot_contexts.find(before)
@@ -420,6 +478,7 @@ def score(docs: DataFrame, model: Model, gather: int = GATHER) -> DataFrame:
 
     events = C.staged(docs.select("key", "text").mapInArrow(read, BLOB).unionByName(table).groupBy("part").applyInArrow(evaluate, BLOB), "evaluated")
     asked = C.staged(events.unionByName(contexts).groupBy("part").applyInArrow(backed, BLOB), "backed")
+    C.release(events)
     return asked.groupBy("part").applyInArrow(finish, "key long, n_tokens long, n_known long, base_score double, score double")
 
 
