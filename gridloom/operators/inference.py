@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import EDGES, unit
@@ -54,11 +55,25 @@ def run_engine(tiles: DataFrame, engine: Callable[[Iterator], Iterator], schema:
     return tiles.mapInPandas(engine, schema)
 
 
-def infer(images: DataFrame, tiles: DataFrame, engine: Callable[[Iterator], Iterator], method: str = "wbf", conf: float = 0.25, iou: float = 0.45, engine_kind: str = "yolo") -> tuple[DataFrame, DataFrame]:
-    """(raw, final) normalised detections of images (image_id, width, height) through their tiles."""
-    found = confident(run_engine(tiles, engine), conf, engine_kind)
+def with_whole(images: DataFrame, tiles: DataFrame) -> DataFrame:
+    """tiles and each whole image as one more tile."""
+    whole = images.select("image_id", "width", "height", F.lit(-1).alias("row_index"), F.lit(-1).alias("column_index"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("tile_width"), F.col("height").alias("tile_height"))
+    own = ["image_id", "width", "height", "row_index", "column_index", "x", "y", "tile_width", "tile_height"]
+    return tiles.select(*own).unionByName(whole)
+
+
+def collected(images: DataFrame, tiles: DataFrame, engine: Callable[[Iterator], Iterator], floor: float = 0.1, engine_kind: str = "yolo", whole: bool = True) -> DataFrame:
+    """Raw normalised detections of images (image_id, width, height) through their tiles, and as a whole if wanted, from a low score on. Numbered
+    within an image by score, then by place, so the numbers are the same whenever a task runs again."""
+    found = confident(run_engine(with_whole(images, tiles) if whole else tiles, engine), floor, engine_kind)
     raw = reproject(found.join(images.select("image_id", "width", "height"), "image_id")).drop("width", "height")
-    raw = raw.withColumn("det_id", F.monotonically_increasing_id())
+    order = W.partitionBy("image_id").orderBy(F.desc("score"), "tile_y", "tile_x", "label", *EDGES)
+    return raw.withColumn("det_id", F.row_number().over(order).cast("long"))
+
+
+def infer(images: DataFrame, tiles: DataFrame, engine: Callable[[Iterator], Iterator], method: str = "wbf", conf: float = 0.25, iou: float = 0.45, engine_kind: str = "yolo", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(raw, final) normalised detections of images (image_id, width, height) through their tiles."""
+    raw = collected(images, tiles, engine, conf, engine_kind, whole)
     return raw, suppress(raw, method, iou)
 
 

@@ -104,3 +104,8 @@ def scatter(images: DataFrame, kept: DataFrame, truths: DataFrame, thresholds: l
     grid = images.select(*keys).select("*", F.explode(F.array(*map(F.lit, thresholds or SCATTER))).alias("threshold"))
     rows = grid.join(n, [*keys, "threshold"], "left").join(true, list(keys), "left").fillna(0, ["n", "gt"])
     return rows.groupBy(*keys).agg(F.first("gt").alias("gt"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("threshold", "n")))).alias("pred"))
+
+
+def suggested(curves: DataFrame, modes: list[str], prefer: str = "asahi_rect") -> DataFrame:
+    """The best threshold of the preferred mode if its curve (column mode) is among those shown, else of the first shown."""
+    return best_threshold(curves.filter(F.col("mode") == (prefer if prefer in modes else modes[0])))

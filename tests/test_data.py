@@ -228,3 +228,21 @@ def test_stream(spark, tmp_path):
     q = D.suppressed(D.stream(spark, f"{tmp_path}/in", SCHEMA), f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination()
     assert [r.det_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [0]
+
+
+def test_pixels_and_weights(spark, tmp_path):
+    from gridloom.sources import pixels
+
+    image = np.arange(20 * 30 * 3, dtype=np.uint8).reshape(20, 30, 3)
+    one = spark.createDataFrame([(1, 30, 20, image.tobytes())], "image_id long, width int, height int, pixels binary")
+    tiled = tiling.tiles(one.select("image_id", "width", "height"), tiling.Tiling("sahi", 0.25, (16, 16)))
+    cut = pixels.cropped(one, tiled)
+    assert bytes(reconstruct.rebuild(cut).first().pixels) == image.tobytes()
+    assert {len(r.file) for r in pixels.encoded(cut, lambda a: a[:2].tobytes()).collect()} == {2 * 16 * 3}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.jpg").write_bytes(b"1")
+    assert pixels.copy_files(spark, f"{tmp_path}/a", f"{tmp_path}/b", ["x.jpg", "none.jpg"]) == 1
+    for model in ("YOLOV8N", "other"):
+        writers.write_text(spark, f"{tmp_path}/w/sahi/model_checkpoints/fold_1/{model}/best.pt", "x")
+    (path,) = writers.weight_manifests(spark, f"{tmp_path}/w", f"{tmp_path}/models", "sahi", 2, inference.engine_of)
+    assert readers.checkpoint(spark, f"{tmp_path}/models", "sahi", 1, "YOLOV8N").endswith("best.pt") and path.endswith("YOLOV8N/manifest.json")
