@@ -17,10 +17,6 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -36,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder: it cuts the lineage and outlives lost executors.
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table written in the shared folder (partitioned by a column, if one is named): it cuts the lineage and outlives lost executors.
 
     Once it is written, the shuffle files that led to it serve nothing, so Spark may delete them at once.
     """
@@ -46,7 +42,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
@@ -54,10 +50,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing will read again."""
+def release(df: DataFrame, partition: str = "") -> None:
+    """Deletes the files of a staged table, or of one of its partitions, that nothing will read again."""
     spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path + "/" + partition)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

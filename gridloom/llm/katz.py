@@ -353,23 +353,25 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
         count2 = np.where(hot, count2, looked_up(rare, rare_count, word))
         lower = words.counts(count2) / over
         small = [(n == r).astype(np.int64) for r in range(1, K + 1)]
-        context = summed(before, n, *small, lower)
+        context = summed(before, n, *small, lower)  # by hash, and so by part
         rows = [(key[0].as_py(), PAIRS, packed(planes(both), n.astype(np.uint32)), _histogram(n)), (key[0].as_py(), COUNTS, packed(rare, rare_count), None)]
-        rows += [(*r, None) for r in _blobs(part_of(context[0], parts), context, CONTEXTS)]
+        rows += [(p, CONTEXTS, packed(planes(context[0][at]), *[c[at] for c in context[1:]]), None) for p, at in _by_part(part_of(context[0], parts))]
         return _table(rows, ("part", "kind", "data", "stats"))
 
-    made = C.staged(docs.mapInArrow(pairs, BLOB).groupBy("part").applyInArrow(build, BLOB + ", stats array<long>"), "pairs")
+    made = C.staged(docs.mapInArrow(pairs, BLOB).groupBy("part").applyInArrow(build, BLOB + ", stats array<long>"), "pairs", by="kind")
     stats = _sums(made)
     discount = Discount(stats[: K + 1])
     least = _least(stats, 1 << pair_bits - 1)
     hot_pairs = _hot(pair_bits, _collected(made, PAIRS, lambda a: [mix(unplanes(a[0])[a[1] >= least], 14), a[1][a[1] >= least]]), "QI")
 
     def gathered(key, table):
-        context, total, *rest = summed(*_joined(_held(table, CONTEXTS), "Qllllllld"))
+        context, total, *rest = summed(*_joined([(unplanes(keys), *rest) for keys, *rest in _held(table, CONTEXTS)], "Qllllllld"))
         over_, weight = _context(discount, total, np.stack(rest[:K], axis=1), rest[K])
         return _table([(key[0].as_py(), CONTEXTS, packed(context, over_.astype(np.float64), weight), _histogram(total))], ("part", "kind", "data", "stats"))
 
     contexts = C.staged(made.filter(F.col("kind") == CONTEXTS).select("part", "kind", "data").groupBy("part").applyInArrow(gathered, BLOB + ", stats array<long>"), "contexts")
+    C.release(made, f"kind={CONTEXTS}")
+    made = spark.read.schema(made.schema).parquet(made.staged_path)  # without the files that went
     least_context = _least(_sums(contexts), 1 << word_bits - 1)
     hot_contexts = _hot(word_bits, _collected(contexts, CONTEXTS, lambda a: [x[a[1] >= least_context + 1] for x in a]), "Qdd")
     return Model(made.filter(F.col("kind") != CONTEXTS).select("part", "kind", "data"), contexts.select("part", "kind", "data"), parts, tokens, types, words, discount, unknown, float(over), hot_words, hot_pairs, hot_contexts)
