@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
-from .arrow import column, merged, pieces, ranges, utf8
-from .windows import Finder, with_spans
+from .arrow import column, pieces, ranges, utf8
+from .windows import Finder, merged_spans, with_spans
 
 LENGTH, GRAM = 35, 11
 
@@ -128,14 +128,13 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def cut(batches):
         for batch in pieces(batches, "text"):
             size, gone, runs, kept = [], [], [], []
-            for text, own in zip(utf8(column(batch, "text")), column(batch, "spans").to_pylist(), strict=True):
+            for text, own in zip(utf8(column(batch, "text")), merged_spans(column(batch, "spans")), strict=True):
                 words = text.split()
-                a, b = merged(np.array([s["start"] for s in own or []], np.int64), np.array([s["end"] for s in own or []], np.int64))
-                edges = np.concatenate([[0], np.stack([a, b], 1).ravel(), [len(words)]]).tolist()
+                edges = [0, *own, len(words)]
                 left = [w for s, e in zip(edges[::2], edges[1::2], strict=True) for w in words[s:e]]
                 size.append(len(words))
                 gone.append(len(words) - len(left))
-                runs.append(edges[1:-1])
+                runs.append(own)
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(kept, pa.string())], schema.names)
 

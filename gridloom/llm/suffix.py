@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
-from .arrow import column, merged, pieces, ranges, utf8
-from .windows import Finder, Prefix, with_spans
+from .arrow import column, pieces, ranges, utf8
+from .windows import Finder, Prefix, merged_spans, with_spans
 
 LENGTH, GRAM = 100, 40
 
@@ -108,7 +108,7 @@ def repeats(blocks: list[bytes], gram: np.ndarray, key: np.ndarray, start: np.nd
 
 
 def removed(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
-    """docs (key, text) with spans: (start, end) byte spans to remove, an array that may overlap, or null."""
+    """docs (key, text) with spans of bytes to remove (see with_spans)."""
     finder = finder or Finder(LENGTH, GRAM, words=False, every=False)
     n = finder.n
     return with_spans(docs, finder.spans(docs, lambda *found: repeats(*found, n)))
@@ -126,12 +126,10 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batches):
         for batch in pieces(batches, "text"):
-            texts, spans, out, runs = utf8(column(batch, "text")), column(batch, "spans").to_pylist(), [], []
-            for text, own in zip(texts, spans, strict=True):
-                a, b = merged(np.array([s["start"] for s in own or []], np.int64), np.array([s["end"] for s in own or []], np.int64))
-                edges = np.concatenate([[0], np.stack([a, b], 1).ravel(), [len(text)]]).tolist()
-                out.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
-                runs.append(edges[1:-1])
+            texts, runs, out = utf8(column(batch, "text")), merged_spans(column(batch, "spans")), []
+            for text, own in zip(texts, runs, strict=True):
+                edges = [0, *own, len(text)]
+                out.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)) if own else text)
             size = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(size, pa.int64()), pa.array([s - len(o) for s, o in zip(size, out, strict=True)], pa.int64()), pa.array([len(r) // 2 for r in runs], pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(out, pa.binary())], schema.names)
 

@@ -22,16 +22,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .arrow import column, pieces, ranges, utf8
+from .arrow import column, merged, pieces, ranges, utf8
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Blocks looked for in one scan; more take more scans.
-PLACES = 4_000_000
+#: First places of ambiguous blocks that are broadcast (16 bytes each); more meet their documents in a join.
+PLACES = 2_000_000
 #: One in so many documents is sampled for common grams; a gram seen so often in the sample is common.
 SAMPLE, COMMON = 16, 200
 _LOW = (1 << 22) - 1
@@ -75,9 +76,9 @@ class Prefix:
 
 
 class Batch:
-    """Texts as one token array. Tokens are the bytes, or the words between ASCII white space."""
+    """Texts as one token array. Tokens are the bytes, or the words between ASCII white space, each as one or two hashes."""
 
-    def __init__(self, texts: list[bytes], words: bool):
+    def __init__(self, texts: list[bytes], words: bool, hashes: int = 2):
         self.raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         size = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(size + 1) - size - 1
@@ -89,11 +90,11 @@ class Batch:
             self.first, self.last = edge[0::2], edge[1::2]  # each word's bytes
             self.start = np.searchsorted(self.first, begin)
             self.size = np.diff(np.append(self.start, len(self.first)))
-            self.tokens = tuple(mix(Prefix(table[self.raw]).of(self.first, self.last - self.first), 3) for table in _BYTE)
+            self.tokens = tuple(mix(Prefix(table[self.raw]).of(self.first, self.last - self.first), 3) for table in _BYTE[:hashes])
         else:
             self.start, self.size = begin, size
             self.first, self.last = None, None
-            self.tokens = tuple(table[self.raw] for table in _BYTE)
+            self.tokens = tuple(table[self.raw] for table in _BYTE[:hashes])
 
     def bytes_of(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and number of bytes of runs of tokens."""
@@ -105,9 +106,9 @@ class Batch:
 class Anchors:
     """A batch's runs of windows with one anchor: doc, start (first window, in tokens of the batch), more (further windows), gram, block."""
 
-    def __init__(self, batch: Batch, n: int, k: int, common: np.ndarray | None = None):
+    def __init__(self, batch: Batch, n: int, k: int, common: np.ndarray | None = None, digests: bool = True):
         self.batch, self.n = batch, n
-        one, two = (Prefix(t) for t in batch.tokens)
+        one = Prefix(batch.tokens[0])
         total, w = len(batch.tokens[0]), n - k + 1
         long = np.flatnonzero(batch.size >= n)
         if total < n or not len(long):
@@ -140,6 +141,9 @@ class Anchors:
                 self.more = np.concatenate([self.more[~hot], np.zeros(len(start), np.int64)])
                 self.gram = np.concatenate([self.gram[~hot], mix(one.of(start, n), 6)])
         self.anchor, size = anchor, self.more + n
+        if not digests:
+            return
+        two = Prefix(batch.tokens[1])
         self.block = mix(two.of(self.start, size) ^ mix(one.of(self.start, size), 7) ^ mix((anchor - self.start).astype(np.uint64) << np.uint64(32) | self.more.astype(np.uint64), 8), 9)
 
 
@@ -185,16 +189,17 @@ class Finder:
         self.n, self.k, self.words, self.every, self.batch = n, k, words, every, batch
         self.sample, self.common, self.places = sample, common, places
 
-    def _anchors(self, batches, common) -> Iterator[tuple[Batch, np.ndarray, Anchors, np.ndarray]]:
-        """Each batch, its keys, its anchors, and each anchor's start in its document."""
-        for batch in pieces(batches, "text", self.batch):
-            own = Batch(utf8(column(batch, "text")), self.words)
-            found = Anchors(own, self.n, self.k, common)
-            yield own, column(batch, "key").to_numpy()[found.doc] if len(found.doc) else np.empty(0, np.int64), found, found.start - own.start[found.doc]
+    def _anchored(self, batch: pa.RecordBatch, common, digests: bool = True) -> tuple[Batch, np.ndarray, Anchors, np.ndarray]:
+        """A batch's tokens, its anchors (with or without digests of their blocks), each one's key, and its start in its document."""
+        own = Batch(utf8(column(batch, "text")), self.words, 1 + digests)
+        found = Anchors(own, self.n, self.k, common, digests)
+        key = column(batch, "key").to_numpy()[found.doc] if len(found.doc) else np.empty(0, np.int64)
+        return own, key, found, found.start - own.start[found.doc]
 
     def common_grams(self, docs: DataFrame) -> np.ndarray:
         def count(batches):
-            for _, _, found, _ in self._anchors(batches, None):
+            for batch in pieces(batches, "text", self.batch):
+                found = self._anchored(batch, None, False)[2]
                 gram, n = np.unique(found.gram, return_counts=True)
                 few = n > 1
                 yield pa.RecordBatch.from_arrays([pa.array(gram[few].view(np.int64)), pa.array(n[few])], ["gram", "n"])
@@ -209,7 +214,8 @@ class Finder:
 
         def scan(batches):
             own_common = common.value
-            for _, key, found, start in finder._anchors(batches, own_common):
+            for batch in pieces(batches, "text", finder.batch):
+                _, key, found, start = finder._anchored(batch, own_common)
                 gram, block = found.gram.view(np.int64), found.block.view(np.int64)
                 order = np.lexsort((start, key, block, gram))
                 gram, block, key, start, more = gram[order], block[order], key[order], start[order], found.more[order]
@@ -221,22 +227,26 @@ class Finder:
                 yield _rows(mix(key[span].astype(np.uint64)).view(np.int64), np.zeros(int(span.sum()), np.int64), key[span], start[span], more[span] + n, np.full(int(span.sum()), SPAN))
 
         def meet(batches):
-            for rows in grouped(batches, ["gram", "block", "key", "start", "more", "kind"]):
-                spans = rows[rows[:, 5] == SPAN]
-                yield _out(spans[:, 2], spans[:, 3], spans[:, 3] + spans[:, 4], SPAN)
-                rows = rows[rows[:, 5] != SPAN]
-                first = _starts(rows[:, :2])
-                count = np.diff(np.append(first, len(rows)))
+            for gram, block, key, start, more, kind in grouped(batches, ["gram", "block", "key", "start", "more", "kind"]):
+                done = kind == SPAN
+                if done.any():
+                    yield _out(key[done], start[done], start[done] + more[done], SPAN)
+                    gram, block, key, start, more, kind = (v[~done] for v in (gram, block, key, start, more, kind))
+                if not len(gram):
+                    continue
+                other = np.concatenate([[True], gram[1:] != gram[:-1]])
+                new = other.copy()
+                new[1:] |= block[1:] != block[:-1]
+                first = np.flatnonzero(new)
+                count = np.diff(np.append(first, len(gram)))
                 if finder.every:
-                    several = np.logical_or.reduceat(rows[:, 5] == SEVERAL, first) | (count > 1) if len(first) else np.empty(0, bool)
-                    again = np.repeat(several, count)
+                    again = np.repeat(np.logical_or.reduceat(kind == SEVERAL, first) | (count > 1), count)
                 else:
-                    again = np.ones(len(rows), bool)
-                    again[first] = False
-                yield _out(rows[again, 2], rows[again, 3], rows[again, 3] + rows[again, 4] + n, SPAN)
-                _, gram, blocks = np.unique(rows[first, 0], return_inverse=True, return_counts=True)
-                many = first[blocks[gram] > 1]
-                yield _out(_place(rows[many, 2], rows[many, 3]), rows[many, 0], rows[many, 0], MANY)  # the gram in start's place
+                    again = ~new
+                yield _out(key[again], start[again], start[again] + more[again] + n, SPAN)
+                owner = np.cumsum(other[first]) - 1
+                many = first[np.bincount(owner)[owner] > 1]
+                yield _out(_place(key[many], start[many]), key[many], key[many], MANY)  # the document in start's place
 
         return scan, meet
 
@@ -252,27 +262,32 @@ class Finder:
         sorted_ = docs.mapInArrow(scan, ROW).repartition(parts, "gram").sortWithinPartitions("gram", "block", "key", "start")
         settled = C.staged(sorted_.mapInArrow(meet, "key long, start long, end long, kind byte"), "settled")
         found = settled.filter(F.col("kind") == SPAN).select("key", "start", "end")
-        ambiguous = settled.filter(F.col("kind") == MANY).select(F.col("key").alias("place"), F.col("start").alias("gram"))
-        passes = -(-ambiguous.count() // self.places)
-        for i in range(passes):
-            own = ambiguous.filter(F.pmod(F.xxhash64("gram"), F.lit(passes)) == i).select("place")
-            wanted = np.sort(own.toArrow().column("place").to_numpy())  # about PLACES of 8 bytes
-            if not len(wanted):
-                continue
-            places = spark.sparkContext.broadcast(wanted)
-            blocks = docs.mapInArrow(self._blocks(common, places), "gram long, key long, start long, anchor int, bytes binary")
-            met = blocks.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_resolver(resolve), "key long, start long, end long")
-            found = found.unionByName(C.staged(met, "resolved"))
+        ambiguous = settled.filter(F.col("kind") == MANY).select(F.col("key").alias("place"), F.col("start").alias("document"))
+        count = ambiguous.count()
+        if not count:
+            return found
+        if count <= self.places:  # 16 bytes each
+            rows = ambiguous.toArrow()
+            wanted = spark.sparkContext.broadcast((np.sort(rows.column("place").to_numpy()), np.unique(rows.column("document").to_numpy())))
+            source = docs
+        else:  # too many to broadcast: the documents that have some move once, with their places
+            own = ambiguous.groupBy(F.col("document").alias("key")).agg(F.collect_list("place").alias("places"))
+            wanted, source = None, docs.select("key", "text").join(own, "key")
+        blocks = source.mapInArrow(self._blocks(common, wanted), "gram long, key long, start long, anchor int, bytes binary")
+        met = blocks.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_resolver(resolve), "key long, start long, end long")
+        found = found.unionByName(C.staged(met, "resolved"))
         return found
 
-    def _blocks(self, common, places):
+    def _blocks(self, common, wanted):
+        """wanted: sorted places and documents, broadcast, or None if each row has its places."""
         finder, n = self, self.n
 
         def scan(batches):
-            own_common, wanted = common.value, places.value
-            for own, key, found, start in finder._anchors(batches, own_common):
-                place = _place(key, start)
-                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, place), len(wanted) - 1)] == place)
+            places, keys = wanted.value if wanted else (None, None)
+            for batch in pieces(_with_keys(batches, keys) if wanted else batches, "text", finder.batch):
+                own, key, found, start = finder._anchored(batch, common.value, False)
+                here = places if wanted else np.sort(column(batch, "places").flatten().to_numpy())
+                at = np.flatnonzero(_among(here, _place(key, start)))
                 byte, size = own.bytes_of(found.start[at], found.more[at] + n)
                 raw = own.raw
                 blocks = pa.array([raw[b : b + s].tobytes() for b, s in zip(byte.tolist(), size.tolist(), strict=True)], pa.binary())
@@ -281,6 +296,16 @@ class Finder:
         return scan
 
 
+def _among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def _with_keys(batches, keys: np.ndarray):
+    """The rows whose key is among the sorted keys."""
+    for batch in batches:
+        yield batch.filter(pa.array(_among(keys, column(batch, "key").to_numpy())))
+
+
 def _place(key: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (mix(key.astype(np.uint64), 21) * np.uint64(BASE) + mix(start.astype(np.uint64), 22)).view(np.int64)
 
@@ -289,21 +314,21 @@ def _out(key, start, end, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(end), pa.array(np.full(len(key), kind), pa.int8())], ["key", "start", "end", "kind"])
 
 
-def grouped(batches, names: list[str], most: int = 100_000) -> Iterator[np.ndarray]:
-    """Sorted rows in parts of about `most` that never cut a group of the first column."""
+def grouped(batches, names: list[str], most: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """Sorted rows as columns, in parts of about `most` that never cut a group of the first column."""
     held, size = [], 0
     for batch in batches:
-        held.append(np.stack([column(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], axis=1))
-        size += len(held[-1])
+        held.append([column(batch, c).to_numpy(zero_copy_only=False) for c in names])
+        size += len(held[-1][0])
         if size >= most:
-            rows = np.concatenate(held)
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if cut:
-                yield rows[:cut]
-            held = [rows[cut:]]
-            size = len(held[0])
+                yield [c[:cut] for c in rows]
+            held = [[c[cut:] for c in rows]]
+            size = len(held[0][0])
     if size:
-        yield np.concatenate(held)
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _resolver(resolve, most: int = 1 << 20):
@@ -333,6 +358,17 @@ def _resolver(resolve, most: int = 1 << 20):
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with spans: its spans as an array of (start, end), or null. A document's spans are no more than its tokens."""
-    own = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    """docs with spans: an array of numbers, each a span's start * 2^32 and its length, or null. A document's spans are no more than its tokens."""
+    own = spans.groupBy("key").agg(F.collect_list(F.shiftleft("start", 32) + (F.col("end") - F.col("start"))).alias("spans"))
     return docs.join(own, "key", "left")
+
+
+def merged_spans(spans: pa.Array) -> list[list[int]]:
+    """with_spans' arrays as flat lists of the edges of maximal runs."""
+    flat, out = spans.flatten().to_numpy(), []
+    size = np.array([0 if n is None else n for n in pc.list_value_length(spans).to_pylist()], np.int64)
+    ends = np.cumsum(size)
+    for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):
+        start = flat[a:b] >> 32
+        out.append(np.stack(merged(start, start + (flat[a:b] & 0xFFFFFFFF)), axis=1).ravel().tolist() if b > a else [])
+    return out
