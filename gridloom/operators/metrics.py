@@ -43,33 +43,31 @@ def pooled_errors(rows: DataFrame, keys: tuple[str, ...], truth: str = "groundtr
     return own.join(rows.groupBy(*keys).agg((F.avg(part) * 100).alias("mape")), list(keys)) if keys else own.crossJoin(rows.agg((F.avg(part) * 100).alias("mape")))
 
 
-def labelled(found: DataFrame, thresholds: list[float] | None = None, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """best_truth rows for each IoU threshold: threshold, score, det_id, is_tp."""
-    rows = found.select(*found.columns, F.explode(F.array(*map(F.lit, thresholds or IOU_THRESHOLDS))).alias("iou_threshold"))
-    near = F.coalesce(F.col("iou") >= F.col("iou_threshold"), F.lit(False))
-    rank = F.row_number().over(W.partitionBy("iou_threshold", *keys, "gt_id").orderBy(F.desc("score"), "det_id"))
-    hits = rows.filter(near).withColumn("is_tp", rank == 1)
-    return hits.unionByName(rows.filter(~near).withColumn("is_tp", F.lit(False)))
+def _above(totals: DataFrame, parts: list[str]) -> DataFrame:
+    """For each bin the sum of n over the bins above it, before."""
+    over = W.partitionBy(*parts).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
+    return totals.select(*parts, "bin", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
 
 
 def average_precision(found: DataFrame, n_truth: DataFrame, group: tuple[str, ...] = (), keys: tuple[str, ...] = ("image_id",), thresholds: list[float] | None = None) -> DataFrame:
     """ap for each group and iou_threshold: the mean over 101 recall levels of the best precision at that recall or more.
 
-    n_truth: a row for each group with n_gt. A group without truth or without detections has ap 0. Running counts go by falling score, then
-    keys and det_id: score bins first, whose totals are few, then a window in each bin.
+    n_truth: a row for each group with n_gt. A group without truth or without detections has ap 0. Detections are ranked once, by falling score,
+    then keys and det_id: score bins first, whose totals are few, then a window in each bin. Recall rises and precision peaks at hits alone, so only hits
+    are counted for each threshold.
     """
-    rows = labelled(found, thresholds, (*group, *keys))
-    parts = ["iou_threshold", *group]
-    rows = rows.withColumn("bin", F.floor(F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(0.0)) * BINS).cast("int"))
-    one, hit = F.lit(1).cast("long"), F.col("is_tp").cast("long")
-    totals = rows.groupBy(*parts, "bin").agg(F.sum(hit).alias("hits"), F.sum(one).alias("seen"))
-    above = W.partitionBy(*parts).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*parts, "bin", F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits0"), F.coalesce(F.sum("seen").over(above), F.lit(0)).alias("seen0"))
-    inside = W.partitionBy(*parts, "bin").orderBy(F.desc("score"), *keys, "det_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.select(*parts, "bin", F.sum(hit).over(inside).alias("hits"), F.sum(one).over(inside).alias("seen")).join(totals, [*parts, "bin"])
+    parts, one = ["iou_threshold", *group], F.count(F.lit(1))
+    rows = found.withColumn("bin", F.floor(F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(0.0)) * BINS).cast("int"))
+    place = F.row_number().over(W.partitionBy(*group, "bin").orderBy(F.desc("score"), *keys, "det_id"))
+    rows = rows.withColumn("place", place).join(_above(rows.groupBy(*group, "bin").agg(one.alias("n")), list(group)), [*group, "bin"])
+    rows = rows.select(*group, *keys, "det_id", "gt_id", "score", "bin", (F.col("place") + F.col("before")).alias("seen"), F.explode(F.filter(F.array(*map(F.lit, thresholds or IOU_THRESHOLDS)), lambda t: t <= F.col("iou"))).alias("iou_threshold"))
+    rank = F.row_number().over(W.partitionBy(*parts, *keys, "gt_id").orderBy(F.desc("score"), "det_id"))
+    hits = rows.withColumn("rank", rank).filter("rank = 1").select(*parts, "bin", "seen")
+    place = F.row_number().over(W.partitionBy(*parts, "bin").orderBy("seen"))
+    rows = hits.withColumn("place", place).join(_above(hits.groupBy(*parts, "bin").agg(one.alias("n")), parts), [*parts, "bin"])
     rows = rows.join(F.broadcast(n_truth), list(group)) if group else rows.crossJoin(F.broadcast(n_truth))
-    hits = F.col("hits") + F.col("hits0")
-    rows = rows.filter("n_gt > 0").select(*parts, (hits / F.col("n_gt")).alias("recall"), (hits / (F.col("seen") + F.col("seen0") + EPS)).alias("precision"))
+    hits = F.col("place") + F.col("before")
+    rows = rows.filter("n_gt > 0").select(*parts, (hits / F.col("n_gt")).alias("recall"), (hits / (F.col("seen") + EPS)).alias("precision"))
     near = F.floor(F.col("recall") * 100)
     level = F.when((near + 1) * 0.01 <= F.col("recall"), near + 1).when(near * 0.01 > F.col("recall"), near - 1).otherwise(near).cast("int")
     best = rows.groupBy(*parts, level.alias("level")).agg(F.max("precision").alias("precision"))
