@@ -36,6 +36,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(lines.drop_repeated_runs(table(spark, sf_dir, "documents")))
 
 
+def op5_every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.drop_repeated_runs(table(spark, sf_dir, "documents"), run=1))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -62,10 +66,11 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op5_every_line_dedup": op5_every_line_dedup,
     "op6_pii": op6_pii,
     "op7_katz_language_model": op7_katz_language_model,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op3_exact_dedup": exact.ORACLE, "op5_line_dedup": lines.ORACLE, "op9_substring_dedup": substring.ORACLE}
+ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op3_exact_dedup": exact.ORACLE, "op5_line_dedup": lines.ORACLE, "op5_every_line_dedup": lines.EVERY_ORACLE, "op9_substring_dedup": substring.ORACLE}

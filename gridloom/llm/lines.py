@@ -92,3 +92,12 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM x GROUP BY doc_id
 """
+
+#: The rows of run = 1: each line that isn't blank and also stands earlier goes, whatever its neighbours are.
+EVERY_ORACLE = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+x AS (SELECT *, trim(line, ' ') <> '' AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS gone FROM l)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM x GROUP BY doc_id
+"""
