@@ -505,7 +505,11 @@ def _(spark, d):
 # Sweeps
 
 STEPS = [0.2, 0.4, 0.6, 0.8]
-SWEEP = NMS + f""", once AS (SELECT det.* FROM det JOIN nms USING (det_id) WHERE score >= 0.2), st AS (SELECT unnest({STEPS}::DOUBLE[]) AS threshold),
+
+
+def sweep_sql(steps: list[float]) -> str:
+    """Common table expressions fm(threshold, fold, five metrics) and cv(threshold, five metrics)."""
+    return NMS + f""", once AS (SELECT det.* FROM det JOIN nms USING (det_id) WHERE score >= {min(steps)}), st AS (SELECT unnest({steps}::DOUBLE[]) AS threshold),
 pr AS (SELECT o.image_id, o.fold, o.det_id, o.score, gt.gt_id, {iou_of('o', 'gt')} AS iou FROM once o JOIN gt ON o.image_id = gt.image_id AND o.x1 < gt.x2 AND gt.x1 < o.x2 AND o.y1 < gt.y2 AND gt.y1 < o.y2),
 br AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, gt_id) AS n FROM pr),
 bt AS (SELECT o.image_id, o.fold, o.det_id, o.score, br.gt_id, coalesce(br.iou >= 0.5, FALSE) AS near, threshold FROM once o LEFT JOIN br ON o.det_id = br.det_id AND br.n = 1 JOIN st ON o.score >= threshold),
@@ -520,45 +524,50 @@ ul AS (SELECT threshold, fold, rec, max(prec) AS prec FROM rp GROUP BY ALL), lv
 ap AS (SELECT threshold, fold, sum(m) / 101 AS map50 FROM (SELECT threshold, fold, lv, max(CASE WHEN rec >= lv THEN prec ELSE 0 END) AS m FROM ul, lv GROUP BY ALL) GROUP BY ALL),
 fm AS (SELECT threshold, fold, coalesce(map50, 0) AS map50, precision, recall, 2 * precision * recall / (precision + recall + 1e-9) AS fscore, mae FROM pq LEFT JOIN ap USING (threshold, fold)),
 cv AS (SELECT threshold, avg(map50) AS map50, avg(precision) AS precision, avg(recall) AS recall, avg(fscore) AS fscore, avg(mae) AS mae FROM fm GROUP BY threshold)"""
+
+
 _FIVE = ("map50", "precision", "recall", "fscore", "mae")
 _R = ", ".join(f"round({c}, 5) AS {c}" for c in _FIVE)
 
 
-def _fold_metrics(spark, d):
-    return sweep.fold_metrics(X.images(spark, d), X.detections(spark, d), X.truths(spark, d), STEPS)
+def _fold_metrics(spark, d, steps):
+    return sweep.fold_metrics(X.images(spark, d), X.detections(spark, d), X.truths(spark, d), steps)
 
 
-@query("sweep_fold_metrics", sql(SWEEP + f" SELECT threshold, fold, {_R} FROM fm"))
-def _(spark, d):
-    return rounded(_fold_metrics(spark, d), *_FIVE, digits=5)
+def _sweep_queries(suffix: str, steps: list[float]) -> None:
+    swept = sweep_sql(steps)
 
+    @query(f"sweep_fold_metrics{suffix}", sql(swept + f" SELECT threshold, fold, {_R} FROM fm"))
+    def _(spark, d):
+        return rounded(_fold_metrics(spark, d, steps), *_FIVE, digits=5)
 
-@query("sweep_curve", sql(SWEEP + f" SELECT threshold, {_R} FROM cv"))
-def _(spark, d):
-    return rounded(sweep.curve(_fold_metrics(spark, d)), *_FIVE, digits=5)
+    @query(f"sweep_curve{suffix}", sql(swept + f" SELECT threshold, {_R} FROM cv"))
+    def _(spark, d):
+        return rounded(sweep.curve(_fold_metrics(spark, d, steps)), *_FIVE, digits=5)
 
+    @query(f"best_threshold{suffix}", sql(swept + f" SELECT threshold, {_R} FROM cv ORDER BY fscore DESC, threshold LIMIT 1"))
+    def _(spark, d):
+        return rounded(sweep.best_threshold(sweep.curve(_fold_metrics(spark, d, steps))), *_FIVE, digits=5)
 
-@query("best_threshold", sql(SWEEP + f" SELECT threshold, {_R} FROM cv ORDER BY fscore DESC, threshold LIMIT 1"))
-def _(spark, d):
-    return rounded(sweep.best_threshold(sweep.curve(_fold_metrics(spark, d))), *_FIVE, digits=5)
+    @query(f"nearest_threshold{suffix}", sql(swept + f" SELECT threshold, {_R} FROM cv ORDER BY abs(threshold - 0.5), threshold LIMIT 1"))
+    def _(spark, d):
+        return rounded(sweep.nearest_threshold(sweep.curve(_fold_metrics(spark, d, steps)), 0.5), *_FIVE, digits=5)
 
+    @query(f"test_at_selected_threshold{suffix}", sql(swept + f", v AS (SELECT threshold FROM (SELECT threshold, avg(fscore) AS f FROM fm WHERE fold < 3 GROUP BY threshold) ORDER BY f DESC, threshold LIMIT 1) SELECT threshold, fold, {_R} FROM fm JOIN v USING (threshold) WHERE fold >= 3"))
+    def _(spark, d):
+        own = _fold_metrics(spark, d, steps)
+        best = sweep.best_threshold(sweep.curve(own.filter("fold < 3")))
+        return rounded(sweep.apply_selected(best, own.filter("fold >= 3")), *_FIVE, digits=5)
 
-@query("nearest_threshold", sql(SWEEP + f" SELECT threshold, {_R} FROM cv ORDER BY abs(threshold - 0.5), threshold LIMIT 1"))
-def _(spark, d):
-    return rounded(sweep.nearest_threshold(sweep.curve(_fold_metrics(spark, d)), 0.5), *_FIVE, digits=5)
+    @query(f"sweep_summary{suffix}", sql(swept + " SELECT threshold, " + ", ".join(f"round(avg({c}), 5) AS {c}_mean, round(stddev_samp({c}), 5) AS {c}_std" for c in _FIVE) + " FROM fm GROUP BY threshold"))
+    def _(spark, d):
+        own = sweep.summary(_fold_metrics(spark, d, steps), ("threshold",))
+        return rounded(own, *[c for c in own.columns if c != "threshold"], digits=5)
 
 
-@query("test_at_selected_threshold", sql(SWEEP + f", v AS (SELECT threshold FROM (SELECT threshold, avg(fscore) AS f FROM fm WHERE fold < 3 GROUP BY threshold) ORDER BY f DESC, threshold LIMIT 1) SELECT threshold, fold, {_R} FROM fm JOIN v USING (threshold) WHERE fold >= 3"))
-def _(spark, d):
-    own = _fold_metrics(spark, d)
-    best = sweep.best_threshold(sweep.curve(own.filter("fold < 3")))
-    return rounded(sweep.apply_selected(best, own.filter("fold >= 3")), *_FIVE, digits=5)
-
-
-@query("sweep_summary", sql(SWEEP + " SELECT threshold, " + ", ".join(f"round(avg({c}), 5) AS {c}_mean, round(stddev_samp({c}), 5) AS {c}_std" for c in _FIVE) + " FROM fm GROUP BY threshold"))
-def _(spark, d):
-    own = sweep.summary(_fold_metrics(spark, d), ("threshold",))
-    return rounded(own, *[c for c in own.columns if c != "threshold"], digits=5)
+#: The SQL of the names without a suffix is fixed to four steps; _full has the reference's grid.
+_sweep_queries("", STEPS)
+_sweep_queries("_full", sweep.VALIDATION)
 
 
 # Reports and statistics
@@ -698,16 +707,20 @@ def _(spark, d):
     return X.detections(spark, d).select("fold", sweep._reached(sweep.VALIDATION)).groupBy("threshold", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scatter_counts", sql(NMS + f", st AS (SELECT unnest({STEPS}::DOUBLE[]) AS threshold), k AS (SELECT image_id, threshold, count(*) AS n FROM det JOIN nms USING (det_id) JOIN st ON score >= threshold GROUP BY ALL), g AS (SELECT image_id, count(*) AS gt FROM gt GROUP BY ALL) SELECT img.fold, img.image_id, coalesce(gt, 0) AS gt, st.threshold, coalesce(n, 0) AS n FROM img CROSS JOIN st LEFT JOIN g USING (image_id) LEFT JOIN k ON k.image_id = img.image_id AND k.threshold = st.threshold"))
-def _(spark, d):
-    kept = sweep.at_thresholds(X.detections(spark, d), STEPS, keys=("fold", "image_id"))
-    own = sweep.scatter(X.images(spark, d), kept, X.truths(spark, d), STEPS)
-    return own.select("fold", "image_id", "gt", F.explode("pred").alias("threshold", "n"))
+def _dashboard_queries(suffix: str, steps: list[float], cube_steps: list[float]) -> None:
+    @query(f"scatter_counts{suffix}", sql(NMS + f", st AS (SELECT unnest({steps}::DOUBLE[]) AS threshold), k AS (SELECT image_id, threshold, count(*) AS n FROM det JOIN nms USING (det_id) JOIN st ON score >= threshold GROUP BY ALL), g AS (SELECT image_id, count(*) AS gt FROM gt GROUP BY ALL) SELECT img.fold, img.image_id, coalesce(gt, 0) AS gt, st.threshold, coalesce(n, 0) AS n FROM img CROSS JOIN st LEFT JOIN g USING (image_id) LEFT JOIN k ON k.image_id = img.image_id AND k.threshold = st.threshold"))
+    def _(spark, d):
+        kept = sweep.at_thresholds(X.detections(spark, d), steps, keys=("fold", "image_id"))
+        own = sweep.scatter(X.images(spark, d), kept, X.truths(spark, d), steps)
+        return own.select("fold", "image_id", "gt", F.explode("pred").alias("threshold", "n"))
 
+    @query(f"threshold_cube{suffix}")
+    def _(spark, d):
+        return sweep.cube(_fold_metrics(spark, d, cube_steps).withColumn("arch", F.lit("made")), ("arch",))
 
-@query("threshold_cube")
-def _(spark, d):
-    return sweep.cube(_fold_metrics(spark, d).withColumn("arch", F.lit("made")), ("arch",))
+
+_dashboard_queries("", STEPS, STEPS)
+_dashboard_queries("_full", sweep.SCATTER, sweep.CUBE)
 
 
 @query("letterbox_params", sql(", r AS (SELECT DISTINCT width, height FROM img), s AS (SELECT *, least(640.0::DOUBLE / width, 640.0::DOUBLE / height) AS scale FROM r) SELECT width, height, CAST(floor((640 - CAST(trunc(width * scale) AS INT)) / 2.0) AS INT) AS pad_x, CAST(floor((640 - CAST(trunc(height * scale) AS INT)) / 2.0) AS INT) AS pad_y FROM s"))
