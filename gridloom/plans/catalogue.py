@@ -243,12 +243,26 @@ def _(spark, d):
     return splits.audit(splits.kfold_holdout(X.images(spark, d).select("image_id")), 0.15, 0.2)
 
 
-@query("empty_tile_sample", sql(tile_sql("asahi") + """, e AS (SELECT image_id * 100 + row_index * 10 + column_index AS tile_id FROM tl WHERE NOT EXISTS (SELECT 1 FROM ann a WHERE a.image_id = tl.image_id AND a.x < tl.x + tile_width AND tl.x < a.x + a.w AND a.y < tl.y + tile_height AND tl.y < a.y + a.h)),
-r AS (SELECT tile_id, row_number() OVER (ORDER BY tile_id * 2654435761 % 4294967296, tile_id) AS n FROM e) SELECT tile_id FROM r WHERE n <= ceil(1000 * 0.08)"""))
-def _(spark, d):
+_EMPTY = tile_sql("asahi") + """, e AS (SELECT image_id * 100 + row_index * 10 + column_index AS tile_id FROM tl WHERE NOT EXISTS (SELECT 1 FROM ann a WHERE a.image_id = tl.image_id AND a.x < tl.x + tile_width AND tl.x < a.x + a.w AND a.y < tl.y + tile_height AND tl.y < a.y + a.h)),
+r AS (SELECT tile_id, row_number() OVER (ORDER BY tile_id * 2654435761 % 4294967296, tile_id) AS n FROM e)"""
+
+
+def _used_and_empty(spark, d):
     tiled = _tiled(spark, d, "asahi").withColumn("tile_id", F.col("image_id") * 100 + F.col("row_index") * 10 + F.col("column_index"))
     used = labels.tile_boxes(X.annotations(spark, d).select("ann_id", "image_id", "x", "y", "w", "h"), tiled, 1e-12).select("tile_id").distinct()
-    return splits.sample_empty(tiled.join(used, "tile_id", "left_anti").select("tile_id"), 1000, 0.08, "tile_id")
+    return used, tiled.join(used, "tile_id", "left_anti").select("tile_id")
+
+
+@query("empty_tile_sample", sql(_EMPTY + " SELECT tile_id FROM r WHERE n <= ceil(1000 * 0.08)"))
+def _(spark, d):
+    return splits.sample_empty(_used_and_empty(spark, d)[1], 1000, 0.08, "tile_id")
+
+
+@query("empty_tile_sample_full", sql(_EMPTY + " SELECT tile_id FROM r WHERE n <= (SELECT ceil(((SELECT count(*) FROM tl) - (SELECT count(*) FROM e) + (SELECT count(*) FROM img)) * CAST(0.08 AS DOUBLE)))"))
+def _(spark, d):
+    """As empty_tile_sample, in proportion to the annotated samples: the tiles with a box, and each image as a whole."""
+    used, empty = _used_and_empty(spark, d)
+    return splits.sample_empty(empty, used.count() + X.images(spark, d).count(), 0.08, "tile_id")
 
 
 @query("group_kfold", sql(", g AS (SELECT height % 7 AS grp, count(*) AS n FROM img GROUP BY ALL), o AS (SELECT grp, n, row_number() OVER (ORDER BY n DESC, grp) AS k FROM g), b AS (SELECT 1 AS k, [n, 0, 0] AS load, 0 AS f, grp FROM o WHERE k = 1 UNION ALL SELECT o.k, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + o.n ELSE x END), list_position(load, list_min(load)) - 1, o.grp FROM b JOIN o ON o.k = b.k + 1) SELECT image_id, f AS test_fold FROM b JOIN img ON height % 7 = grp"))
