@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, katz, language, lines, packing, pii, simhash, substring, suffix
+from . import decontaminate, exact, jaccard, katz, language, lines, packing, pii, simhash, substring, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_verified_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.drop_repeats(table(spark, sf_dir, "documents")))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_katz_language_model": op7_katz_language_model,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op8_verified_near_dedup": op8_verified_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
