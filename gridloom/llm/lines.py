@@ -1,9 +1,9 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 Of every RUN consecutive lines that aren't blank, the line (gram of GRAM lines) with the smallest hash is selected, leftmost on ties: equal
-runs of that many lines are thus guaranteed to select the same fingerprint at the same place. Fingerprints are joined by position counts: one
-that stands at a single place settles all its windows as unique. For the others the match is extended from the fingerprint to both ends of its
-window, by the hashes of the lines there, and goes on into the windows next to it; later places of equal windows are deleted as runs.
+runs of that many lines are thus guaranteed to select the same fingerprint at the same place. A fingerprint that stands at a single place
+settles all its windows as unique. The windows of the others are grouped by two hashes of all their lines, in place of an extension from the
+joined places; later places of equal windows are deleted as runs.
 
 Counts and first places are partial sums, and meet their rows in joins that adaptive execution splits, so a line of a third of all documents
 does not gather in one task.
