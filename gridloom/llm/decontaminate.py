@@ -49,6 +49,8 @@ class Block:
             self.ids[s : s + len(t)] = [self.vocabulary[w] for w in t]
         self.length = np.minimum(self.size, window)  # words in a window of the item
         self.order = np.minimum(self.size, SHINGLE)  # words in its shingles
+        self.pairs = self.code(self.ids, 2)
+        self.pairs = np.unique(self.pairs[self.pairs >= 0])
         self.codes: dict[int, np.ndarray] = {}  # by words in a shingle, the sorted distinct shingles
         for k in sorted(set(self.order.tolist())):
             self.codes[k] = np.unique(self.code(self.ids, k)[self.places(k)[1]])
@@ -57,8 +59,13 @@ class Block:
         """A number for the shingle that starts at each place; -1 where a word isn't in the vocabulary."""
         n = max(0, len(ids) - k + 1)
         out, good = np.zeros(n, np.int64), np.ones(n, bool)
+        wide = (len(self.vocabulary) + 1) ** k >> 63  # too many words for a third power: pairs get numbers of their own
         for j in range(k):
             part = ids[j : j + n]
+            if wide and j == 2:
+                at = np.minimum(np.searchsorted(self.pairs, out), len(self.pairs) - 1)
+                good &= self.pairs[at] == out
+                out = at
             out = out * (len(self.vocabulary) + 1) + part
             good &= part >= 0
         return np.where(good, out, -1)
