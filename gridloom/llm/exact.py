@@ -1,10 +1,12 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass one marks, for each row's 64-bit hash, two bits of a filter that is cut into blocks of 32,768 bits; a bit that two rows mark goes
-into the filter of repeats. Pass two tests each row: one whose bits aren't both marked twice is unique and passes straight through. Only
-the rest, true repeats and few false alarms, shuffle: they are grouped by SHA-256, so false alarms of the filter cost time, never results.
+Pass one marks, for each row's 64-bit hash, one bit of a wide filter of WIDE bits a row; only set bits move, summed in the tasks first. Bits that
+two rows marked are possible repeats, and make up a small filter (see sieve), which is broadcast. Pass two tests each row where it is read: one that the
+filter does not have is unique and passes straight through. Only the rest, true repeats and few false alarms, shuffle: they are grouped by
+SHA-256, so false alarms cost time, never results. The filter has a bound at every size of input, so this plan is the same at every size.
 
-Large groups: the group's id and size come from partial sums; its rows meet them in a sort-merge join that adaptive execution splits.
+Large groups: the group's id and size come from partial sums; its rows meet them in a sort-merge join that adaptive execution splits. Where texts
+are kept, a second filter of the staying rows drops the others where they are read, so of each group one text moves.
 """
 
 from __future__ import annotations
@@ -13,38 +15,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .sieve import Sieve
 
-BLOCK = 32_768
-#: Filter bits for a row. With two bits marked for each row, about 1.4 % of unique rows shuffle needlessly.
-BITS = 16
+#: Bits of the wide filter for a row: one in so many unique rows shuffles needlessly.
+WIDE = 64
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _bits(h: Column) -> tuple[Column, Column]:
-    return h.bitwiseAND(BLOCK - 1).cast("int"), F.shiftrightunsigned(h, 15).bitwiseAND(BLOCK - 1).cast("int")
+class Repeats:
+    """The possible repeats among digests (a long column h): false alarms are possible, misses are not."""
 
+    def __init__(self, digests: DataFrame, broadcast_bytes: int = C.BROADCAST_BYTES):
+        self.bits = max(1, digests.count()) * WIDE
+        marks = digests.select(F.pmod("h", F.lit(self.bits)).alias("bit"))
+        twice = C.staged(marks.groupBy("bit").count().filter("count > 1").select(F.xxhash64("bit").alias("h")), "twice")
+        self.sieve = Sieve(twice, twice.count(), broadcast_bytes)
 
-def _is_set(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, bit.bitwiseAND(7)) == 1
-
-
-def possible_repeats(digests: DataFrame, broadcast_bytes: int = C.BROADCAST_BYTES) -> DataFrame:
-    """digests (with a long column h) and a boolean column again: false only for rows whose h no other row has."""
-    blocks = max(1, -(-digests.count() * BITS // BLOCK))
-    rows = digests.withColumn("block", F.pmod(F.shiftrightunsigned("h", 30), F.lit(blocks)).cast("int"))
-    one, two = _bits(F.col("h"))
-    marks = rows.select("block", F.explode(F.when(one == two, F.array(one)).otherwise(F.array(one, two))).alias("bit"))
-    twice = marks.groupBy("block", "bit").count().filter("count > 1")
-    filters = twice.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
-    # A block is 4 KB, so the number of blocks bounds what is broadcast; beyond the limit the digests, without texts, meet the blocks in a join.
-    filters = F.broadcast(filters) if blocks * (BLOCK // 8 + 64) <= broadcast_bytes else filters.hint("merge")
-    seen = rows.join(filters, "block", "left")
-    again = F.coalesce(_is_set(F.col("bitmap"), one) & _is_set(F.col("bitmap"), two), F.lit(False))
-    return seen.withColumn("again", again).drop("bitmap", "block")
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """rows (with a long column h) and a boolean column again: false only where no other row has this h."""
+        return self.sieve.marked(rows, F.xxhash64(F.pmod("h", F.lit(self.bits))))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = C.BROADCAST_BYTES) -> DataFrame:
@@ -56,8 +48,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are ignored, whatever their names.
     """
     text = normalised(C.col(text_col))
-    digests = df.select(C.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("h"))
-    tested = possible_repeats(C.staged(digests, "digests"), broadcast_bytes)
+    digests = C.staged(df.select(C.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("h")), "digests")
+    tested = Repeats(digests, broadcast_bytes).marked(digests)
     rest = tested.filter("again").select("id", "sha")
     groups = C.staged(rest.groupBy("sha").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     shared = rest.join(groups.hint("merge"), "sha").select("id", "keep_id", "group_size", "sha")
@@ -69,21 +61,21 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = C.BROADCAST_BYTES) -> DataFrame:
     """The rows of df, with all their columns, that stay: of equal texts one row, that with the smallest id.
 
-    Unique rows go from the scan to the result; only possible repeats shuffle, without their texts until one row of each group is chosen.
-    Ties in the id leave any one of the tied rows. Null ids come after all others.
+    Unique rows go from the scan to the result, and rows that surely do not stay end there. Ties in the id leave any one of the tied rows. Null
+    ids come after all others.
     """
     rows = C.packed(df, id_col, text_col)
     text = normalised(F.col("text"))
     rows = rows.select("row", "id", F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("sha"))
     digests = C.staged(rows.select("id", "h", "sha"), "digests")
-    tested = possible_repeats(digests, broadcast_bytes)
-    groups = tested.filter("again").groupBy("sha").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeats = Repeats(digests, broadcast_bytes)
+    groups = repeats.marked(digests).filter("again").groupBy("sha").agg(F.min("id").alias("keep"))
     groups = C.staged(groups, "groups")
-    sized = groups.count() * 160
-    groups = F.broadcast(groups) if sized <= broadcast_bytes else groups.hint("merge")
-    joined = rows.join(groups, "sha", "left")
-    single = joined.filter("n IS NULL").select("row")
-    first = joined.filter(F.col("n").isNotNull() & F.col("id").eqNullSafe(F.col("keep")))
+    staying = Sieve(groups.select(F.xxhash64("keep", "sha").alias("h")), groups.count(), broadcast_bytes)
+    tested = repeats.marked(rows)
+    single = tested.filter(~F.col("again")).select("row")
+    rest = staying.marked(tested.filter("again").drop("again"), F.xxhash64("id", "sha")).filter("again").select("row", "id", "sha")
+    first = rest.join(groups.hint("merge"), "sha").filter(F.col("id").eqNullSafe(F.col("keep")))
     return single.unionByName(first.dropDuplicates(["sha"]).select("row")).select("row.*")
 
 

@@ -43,3 +43,17 @@ def exact_text(t):
 def test_empty(make):
     assert exact.exact_groups(make([])).collect() == []
     assert exact.drop_exact_duplicates(make([])).collect() == []
+
+
+def test_unique_rows_do_not_shuffle(spark, make):
+    """A filter of many slices: the branch of rows that pass straight through has no exchange of rows, and false alarms are few."""
+    rows = [(i, f"text number {i if i >= 10_000 else i // 2}") for i in range(20_000)]
+    digests = make(rows).selectExpr("doc_id AS id", "xxhash64(text) AS h", "text AS sha")
+    repeats = exact.Repeats(digests, broadcast_bytes=1)
+    assert len(repeats.sieve.slices) == repeats.sieve.blocks > 1
+    tested = repeats.marked(digests)
+    plan = tested.filter("NOT again")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    flagged = {r.id for r in tested.filter("again").collect()}
+    assert flagged >= set(range(10_000)) and len(flagged) < 10_000 + 1000
+    assert sorted(map(tuple, exact.exact_groups(make(rows), broadcast_bytes=1).collect()), key=str) == brute(rows)
