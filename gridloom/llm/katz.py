@@ -189,14 +189,14 @@ class _Stream:
     """Tokens of texts, with the word before each: keys' row numbers, before, word."""
 
     def __init__(self, texts: list[bytes]):
-        batch = Batch([t.lower() for t in texts], words=True, hashes=1)
+        batch = Batch([t.lower() for t in texts], words=True)
         size = batch.size + 1
         ends = np.cumsum(size)
         self.size, self.doc = size, np.repeat(np.arange(len(texts)), size)
         self.word = np.full(int(ends[-1]) if len(ends) else 0, END)
         inner = np.ones(len(self.word), bool)
         inner[ends - 1] = False
-        self.word[inner] = batch.tokens[0]
+        self.word[inner] = batch.tokens
         self.before = np.concatenate([[BEGIN], self.word[:-1]]) if len(self.word) else self.word
         self.before[ends - size] = BEGIN
 

@@ -1,9 +1,10 @@
 """Substring dedup of word sequences through an FM-index for each shard.
 
-The blocks of ambiguous grams (see windows) make up a shard, and their words one sequence with a separator of its own after each block. Its
-Burrows-Wheeler transform is kept in a wavelet matrix of packed bits with counts by 64-bit word. The shard's blocks are then streamed against it:
-from each word, backward search widens the match to the left while at least two places have it. These matching statistics, cut off at the
-window's length, reach that length exactly at the ends of repeated windows, and those intervals are reported.
+The distinct blocks of repeated grams (see windows) make up a shard, each with the number of its places, and their words one sequence with a separator
+of its own after each block. Its Burrows-Wheeler transform is kept in a wavelet matrix of packed bits with counts by 64-bit word, and the places as
+running sums in suffix order. The shard's blocks are then streamed against it: from a word, backward search widens the match to the left while at least two
+places have it. These matching statistics reach the window's length exactly at the ends of repeated windows, and those intervals are reported: first from
+each block's end over all of the block, then, where that falls short, from the ends of the windows to the left of it.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ class Wavelet:
 class FMIndex:
     """Index of word sequences; symbols 0 to len(documents)-1 are their separators."""
 
-    def __init__(self, documents: list[list[bytes]]):
+    def __init__(self, documents: list[list[bytes]], places: np.ndarray | None = None):
+        """places: how many places each document stands for."""
         self.sizes = np.array([len(d) for d in documents], np.int64)
         ids: dict[bytes, int] = {}
         for d in documents:
@@ -81,11 +83,14 @@ class FMIndex:
             parts.append(np.array([*map(ids.__getitem__, d), i], np.int64))
         self.sequence = np.concatenate(parts) if parts else np.empty(0, np.int64)
         symbols = len(documents) + len(ids)
-        self.wavelet = Wavelet(self.sequence[suffix_array(self.sequence) - 1], max(symbols, 1))
+        order = suffix_array(self.sequence)
+        self.wavelet = Wavelet(self.sequence[order - 1], max(symbols, 1))
+        each = np.repeat(np.ones(len(documents), np.int64) if places is None else places, self.sizes + 1)
+        self.places = np.concatenate([[0], np.cumsum(each[order])])
         self.before = np.concatenate([[0], np.cumsum(np.bincount(self.sequence, minlength=symbols))])
 
     def matching(self, words: np.ndarray, room: np.ndarray, ends: np.ndarray, least: int, cap: int) -> np.ndarray:
-        """For each end in the stream of symbols: the longest match that ends there, within room words and cap, and occurs `least` times."""
+        """For each end in the stream of symbols: the longest match that ends there, within room words and cap, and has `least` places."""
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.sequence), np.int64)
         length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
         for step in range(1, cap + 1):
@@ -95,21 +100,29 @@ class FMIndex:
             symbol = words[ends[live] - step]
             a = self.before[symbol] + self.wavelet.rank(symbol, low[live])
             b = self.before[symbol] + self.wavelet.rank(symbol, high[live])
-            good = b - a >= least
+            good = self.places[b] - self.places[a] >= least
             live = live[good]
             low[live], high[live], length[live] = a[good], b[good], step
         return length
 
 
-def repeats(blocks: list[bytes], gram: np.ndarray, key: np.ndarray, start: np.ndarray, anchor: np.ndarray, n: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, first, end) of windows of n words that occur at least twice in the blocks."""
-    index = FMIndex([b.split() for b in blocks])
-    begin = np.cumsum(index.sizes + 1) - index.sizes - 1
-    windows = np.maximum(index.sizes - n + 1, 0)
-    block, first = np.repeat(np.arange(len(blocks)), windows), ranges(np.zeros(len(blocks), np.int64), windows)
-    length = index.matching(index.sequence, np.full(len(block), n), begin[block] + first + n, 2, n)
-    again = length >= n
-    return block[again], first[again], first[again] + n
+def repeats(blocks: list[bytes], gram: np.ndarray, several: np.ndarray, n: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, first, end) of runs of windows of n words that have at least two places in the blocks. several: the block stands for more places."""
+    seen: dict[tuple[int, bytes], int] = {}
+    own = np.array([seen.setdefault(x, len(seen)) for x in zip(gram.tolist(), blocks, strict=True)], np.int64)
+    index = FMIndex([b.split() for _, b in seen], np.bincount(own, 1 + several).astype(np.int64))
+    begin, size = np.cumsum(index.sizes + 1) - index.sizes - 1, index.sizes
+    length = index.matching(index.sequence, size, begin + size, 2, int(size.max()))
+    found = length >= n
+    whole = np.flatnonzero(found)
+    rest = np.where(found, size - length, np.maximum(size - n + 1, 0))  # windows that the match does not reach
+    block, first = np.repeat(np.arange(len(seen)), rest), ranges(np.zeros(len(seen), np.int64), rest)
+    again = index.matching(index.sequence, np.full(len(block), n), begin[block] + first + n, 2, n) >= n
+    block, first = block[again], first[again]
+    block, first, end = np.concatenate([whole, block]), np.concatenate([(size - length)[whole], first]), np.concatenate([size[whole], first + n])
+    by, count = np.argsort(own, kind="stable"), np.bincount(own)  # to each of the equal blocks
+    at = ranges((np.cumsum(count) - count)[block], count[block])
+    return by[at], np.repeat(first, count[block]), np.repeat(end, count[block])
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", finder: Finder | None = None) -> DataFrame:
@@ -122,7 +135,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     finder = finder or Finder(LENGTH, GRAM, words=True, every=True)
     docs, n = C.keyed(df, id_col, text_col), finder.n
-    found = with_spans(docs, finder.spans(docs, lambda *found: repeats(*found, n))).select("id", "text", "spans")
+    found = with_spans(docs, finder.spans(docs, lambda blocks, gram, key, start, anchor, several: repeats(blocks, gram, several, n))).select("id", "text", "spans")
     schema = T.StructType([found.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType())])
 
     def cut(batches):

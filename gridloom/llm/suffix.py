@@ -1,8 +1,9 @@
 """Suffix-array dedup of byte strings.
 
-The blocks of ambiguous grams (see windows) form a shard's text. Its window starts are sorted as suffixes by a bottom-up mergesort in which
+The blocks of repeated grams (see windows) form a shard's text. They are sorted as suffixes up to their ends, so equal blocks become neighbours;
+of blocks that differ but share a gram, all window starts are sorted as suffixes of `n` bytes. The sort is a bottom-up mergesort in which
 all runs merge side by side. Two suffixes are compared by prefix polynomial hashes: a binary search for the longest common extension takes
-a logarithmic number of hash comparisons, then one byte decides. Neighbours in suffix order that share `n` bytes are a repeated string; each
+a logarithmic number of hash comparisons, then one byte decides. Neighbours in suffix order that share all their bytes are a repeated string; each
 such pair is verified byte by byte, and a shard with a collision of hashes is sorted again by its bytes.
 """
 
@@ -16,39 +17,38 @@ from pyspark.sql import types as T
 
 from . import common as C
 from .arrow import column, pieces, ranges, utf8
-from .windows import Finder, Prefix, merged_spans, with_spans
+from .windows import BYTE, Finder, Prefix, merged_spans, with_spans
 
 LENGTH, GRAM = 100, 40
 
 
 class Suffixes:
-    """Suffixes of text, compared on their first `cap` bytes. Starts need cap bytes of room."""
+    """Suffixes of text, compared on their first `cap` bytes (or a number for each suffix). Starts need that many bytes of room."""
 
     def __init__(self, text: np.ndarray, cap: int, tokens: np.ndarray | None = None):
-        from .windows import _BYTE
-
         self.text, self.cap = text, cap
-        self.prefix = Prefix(_BYTE[0][text] if tokens is None else tokens)
+        self.prefix = Prefix(BYTE[text] if tokens is None else tokens)
 
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def extension(self, a: np.ndarray, b: np.ndarray, cap=None) -> np.ndarray:
         """Length of the longest common prefix of suffixes a[i] and b[i], up to cap, by binary search on hashes."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.cap)
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.cap if cap is None else cap)
         while (open_ := low < high).any():
             mid = (low + high + 1) >> 1
             same = self.prefix.of(a, mid) == self.prefix.of(b, mid)
             low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
         return low
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        shared = self.extension(a, b)
-        tie = shared >= self.cap
-        shared = np.minimum(shared, self.cap - 1)
+    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray, cap=None) -> np.ndarray:
+        cap = self.cap if cap is None else cap
+        shared = self.extension(a, b, cap)
+        tie = shared >= cap
+        shared = np.minimum(shared, cap - 1)
         return np.where(tie, or_equal, self.text[a + shared] < self.text[b + shared])
 
-    def sort(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of starts by (group, suffix), stable; group must be sorted."""
+    def sort(self, starts: np.ndarray, group: np.ndarray, cap: np.ndarray | None = None) -> np.ndarray:
+        """Order of starts by (group, suffix), stable; group must be sorted, and cap the same within a group."""
         n = len(starts)
-        order = np.arange(n)
+        order, cap = np.arange(n), np.full(n, self.cap) if cap is None else cap
         begin = np.searchsorted(group, group)
         end = np.searchsorted(group, group, "right")
         place, widest = np.arange(n) - begin, int((end - begin).max()) if n else 0
@@ -62,7 +62,7 @@ class Suffixes:
             at = np.flatnonzero(live & (low < high))
             while len(at):  # how many of the partner run come before each
                 mid = (low[at] + high[at]) >> 1
-                before = self.less(starts[order[mid]], starts[order[at]], ~left[at])
+                before = self.less(starts[order[mid]], starts[order[at]], ~left[at], cap[at])
                 low[at] = np.where(before, mid + 1, low[at])
                 high[at] = np.where(before, high[at], mid)
                 at = at[low[at] < high[at]]
@@ -72,46 +72,69 @@ class Suffixes:
             order, run = merged_, 2 * run
         return order
 
-    def equal_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def equal_bytes(self, a: np.ndarray, b: np.ndarray, cap: np.ndarray) -> np.ndarray:
         out = np.empty(len(a), bool)
-        wide = np.arange(self.cap)
         for i in range(0, len(a), 10_000):
-            out[i : i + 10_000] = (self.text[a[i : i + 10_000, None] + wide] == self.text[b[i : i + 10_000, None] + wide]).all(axis=1)
+            one, two, size = a[i : i + 10_000], b[i : i + 10_000], cap[i : i + 10_000]
+            out[i : i + 10_000] = np.logical_and.reduceat(self.text[ranges(one, size)] == self.text[ranges(two, size)], np.cumsum(size) - size)
+        return out
+
+    def repeated(self, starts: np.ndarray, group: np.ndarray, cap: np.ndarray) -> np.ndarray:
+        """Which starts have the bytes of an earlier one of their group, compared byte by byte."""
+        order = self.sort(starts, group, cap)
+        a, b = order[:-1], order[1:]
+        near = group[a] == group[b]
+        a, b = a[near], b[near]
+        same = self.extension(starts[a], starts[b], cap[b]) >= cap[b]
+        if not self.equal_bytes(starts[a[same]], starts[b[same]], cap[b[same]]).all():
+            order = np.array(sorted(range(len(starts)), key=lambda i: (group[i], self.text[starts[i] : starts[i] + cap[i]].tobytes(), i)), np.int64)
+            a, b = order[:-1], order[1:]
+            near = group[a] == group[b]
+            a, b = a[near], b[near]
+            same = self.equal_bytes(starts[a], starts[b], cap[b])
+        out = np.zeros(len(starts), bool)
+        out[b[same]] = True
         return out
 
 
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of equal rows."""
+    return np.cumsum(np.concatenate([[0], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+
+
 def repeats(blocks: list[bytes], gram: np.ndarray, key: np.ndarray, start: np.ndarray, anchor: np.ndarray, n: int = LENGTH, tokens=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, first, end) of windows of n bytes that occur in an earlier place (key, start) of the blocks with the same gram, which then has
     the same place in the window."""
     size = np.array([len(b) for b in blocks], np.int64)
     text = np.frombuffer(b"".join(blocks), np.uint8)
     begin = np.cumsum(size) - size
-    windows = size - n + 1
-    block, first = np.repeat(np.arange(len(blocks)), windows), ranges(np.zeros(len(blocks), np.int64), windows)
+    own = Suffixes(text, n, tokens(text) if tokens else None)
+    by = np.lexsort((start, key, size, anchor, gram))  # the sorts are stable: of equal strings the earliest place comes first
+    whole = np.zeros(len(blocks), bool)
+    whole[by] = own.repeated(begin[by], _groups(gram[by], anchor[by], size[by]), size[by])
+    left = np.flatnonzero(~whole)
+    _, which, count = np.unique(gram[left], return_inverse=True, return_counts=True)
+    left = left[count[which] > 1]
+    windows = size[left] - n + 1
+    block, first = np.repeat(left, windows), ranges(np.zeros(len(left), np.int64), windows)
     place = anchor[block] - first
-    by = np.lexsort((start[block] + first, key[block], place, gram[block]))  # the sort is stable: of equal strings the earliest place comes first
+    by = np.lexsort((start[block] + first, key[block], place, gram[block]))
     block, first, place = block[by], first[by], place[by]
-    group = np.cumsum(np.concatenate([[0], (gram[block[1:]] != gram[block[:-1]]) | (place[1:] != place[:-1])]))
-    alone = np.bincount(group)[group] == 1
-    block, first, group = block[~alone], first[~alone], group[~alone]
-    at = begin[block] + first
-    own = Suffixes(text, n, tokens(text) if tokens else None)
-    order = own.sort(at, group)
-    a, b = at[order[:-1]], at[order[1:]]
-    same = (group[order[:-1]] == group[order[1:]]) & (own.extension(a, b) >= n)
-    if not own.equal_bytes(a[same], b[same]).all():
-        order = np.array(sorted(range(len(at)), key=lambda i: (group[i], text[at[i] : at[i] + n].tobytes(), i)), np.int64)
-        a, b = at[order[:-1]], at[order[1:]]
-        same = (group[order[:-1]] == group[order[1:]]) & own.equal_bytes(a, b)
-    later = order[1:][same]
-    return block[later], first[later], first[later] + n
+    if len(block):
+        group = _groups(gram[block], place)
+        alone = np.bincount(group)[group] == 1
+        block, first, group = block[~alone], first[~alone], group[~alone]
+        later = own.repeated(begin[block] + first, group, np.full(len(block), n))
+        block, first = block[later], first[later]
+    whole = np.flatnonzero(whole)
+    return np.concatenate([whole, block]), np.concatenate([np.zeros(len(whole), np.int64), first]), np.concatenate([size[whole], first + n])
 
 
 def removed(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
     """docs (key, text) with spans of bytes to remove (see with_spans)."""
     finder = finder or Finder(LENGTH, GRAM, words=False, every=False)
     n = finder.n
-    return with_spans(docs, finder.spans(docs, lambda *found: repeats(*found, n)))
+    return with_spans(docs, finder.spans(docs, lambda blocks, gram, key, start, anchor, several: repeats(blocks, gram, key, start, anchor, n)))
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", finder: Finder | None = None) -> DataFrame:
@@ -138,5 +161,3 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def digests(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-

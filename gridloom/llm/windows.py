@@ -1,19 +1,18 @@
 """Repeated windows of tokens over a whole corpus, exactly, without moving every window.
 
 A window is `n` consecutive tokens (bytes or words) of one document. Its anchor is the k-gram in it with the smallest hash, so windows
-with equal tokens have equal anchors at equal places, and a run of neighbouring windows shares one. Only anchors move: one row of an anchor's
-gram and of its block (the tokens of all its windows) for about every (n-k)/2 tokens.
-
-1. Anchors with equal blocks meet in a sort by (gram, block, document, start): all windows of all but the first of them also start earlier.
-   A gram with one block is thereby settled; one with several is ambiguous, since blocks can share some of their windows.
-2. Of ambiguous grams alone, the first place of each block is sent with its bytes, to be compared window by window (`resolve`: a suffix
-   array, or an FM-index).
-3. A document's spans meet its text.
-
-Before each shuffle a batch keeps the first of its equal blocks. A gram that a sample of documents shows to be very common (a line of a
-third of all documents) is dealt out as single windows instead, each with its own key, so its rows spread and equal ones are summed by
-batch; the sample only says where rows go, never what the result is. Blocks are compared by 128 bits of hash in step 1 and by their tokens in
-step 2.
+with equal tokens have equal anchors at equal places, and a run of neighbouring windows shares one, about every (n-k)/2 tokens. A block is the tokens
+of all windows of a run.
+
+1. The anchors' grams are counted. A gram with one place has no repeated window; that is all that hashes decide.
+2. The blocks of the other grams are sent with their bytes, dealt by gram, so equal windows always meet in one shard. Of blocks whose bytes are
+   equal a batch sends the first.
+3. A shard compares all its blocks, and where blocks with one gram differ all their windows (`resolve`: a suffix array, or an FM-index). Whatever
+   is found was compared by its tokens.
+4. A document's spans meet its text; documents without spans do not move.
+
+A gram that a sample of documents shows to be common (a line of a third of all documents) is dealt out as single windows, each with its own
+key, so its rows spread and equal ones are thinned out by batch; the sample only says where rows go, never what the result is.
 """
 
 from __future__ import annotations
@@ -28,13 +27,17 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .arrow import column, merged, pieces, ranges, utf8
+from .sieve import Sieve
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: First places of ambiguous blocks that are broadcast (16 bytes each); more meet their documents in a join.
-PLACES = 2_000_000
-#: One in so many documents is sampled for common grams; a gram seen so often in the sample is common.
-SAMPLE, COMMON = 16, 200
+#: Repeated grams whose filter (two bytes each) is broadcast; with more, the anchors meet the grams and the documents in joins.
+PLACES = 16_000_000
+#: One in so many documents is sampled for common grams; a gram seen so often in the sample is common. Where more than MOST grams would be, the
+#: number of sightings doubles until no more are: then each other gram has less than two in MOST of all anchors.
+SAMPLE, COMMON, MOST = 16, 200, 1_000_000
+#: Rows that a shard compares at once, if no gram has more.
+CHUNK = 12_000
 _LOW = (1 << 22) - 1
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -46,7 +49,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = (mix(np.arange(1, 257, dtype=np.uint64), 1), mix(np.arange(1, 257, dtype=np.uint64), 2))
+BYTE = mix(np.arange(1, 257, dtype=np.uint64), 1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -76,9 +79,9 @@ class Prefix:
 
 
 class Batch:
-    """Texts as one token array. Tokens are the bytes, or the words between ASCII white space, each as one or two hashes."""
+    """Texts as one array of tokens' hashes. Tokens are the bytes, or the words between ASCII white space."""
 
-    def __init__(self, texts: list[bytes], words: bool, hashes: int = 2):
+    def __init__(self, texts: list[bytes], words: bool):
         self.raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         size = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(size + 1) - size - 1
@@ -90,11 +93,11 @@ class Batch:
             self.first, self.last = edge[0::2], edge[1::2]  # each word's bytes
             self.start = np.searchsorted(self.first, begin)
             self.size = np.diff(np.append(self.start, len(self.first)))
-            self.tokens = tuple(mix(Prefix(table[self.raw]).of(self.first, self.last - self.first), 3) for table in _BYTE[:hashes])
+            self.tokens = mix(Prefix(BYTE[self.raw]).of(self.first, self.last - self.first), 3)
         else:
             self.start, self.size = begin, size
             self.first, self.last = None, None
-            self.tokens = tuple(table[self.raw] for table in _BYTE[:hashes])
+            self.tokens = BYTE[self.raw]
 
     def bytes_of(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and number of bytes of runs of tokens."""
@@ -104,16 +107,16 @@ class Batch:
 
 
 class Anchors:
-    """A batch's runs of windows with one anchor: doc, start (first window, in tokens of the batch), more (further windows), gram, block."""
+    """A batch's runs of windows with one anchor: doc, start (first window, in tokens of the batch), more (further windows), gram, anchor."""
 
-    def __init__(self, batch: Batch, n: int, k: int, common: np.ndarray | None = None, digests: bool = True):
+    def __init__(self, batch: Batch, n: int, k: int, common: np.ndarray | None = None):
         self.batch, self.n = batch, n
-        one = Prefix(batch.tokens[0])
-        total, w = len(batch.tokens[0]), n - k + 1
+        one = Prefix(batch.tokens)
+        total, w = len(batch.tokens), n - k + 1
         long = np.flatnonzero(batch.size >= n)
         if total < n or not len(long):
-            self.doc = self.start = self.more = np.empty(0, np.int64)
-            self.gram, self.block, self.anchor = np.empty(0, np.uint64), np.empty(0, np.uint64), self.doc
+            self.doc = self.start = self.more = self.anchor = np.empty(0, np.int64)
+            self.gram = np.empty(0, np.uint64)
             return
         if total - k + 1 > _LOW:
             grams = _coarse(mix(one.sliding(k), 4), w)
@@ -140,11 +143,7 @@ class Anchors:
                 anchor = np.concatenate([anchor[~hot], start])
                 self.more = np.concatenate([self.more[~hot], np.zeros(len(start), np.int64)])
                 self.gram = np.concatenate([self.gram[~hot], mix(one.of(start, n), 6)])
-        self.anchor, size = anchor, self.more + n
-        if not digests:
-            return
-        two = Prefix(batch.tokens[1])
-        self.block = mix(two.of(self.start, size) ^ mix(one.of(self.start, size), 7) ^ mix((anchor - self.start).astype(np.uint64) << np.uint64(32) | self.more.astype(np.uint64), 8), 9)
+        self.anchor = anchor
 
 
 def _least(v: np.ndarray, w: int) -> np.ndarray:
@@ -169,152 +168,124 @@ def _coarse(grams: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def _starts(rows: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.empty(0, np.int64)
-
-
-ROW = "gram long, block long, key long, start long, more int, kind byte"
-#: Kinds of rows: an anchor, an anchor that its batch has more than once, a settled span, an ambiguous gram.
-ONE, SEVERAL, SPAN, MANY = 0, 1, 2, 3
-
-
-def _rows(gram, block, key, start, more, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(block), pa.array(key), pa.array(start), pa.array(more, pa.int32()), pa.array(kind, pa.int8())], ["gram", "block", "key", "start", "more", "kind"])
+ROW = "gram long, key long, start long, anchor int, several boolean, bytes binary"
 
 
 class Finder:
     """Finds windows that repeat. every: all places of a repeated window count, else all but the first (by key, then start)."""
 
-    def __init__(self, n: int, k: int, words: bool, every: bool, batch: int = 1 << 20, sample: int = SAMPLE, common: int = COMMON, places: int = PLACES):
+    def __init__(self, n: int, k: int, words: bool, every: bool, batch: int = 1 << 20, sample: int = SAMPLE, common: int = COMMON, places: int = PLACES, most: int = MOST):
         self.n, self.k, self.words, self.every, self.batch = n, k, words, every, batch
-        self.sample, self.common, self.places = sample, common, places
+        self.sample, self.common, self.places, self.most = sample, common, places, most
 
-    def _anchored(self, batch: pa.RecordBatch, common, digests: bool = True) -> tuple[Batch, np.ndarray, Anchors, np.ndarray]:
-        """A batch's tokens, its anchors (with or without digests of their blocks), each one's key, and its start in its document."""
-        own = Batch(utf8(column(batch, "text")), self.words, 1 + digests)
-        found = Anchors(own, self.n, self.k, common, digests)
+    def _anchored(self, batch: pa.RecordBatch, common) -> tuple[Batch, np.ndarray, Anchors, np.ndarray]:
+        """A batch's tokens, its anchors, each one's key, and its start in its document."""
+        own = Batch(utf8(column(batch, "text")), self.words)
+        found = Anchors(own, self.n, self.k, common)
         key = column(batch, "key").to_numpy()[found.doc] if len(found.doc) else np.empty(0, np.int64)
         return own, key, found, found.start - own.start[found.doc]
 
-    def common_grams(self, docs: DataFrame) -> np.ndarray:
+    def _counted(self, docs: DataFrame, common=None) -> DataFrame:
+        """(gram, n) of the anchors."""
+
         def count(batches):
             for batch in pieces(batches, "text", self.batch):
-                found = self._anchored(batch, None, False)[2]
-                gram, n = np.unique(found.gram, return_counts=True)
-                few = n > 1
-                yield pa.RecordBatch.from_arrays([pa.array(gram[few].view(np.int64)), pa.array(n[few])], ["gram", "n"])
-
-        drawn = docs.filter(F.pmod(F.xxhash64("key"), F.lit(self.sample)) == 0)
-        most = drawn.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.common)
-        got = most.orderBy(F.desc("n"), "gram").limit(50_000).select("gram").toArrow().column("gram").to_numpy()
-        return np.sort(got.view(np.uint64))
+                gram, n = np.unique(self._anchored(batch, common and common.value)[2].gram, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-    def _settle(self, common):
-        finder, n = self, self.n
+        return docs.select("key", "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-        def scan(batches):
-            own_common = common.value
-            for batch in pieces(batches, "text", finder.batch):
-                _, key, found, start = finder._anchored(batch, own_common)
-                gram, block = found.gram.view(np.int64), found.block.view(np.int64)
-                order = np.lexsort((start, key, block, gram))
-                gram, block, key, start, more = gram[order], block[order], key[order], start[order], found.more[order]
-                first = _starts(np.stack([gram, block], axis=1))
-                many = np.diff(np.append(first, len(gram))) > 1
-                yield _rows(gram[first], block[first], key[first], start[first], more[first], np.where(many, SEVERAL, ONE))
-                span = np.ones(len(gram), bool)
-                span[first] = many if finder.every else False
-                yield _rows(mix(key[span].astype(np.uint64)).view(np.int64), np.zeros(int(span.sum()), np.int64), key[span], start[span], more[span] + n, np.full(int(span.sum()), SPAN))
-
-        def meet(batches):
-            for gram, block, key, start, more, kind in grouped(batches, ["gram", "block", "key", "start", "more", "kind"]):
-                done = kind == SPAN
-                if done.any():
-                    yield _out(key[done], start[done], start[done] + more[done], SPAN)
-                    gram, block, key, start, more, kind = (v[~done] for v in (gram, block, key, start, more, kind))
-                if not len(gram):
-                    continue
-                other = np.concatenate([[True], gram[1:] != gram[:-1]])
-                new = other.copy()
-                new[1:] |= block[1:] != block[:-1]
-                first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(gram)))
-                if finder.every:
-                    again = np.repeat(np.logical_or.reduceat(kind == SEVERAL, first) | (count > 1), count)
-                else:
-                    again = ~new
-                yield _out(key[again], start[again], start[again] + more[again] + n, SPAN)
-                owner = np.cumsum(other[first]) - 1
-                many = first[np.bincount(owner)[owner] > 1]
-                yield _out(_place(key[many], start[many]), key[many], key[many], MANY)  # the document in start's place
-
-        return scan, meet
-
-    def spans(self, docs: DataFrame, resolve: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    def common_grams(self, docs: DataFrame) -> np.ndarray:
+        """At most `most` of them, sorted."""
+        drawn, least = docs.filter(F.pmod(F.xxhash64("key"), F.lit(self.sample)) == 0), self.common
+        table = C.staged(self._counted(drawn).filter(F.col("n") >= least), "common")
+        while table.filter(F.col("n") >= least).count() > self.most:
+            least *= 2
+        return np.sort(table.filter(F.col("n") >= least).select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
+
+    def spans(self, docs: DataFrame, resolve: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
         """docs (key, text) to (key, start, end): spans of repeated windows' tokens, which may overlap and repeat.
 
-        resolve(blocks, gram, key, start, anchor): for blocks of tokens, their grams, the place of their first window and the gram's in it, arrays (block, first, end) of its windows that repeat.
+        resolve(blocks, gram, key, start, anchor, several): for blocks' bytes, their grams, the place of their first window, the gram's place in the block,
+        and whether its batch has the block again: arrays (block, first, end) of runs of its windows that repeat.
         """
         spark = docs.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         common = spark.sparkContext.broadcast(self.common_grams(docs))
-        scan, meet = self._settle(common)
-        sorted_ = docs.mapInArrow(scan, ROW).repartition(parts, "gram").sortWithinPartitions("gram", "block", "key", "start")
-        settled = C.staged(sorted_.mapInArrow(meet, "key long, start long, end long, kind byte"), "settled")
-        found = settled.filter(F.col("kind") == SPAN).select("key", "start", "end")
-        ambiguous = settled.filter(F.col("kind") == MANY).select(F.col("key").alias("place"), F.col("start").alias("document"))
-        count = ambiguous.count()
-        if not count:
-            return found
-        if count <= self.places:  # 16 bytes each
-            rows = ambiguous.toArrow()
-            wanted = spark.sparkContext.broadcast((np.sort(rows.column("place").to_numpy()), np.unique(rows.column("document").to_numpy())))
-            source = docs
-        else:  # too many to broadcast: the documents that have some move once, with their places
-            own = ambiguous.groupBy(F.col("document").alias("key")).agg(F.collect_list("place").alias("places"))
-            wanted, source = None, docs.select("key", "text").join(own, "key")
-        blocks = source.mapInArrow(self._blocks(common, wanted), "gram long, key long, start long, anchor int, bytes binary")
-        met = blocks.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_resolver(resolve), "key long, start long, end long")
-        found = found.unionByName(C.staged(met, "resolved"))
-        return found
-
-    def _blocks(self, common, wanted):
-        """wanted: sorted places and documents, broadcast, or None if each row has its places."""
-        finder, n = self, self.n
+        again = C.staged(self._counted(docs, common).filter("n > 1").select("gram"), "grams")
+        count, docs = again.count(), docs.select("key", "text")
+        if count <= self.places:
+            bits, source = spark.sparkContext.broadcast(Sieve(again.select(F.col("gram").alias("h")), count).bits()), docs
+        else:
+            bits, source = None, docs.join(self._places(docs, common, again), "key")
+        blocks = source.mapInArrow(self._blocks(common, bits), ROW)
+        return C.staged(blocks.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_resolver(resolve), "key long, start long, end long"), "resolved")
+
+    def _places(self, docs: DataFrame, common, again: DataFrame) -> DataFrame:
+        """(key, places): the starts of a document's anchors whose gram is among these."""
+
+        def every(batches):
+            for batch in pieces(batches, "text", self.batch):
+                _, key, found, start = self._anchored(batch, common.value)
+                yield pa.RecordBatch.from_arrays([pa.array(found.gram.view(np.int64)), pa.array(key), pa.array(start)], ["gram", "key", "start"])
+
+        found = docs.mapInArrow(every, "gram long, key long, start long").join(again.hint("merge"), "gram")
+        return found.groupBy("key").agg(F.collect_list("start").alias("places"))
+
+    def _blocks(self, common, bits):
+        """bits: a filter of the repeated grams, broadcast, or None if each row has its places."""
+        n, size = self.n, self.batch
 
         def scan(batches):
-            places, keys = wanted.value if wanted else (None, None)
-            for batch in pieces(_with_keys(batches, keys) if wanted else batches, "text", finder.batch):
-                own, key, found, start = finder._anchored(batch, common.value, False)
-                here = places if wanted else np.sort(column(batch, "places").flatten().to_numpy())
-                at = np.flatnonzero(_among(here, _place(key, start)))
-                byte, size = own.bytes_of(found.start[at], found.more[at] + n)
-                raw = own.raw
-                blocks = pa.array([raw[b : b + s].tobytes() for b, s in zip(byte.tolist(), size.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(found.gram[at].view(np.int64)), pa.array(key[at]), pa.array(start[at]), pa.array(found.anchor[at] - found.start[at], pa.int32()), blocks], ["gram", "key", "start", "anchor", "bytes"])
+            for batch in pieces(batches, "text", size):
+                own, key, found, start = self._anchored(batch, common.value)
+                if bits:
+                    at = np.flatnonzero(bits.value.has(found.gram))
+                else:
+                    places = column(batch, "places")
+                    whose = np.repeat(column(batch, "key").to_numpy(), pc.list_value_length(places).to_numpy())
+                    at = np.flatnonzero(_among(np.sort(_place(whose, places.flatten().to_numpy())), _place(key, start)))
+                at = at[np.lexsort((start[at], key[at]))]
+                byte, width = own.bytes_of(found.start[at], found.more[at] + n)
+                raw, seen = own.raw, {}
+                blocks = [raw[b : b + s].tobytes() for b, s in zip(byte.tolist(), width.tolist(), strict=True)]
+                gram = found.gram[at].view(np.int64)
+                first = np.array([seen.setdefault(x, i) for i, x in enumerate(zip(gram.tolist(), blocks, strict=True))], np.int64)
+                later = first != np.arange(len(at))
+                several = np.zeros(len(at), bool)
+                several[first[later]] = True
+                stay = np.flatnonzero(~later)
+                yield _rows(gram[stay], key[at[stay]], start[at[stay]], (found.anchor - found.start)[at[stay]], several[stay], [blocks[i] for i in stay.tolist()])
+                k, s, e = _runs(key[at[later]], start[at[later]], (start + found.more)[at[later]] + n)
+                yield _rows(_place(k, s), k, s, e - s, np.zeros(len(k), bool), [None] * len(k))
 
         return scan
 
 
-def _among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+def _rows(gram, key, start, anchor, several, blocks) -> pa.RecordBatch:
+    """Blocks; or spans, which have their length in anchor's place."""
+    return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), pa.array(start), pa.array(anchor, pa.int32()), pa.array(several), pa.array(blocks, pa.binary())], ["gram", "key", "start", "anchor", "several", "bytes"])
 
 
-def _with_keys(batches, keys: np.ndarray):
-    """The rows whose key is among the sorted keys."""
-    for batch in batches:
-        yield batch.filter(pa.array(_among(keys, column(batch, "key").to_numpy())))
+def _runs(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans as runs: those of one owner that overlap or touch are one, if ends rise with starts."""
+    if not len(owner):
+        return owner, start, end
+    by = np.lexsort((end, start, owner))
+    owner, start, end = owner[by], start[by], end[by]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] > end[:-1])]))
+    return owner[first], start[first], np.maximum.reduceat(end, first)
 
 
-def _place(key: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return (mix(key.astype(np.uint64), 21) * np.uint64(BASE) + mix(start.astype(np.uint64), 22)).view(np.int64)
+def _among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
-def _out(key, start, end, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(end), pa.array(np.full(len(key), kind), pa.int8())], ["key", "start", "end", "kind"])
+def _place(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (mix(key.astype(np.uint64), 21) * np.uint64(BASE) + mix(start.astype(np.uint64), 22)).view(np.int64)
 
 
-def grouped(batches, names: list[str], most: int = 100_000) -> Iterator[list[np.ndarray]]:
+def grouped(batches, names: list[str], most: int = CHUNK) -> Iterator[list[np.ndarray]]:
     """Sorted rows as columns, in parts of about `most` that never cut a group of the first column."""
     held, size = [], 0
     for batch in batches:
@@ -331,36 +302,33 @@ def grouped(batches, names: list[str], most: int = 100_000) -> Iterator[list[np.
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _resolver(resolve, most: int = 1 << 20):
+def _spans(key, start, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(end)], ["key", "start", "end"])
+
+
+def _resolver(resolve):
     def run(batches):
-        gram, key, start, anchor, blocks, size = [], [], [], [], [], 0
-
-        def done():
-            block, first, end = resolve(blocks, np.array(gram), np.array(key), np.array(start), np.array(anchor))
-            k, s = np.array(key)[block], np.array(start)[block]
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s + first), pa.array(s + end)], ["key", "start", "end"])
-
-        for batch in batches:
-            for g, k, s, a, b in zip(*(column(batch, c).to_pylist() for c in ("gram", "key", "start", "anchor", "bytes")), strict=True):
-                if size >= most and g != gram[-1]:
-                    yield done()
-                    gram, key, start, anchor, blocks, size = [], [], [], [], [], 0
-                gram.append(g)
-                key.append(k)
-                start.append(s)
-                anchor.append(a)
-                blocks.append(b)
-                size += len(b)
-        if blocks:
-            yield done()
+        for gram, key, start, anchor, several, blocks in grouped(batches, ["gram", "key", "start", "anchor", "several", "bytes"]):
+            span = np.array([b is None for b in blocks.tolist()], bool)
+            yield _spans(key[span], start[span], start[span] + anchor[span])
+            gram, key, start, anchor, several, blocks = (v[~span] for v in (gram, key, start, anchor.astype(np.int64), several, blocks))
+            _, own, count = np.unique(gram, return_inverse=True, return_counts=True)
+            live = (count[own] > 1) | several  # another document's gram can pass the filter by chance
+            gram, key, start, anchor, several, blocks = (v[live] for v in (gram, key, start, anchor, several, blocks))
+            if len(gram):
+                block, first, end = _runs(*resolve(blocks.tolist(), gram, key, start, anchor, several))
+                yield _spans(key[block], start[block] + first, start[block] + end)
 
     return run
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with spans: an array of numbers, each a span's start * 2^32 and its length, or null. A document's spans are no more than its tokens."""
-    own = spans.groupBy("key").agg(F.collect_list(F.shiftleft("start", 32) + (F.col("end") - F.col("start"))).alias("spans"))
-    return docs.join(own, "key", "left")
+    """docs with spans: an array of numbers, each a span's start * 2^32 and its length, or null. A document's spans are no more than its tokens.
+    Only documents with spans shuffle."""
+    own = C.staged(spans.groupBy("key").agg(F.collect_list(F.shiftleft("start", 32) + (F.col("end") - F.col("start"))).alias("spans")), "spans")
+    tested = Sieve(own.select(F.xxhash64("key").alias("h")), own.count()).marked(docs, F.xxhash64("key"))
+    hit = tested.filter("again").drop("again").join(own, "key", "left")
+    return tested.filter(~F.col("again")).drop("again").withColumn("spans", F.lit(None).cast("array<bigint>")).unionByName(hit)
 
 
 def merged_spans(spans: pa.Array) -> list[list[int]]:
