@@ -78,4 +78,4 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op3_exact_dedup": exact.ORACLE, "op5_line_dedup": lines.ORACLE, "op5_every_line_dedup": lines.EVERY_ORACLE, "op9_substring_dedup": substring.ORACLE}
+ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_suffix_array_dedup": suffix.ORACLE, "op3_exact_dedup": exact.ORACLE, "op5_line_dedup": lines.ORACLE, "op5_every_line_dedup": lines.EVERY_ORACLE, "op9_substring_dedup": substring.ORACLE}

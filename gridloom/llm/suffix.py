@@ -161,3 +161,17 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def digests(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, {2 * (LENGTH + 255)}) AS h FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range(0, len(h) // 2, 256)) AS c FROM d)),
+k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM
+  (SELECT doc_id, c + i AS p, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT *, unnest(range(0, least(256, n - c - {LENGTH - 1}))) AS i FROM c))),
+u AS (SELECT doc_id, c + i AS q, substr(h, 2 * i + 1, 2) AS b FROM (SELECT *, unnest(range(0, least(256, n - c))) AS i FROM c)),
+g AS (SELECT u.doc_id, q, b, coalesce(max(CASE WHEN again THEN p END) OVER (PARTITION BY u.doc_id ORDER BY q) > q - {LENGTH}, false) AS gone FROM u LEFT JOIN k ON u.doc_id = k.doc_id AND q = p),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY q), false) AS opens FROM g),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(b, '' ORDER BY q) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
