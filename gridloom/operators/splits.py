@@ -20,14 +20,14 @@ def mixed(id_: Column, seed: int = 0) -> Column:
     return F.pmod((id_ + seed) * F.lit(2654435761), F.lit(4294967296))
 
 
-def numbered(df: DataFrame, id_col: str, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """df with pos (0, 1, ...) by the hash of id_col then the id, and n, the number of rows, both within keys."""
+def numbered(df: DataFrame, id_col: str, seed: int = 0, keys: tuple[str, ...] = (), then: tuple[str, ...] = ()) -> DataFrame:
+    """df with pos (0, 1, ...) by the hash of id_col, then the id (and what else is named), and n, the number of rows, both within keys."""
     h = mixed(F.col(id_col), seed)
     rows = df.withColumns({"_h": h, "_range": F.floor(h / (4294967296 // RANGES)).cast("int")})
     totals = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*keys)).alias("n"))
-    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy("_h", id_col))
+    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy("_h", id_col, *then))
     rows = rows.withColumn("_at", inside).join(totals, [*keys, "_range"])
     return rows.withColumn("pos", F.col("_at") - 1 + F.col("_before")).drop("_h", "_range", "_at", "_before")
 
@@ -55,6 +55,16 @@ def fixed_ratios(images: DataFrame, folds: int = 5, val_ratio: float = 0.15, tes
     return rows.withColumn("split", split).drop("pos", "n", "_id")
 
 
+def grouped_ratios(images: DataFrame, group_col: str, folds: int = 5, val_ratio: float = 0.15, test_ratio: float = 0.2, seed: int = 42, id_col: str = "image_id") -> DataFrame:
+    """As fixed_ratios, but whole groups are shuffled (by their smallest id), and cut by the number of images, so that a group may lie in two splits."""
+    first = images.groupBy(group_col).agg(F.min(id_col).alias("_first"))
+    rows = images.join(first, group_col).select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("split_fold"))
+    rows = numbered(rows.withColumn("_id", F.col("_first") + F.col("split_fold") * 7919), "_id", seed, ("split_fold",), (id_col,))
+    share = lambda r: F.greatest(F.lit(1), F.bround(F.col("n") * r).cast("long"))
+    split = F.when(F.col("pos") < share(test_ratio), "test").when(F.col("pos") < share(test_ratio) + share(val_ratio), "val").otherwise("train")
+    return rows.withColumn("split", split).drop("pos", "n", "_id", "_first")
+
+
 def sizes_fit(n: int, val_ratio: float, test_ratio: float) -> None:
     """Raises ValueError where validation and test would leave nothing to train on."""
     if max(1, round(n * test_ratio)) + max(1, round(n * val_ratio)) >= n:
@@ -133,8 +143,12 @@ def audit(splits: DataFrame, val_ratio: float, test_ratio: float, tolerance: int
 
 def by_padded_stem(df: DataFrame, name: str = "file_name") -> DataFrame:
     """Sorted by the stem padded with zeros to 12 characters, then the name."""
+    return df.orderBy(padded_stem(name), name)
+
+
+def padded_stem(name: str = "file_name") -> Column:
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return df.orderBy(F.when(F.length(stem) >= 12, stem).otherwise(F.lpad(stem, 12, "0")), name)
+    return F.when(F.length(stem) >= 12, stem).otherwise(F.lpad(stem, 12, "0"))
 
 
 def random_image(images: DataFrame, seed: int | None = None) -> DataFrame:

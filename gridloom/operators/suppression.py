@@ -130,7 +130,8 @@ def adaptive_nms(dets: DataFrame, tau: float = 0.5, k: int = 5, alpha: float = 0
 
 def wbf(dets: DataFrame, threshold: float = 0.45, skip: float = EPS_SKIP, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Weighted boxes fusion for each label, of one model: in falling order of scores each box joins the fused box that it overlaps most, if by
-    more than the threshold, else it starts one. A fused box is the score-weighted mean of its boxes, its score their mean; det_id is the first's."""
+    more than the threshold, else it starts one. A fused box is the score-weighted mean of its boxes, its score their mean; det_id is the first's.
+    Boxes are put in order and cut to the unit square first; empty ones go."""
 
     def run(boxes, scores, ids):
         fused, members = np.empty((0, 4)), []
@@ -145,7 +146,9 @@ def wbf(dets: DataFrame, threshold: float = 0.45, skip: float = EPS_SKIP, keys:
                 fused = np.concatenate([fused, boxes[i : i + 1]])
         return fused, np.array([scores[m].mean() for m in members]), np.array([ids[m[0]] for m in members], dtype=ids.dtype)
 
-    return _by_group(dets.filter(F.col("score") >= skip), [*keys, "label"], run)
+    edges = {f"{c}{i}": G.unit(f(f"{c}1", f"{c}2")) for c in "xy" for i, f in ((1, F.least), (2, F.greatest))}
+    whole = dets.filter(F.col("score") >= skip).withColumns(edges).filter((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) > 0)
+    return _by_group(whole, [*keys, "label"], run)
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {"nms": nms, "cluster_diou_nms": cluster_diou_nms, "nms_ioa": adaptive_nms, "bws": bws, "wbf": wbf}

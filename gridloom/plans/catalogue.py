@@ -459,7 +459,7 @@ def _(spark, d):
     return _matches(spark, d).select("det_id", "gt_id", "is_tp")
 
 
-@query("missed_truths", sql(MATCH + " SELECT gt_id FROM gt WHERE gt_id NOT IN (SELECT gt_id FROM matches WHERE is_tp)"))
+@query("missed_truths", sql(MATCH + " SELECT gt_id FROM gt WHERE NOT EXISTS (SELECT 1 FROM matches WHERE is_tp AND matches.gt_id = gt.gt_id)"))
 def _(spark, d):
     return matching.missed(_matches(spark, d), X.truths(spark, d)).select("gt_id")
 

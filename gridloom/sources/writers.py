@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import _children, _fs, exists, read_text
+from ..operators import tiling
+from .readers import CLEAN, _children, _fs, exists, read_text
 
 #: Columns of the result tables.
 RESULTS = ["models", "fold", "mAP50", "mAP75", "mAP", "precision", "recall", "fscore", "MAE", "RMSE", "r", "slicing_time_ms_mean", "slicing_time_ms_total"]
@@ -40,17 +42,37 @@ def write_coco(path: str, images: DataFrame, annotations: DataFrame, categories:
     coco_document(images, annotations, categories).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_coco_file(folder: str, images: DataFrame, annotations: DataFrame, categories: DataFrame, name: str = CLEAN) -> str:
+    """The document as one file of that name in the folder, moved there when it is whole; its path."""
+    spark, temp, target = images.sparkSession, f"{folder}/writing-{uuid.uuid4().hex}", f"{folder}/{name}"
+    write_coco(temp, images, annotations, categories)
+    fs, at = _fs(spark, temp)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    part = next(n for n in _children(spark, temp) if n.startswith("part-"))
+    fs.delete(path(target), True)
+    fs.rename(path(f"{temp}/{part}"), path(target))
+    fs.delete(at, True)
+    return target
+
+
+def write_fold_stats(path: str, rows: DataFrame, splits: tuple[str, ...] = ("train", "val", "test")) -> None:
+    """A fold's statistics (split and per-image metric columns) as one JSON document with a list for each split."""
+    one = F.struct(*[c for c in rows.columns if c != "split"])
+    lists = [F.array_sort(F.collect_list(F.when(F.col("split") == s, one))).alias(f"{s}_metrics") for s in splits]
+    rows.agg(*lists).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_labels(folder: str, lines: DataFrame) -> None:
     """sample_name, text as a table partitioned for readers of one sample; each text is a label file's content (empty for a tile without boxes)."""
     lines.select("sample_name", F.coalesce("text", F.lit("")).alias("text")).write.mode("overwrite").parquet(folder)
 
 
-def export_labels(folder: str, lines: DataFrame) -> int:
-    """One .txt file for each sample, written by the executors through the folder's file system. The number of files."""
-    spark = lines.sparkSession
+def export_files(folder: str, files: DataFrame) -> int:
+    """files (name, content: binary) as files of a mounted folder, written by the tasks that have them. The number of files."""
+    spark = files.sparkSession
     if "://" in folder and not folder.startswith("file://"):
-        raise ValueError("label files are exported to mounted folders; use write_labels for object stores")
-    target = folder.removeprefix("file://")
+        raise ValueError("single files are exported to mounted folders; use a table for object stores")
+    target = folder.removeprefix("file://").removeprefix("file:")
     fs, at = _fs(spark, folder)
     fs.mkdirs(at)
 
@@ -60,12 +82,24 @@ def export_labels(folder: str, lines: DataFrame) -> int:
         import pandas as pd
 
         for pdf in batches:
-            for name, text in zip(pdf["sample_name"], pdf["text"], strict=True):
-                with open(os.path.join(target, f"{name}.txt"), "w") as out:
-                    out.write(text or "")
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                with open(os.path.join(target, name), "wb") as out:
+                    out.write(content or b"")
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    return lines.select("sample_name", "text").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return files.select("name", "content").mapInPandas(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def export_labels(folder: str, lines: DataFrame) -> int:
+    """One .txt file for each sample (see export_files)."""
+    return export_files(folder, lines.select(F.concat("sample_name", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+
+
+def copy_split(source: str, target: str, names: DataFrame) -> int:
+    """Copies the files of a folder that names (file_name) has, in tasks; the number copied. Missing ones are passed over."""
+    rows = names.sparkSession.read.format("binaryFile").load(source).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    own = rows.join(names.select("file_name").distinct(), "file_name", "left_semi")
+    return export_files(target, own.select(F.col("file_name").alias("name"), "content"))
 
 
 def write_fold_yaml(spark: SparkSession, path: str, root: str, names: list[str], test: bool = True) -> None:
@@ -119,6 +153,26 @@ def slicing_config(tiles: list[dict], mode: str, overlap: float, tile: tuple[int
     return out | {"tile_size": list(tile), "stride_x": stride[0], "stride_y": stride[1]} | over
 
 
+def slicing_configs(tiled: DataFrame, t: tiling.Tiling) -> DataFrame:
+    """image_id and config: the saved configuration of each image's tiling as JSON (see slicing_config), with the image's id and, for fixed tiles, how
+    the last tile of an axis overlaps the one before it. tiled has tile names. An axis with one position has no coverage entry."""
+    c = F.col
+    tile = F.struct("row_index", "column_index", "tile_file", "x", "y", c("tile_width").alias("width"), c("tile_height").alias("height"))
+    own = tiled.groupBy("image_id", "file_name", c("width").alias("original_width"), c("height").alias("original_height")).agg(F.array_sort(F.collect_list(tile)).alias("all"))
+    parts = [F.lit(t.mode).alias("slicing_method"), c("file_name").alias("source_image"), "original_width", "original_height", F.size("all").alias("tile_count"),
+             F.transform("all", lambda x: F.struct(x["tile_file"].alias("tile_file"), x["x"].alias("x"), x["y"].alias("y"), x["width"].alias("width"), x["height"].alias("height"))).alias("tiles")]
+    if t.kind in ("asahi", "asahi_rect"):
+        last = F.element_at("all", -1)
+        parts += [F.array(c("all")[0]["width"], c("all")[0]["height"]).alias("tile_size"), F.lit(t.overlap).alias("overlap_ratio"), (last["column_index"] + 1).alias("grid_cols"), (last["row_index"] + 1).alias("grid_rows")]
+    else:
+        edge = tiling.edge_coverage(tiled, t, ["image_id"])
+        entry = F.struct("axis", F.struct(*[x for x in edge.columns if x not in ("image_id", "axis")]).alias("v"))
+        own = own.join(edge.groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("edge_coverage")), "image_id", "left")
+        (w, h), (sx, sy) = t.tile, t.stride
+        parts += [F.array(F.lit(w), F.lit(h)).alias("tile_size"), *[F.lit(v).alias(k) for k, v in (("stride_x", sx), ("stride_y", sy), ("overlap_x", w - sx), ("overlap_y", h - sy))], "edge_coverage"]
+    return own.select("image_id", F.to_json(F.struct(*parts, c("image_id").alias("id_image"))).alias("config"))
+
+
 def checkpoint_manifest(mode: str, fold: int, model: str, engine: str, checkpoint: str, source: str) -> dict:
     return {"mode": mode, "fold": fold, "model": model, "engine": engine, "checkpoint": checkpoint, "source": source}
 
