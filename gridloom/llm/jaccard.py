@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,21 +41,63 @@ def similar_pairs(rows: DataFrame, shingle: int = SHINGLE, similarity: float = S
 
     kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
     sets = C.staged(rows.select("key", "text").mapInArrow(hashed, kind), "sets")
+    prefix = _prefixes(sets, similarity)
+    a, b = (prefix.select("h", F.col("key").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
+    near = C.staged(a.join(b.hint("merge"), "h").filter((F.col("a") < F.col("b")) & _fits(similarity)).select("a", "b").distinct(), "candidates")
+    return _verified(near, sets, similarity)
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (key, own) to (key, n, h): the rarest shingles of each set, one of which every similar set shares."""
     each = sets.select("key", F.size("own").alias("n"), F.explode("own").alias("h"))
     shared = C.staged(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
     least = F.ceil(F.lit(similarity) * F.col("n") - SLACK)
     rarest = each.join(shared.hint("merge"), "h").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found"))
     room = (F.size("found") - least + 1).cast("int")  # the prefix without the n - size(found) shingles of this document alone
-    prefix = C.staged(rarest.filter(room > 0).select("key", "n", F.explode(F.slice("found", F.lit(1), room)["h"]).alias("h")), "prefix")
-    a, b = (prefix.select("h", F.col("key").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    fits = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - SLACK
-    near = C.staged(a.join(b.hint("merge"), "h").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "candidates")
+    return C.staged(rarest.filter(room > 0).select("key", "n", F.explode(F.slice("found", F.lit(1), room)["h"]).alias("h")), "prefix")
+
+
+def _fits(similarity: float):
+    return F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - SLACK
+
+
+def _verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets have this similarity."""
     one, two = (sets.select(F.col("key").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
     both = near.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     common = F.size(F.array_intersect("own_a", "own_b"))
     return both.filter(common >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - common) - SLACK).select("a", "b")
 
 
+def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """rows (key long, text): (node, root) as the components of all similar pairs, without all pairs of a group.
+
+    Equal sets are one; the first candidates are neighbours by size in each shingle's list, which already join a group of near copies; only candidates from two
+    components that are left are then compared one with another.
+    """
+
+    def hashed(batches):
+        for batch in pieces(batches, "text", 1 << 20):
+            own = [shingles(t, shingle) for t in utf8(column(batch, "text"))]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), lists(np.concatenate(own), [len(x) for x in own], pa.int64())], ["key", "own"])
+
+    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
+    every = C.staged(rows.select("key", "text").mapInArrow(hashed, kind), "sets")
+    sets = C.staged(every.groupBy("own").agg(F.min("key").alias("key")).select("key", "own"), "distinct")
+    copies = every.join(sets.select("own", F.col("key").alias("b")), "own").filter("key != b").select(F.col("key").alias("a"), "b")
+    prefix = _prefixes(sets, similarity)
+    before = F.lag(F.struct("key", "n")).over(W.partitionBy("h").orderBy("n", "key"))
+    chain = prefix.select(F.col("key").alias("a"), F.col("n").alias("n_a"), before.alias("x")).select("a", "n_a", F.col("x.key").alias("b"), F.col("x.n").alias("n_b"))
+    near = C.staged(chain.filter(F.col("b").isNotNull() & _fits(similarity)).select("a", "b").distinct(), "neighbours")
+    first = C.staged(_verified(near, sets, similarity), "links")
+    labels = components(first).withColumnRenamed("node", "key")
+    prefix = C.staged(prefix.join(labels.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key")), "labelled")
+    a, b = (prefix.select("h", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
+    rest = a.join(b.hint("merge"), "h").filter((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _fits(similarity)).select("a", "b").distinct()
+    rest = C.staged(rest.join(near.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"), "candidates")
+    return components(first.unionByName(_verified(rest, sets, similarity)).unionByName(copies))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df, with all their columns, that stay: of each group of documents linked by similar pairs the one with the smallest id
     (null ids last; of rows that share it one, by their texts' hash). A null text counts as empty, and texts without words are copies."""

@@ -8,10 +8,15 @@ nodes that differ in more than three bits is dropped with everything below. Node
 be within three bits, are settled whole: no group emits its pairs, only one edge for each fingerprint that joins a component.
 
 Components of the edges come from a distributed contraction; documents get them through their fingerprints.
+
+For near copies by a similarity of word shingles (keep_similar) the same index is a filter: several fingerprints of each document, each from hashes mixed
+anew, find documents with a neighbour within a wider radius, and only those are compared by their shingles.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,8 +26,14 @@ from pyspark.sql import functions as F
 from . import common as C
 from .arrow import column, pieces, ranges, utf8
 from .components import components
+from .jaccard import linked
+from .windows import mix
 
 SEED = 42
+#: For similar documents: words in a shingle, similarity, fingerprints of a document, and differing bits within which two are candidates.
+WORDS, SIMILARITY, FINGERPRINTS, RADIUS = 5, 0.8, 4, 7
+#: Fingerprints to a group at most, on average, when documents are dealt within the wider radius.
+SPREAD = 256
 #: Fingerprints in a group before it is dealt again by more bits.
 GROUP = 10_000
 LEAF = FAN = 8
@@ -30,6 +41,11 @@ LEAF = FAN = 8
 
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     """Each text's 64-bit SimHash of its word shingles' XXH64; 0 without words."""
+    return majority(*shingle_hashes(texts, shingle))
+
+
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' shingles' XXH64, and how many each text has."""
     hashed, counts = [], []
     for text in texts:
         words = text.lower().split()
@@ -42,7 +58,7 @@ def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
             own = [joined[s:e] for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
         hashed += [xxhash.xxh64_intdigest(x, SEED) for x in own]
         counts.append(len(own))
-    return majority(np.array(hashed, np.uint64), np.array(counts, np.int64))
+    return np.array(hashed, np.uint64), np.array(counts, np.int64)
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -202,28 +218,35 @@ def edges_within(nodes: DataFrame, most: int = 3, group: int = GROUP) -> DataFra
     return dealt.mapInArrow(_linker(most), "a long, b long")
 
 
-def _linker(most: int, chunk: int = 200_000):
+def _linker(most: int, names: tuple[str, ...] = ("mask", "value"), members: bool = False, chunk: int = 200_000):
+    """Over rows sorted by these columns, which name a group, and fp: edges (a, b), or the members (first column, fp) of components of two and more."""
+    keys = len(names)
+
     def link(batches):
         held: list[np.ndarray] = []
         size = 0
 
         def done(rows: np.ndarray):
-            group = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
+            group = np.concatenate([[0], np.cumsum((rows[1:, :keys] != rows[:-1, :keys]).any(axis=1))])
             full = np.bincount(group)[group] > 1
-            group, fp = group[full], rows[full, 2].astype(np.int64).view(np.uint64)
+            group, fp, first = group[full], rows[full, keys].astype(np.int64).view(np.uint64), rows[full, 0]
             if len(fp):
                 order = np.lexsort((gray_rank(fp), group))
-                fp, group = fp[order], group[order]
+                fp, group, first = fp[order], group[order], first[order]
                 parent = GrayIndex(fp, group).link(most)
-                own = np.flatnonzero(parent != np.arange(len(fp)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[parent[own]].view(np.int64))], ["a", "b"])
+                if members:
+                    own = np.flatnonzero(np.bincount(parent)[parent] > 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(first[own]), pa.array(fp[own].view(np.int64))], [names[0], "fp"])
+                else:
+                    own = np.flatnonzero(parent != np.arange(len(fp)))
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[parent[own]].view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([column(batch, c).to_numpy() for c in ("mask", "value", "fp")], axis=1))
+            held.append(np.stack([column(batch, c).to_numpy() for c in (*names, "fp")], axis=1))
             size += len(held[-1])
             if size >= chunk:  # the last group may go on
                 rows = np.concatenate(held)
-                last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+                last = np.flatnonzero((rows[:, :keys] != rows[-1, :keys]).any(axis=1))
                 cut = int(last[-1]) + 1 if len(last) else 0
                 if cut:
                     yield from done(rows[:cut])
@@ -235,6 +258,52 @@ def _linker(most: int, chunk: int = 200_000):
     return link
 
 
+def agreeing(most: int, count: int, spread: int = SPREAD) -> list[int]:
+    """Masks such that fingerprints within `most` bits agree on all bits of one: all choices of blocks among most + c. c is the smallest
+    for which count fingerprints spread to groups of `spread` or fewer; no c loses a pair."""
+    c = next(c for c in range(1, 8) if count >> 64 * c // (most + c) <= spread or c == 7)
+    cuts = [64 * i // (most + c) for i in range(most + c + 1)]
+    blocks = [sum(1 << b for b in range(s, e)) for s, e in zip(cuts, cuts[1:], strict=False)]
+    return [sum(x) for x in combinations(blocks, c)]
+
+
+def neighboured(rows: DataFrame, shingle: int = WORDS, most: int = RADIUS, prints: int = FINGERPRINTS, spread: int = SPREAD) -> DataFrame:
+    """rows (key long, text): the keys of documents one of whose fingerprints is within `most` bits of the same fingerprint of another document."""
+
+    def sign(batches):
+        for batch in pieces(batches, "text", 1 << 20):
+            h, counts = shingle_hashes(utf8(column(batch, "text")), shingle)
+            made = [majority(mix(h, i * SEED) if i else h, counts).view(np.int64) for i in range(prints)]
+            key = column(batch, "key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(key, prints)), pa.array(np.repeat(np.arange(prints), len(key))), pa.array(np.concatenate(made))], ["key", "nth", "fp"])
+
+    made = C.staged(rows.select("key", "text").mapInArrow(sign, "key long, nth long, fp long"), "fingerprints")
+    nodes = C.staged(made.groupBy("nth", "fp").agg(F.count(F.lit(1)).alias("n")), "nodes")
+    masks = agreeing(most, nodes.count() // prints, spread)
+    dealt = nodes.select("nth", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "nth", "mask", "value").sortWithinPartitions("nth", "mask", "value")
+    near = dealt.mapInArrow(_linker(most, ("nth", "mask", "value"), members=True), "nth long, fp long").unionByName(nodes.filter("n > 1").select("nth", "fp"))
+    return made.join(C.staged(near.distinct(), "near").hint("merge"), ["nth", "fp"]).select("key").distinct()
+
+
+def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, most: int = RADIUS, prints: int = FINGERPRINTS) -> DataFrame:
+    """The rows of df, with all their columns, that stay: of each group of near copies the one with the smallest id (null ids last; of rows that
+    share it one, by their texts' hash).
+
+    Candidates have a fingerprint within `most` bits of another's; among them every pair with this similarity of their word shingles is a link (exactly, by all
+    their shingles), and chains of links are a group. So no row goes without a similar one; a pair with no close fingerprint is missed.
+    A null text counts as empty, and texts without words are copies. An empty table gives no rows.
+    """
+    rows = C.keyed(df, id_col, text_col, rows=True)
+    own = C.staged(neighboured(rows.select("key", "text"), shingle, most, prints), "neighboured")
+    meet = F.broadcast(own) if own.count() * 24 <= C.BROADCAST_BYTES else own
+    found = linked(C.staged(rows.select("key", "text").join(meet, "key", "left_semi"), "compared"), shingle, similarity)
+    gone = C.staged(found.filter("node != root").select(F.col("node").alias("key")), "gone")
+    gone = F.broadcast(gone) if gone.count() * 24 <= C.BROADCAST_BYTES else gone
+    return rows.join(gone, "key", "left_anti").select("row.*")
+
+
 def near_duplicates(rows: DataFrame, shingle: int = 3, most: int = 3, group: int = GROUP) -> DataFrame:
     """rows (id, text) as (id, fingerprint long, component_id): component_id is the smallest id that is reachable over links of at most
     `most` differing bits. Null and empty texts have fingerprint 0, which links as any other. Null ids are never the smallest."""
@@ -266,7 +335,6 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
     """The rows of df, with all their columns, that stay: of each group of simhash_groups the one with the smallest id (null ids last; of
     rows that share it one, by their texts' hash). The ids of the others meet the rows, which move only if those ids are too many to broadcast."""

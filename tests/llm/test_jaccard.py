@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline
+from gridloom.llm import jaccard
 
 
 def shingles(text):
@@ -27,7 +30,37 @@ def test_verified_stage(spark, make, texts):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(kept, key=str)
     ids = {r.doc_id for r in got}
     assert 104 not in ids and 107 in ids and len(near) > 10
-    assert len(corpus_pipeline.near_dedup(spark, make(rows), "").collect()) > len(got)
+    assert len(corpus_pipeline.fingerprint_near_dedup(spark, make(rows), "").collect()) > len(got)
+
+
+def test_similar_through_fingerprints(spark, make):
+    """Texts of 150 words and copies with changed words: what goes has a similar text before it, and nine in ten near copies go."""
+    r = random.Random(4)
+    base = [[f"w{r.randrange(3000)}" for _ in range(150)] for _ in range(40)]
+    rows = []
+    for i, words in enumerate(base):
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 6):
+            own = list(words)
+            for at in r.sample(range(150), j):
+                own[at] = "changed"
+            rows.append((10 * i + j, " ".join(own)))
+    rows += [(1000, None), (1001, ""), (1002, "short text"), (1003, "short text"), (None, "short text"), (1004, " ".join(base[0][:75]))]
+    kept, near = brute(rows)
+    got = {(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, make(rows), "").collect()}
+    assert got >= set(kept)
+    assert len(rows) - len(got) >= 0.9 * (len(rows) - len(kept)) and len(near) > 150
+
+
+def test_groups_of_near_copies_are_not_expanded(spark, make):
+    """The components of linked() are those of all similar pairs, also in a group of 300 near copies."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if k != i % 120 else f"x{i}" for k, w in enumerate(words))) for i in range(300)] + [(400 + i, " ".join(r.sample(words, 40))) for i in range(30)]
+    kept, near = brute(rows)
+    docs = make(rows).selectExpr("doc_id AS key", "text")
+    gone = {x.node for x in jaccard.linked(docs).collect() if x.node != x.root}
+    assert {i for i, _ in rows} - gone == {i for i, _ in kept} and len(near) > 40_000
 
 
 def test_empty(spark, make):
