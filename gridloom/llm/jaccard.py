@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,15 +69,16 @@ def _verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - common) - SLACK).select("a", "b")
 
 
-def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, prints: DataFrame | None = None, apart: int = 0) -> DataFrame:
     """rows (key long, text): (node, root) as the components of all similar pairs, without all pairs of a group.
 
     Equal sets are one; the first candidates are neighbours by size in each shingle's list, which already join a group of near copies; only candidates from two
-    components that are left are then compared one with another.
+    components that are left are then compared, and components meet by shingle before their members do. prints (key, an array of longs): pairs
+    whose fingerprints differ in more than `apart` bits in all are not compared.
     """
 
     def hashed(batches):
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             own = [shingles(t, shingle) for t in utf8(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "key"), lists(np.concatenate(own), [len(x) for x in own], pa.int64())], ["key", "own"])
 
@@ -86,15 +87,24 @@ def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     sets = C.staged(every.groupBy("own").agg(F.min("key").alias("key")).select("key", "own"), "distinct")
     copies = every.join(sets.select("own", F.col("key").alias("b")), "own").filter("key != b").select(F.col("key").alias("a"), "b")
     prefix = _prefixes(sets, similarity)
-    before = F.lag(F.struct("key", "n")).over(W.partitionBy("h").orderBy("n", "key"))
-    chain = prefix.select(F.col("key").alias("a"), F.col("n").alias("n_a"), before.alias("x")).select("a", "n_a", F.col("x.key").alias("b"), F.col("x.n").alias("n_b"))
-    near = C.staged(chain.filter(F.col("b").isNotNull() & _fits(similarity)).select("a", "b").distinct(), "neighbours")
-    first = C.staged(_verified(near, sets, similarity), "links")
+    prefix = prefix.join(prints, "key") if prints else prefix.withColumn("prints", F.expr("cast(array() as array<bigint>)"))
+    prefix = C.staged(prefix, "printed")
+
+    def near(a: Column, b: Column) -> Column:
+        bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, n: m + n)
+        return _fits(similarity) & (bits <= apart)
+
+    before = F.lag(F.struct("key", "n", "prints")).over(W.partitionBy("h").orderBy("n", "key"))
+    chain = prefix.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "prints", before.alias("x")).filter("x IS NOT NULL").withColumns({"b": F.col("x.key"), "n_b": F.col("x.n")})
+    chain = C.staged(chain.filter(near(F.col("prints"), F.col("x.prints"))).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "neighbours")
+    first = C.staged(_verified(chain, sets, similarity), "links")
     labels = components(first).withColumnRenamed("node", "key")
     prefix = C.staged(prefix.join(labels.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key")), "labelled")
-    a, b = (prefix.select("h", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
-    rest = a.join(b.hint("merge"), "h").filter((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _fits(similarity)).select("a", "b").distinct()
-    rest = C.staged(rest.join(near.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"), "candidates")
+    lists_ = prefix.select("h", "root").distinct()
+    apart_ = lists_.withColumnRenamed("root", "root_a").join(lists_.withColumnRenamed("root", "root_b").hint("merge"), "h").filter("root_a < root_b")
+    one, two = (prefix.select("h", F.col("root").alias(f"root_{k}"), F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("prints").alias(f"prints_{k}")) for k in "ab")
+    rest = apart_.join(one.hint("merge"), ["h", "root_a"]).join(two.hint("merge"), ["h", "root_b"]).filter(near(F.col("prints_a"), F.col("prints_b")))
+    rest = C.staged(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates").join(chain, ["a", "b"], "left_anti")
     return components(first.unionByName(_verified(rest, sets, similarity)).unionByName(copies))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .arrow import column, pieces, ranges, utf8
+from .arrow import column, lists, pieces, ranges, utf8
 from .components import components
 from .jaccard import linked
 from .windows import mix
@@ -32,6 +32,8 @@ from .windows import mix
 SEED = 42
 #: For similar documents: words in a shingle, similarity, fingerprints of a document, and differing bits within which two are candidates.
 WORDS, SIMILARITY, FINGERPRINTS, RADIUS = 5, 0.8, 4, 7
+#: Bits of all fingerprints together beyond which a pair is not compared. At a similarity of 0.8, 39 of 256 are expected, with a deviation of 6.
+APART = 64
 #: Fingerprints to a group at most, on average, when documents are dealt within the wider radius.
 SPREAD = 256
 #: Fingerprints in a group before it is dealt again by more bits.
@@ -170,8 +172,8 @@ class GrayIndex:
     def _pairs(self, a: np.ndarray, b: np.ndarray, most: int) -> None:
         """Compare the fingerprints of leaf a[i] with those of leaf b[i]."""
         leaf = self.levels[0]
-        for i in range(0, len(a), 20_000):
-            x, y = a[i : i + 20_000], b[i : i + 20_000]
+        for i in range(0, len(a), 5_000):
+            x, y = a[i : i + 5_000], b[i : i + 5_000]
             na, nb = leaf["end"][x] - leaf["begin"][x], leaf["end"][y] - leaf["begin"][y]
             nth, wide = ranges(np.zeros(len(x), np.int64), na * nb), np.repeat(nb, na * nb)
             p, q = np.repeat(leaf["begin"][x], na * nb) + nth // wide, np.repeat(leaf["begin"][y], na * nb) + nth % wide
@@ -267,38 +269,46 @@ def agreeing(most: int, count: int, spread: int = SPREAD) -> list[int]:
     return [sum(x) for x in combinations(blocks, c)]
 
 
-def neighboured(rows: DataFrame, shingle: int = WORDS, most: int = RADIUS, prints: int = FINGERPRINTS, spread: int = SPREAD) -> DataFrame:
-    """rows (key long, text): the keys of documents one of whose fingerprints is within `most` bits of the same fingerprint of another document."""
+def printed(rows: DataFrame, shingle: int = WORDS, prints: int = FINGERPRINTS) -> DataFrame:
+    """rows (key long, text): key and prints, so many fingerprints of the text, each from its shingles' hashes mixed anew."""
 
     def sign(batches):
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 18):
             h, counts = shingle_hashes(utf8(column(batch, "text")), shingle)
-            made = [majority(mix(h, i * SEED) if i else h, counts).view(np.int64) for i in range(prints)]
-            key = column(batch, "key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(key, prints)), pa.array(np.repeat(np.arange(prints), len(key))), pa.array(np.concatenate(made))], ["key", "nth", "fp"])
+            made = np.stack([majority(mix(h, i * SEED) if i else h, counts).view(np.int64) for i in range(prints)], axis=1)
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), lists(made.ravel(), np.full(len(counts), prints), pa.int64())], ["key", "prints"])
+
+    from pyspark.sql import types as T
+
+    return rows.select("key", "text").mapInArrow(sign, T.StructType([T.StructField("key", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))]))
+
 
-    made = C.staged(rows.select("key", "text").mapInArrow(sign, "key long, nth long, fp long"), "fingerprints")
-    nodes = C.staged(made.groupBy("nth", "fp").agg(F.count(F.lit(1)).alias("n")), "nodes")
+def neighboured(made: DataFrame, most: int = RADIUS, prints: int = FINGERPRINTS, spread: int = SPREAD) -> DataFrame:
+    """Of printed rows those one of whose fingerprints is within `most` bits of the same fingerprint of another row."""
+    each = made.select("key", F.posexplode("prints").alias("nth", "fp"))
+    nodes = C.staged(each.groupBy("nth", "fp").agg(F.count(F.lit(1)).alias("n")), "nodes")
     masks = agreeing(most, nodes.count() // prints, spread)
-    dealt = nodes.select("nth", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.select(F.col("nth").cast("long").alias("nth"), "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "nth", "mask", "value").sortWithinPartitions("nth", "mask", "value")
-    near = dealt.mapInArrow(_linker(most, ("nth", "mask", "value"), members=True), "nth long, fp long").unionByName(nodes.filter("n > 1").select("nth", "fp"))
-    return made.join(C.staged(near.distinct(), "near").hint("merge"), ["nth", "fp"]).select("key").distinct()
+    near = dealt.mapInArrow(_linker(most, ("nth", "mask", "value"), members=True), "nth long, fp long").unionByName(nodes.filter("n > 1").select(F.col("nth").cast("long").alias("nth"), "fp"))
+    keys = each.join(C.staged(near.distinct(), "near").hint("merge"), ["nth", "fp"]).select("key").distinct()
+    return made.join(keys, "key", "left_semi")
 
 
-def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, most: int = RADIUS, prints: int = FINGERPRINTS) -> DataFrame:
+def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, most: int = RADIUS, prints: int = FINGERPRINTS, apart: int = APART) -> DataFrame:
     """The rows of df, with all their columns, that stay: of each group of near copies the one with the smallest id (null ids last; of rows that
     share it one, by their texts' hash).
 
-    Candidates have a fingerprint within `most` bits of another's; among them every pair with this similarity of their word shingles is a link (exactly, by all
-    their shingles), and chains of links are a group. So no row goes without a similar one; a pair with no close fingerprint is missed.
-    A null text counts as empty, and texts without words are copies. An empty table gives no rows.
+    Candidates have a fingerprint within `most` bits of another's; among them every pair with this similarity of their word shingles (compared by all of
+    them) whose fingerprints differ in no more than `apart` bits in all is a link, and chains of links are a group. So no row goes without a similar one; a row
+    with no close fingerprint is missed. A null text counts as empty, and texts without words are copies. An empty table gives no rows.
     """
     rows = C.keyed(df, id_col, text_col, rows=True)
-    own = C.staged(neighboured(rows.select("key", "text"), shingle, most, prints), "neighboured")
-    meet = F.broadcast(own) if own.count() * 24 <= C.BROADCAST_BYTES else own
-    found = linked(C.staged(rows.select("key", "text").join(meet, "key", "left_semi"), "compared"), shingle, similarity)
+    near = C.staged(neighboured(C.staged(printed(rows, shingle, prints), "fingerprints"), most, prints), "neighboured")
+    own = near.select("key")
+    own = F.broadcast(own) if near.count() * 24 <= C.BROADCAST_BYTES else own
+    found = linked(C.staged(rows.select("key", "text").join(own, "key", "left_semi"), "compared"), shingle, similarity, near, apart)
     gone = C.staged(found.filter("node != root").select(F.col("node").alias("key")), "gone")
     gone = F.broadcast(gone) if gone.count() * 24 <= C.BROADCAST_BYTES else gone
     return rows.join(gone, "key", "left_anti").select("row.*")
