@@ -65,6 +65,11 @@ def unplanes(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each if all fit, else in eight."""
+    return n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.int64)
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -325,7 +330,7 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
             rows = []
             for p, own in _by_part(part):
                 rare = own[ids[own] >= RARE]
-                rows.append((p, PAIRS, packed(planes(ids[own]), n[own].astype(np.uint32), before[rare], word[rare])))
+                rows.append((p, PAIRS, packed(planes(ids[own]), narrow(n[own]), before[rare], word[rare])))
             return next(_batched(_table(rows)))
 
         for batch in pieces(batches, "text", 1 << 20):
@@ -354,7 +359,7 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
         lower = words.counts(count2) / over
         small = [(n == r).astype(np.int64) for r in range(1, K + 1)]
         context = summed(before, n, *small, lower)  # by hash, and so by part
-        rows = [(key[0].as_py(), PAIRS, packed(planes(both), n.astype(np.uint32)), _histogram(n)), (key[0].as_py(), COUNTS, packed(rare, rare_count), None)]
+        rows = [(key[0].as_py(), PAIRS, packed(planes(both), narrow(n)), _histogram(n)), (key[0].as_py(), COUNTS, packed(rare, rare_count), None)]
         rows += [(p, CONTEXTS, packed(planes(context[0][at]), *[c[at] for c in context[1:]]), None) for p, at in _by_part(part_of(context[0], parts))]
         return _table(rows, ("part", "kind", "data", "stats"))
 
@@ -362,7 +367,7 @@ def train(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BIT
     stats = _sums(made)
     discount = Discount(stats[: K + 1])
     least = _least(stats, 1 << pair_bits - 1)
-    hot_pairs = _hot(pair_bits, _collected(made, PAIRS, lambda a: [mix(unplanes(a[0])[a[1] >= least], 14), a[1][a[1] >= least]]), "QI")
+    hot_pairs = _hot(pair_bits, _collected(made, PAIRS, lambda a: [mix(unplanes(a[0])[a[1] >= least], 14), a[1][a[1] >= least]]), "Ql")
 
     def gathered(key, table):
         context, total, *rest = summed(*_joined([(unplanes(keys), *rest) for keys, *rest in _held(table, CONTEXTS)], "Qllllllld"))

@@ -85,3 +85,10 @@ def test_distributions_sum_to_one():
 
 def test_empty(make):
     assert katz.language_model_scores(make([])).collect() == []
+
+
+def test_counts_beyond_four_bytes():
+    for counts in ([], [1, 2], [1, 1 << 32], [(1 << 62) + 1]):
+        n = np.array(counts, np.int64)
+        assert katz.unpacked(katz.packed(katz.narrow(n)))[0].astype(np.int64).tolist() == counts
+    assert katz._hot(4, [np.array([3], np.uint64), np.array([1 << 33])], "Ql").find(np.array([3], np.uint64))[1].tolist() == [1 << 33]
