@@ -70,11 +70,11 @@ def _verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, prints: DataFrame | None = None, apart: int = 0) -> DataFrame:
-    """rows (key long, text): (node, root) as the components of all similar pairs, without all pairs of a group.
+    """rows (key long, text): (node, root) as the components of similar pairs, with work in proportion to the shingles.
 
-    Equal sets are one; the first candidates are neighbours by size in each shingle's list, which already join a group of near copies; only candidates from two
-    components that are left are then compared, and components meet by shingle before their members do. prints (key, an array of longs): pairs
-    whose fingerprints differ in more than `apart` bits in all are not compared.
+    Equal sets are one. Each set is compared, by all its shingles, with its neighbour by size and with the smallest key in the list of each of its rarest
+    shingles, never with a whole list; so every link is right, and a pair of similar texts is missed where neither those nor a chain of them leads from one to
+    the other. prints (key, an array of longs): pairs whose fingerprints differ in more than `apart` bits in all are not compared.
     """
 
     def hashed(batches):
@@ -94,18 +94,13 @@ def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, n: m + n)
         return _fits(similarity) & (bits <= apart)
 
-    before = F.lag(F.struct("key", "n", "prints")).over(W.partitionBy("h").orderBy("n", "key"))
-    chain = prefix.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "prints", before.alias("x")).filter("x IS NOT NULL").withColumns({"b": F.col("x.key"), "n_b": F.col("x.n")})
-    chain = C.staged(chain.filter(near(F.col("prints"), F.col("x.prints"))).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "neighbours")
-    first = C.staged(_verified(chain, sets, similarity), "links")
-    labels = components(first).withColumnRenamed("node", "key")
-    prefix = C.staged(prefix.join(labels.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key")), "labelled")
-    lists_ = prefix.select("h", "root").distinct()
-    apart_ = lists_.withColumnRenamed("root", "root_a").join(lists_.withColumnRenamed("root", "root_b").hint("merge"), "h").filter("root_a < root_b")
-    one, two = (prefix.select("h", F.col("root").alias(f"root_{k}"), F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("prints").alias(f"prints_{k}")) for k in "ab")
-    rest = apart_.join(one.hint("merge"), ["h", "root_a"]).join(two.hint("merge"), ["h", "root_b"]).filter(near(F.col("prints_a"), F.col("prints_b")))
-    rest = C.staged(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates").join(chain, ["a", "b"], "left_anti")
-    return components(first.unionByName(_verified(rest, sets, similarity)).unionByName(copies))
+    one = F.struct("key", "n", "prints")
+    before = F.lag(one).over(W.partitionBy("h").orderBy("n", "key"))
+    firsts = C.staged(prefix.groupBy("h").agg(F.min(one).alias("x")), "firsts")
+    both = prefix.select("key", "n", "prints", before.alias("x")).unionByName(prefix.join(firsts.hint("merge"), "h").select("key", "n", "prints", "x"))
+    both = both.filter("x.key != key").select(F.col("key").alias("a"), F.col("n").alias("n_a"), "prints", F.col("x.key").alias("b"), F.col("x.n").alias("n_b"), F.col("x.prints").alias("others"))
+    both = C.staged(both.filter(near(F.col("prints"), F.col("others"))).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "candidates")
+    return components(_verified(both, sets, similarity).unionByName(copies))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -300,9 +300,10 @@ def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of df, with all their columns, that stay: of each group of near copies the one with the smallest id (null ids last; of rows that
     share it one, by their texts' hash).
 
-    Candidates have a fingerprint within `most` bits of another's; among them every pair with this similarity of their word shingles (compared by all of
-    them) whose fingerprints differ in no more than `apart` bits in all is a link, and chains of links are a group. So no row goes without a similar one; a row
-    with no close fingerprint is missed. A null text counts as empty, and texts without words are copies. An empty table gives no rows.
+    Candidates have a fingerprint within `most` bits of another's; among them pairs are compared by all their shingles (see jaccard.linked), those with
+    this similarity whose fingerprints differ in no more than `apart` bits in all are links, and chains of links are a group. So no row goes without a chain of similar
+    ones; a row with no close fingerprint, or that is not compared with its like, is missed. A null text counts as empty, and texts without words are
+    copies. An empty table gives no rows.
     """
     rows = C.keyed(df, id_col, text_col, rows=True)
     near = C.staged(neighboured(C.staged(printed(rows, shingle, prints), "fingerprints"), most, prints), "neighboured")
