@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+def trim() -> None:
+    """Gives back to the system what earlier tasks of this worker have freed (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces(batches, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column has about `most` bytes in each (one row at least), without a copy."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
