@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
-from .arrow import column, pieces, utf8
+from .arrow import column, pieces, trim, utf8
 from .tokens import Encoder
 
 LENGTH = 2048
@@ -113,6 +113,8 @@ def token_pieces(rows: DataFrame, tokenizer: str, tokens: int = LENGTH, keep_ids
                 ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, kind.names)
+        del encoder
+        trim()
 
     return rows.mapInArrow(cut, kind)
 
@@ -134,18 +136,15 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     found = plan(totals, tokens, documents, attention, weights, rule)
     shared = df.sparkSession.sparkContext.broadcast(found)
     ranked = made.join(before, ["shard", "length"]).withColumn("rank", F.col("local") + F.col("base")).drop("shard", "local", "base")
-    ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank", *(["ids"] if keep_ids else []))
-    kept = [f for f in ranked.schema if f.name != "rank"]
-    kind = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def place(batches):
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         p = shared.value
-        where = p["length"].astype(np.int64) << 48 | p["rank"]
-        for batch in batches:
-            length, rank = (column(batch, c).to_numpy() for c in ("length", "rank"))
-            at = np.searchsorted(where, length << 48 | rank, "right") - 1
-            nth = rank - p["rank"][at]
-            sequence, offset = p["bin"][at] + nth // p["each"][at], p["offset"][at] + nth % p["each"][at] * length
-            yield pa.RecordBatch.from_arrays([*[column(batch, f.name) for f in kept], pa.array(sequence), pa.array(offset)], kind.names)
-
-    return ranked.mapInArrow(place, kind).withColumnRenamed("id", id_col)
+        length, rank = length.to_numpy(), rank.to_numpy()
+        at = np.searchsorted(p["length"].astype(np.int64) << 48 | p["rank"], length << 48 | rank, "right") - 1
+        nth = rank - p["rank"][at]
+        sequence, offset = p["bin"][at] + nth // p["each"][at], p["offset"][at] + nth % p["each"][at] * length
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
+
+    # Only length and rank go to Python: the ids stay where they are.
+    placed = ranked.withColumn("place", F.arrow_udf(place, "sequence_id long, offset long")("length", "rank"))
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "place.sequence_id", "place.offset")
