@@ -7,6 +7,8 @@ of fitting sizes are compared by their whole sets (of 64-bit hashes), so no pair
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -63,16 +65,23 @@ def _fits(similarity: float):
 
 def _verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole sets have this similarity."""
+    named = C.staged(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "named")
+    sets = sets.join(_small(named), "key", "left_semi")  # no other set moves
     one, two = (sets.select(F.col("key").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
     both = near.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     common = F.size(F.array_intersect("own_a", "own_b"))
     return both.filter(common >= F.lit(similarity) * (F.size("own_a") + F.size("own_b") - common) - SLACK).select("a", "b")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A staged table of keys, broadcast if it fits."""
+    return F.broadcast(keys) if keys.count() * 24 <= C.BROADCAST_BYTES else keys
+
+
 def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, prints: DataFrame | None = None, apart: int = 0) -> DataFrame:
     """rows (key long, text): (node, root) as the components of similar pairs, with work in proportion to the shingles.
 
-    Equal sets are one. Each set is compared, by all its shingles, with its neighbour by size and with the smallest key in the list of each of its rarest
+    Equal sets (by SHA-256) are one. Each set is compared, by all its shingles, with its neighbour by size and with the smallest key in the list of each of its rarest
     shingles, never with a whole list; so every link is right, and a pair of similar texts is missed where neither those nor a chain of them leads from one to
     the other. prints (key, an array of longs): pairs whose fingerprints differ in more than `apart` bits in all are not compared.
     """
@@ -80,12 +89,14 @@ def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     def hashed(batches):
         for batch in pieces(batches, "text", 1 << 19):
             own = [shingles(t, shingle) for t in utf8(column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), lists(np.concatenate(own), [len(x) for x in own], pa.int64())], ["key", "own"])
+            digests = pa.array([hashlib.sha256(x.tobytes()).digest() for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), lists(np.concatenate(own), [len(x) for x in own], pa.int64()), digests], ["key", "own", "digest"])
 
-    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType())), T.StructField("digest", T.BinaryType())])
     every = C.staged(rows.select("key", "text").mapInArrow(hashed, kind), "sets")
-    sets = C.staged(every.groupBy("own").agg(F.min("key").alias("key")).select("key", "own"), "distinct")
-    copies = every.join(sets.select("own", F.col("key").alias("b")), "own").filter("key != b").select(F.col("key").alias("a"), "b")
+    firsts = C.staged(every.groupBy("digest").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "b"), "equal")
+    copies = C.staged(every.select("digest", F.col("key").alias("a")).join(firsts.hint("merge"), "digest").filter("a != b").select("a", "b"), "copies")
+    sets = every.select("key", "own").join(_small(copies.select(F.col("a").alias("key"))), "key", "left_anti")
     prefix = _prefixes(sets, similarity)
     prefix = prefix.join(prints, "key") if prints else prefix.withColumn("prints", F.expr("cast(array() as array<bigint>)"))
     prefix = C.staged(prefix, "printed")
