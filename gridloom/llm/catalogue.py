@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, jaccard, katz, language, lines, packing, pii, simhash, substring, suffix
+from . import audit, decontaminate, exact, jaccard, katz, language, lines, multiindex, packing, pii, simhash, spelling, substring, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -77,5 +89,8 @@ QUERIES = {
     "op8_verified_near_dedup": op8_verified_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_suffix_array_dedup": suffix.ORACLE, "op3_exact_dedup": exact.ORACLE, "op5_line_dedup": lines.ORACLE, "op5_every_line_dedup": lines.EVERY_ORACLE, "op9_substring_dedup": substring.ORACLE}
+ORACLES = {"op1_benchmark_decontamination": decontaminate.ORACLE, "op2_suffix_array_dedup": suffix.ORACLE, "op3_exact_dedup": exact.ORACLE, "op5_line_dedup": lines.ORACLE, "op5_every_line_dedup": lines.EVERY_ORACLE, "op9_substring_dedup": substring.ORACLE, "op11_filter_audit": audit.ORACLE, "op13_spelling_variants": spelling.ORACLE}
