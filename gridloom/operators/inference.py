@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import EDGES, unit
+from . import failures
 from .suppression import suppress
 
 DETECTIONS = "image_id long, tile_x int, tile_y int, label int, score double, x1 double, y1 double, x2 double, y2 double"
@@ -65,7 +66,11 @@ def with_whole(images: DataFrame, tiles: DataFrame) -> DataFrame:
 def collected(images: DataFrame, tiles: DataFrame, engine: Callable[[Iterator], Iterator], floor: float = 0.1, engine_kind: str = "yolo", whole: bool = True) -> DataFrame:
     """Raw normalised detections of images (image_id, width, height) through their tiles, and as a whole if wanted, from a low score on. Numbered
     within an image by score, then by place, so the numbers are the same whenever a task runs again."""
-    found = confident(run_engine(with_whole(images, tiles) if whole else tiles, engine), floor, engine_kind)
+    return _numbered(run_engine(with_whole(images, tiles) if whole else tiles, engine), images, floor, engine_kind)
+
+
+def _numbered(found: DataFrame, images: DataFrame, floor: float, engine_kind: str) -> DataFrame:
+    found = confident(found, floor, engine_kind)
     raw = reproject(found.join(images.select("image_id", "width", "height"), "image_id")).drop("width", "height")
     order = W.partitionBy("image_id").orderBy(F.desc("score"), "tile_y", "tile_x", "label", *EDGES)
     return raw.withColumn("det_id", F.row_number().over(order).cast("long"))
@@ -77,6 +82,15 @@ def infer(images: DataFrame, tiles: DataFrame, engine: Callable[[Iterator], Iter
     return raw, suppress(raw, method, iou)
 
 
+def infer_captured(images: DataFrame, tiles: DataFrame, load: Callable[[], Callable], method: str = "wbf", conf: float = 0.25, iou: float = 0.45, engine_kind: str = "yolo", whole: bool = False) -> tuple[DataFrame, DataFrame, failures.Outcome]:
+    """(raw, final, outcome by image): as infer, but an image with a tile on which the engine raises has no detections and stands in outcome.failures with the error of
+    its first such tile, row by row of tiles. load: see failures.captured."""
+    rows = with_whole(images, tiles) if whole else tiles.select("image_id", "width", "height", "row_index", "column_index", "x", "y", "tile_width", "tile_height")
+    outcome = failures.by_group(failures.captured(rows, load, DETECTIONS, ("image_id", "row_index", "column_index")), "image_id", ("row_index", "column_index"))
+    raw = _numbered(outcome.results, images, conf, engine_kind)
+    return raw, suppress(raw, method, iou), outcome
+
+
 def summary(images: DataFrame, raw: DataFrame, final: DataFrame) -> DataFrame:
     """For each image: raw and final counts, duplicates_removed, and the final scores' least, greatest and mean to 3 digits (null without any)."""
     n = raw.groupBy("image_id").agg(F.count(F.lit(1)).alias("raw_count"))

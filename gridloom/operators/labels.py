@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import prefix
 from ..functions.geometry import unit
-from .tiling import letterbox
+from .tiling import Tiling, letterbox, touched_tiles
 
 LINE = "%d %.6f %.6f %.6f %.6f"
 
@@ -17,7 +18,18 @@ def tile_boxes(annotations: DataFrame, tiled: DataFrame, threshold: float = 0.4,
     corner. An equi-join on the image, with interval bounds; the share of an empty box is 0."""
     dup = [c for c in tiled.columns if c in annotations.columns and c not in keys]
     own = tiled.select(*[c for c in tiled.columns if c not in dup and c not in ("x", "y")], F.col("x").alias("tile_x"), F.col("y").alias("tile_y"))
-    both = annotations.join(own, list(keys))
+    return _on_tiles(annotations.join(own, list(keys)), threshold)
+
+
+def boxes_on_tiles(annotations: DataFrame, t: Tiling, threshold: float = 0.4) -> DataFrame:
+    """As tile_boxes, for annotations with their image's width and height and a tiling: each box meets the tiles that it touches, by arithmetic, and no
+    other (see tiling.touched_tiles); nothing is joined. The threshold is above 0, as at 0 a box stays on every tile of its image."""
+    if threshold <= 0:
+        raise ValueError("at a threshold of 0 use tile_boxes")
+    return _on_tiles(touched_tiles(annotations, t), threshold)
+
+
+def _on_tiles(both: DataFrame, threshold: float) -> DataFrame:
     x2, y2 = F.col("tile_x") + F.col("tile_width"), F.col("tile_y") + F.col("tile_height")
     near = (F.col("x") < x2) & (F.col("tile_x") < F.col("x") + F.col("w")) & (F.col("y") < y2) & (F.col("tile_y") < F.col("y") + F.col("h"))
     both = both.filter(near) if threshold > 0 else both
@@ -103,18 +115,15 @@ def to_coco(labels: DataFrame, images: DataFrame, n_classes: int) -> tuple[DataF
     Images are numbered by name from 1, also those whose size is null, which have no annotations. Boxes are clamped to the image; empty ones go.
     A class beyond the known ones is its own category.
     """
-    numbered = images.withColumn("id", F.row_number().over(W.orderBy("file_name")))
+    numbered = prefix.numbered(images, ["file_name"], "id").withColumn("id", F.col("id").cast("int"))
     own = labels.join(numbered.filter("width > 0 AND height > 0"), "file_name")
     c = F.col
     x = F.greatest(F.lit(0.0), F.least((c("cx") - c("w") / 2) * c("width"), c("width").cast("double")))
     y = F.greatest(F.lit(0.0), F.least((c("cy") - c("h") / 2) * c("height"), c("height").cast("double")))
     own = own.select(c("id").alias("image_id"), "line_no", "cls", x.alias("x"), y.alias("y"), F.least(c("w") * c("width"), c("width") - x).alias("bw"), F.least(c("h") * c("height"), c("height") - y).alias("bh")).filter("bw > 0 AND bh > 0")
     category = F.when(c("cls") < n_classes, c("cls") + 1).otherwise(c("cls"))
-    before = own.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("image_id", F.coalesce(F.sum("n").over(W.orderBy("image_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.partitionBy("image_id").orderBy("line_no"))
-    out = own.withColumn("k", inside).join(before, "image_id")
-    return numbered, out.select((c("k") + c("before")).alias("id"), "image_id", category.alias("category_id"), "x", "y", "bw", "bh", (c("bw") * c("bh")).alias("area"))
+    out = prefix.numbered(own, ["image_id", "line_no"], "id")
+    return numbered, out.select("id", "image_id", category.alias("category_id"), "x", "y", "bw", "bh", (c("bw") * c("bh")).alias("area"))
 
 
 def original_stem(name: Column) -> Column:

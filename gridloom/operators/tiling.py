@@ -100,6 +100,44 @@ def tiles(images: DataFrame, t: Tiling) -> DataFrame:
     return rows.select(*own, "row_index", "column_index", "x", "y", "tile_width", "tile_height")
 
 
+def _touched(t: Tiling, size: Column, tile: Column, n: Column, start: Column, end: Column) -> Column:
+    """Array of (i, at): the tiles of an axis, their place among n and their start, that an interval can touch. The inverse of the positions, so its length follows
+    from the interval, not from n; rounded positions may add one at either end."""
+    if t.kind == "sahi":
+        last = F.greatest(size - tile, F.lit(0)).cast("int")
+        stride = n  # fixed tiles are placed by their stride, not by their number
+        low, high = F.floor((start - tile) / stride) + 1, F.when(end > last, F.ceil(last / stride)).otherwise(F.ceil(end / stride) - 1)
+        top, at = F.ceil(last / stride), lambda i: F.least(i * stride, last).cast("int")
+    else:
+        room, steps = size - tile, F.greatest(n - 1, F.lit(1))
+        low = F.when(room > 0, F.floor((start - tile - 0.5) * steps / room) + 1).otherwise(0)
+        high = F.when(room > 0, F.ceil((end + 0.5) * steps / room) - 1).otherwise(n - 1)
+        top, at = n - 1, _spread(room, steps)
+    low, high = F.greatest(low, F.lit(0)).cast("int"), F.least(high, top).cast("int")
+    low = F.least(low, top.cast("int"))
+    every = F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(every, lambda i: F.struct(i.cast("int").alias("i"), at(i).alias("at")))
+
+
+def touched_tiles(boxes: DataFrame, t: Tiling) -> DataFrame:
+    """boxes (x, y, w, h, and width and height of their image) with a row for each tile of their image that they can touch: row_index, column_index, tile_x, tile_y,
+    tile_width, tile_height. The tiles follow from the box and the grid by arithmetic: no table of tiles, no join, and none far from a box. Boxes of images without a
+    size, and all where there are no tiles, have no row."""
+    w, h, c = F.col("width"), F.col("height"), F.col
+    if t.kind == "none":
+        rows, (tw, th), (nx, ny) = boxes.limit(0), tile_size(t, w, h), (F.lit(1), F.lit(1))
+    else:
+        rows, (tw, th) = boxes.filter((w > 0) & (h > 0)), tile_size(t, w, h)
+        nx, ny = map(F.lit, t.stride) if t.kind == "sahi" else grid(t, w, h)
+    own = boxes.columns
+    rows = rows.select(*own, tw.alias("_tw"), th.alias("_th"), nx.alias("_nx"), ny.alias("_ny"))
+    rows = rows.withColumn("_row", F.explode(_touched(t, h, c("_th"), c("_ny"), c("y"), c("y") + c("h"))))
+    rows = rows.withColumn("_column", F.explode(_touched(t, w, c("_tw"), c("_nx"), c("x"), c("x") + c("w"))))
+    x, y = c("_column.at"), c("_row.at")
+    tw, th = (F.least("_tw", w - x), F.least("_th", h - y)) if t.kind in ("sahi", "none") else (c("_tw"), c("_th"))
+    return rows.select(*own, c("_row.i").alias("row_index"), c("_column.i").alias("column_index"), x.alias("tile_x"), y.alias("tile_y"), tw.alias("tile_width"), th.alias("tile_height"))
+
+
 def tile_names(tiled: DataFrame, file_name: str = "file_name") -> DataFrame:
     """tiled and tile_file, the name of each tile's file."""
     stem = F.regexp_replace(file_name, r"\.[^.]*$", "")

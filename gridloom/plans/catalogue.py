@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, inference, labels, matching, metrics, reports, splits, stats, suppression, sweep, tiling, validation
+from ..operators import cleaning, crowds, inference, labels, matching, metrics, reports, splits, stats, suppression, sweep, tiling, validation
 from . import fixture as X
 from .fixture import sql
 
@@ -281,8 +281,8 @@ _U = lambda x: f"round(greatest(least({x}, 1.0), 0.0), 13)"
 
 
 def _kept(spark, d, mode):
-    own = X.annotations(spark, d).select("ann_id", "image_id", "category_id", "x", "y", "w", "h")
-    return labels.tile_boxes(own, _tiled(spark, d, mode))
+    own = X.annotations(spark, d).select("ann_id", "image_id", "category_id", "x", "y", "w", "h", "width", "height", "fold")
+    return labels.boxes_on_tiles(own, TILINGS[mode])
 
 
 @query("tile_labels_ioa", sql(tile_sql("sahi") + _KEPT + f" SELECT image_id, row_index, column_index, ann_id, round(ioa, 13) AS ioa, {_U('(cx1 + (cx2 - cx1) / 2.0) / tile_width')} AS cx, {_U('(cy1 + (cy2 - cy1) / 2.0) / tile_height')} AS cy, {_U('(cx2 - cx1) / CAST(tile_width AS DOUBLE)')} AS bw, {_U('(cy2 - cy1) / CAST(tile_height AS DOUBLE)')} AS bh FROM kept"))
@@ -291,6 +291,18 @@ def _(spark, d):
     return rounded(own, "ioa", "cx", "cy", "bw", "bh", digits=13)
 
 
+@query("tile_labels_rect", sql(tile_sql("asahi_rect") + _KEPT + f" SELECT image_id, row_index, column_index, ann_id, round(ioa, 13) AS ioa, {_U('(cx1 + (cx2 - cx1) / 2.0) / tile_width')} AS cx, {_U('(cy1 + (cy2 - cy1) / 2.0) / tile_height')} AS cy FROM kept"))
+def _(spark, d):
+    return rounded(labels.tile_labels(_kept(spark, d, "asahi_rect")).select("image_id", "row_index", "column_index", "ann_id", "ioa", "cx", "cy"), "ioa", "cx", "cy", digits=13)
+
+
+@query("touched_tiles", sql(tile_sql("sahi") + " SELECT image_id, ann_id, count(*) AS tiles, CAST(sum(tl.x) AS BIGINT) AS xs, CAST(sum(tl.y) AS BIGINT) AS ys FROM ann a JOIN tl USING (image_id) WHERE a.x < tl.x + tile_width AND tl.x < a.x + a.w AND a.y < tl.y + tile_height AND tl.y < a.y + a.h GROUP BY ALL"))
+def _(spark, d):
+    """The tiles of each box; all are touched, as fixed tiles are found exactly."""
+    rows = tiling.touched_tiles(X.annotations(spark, d), TILINGS["sahi"])
+    return rows.groupBy("image_id", "ann_id").agg(F.count(F.lit(1)).alias("tiles"), F.sum("tile_x").alias("xs"), F.sum("tile_y").alias("ys"))
+
+
 def _box_sql(w: str, h: str, x: str, y: str, bw: str, bh: str) -> str:
     s = f"least(640.0::DOUBLE / {w}, 640.0::DOUBLE / {h})"
     pad = lambda v: f"floor((640 - CAST(trunc({v} * {s}) AS INT)) / 2.0)"
@@ -419,6 +431,17 @@ def _(spark, d):
     return suppression.cluster_diou_nms(X.detections(spark, d)).select("det_id")
 
 
+@query("nms_in_rounds", sql(NMS + " SELECT det_id FROM nms"))
+def _(spark, d):
+    """Images cut into strips of about eight boxes."""
+    return crowds.nms(X.detections(spark, d), crowd=8).select("det_id")
+
+
+@query("cluster_diou_in_rounds", sql(kept_sql("image_id", diou_of("A", "B")) + " SELECT det_id FROM nms"))
+def _(spark, d):
+    return crowds.cluster_diou_nms(X.detections(spark, d), crowd=8).select("det_id")
+
+
 @query("bws", sql(NMS + f""", s AS (SELECT det.* FROM det JOIN nms USING (det_id)), pr AS (SELECT a.det_id, a.score, a.x1, a.y1, a.x2, a.y2, s.det_id AS seed, row_number() OVER (PARTITION BY a.det_id ORDER BY s.score DESC, s.det_id) AS n
 FROM det a JOIN s ON a.image_id = s.image_id AND a.label = s.label WHERE a.det_id = s.det_id OR ({iou_of('s', 'a')}) > 0.5)
 SELECT seed AS det_id, max(score) AS score, {', '.join(f'round(sum({e} * score) / sum(score), 9) AS {e}' for e in ('x1', 'y1', 'x2', 'y2'))} FROM pr WHERE n = 1 GROUP BY seed"""))

@@ -230,3 +230,44 @@ def _(spark, d):
 
     own = X.images(spark, d).select("image_id", "width", "height")
     return rounded(inference.collected(own, tiling.tiles(own, TILINGS["sahi"]), engine).select("image_id", "det_id", "score", "x1", "y2"), "score", "x1", "y2")
+
+
+# Failures
+
+
+def _failing():
+    """An engine as in engine_detections that raises at the second column of every 17th image."""
+
+    def predict(pdf):
+        bad = pdf[(pdf["image_id"] % 17 == 0) & (pdf["column_index"] == 1)]
+        if len(bad):
+            raise ValueError(f"tile {bad['row_index'].iloc[0]}-{bad['column_index'].iloc[0]} of image {bad['image_id'].iloc[0]}")
+        score = ((pdf["x"] + pdf["y"] + pdf["image_id"]) % 90 + 5) / 100.0
+        return pdf[["image_id"]].assign(tile_x=pdf["x"], tile_y=pdf["y"], label=0, score=score, x1=10.0, y1=10.0, x2=60.0, y2=600.0)
+
+    return predict
+
+
+def _captured(spark, d):
+    own = X.images(spark, d).select("image_id", "width", "height")
+    return inference.infer_captured(own, tiling.tiles(own, TILINGS["sahi"]), _failing, method="nms", conf=0.1)
+
+
+@query("captured_detections", sql(tile_sql("sahi") + """, q AS (SELECT *, ((x + y + image_id) % 90 + 5) / 100.0::DOUBLE AS score FROM tl WHERE image_id % 17 <> 0),
+r AS (SELECT image_id, score, x, y, (x + 10) / CAST(width AS DOUBLE) AS x1, (y + 10) / CAST(height AS DOUBLE) AS y1, least(1, (x + 60) / CAST(width AS DOUBLE)) AS x2, least(1, (y + 600) / CAST(height AS DOUBLE)) AS y2 FROM q WHERE score >= 0.1)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, y, x, x1, y1, x2, y2) AS det_id, round(score, 6) AS score, round(x1, 6) AS x1, round(y2, 6) AS y2 FROM r"""))
+def _(spark, d):
+    return rounded(_captured(spark, d)[0].select("image_id", "det_id", "score", "x1", "y2"), "score", "x1", "y2")
+
+
+@query("captured_failures", sql("SELECT image_id, 'ValueError: tile 0-1 of image ' || image_id AS error FROM img WHERE image_id % 17 = 0"))
+def _(spark, d):
+    return _captured(spark, d)[2].failures
+
+
+@query("captured_summary", sql(tile_sql("sahi") + """, q AS (SELECT image_id, count(*) FILTER (((x + y + image_id) % 90 + 5) / 100.0::DOUBLE >= 0.1) AS raw_count FROM tl WHERE image_id % 17 <> 0 GROUP BY ALL)
+SELECT image_id, raw_count, (SELECT count(*) FROM img WHERE image_id % 17 <> 0) AS processed, (SELECT count(*) FROM img WHERE image_id % 17 = 0) AS failed FROM q"""))
+def _(spark, d):
+    raw, final, outcome = _captured(spark, d)
+    own = inference.summary(outcome.done, raw, final).select("image_id", "raw_count")
+    return own.select("*", F.lit(outcome.counts["done"]).alias("processed"), F.lit(outcome.counts["failed"]).alias("failed"))

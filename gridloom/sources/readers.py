@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import documents
+
 #: Names of annotation files in an image folder, the cleaned one first; image endings.
 CLEAN, RAW = "_annotations_clean.coco.json", "_annotations.coco.json"
 ENDINGS = ("jpg", "jpeg", "png")
@@ -16,7 +18,6 @@ _L, _D, _S, _I = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType()
 IMAGE = T.StructType([T.StructField("id", _L), T.StructField("file_name", _S), T.StructField("width", _I), T.StructField("height", _I)])
 ANNOTATION = T.StructType([T.StructField("id", _L), T.StructField("image_id", _L), T.StructField("category_id", _L), T.StructField("bbox", T.ArrayType(_D)), T.StructField("area", _D), T.StructField("iscrowd", _I)])
 CATEGORY = T.StructType([T.StructField("id", _L), T.StructField("name", _S)])
-COCO = T.StructType([T.StructField("images", T.ArrayType(IMAGE)), T.StructField("annotations", T.ArrayType(ANNOTATION)), T.StructField("categories", T.ArrayType(CATEGORY))])
 DETECTION = "split string, arch string, dataset string, fold int, image string, det_id long, label int, score double, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -40,13 +41,6 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def _document(spark: SparkSession, path: str) -> DataFrame:
-    """One row, value: a file's text. An annotation file is one JSON object, which no reader can split."""
-    if path.rsplit("/", 1)[-1].startswith(("_", ".")):
-        return spark.createDataFrame([(read_text(spark, path),)], "value string")
-    return spark.read.text(path, wholetext=True)
-
-
 def annotation_path(spark: SparkSession, folder: str) -> str | None:
     """The cleaned annotation file of a folder, else the raw one, else None."""
     return next((p for p in (f"{folder}/{CLEAN}", f"{folder}/{RAW}") if exists(spark, p)), None)
@@ -59,15 +53,21 @@ def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         if not found:
             raise FileNotFoundError(f"no annotation file in {path}")
         path = found
-    doc = _document(spark, path).select(F.from_json("value", COCO).alias("d"))
-    return {k: doc.select(F.inline(f"d.{k}")) for k in ("images", "annotations", "categories")}
+    folder = documents.sections(spark, path)
+    return {k: listed(spark, folder, k, kind) for k, kind in (("images", IMAGE), ("annotations", ANNOTATION), ("categories", CATEGORY))}
+
+
+def listed(spark: SparkSession, folder: str, part: str, schema: T.StructType) -> DataFrame:
+    """Entries of one list of a document (see documents.sections); none where it has no such list."""
+    return spark.read.schema(schema).json(f"{folder}/section={part}") if exists(spark, f"{folder}/section={part}") else spark.createDataFrame([], schema)
 
 
 def coco_raw(spark: SparkSession, path: str, part: str) -> DataFrame:
     """Entries of one part with every field they have: id and the entry as JSON text."""
-    text = _document(spark, path).select(F.from_json("value", f"{part} array<map<string,string>>").alias("d"))
-    rows = text.select(F.explode(f"d.{part}").alias("e"))
-    return rows.select(F.col("e")["id"].cast("long").alias("id"), F.to_json("e").alias("entry"))
+    folder = f"{documents.sections(spark, path)}/section={part}"
+    text = spark.read.text(folder) if exists(spark, folder) else spark.createDataFrame([], "value string")
+    text = text.select(F.from_json("value", "map<string,string>").alias("e"))
+    return text.select(F.col("e")["id"].cast("long").alias("id"), F.to_json("e").alias("entry"))
 
 
 def image_listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,9 +108,9 @@ def detections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, collect) -> DataFrame:
-    """The cache at path; collect() makes it where it does not exist."""
-    if not exists(spark, path):
-        collect().write.parquet(path)
+    """The cache at path; collect() makes it where it does not exist, or where a run that died left a part of it."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        collect().write.mode("overwrite").parquet(path)
     return detections(spark, path)
 
 
@@ -119,8 +119,10 @@ def fold_stats(spark: SparkSession, *paths: str) -> DataFrame:
     path = next((p for p in paths if exists(spark, p)), None)
     if not path:
         raise FileNotFoundError(f"no fold statistics at {', '.join(paths)}")
-    doc = spark.read.option("multiLine", True).json(path)
-    parts = [doc.select(F.lit(s).alias("split"), F.inline(f"{s}_metrics")) for s in ("train", "val", "test") if dict(doc.dtypes).get(f"{s}_metrics", "").startswith("array<struct")]
+    folder = documents.sections(spark, path)
+    parts = [spark.read.json(f).select(F.lit(s).alias("split"), "*") for s in ("train", "val", "test") if exists(spark, f := f"{folder}/section={s}_metrics")]
+    if not parts:
+        return spark.createDataFrame([], "split string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

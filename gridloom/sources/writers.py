@@ -1,15 +1,15 @@
-"""Writers. Tables are written distributed; only documents that are one JSON object go through one task."""
+"""Writers. Tables are written distributed, and so are the lists of documents that are one JSON object."""
 
 from __future__ import annotations
 
 import json
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tiling
+from . import documents
 from .readers import CLEAN, _children, _fs, exists, read_text
 
 #: Columns of the result tables.
@@ -31,35 +31,22 @@ def write_json(spark: SparkSession, path: str, value, compact: bool = False) ->
     write_text(spark, path, json.dumps(value, separators=(",", ":")) if compact else json.dumps(value, indent=2, ensure_ascii=False))
 
 
-def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row, value: the annotation document as JSON. It is one object by its format, so its size is bounded by what one file may hold."""
-    lists = [d.agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in d.columns if c != "id"]))).alias(k)) for d, k in ((images, "images"), (annotations, "annotations"), (categories, "categories"))]
-    return lists[0].crossJoin(lists[1]).crossJoin(lists[2]).select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
+def write_coco(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> str:
+    """A folder with the annotation document as its one file; the source stays as it is."""
+    return write_coco_file(path, images, annotations, categories, "part-00000.json")
 
 
-def write_coco(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> None:
-    """A folder with the document in one text file; the source stays as it is."""
-    coco_document(images, annotations, categories).coalesce(1).write.mode("overwrite").text(path)
+def write_coco_file(folder: str, images: DataFrame, annotations: DataFrame, categories: DataFrame, name: str = CLEAN, fixed: dict | None = None, tasks: int | None = None) -> str:
+    """The annotation document as one file of that name in the folder, moved there when it is whole; its path. Lists are in the order of ids; fixed: further members, such as info and
+    licenses. Written by as many tasks as are given (see documents)."""
+    lists = {k: (d, ["id"]) for k, d in (("images", images), ("annotations", annotations), ("categories", categories))}
+    return documents.write_document(images.sparkSession, f"{folder}/{name}", lists, fixed, tasks)
 
 
-def write_coco_file(folder: str, images: DataFrame, annotations: DataFrame, categories: DataFrame, name: str = CLEAN) -> str:
-    """The document as one file of that name in the folder, moved there when it is whole; its path."""
-    spark, temp, target = images.sparkSession, f"{folder}/writing-{uuid.uuid4().hex}", f"{folder}/{name}"
-    write_coco(temp, images, annotations, categories)
-    fs, at = _fs(spark, temp)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    part = next(n for n in _children(spark, temp) if n.startswith("part-"))
-    fs.delete(path(target), True)
-    fs.rename(path(f"{temp}/{part}"), path(target))
-    fs.delete(at, True)
-    return target
-
-
-def write_fold_stats(path: str, rows: DataFrame, splits: tuple[str, ...] = ("train", "val", "test")) -> None:
-    """A fold's statistics (split and per-image metric columns) as one JSON document with a list for each split."""
-    one = F.struct(*[c for c in rows.columns if c != "split"])
-    lists = [F.array_sort(F.collect_list(F.when(F.col("split") == s, one))).alias(f"{s}_metrics") for s in splits]
-    rows.agg(*lists).coalesce(1).write.mode("overwrite").json(path)
+def write_fold_stats(path: str, rows: DataFrame, splits: tuple[str, ...] = ("train", "val", "test")) -> str:
+    """A fold's statistics (split and per-image metric columns) as one JSON document with a list for each split, in the order of the columns."""
+    own = [c for c in rows.columns if c != "split"]
+    return documents.write_document(rows.sparkSession, path, {f"{s}_metrics": (rows.filter(F.col("split") == s).select(*own), own) for s in splits})
 
 
 def write_labels(folder: str, lines: DataFrame) -> None:
@@ -116,7 +103,8 @@ def append_csv(df: DataFrame, folder: str, columns: list[str]) -> None:
     if exists(spark, folder):
         if not exists(spark, mark) or read_text(spark, mark).strip() != header:
             fs, at = _fs(spark, folder)
-            fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}.backup_{time.strftime('%Y%m%d_%H%M%S')}"))
+            if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}.before-{uuid.uuid4().hex}")):
+                raise OSError(f"{folder} could not be archived")
     df.select(*columns).write.mode("append").option("header", True).csv(folder)
     if not exists(spark, mark):
         write_text(spark, mark, header)
@@ -140,21 +128,8 @@ def write_tiles(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 
 
-def slicing_config(tiles: list[dict], mode: str, overlap: float, tile: tuple[int, int], stride: tuple[int, int]) -> dict:
-    """The saved configuration of one image's tiling: its tiles and what the mode needs to be repeated."""
-    first = tiles[0] if tiles else {}
-    out = {"slicing_method": mode, "source_image": first.get("file_name", ""), "original_width": first.get("width", 0), "original_height": first.get("height", 0), "tile_count": len(tiles)}
-    out["tiles"] = [{"tile_file": t.get("tile_file"), "x": t["x"], "y": t["y"], "width": t["tile_width"], "height": t["tile_height"]} for t in tiles]
-    if mode in ("asahi", "asahi_rect"):
-        last = tiles[-1] if tiles else {}
-        grid = {"grid_cols": last.get("column_index", -1) + 1, "grid_rows": last.get("row_index", -1) + 1}
-        return out | {"tile_size": [first.get("tile_width", 0), first.get("tile_height", 0)], "overlap_ratio": overlap} | grid
-    over = {"overlap_x": tile[0] - stride[0], "overlap_y": tile[1] - stride[1]}
-    return out | {"tile_size": list(tile), "stride_x": stride[0], "stride_y": stride[1]} | over
-
-
 def slicing_configs(tiled: DataFrame, t: tiling.Tiling) -> DataFrame:
-    """image_id and config: the saved configuration of each image's tiling as JSON (see slicing_config), with the image's id and, for fixed tiles, how
+    """image_id and config: the saved configuration of each image's tiling as JSON, with the image's id and, for fixed tiles, how
     the last tile of an axis overlaps the one before it. tiled has tile names. An axis with one position has no coverage entry."""
     c = F.col
     tile = F.struct("row_index", "column_index", "tile_file", "x", "y", c("tile_width").alias("width"), c("tile_height").alias("height"))
