@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.prefix import ranged
 from . import common as C
 from .arrow import column, lists, pieces, utf8
 from .components import components
@@ -106,14 +107,24 @@ def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
         return _fits(similarity) & (bits <= apart)
 
     one = F.struct("key", "n", "prints")
-    before = F.lag(one).over(W.partitionBy("h").orderBy("n", "key"))
     firsts = C.staged(prefix.groupBy("h").agg(F.min(one).alias("x")), "firsts")
-    both = prefix.select("key", "n", "prints", before.alias("x")).unionByName(prefix.join(firsts.hint("merge"), "h").select("key", "n", "prints", "x"))
+    both = _after(prefix).unionByName(prefix.join(firsts.hint("merge"), "h").select("key", "n", "prints", "x"))
     both = both.filter("x.key != key").select(F.col("key").alias("a"), F.col("n").alias("n_a"), "prints", F.col("x.key").alias("b"), F.col("x.n").alias("n_b"), F.col("x.prints").alias("others"))
     both = C.staged(both.filter(near(F.col("prints"), F.col("others"))).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "candidates")
     return components(_verified(both, sets, similarity).unionByName(copies))
 
 
+def _after(prefix: DataFrame) -> DataFrame:
+    """key, n, prints and x, the same of the row before it in its list (h) by n and key. Lists are cut into ranges, so a list of any length spans as many tasks as it
+    needs; a range's first row has the row before it from the last one of the range before."""
+    rows = ranged(prefix.select("h", "n", "key", "prints"), ["h", "n", "key"])
+    one = F.struct("h", "n", "key", "prints")
+    ends = rows.groupBy("_task").agg(F.max(F.struct("_row", "h", "n", "key", "prints")).alias("x"))  # a row for each range
+    ends = ends.select(F.lead("_task").over(W.orderBy("_task")).alias("_task"), F.struct("x.h", "x.n", "x.key", "x.prints").alias("end")).filter("_task IS NOT NULL")
+    rows = rows.withColumn("x", F.lag(one).over(W.partitionBy("_task").orderBy("_row"))).join(F.broadcast(ends), "_task", "left")
+    return rows.withColumn("x", F.when(F.col("_row") == 0, F.col("end")).otherwise(F.col("x"))).filter("x.h = h").select("key", "n", "prints", F.struct("x.key", "x.n", "x.prints").alias("x"))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df, with all their columns, that stay: of each group of documents linked by similar pairs the one with the smallest id
     (null ids last; of rows that share it one, by their texts' hash). A null text counts as empty, and texts without words are copies."""

@@ -10,13 +10,12 @@ be within three bits, are settled whole: no group emits its pairs, only one edge
 Components of the edges come from a distributed contraction; documents get them through their fingerprints.
 
 For near copies by a similarity of word shingles (keep_similar) the same index is a filter: several fingerprints of each document, each from hashes mixed
-anew, find documents with a neighbour within a wider radius, and only those are compared by their shingles.
+anew, are dealt once to each of their four blocks, so a document has the same number of rows in a corpus of any size. Within a group of one block's value the index finds
+fingerprints with a neighbour within a wider radius, and only documents with such a one are compared by their shingles.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,11 +30,9 @@ from .windows import mix
 
 SEED = 42
 #: For similar documents: words in a shingle, similarity, fingerprints of a document, and differing bits within which two are candidates.
-WORDS, SIMILARITY, FINGERPRINTS, RADIUS = 5, 0.8, 4, 7
-#: Bits of all fingerprints together beyond which a pair is not compared. At a similarity of 0.8, 39 of 256 are expected, with a deviation of 6.
-APART = 64
-#: Fingerprints to a group at most, on average, when documents are dealt within the wider radius.
-SPREAD = 256
+WORDS, SIMILARITY, FINGERPRINTS, RADIUS = 5, 0.8, 6, 9
+#: Bits of all fingerprints together beyond which a pair is not compared. At a similarity of 0.8, 58 of 384 are expected, with a deviation of 7.
+APART = 96
 #: Fingerprints in a group before it is dealt again by more bits.
 GROUP = 10_000
 LEAF = FAN = 8
@@ -260,15 +257,6 @@ def _linker(most: int, names: tuple[str, ...] = ("mask", "value"), members: bool
     return link
 
 
-def agreeing(most: int, count: int, spread: int = SPREAD) -> list[int]:
-    """Masks such that fingerprints within `most` bits agree on all bits of one: all choices of blocks among most + c. c is the smallest
-    for which count fingerprints spread to groups of `spread` or fewer; no c loses a pair."""
-    c = next(c for c in range(1, 8) if count >> 64 * c // (most + c) <= spread or c == 7)
-    cuts = [64 * i // (most + c) for i in range(most + c + 1)]
-    blocks = [sum(1 << b for b in range(s, e)) for s, e in zip(cuts, cuts[1:], strict=False)]
-    return [sum(x) for x in combinations(blocks, c)]
-
-
 def printed(rows: DataFrame, shingle: int = WORDS, prints: int = FINGERPRINTS) -> DataFrame:
     """rows (key long, text): key and prints, so many fingerprints of the text, each from its shingles' hashes mixed anew."""
 
@@ -283,15 +271,17 @@ def printed(rows: DataFrame, shingle: int = WORDS, prints: int = FINGERPRINTS) -
     return rows.select("key", "text").mapInArrow(sign, T.StructType([T.StructField("key", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))]))
 
 
-def neighboured(made: DataFrame, most: int = RADIUS, prints: int = FINGERPRINTS, spread: int = SPREAD) -> DataFrame:
-    """Of printed rows those one of whose fingerprints is within `most` bits of the same fingerprint of another row."""
+def neighboured(made: DataFrame, most: int = RADIUS) -> DataFrame:
+    """Of printed rows those one of whose fingerprints has another row's same fingerprint within `most` bits that agrees with it on one of its four blocks of 16 bits (always
+    so up to three bits). Each distinct fingerprint makes four rows, of two numbers each: its number, the block's and its value in one, and itself."""
     each = made.select("key", F.posexplode("prints").alias("nth", "fp"))
     nodes = C.staged(each.groupBy("nth", "fp").agg(F.count(F.lit(1)).alias("n")), "nodes")
-    masks = agreeing(most, nodes.count() // prints, spread)
-    dealt = nodes.select(F.col("nth").cast("long").alias("nth"), "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    block = lambda b: F.shiftrightunsigned("fp", 16 * b).bitwiseAND(F.lit(0xFFFF))
+    groups = [(F.col("nth") * 4 + b) * F.lit(1 << 16) + block(b) for b in range(4)]
     parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "nth", "mask", "value").sortWithinPartitions("nth", "mask", "value")
-    near = dealt.mapInArrow(_linker(most, ("nth", "mask", "value"), members=True), "nth long, fp long").unionByName(nodes.filter("n > 1").select(F.col("nth").cast("long").alias("nth"), "fp"))
+    dealt = nodes.select(F.explode(F.array(*groups)).alias("group"), "fp").repartition(parts, "group").sortWithinPartitions("group")
+    found = dealt.mapInArrow(_linker(most, ("group",), members=True), "group long, fp long").select(F.shiftright("group", 18).cast("int").alias("nth"), "fp")
+    near = found.unionByName(nodes.filter("n > 1").select("nth", "fp"))
     keys = each.join(C.staged(near.distinct(), "near").hint("merge"), ["nth", "fp"]).select("key").distinct()
     return made.join(keys, "key", "left_semi")
 
@@ -306,7 +296,7 @@ def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies. An empty table gives no rows.
     """
     rows = C.keyed(df, id_col, text_col, rows=True)
-    near = C.staged(neighboured(C.staged(printed(rows, shingle, prints), "fingerprints"), most, prints), "neighboured")
+    near = C.staged(neighboured(C.staged(printed(rows, shingle, prints), "fingerprints"), most), "neighboured")
     own = near.select("key")
     own = F.broadcast(own) if near.count() * 24 <= C.BROADCAST_BYTES else own
     found = linked(C.staged(rows.select("key", "text").join(own, "key", "left_semi"), "compared"), shingle, similarity, near, apart)

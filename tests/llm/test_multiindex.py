@@ -48,7 +48,7 @@ def vectors(n, seed=0):
 @pytest.mark.parametrize(("bucket", "visits"), [(8192, 8192), (50, 7)])
 def test_recall_and_exact_scores(spark, bucket, visits):
     rows = vectors(3000)
-    same = rows[7][1]
+    same = [3 * x for x in rows[7][1]]
     rows += [(10_000 + i, same) for i in range(300)] + [(None, same), (20_000, None), (20_020, [0.0] * 6), (20_040, [1.0, None, 1, 1, 1, 1]), (20_060, [1.0, math.nan, 1, 1, 1, 1]), (20_080, [1.0, math.inf, 1, 1, 1, 1]), (20_100, [1.0] * 5), (20, rows[20][1])]
     want, got = brute(rows), run(spark, rows, bucket=bucket, visits=visits)
     assert set(got) == set(want)
@@ -59,7 +59,7 @@ def test_recall_and_exact_scores(spark, bucket, visits):
     assert all(s == scores[q, i] for q, v in got.items() for i, s in v)
     hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
     assert hit >= 0.9
-    assert got[10_000] == want[10_000]  # all ties
+    assert got[10_000] == want[10_000] and {i for i, _ in got[10_000]} == set(range(10_001, 10_021))  # all ties
 
 
 def test_fewer_than_wanted(spark):

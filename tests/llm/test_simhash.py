@@ -56,3 +56,23 @@ def test_links(spark, group):
 
 def test_empty(make):
     assert S.simhash_groups(make([])).collect() == []
+
+
+@pytest.mark.parametrize("most", [3, 9])
+def test_neighbours_within_a_wider_radius(spark, most):
+    """Exactly the rows with a neighbour that agrees on a block; within three bits all neighbours do."""
+    r = np.random.default_rng(8)
+    prints = []
+    for base in r.integers(0, 2**63, (40, 2)):
+        for _ in range(r.integers(1, 6)):
+            prints.append([int(x) ^ sum(1 << int(k) for k in set(r.integers(0, 64, r.integers(0, 14)).tolist())) for x in base])
+    prints += [prints[0], [prints[1][0], 5]]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    made = spark.createDataFrame([(i, [signed(x) for x in p]) for i, p in enumerate(prints)], "key long, prints array<long>")
+
+    def near(a, b):
+        x = a ^ b
+        return x.bit_count() <= most and any(not x >> 16 * k & 0xFFFF for k in range(4))
+
+    want = {i for i, p in enumerate(prints) for j, q in enumerate(prints) if i != j and any(near(a, b) for a, b in zip(p, q, strict=True))}
+    assert {x.key for x in S.neighboured(made, most).collect()} == want and 20 < len(want) < len(prints)
