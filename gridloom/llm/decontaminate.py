@@ -3,7 +3,8 @@
 Each window of an item (`window` consecutive words; a shorter item is one window) is a set of shingles of three words. A document that
 holds the window holds every one of its shingles, so the rarest one alone, by the count over all documents, is the prefix that must be
 joined. A document position with a prefix shingle and a place of that shingle in an item make a candidate; bounds on what the document and
-the item have left and right of it (length and position) drop those that cannot be whole windows; the others are compared word by word.
+the item have left and right of it (length and position) drop those that cannot be whole windows; the others are compared word by word. Places of a
+frequent shingle whose surroundings are equal, as in an item of repeated words, are one, with all their items; pairs are made and compared in chunks of bounded size.
 
 The items are taken in blocks of bounded bytes, each broadcast; the documents are scanned twice for each block (counts, then the join) and
 never shuffle. With one block, as for any usual benchmark, nothing is written in between.
@@ -24,6 +25,8 @@ from .arrow import column, lists, merged, pieces, ranges, utf8
 WINDOW, SHINGLE = 10, 3
 #: Bytes of item text in one block; what is broadcast is a small multiple of it.
 BLOCK_BYTES = 16 << 20
+#: Places of one shingle beyond which equal surroundings are looked for, places that are compared at a time for that, and pairs that a task holds.
+MANY, SLICE, PAIRS = 32, 100_000, 1 << 18
 #: A to Z become lower case; what is no word character becomes a space. Bytes of 0x80 and above belong to words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -99,8 +102,28 @@ class Block:
             code = self.code(self.ids, k)[chosen]
             order = np.argsort(code, kind="stable")
             code, chosen, which = code[order], chosen[order], which[order]
-            keys, begin, counts = np.unique(code, return_index=True, return_counts=True)
-            self.prefix[k] = (keys, begin, counts, chosen, which)
+            first, members = self._distinct(code, chosen, which, k)
+            keys, begin, counts = np.unique(code[first], return_index=True, return_counts=True)
+            self.prefix[k] = (keys, begin, counts, chosen[first], which[first], members)
+
+    def _distinct(self, code: np.ndarray, place: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Of places sorted by code those that stand for all with the same surroundings (the words that a window with the shingle can reach, within the item, and the
+        window's length), in the same order, and the items of each: all in one array, and where each one's begin."""
+        stands = np.arange(len(code))
+        counts = np.bincount(np.cumsum(np.append(0, code[1:] != code[:-1]))[: len(code)])
+        many = np.flatnonzero(np.repeat(counts, counts) > MANY) if len(code) else stands
+        reach = np.arange(1 - self.window, k + self.window - 1)
+        for i in range(0, len(many), SLICE):
+            own = many[i : i + SLICE]
+            at = place[own, None] + reach
+            inside = (at >= self.start[item[own], None]) & (at < (self.start + self.size)[item[own], None])
+            around = np.where(inside, self.ids[np.clip(at, 0, len(self.ids) - 1)], -2)
+            around = np.concatenate([code[own, None], self.length[item[own], None], around], axis=1)
+            _, first, again = np.unique(around, axis=0, return_index=True, return_inverse=True)
+            stands[own] = own[first[again.ravel()]]
+        first, again = np.unique(stands, return_inverse=True)
+        both = np.unique(again * max(1, len(self.names)) + item)
+        return first, (both % max(1, len(self.names)), np.searchsorted(both, np.arange(len(first) + 1) * max(1, len(self.names))))
 
     def word_ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts' word ids in one array with gaps, each text's start in it, and its number of words."""
@@ -121,35 +144,49 @@ class Block:
             at = at[codes[at] == got]
             totals[k] += np.bincount(at, minlength=len(codes))
 
-    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text, then for each found run: text, item, first word and end in the text."""
+    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; then hit runs, none touching: text, first word, end; then what items are found: text and item, each pair once."""
         ids, start, size = self.word_ids(texts)
-        found = [np.empty((4, 0), np.int64)]
-        for k, (keys, begin, counts, chosen, which) in self.prefix.items():
+        runs, pairs, n_items = [np.empty((2, 0), np.int64)], [np.empty(0, np.int64)], max(1, len(self.names))
+        for k, (keys, begin, counts, chosen, which, (members, first_of)) in self.prefix.items():
             code = self.code(ids, k)
             at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
             places = np.flatnonzero((code >= 0) & (keys[at] == code))
-            n = counts[at[places]]
-            post = ranges(begin[at[places]], n)
-            p, x, item = np.repeat(places, n), chosen[post], which[post]
-            doc = np.searchsorted(start, p, "right") - 1
-            long, reach = self.length[item], self.length[item] - k
-            left = np.minimum(np.minimum(p - start[doc], x - self.start[item]), reach)
-            right = np.minimum(np.minimum(start[doc] + size[doc] - p, self.start[item] + self.size[item] - x) - k, reach)
-            good = left + right + k >= long  # room for a whole window on both sides
-            p, x, item, doc, left, right, long = (v[good] for v in (p, x, item, doc, left, right, long))
-            before, after = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-            for grown, room, sign, edge in ((before, left, -1, 0), (after, right, 1, k - 1)):
-                live = np.arange(len(p))
-                for j in range(1, self.window):
-                    live = live[room[live] >= j]
-                    live = live[ids[p[live] + sign * (j + edge)] == self.ids[x[live] + sign * (j + edge)]]
-                    grown[live] += 1
-            good = before + after + k >= long
-            p, item, doc, before, after = (v[good] for v in (p, item, doc, before, after))
-            first = p - before - start[doc]
-            found.append(np.stack([doc, item, first, first + before + after + k]))
-        return size, *np.concatenate(found, axis=1)
+            ends, done = np.cumsum(counts[at[places]]), 0
+            while done < len(places):
+                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
+                own, done = places[done:upto], upto
+                n = counts[at[own]]
+                post = ranges(begin[at[own]], n)
+                p, first, end = self._whole(ids, start, size, np.repeat(own, n), chosen[post], which[post], k)
+                runs.append(np.stack(merged(first, end)))
+                doc, group = np.searchsorted(start, first, "right") - 1, post[p]
+                both = np.unique(doc * len(chosen) + group)
+                doc, group = both // len(chosen), both % len(chosen)
+                held = first_of[group + 1] - first_of[group]
+                pairs.append(np.unique(np.repeat(doc, held) * n_items + members[ranges(first_of[group], held)]))
+        first, end = merged(*np.concatenate(runs, axis=1))
+        found = np.unique(np.concatenate(pairs))
+        doc = np.searchsorted(start, first, "right") - 1
+        return size, doc, first - start[doc], end - start[doc], found // n_items, found % n_items
+
+    def _whole(self, ids, start, size, p, x, item, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of a text's place p and an item's place x those that lie in a common window: their numbers, and first word and end of what agrees, within reach."""
+        doc, nth = np.searchsorted(start, p, "right") - 1, np.arange(len(p))
+        long, reach = self.length[item], self.length[item] - k
+        left = np.minimum(np.minimum(p - start[doc], x - self.start[item]), reach)
+        right = np.minimum(np.minimum(start[doc] + size[doc] - p, self.start[item] + self.size[item] - x) - k, reach)
+        good = left + right + k >= long  # room for a whole window on both sides
+        p, x, nth, left, right, long = (v[good] for v in (p, x, nth, left, right, long))
+        before, after = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        for grown, room, sign, edge in ((before, left, -1, 0), (after, right, 1, k - 1)):
+            live = np.arange(len(p))
+            for j in range(1, self.window):
+                live = live[room[live] >= j]
+                live = live[ids[p[live] + sign * (j + edge)] == self.ids[x[live] + sign * (j + edge)]]
+                grown[live] += 1
+        good = before + after + k >= long
+        return nth[good], (p - before)[good], (p + after + k)[good]
 
 
 def _blocks(items: DataFrame, most: int):
@@ -213,6 +250,8 @@ def _counted(rows: DataFrame, block: Block) -> Block:
 
 
 def _scan(rows: DataFrame, block: Block, carried: list[str], keep_text: bool) -> DataFrame:
+    """rows with the words, hits, spans and items of this block, added to those of earlier blocks. A null text has no words; very long ones, and repeated words on
+    both sides, take memory for one chunk of pairs at a time."""
     from pyspark.sql import types as T
 
     shared, before = rows.sparkSession.sparkContext.broadcast(block), "spans" in rows.columns
@@ -223,19 +262,19 @@ def _scan(rows: DataFrame, block: Block, carried: list[str], keep_text: bool) ->
     def scan(batches):
         own = shared.value
         for batch in pieces(batches, "text", 1 << 19):
-            size, doc, item, first, end = own.hits(utf8(column(batch, "text")))
+            size, doc, first, end, found_in, item = own.hits(utf8(column(batch, "text")))
             names = [set() for _ in size]
-            spans = [[] for _ in size]
-            if before:
-                for i, (s, x) in enumerate(zip(column(batch, "spans").to_pylist(), column(batch, "items").to_pylist(), strict=True)):
-                    names[i].update(x)
-                    spans[i] += zip(s[::2], s[1::2], strict=True)
-            for d, x, a, b in zip(doc.tolist(), item.tolist(), first.tolist(), end.tolist(), strict=True):
+            cut = np.searchsorted(doc, np.arange(len(size) + 1))
+            for d, x in zip(found_in.tolist(), item.tolist(), strict=True):
                 names[d].add(own.names[x])
-                spans[d].append((a, b))
+            earlier = [column(batch, c).to_pylist() for c in ("spans", "items")] if before else None
             flat, counts, hit = [], [], []
-            for found in spans:
-                a, b = merged(*np.array(found, np.int64).reshape(-1, 2).T)
+            for i in range(len(size)):
+                a, b = first[cut[i] : cut[i + 1]], end[cut[i] : cut[i + 1]]
+                if earlier:
+                    names[i].update(earlier[1][i])
+                    old = np.array(earlier[0][i], np.int64)
+                    a, b = merged(np.concatenate([a, old[::2]]), np.concatenate([b, old[1::2]]))
                 flat.append(np.stack([a, b], 1).ravel())
                 counts.append(2 * len(a))
                 hit.append(int((b - a).sum()))
