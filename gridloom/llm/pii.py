@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, PRECISION = 1200, 0.98
 #: Features of a candidate.
 COUNT = 15
+#: Matches that are placed, or compared with others, at a time.
+BLOCK = 64
 _BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -46,19 +48,62 @@ _CUES = {"email": "(?i)mail|contact|write", "ip": r"(?i)\bip\b|address|host|serv
 _AGAINST = r"(?i)token|key|hash|isbn|version|\bv\z|order|invoice|\bref|\bno\b|\bnr\b|\bid\b|sha|=|#|\$|€"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match, before, after) of the leftmost matches: code points, and what stands next to the match."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def _parts(text: Column, pattern: str) -> Column:
+    """The leftmost matches and what lies between them."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+
+def with_matches(rows: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """rows and, for each name, an array of (start, end, match, before, after) of the matches in its parts (null: none): code points, and what stands next to the match.
+
+    A text takes time in proportion to its length: places are sums within blocks of matches, from the sums of the blocks before. What lambdas read are columns that
+    their projection names twice, so nothing is evaluated anew for each match.
+    """
+    own, made = [C.col(c) for c in rows.columns], {k: f"_{i}" for i, k in enumerate(parts)}
+    rows = rows.select(*own, *[parts[k].alias(f"parts{n}") for k, n in made.items()])
+
+    def pairs(n: str) -> Column:
+        found, gaps = F.col(f"parts{n}.found"), F.col(f"parts{n}.gaps")
+        each = F.transform(found, lambda m, i: F.struct(m.alias("match"), F.element_at(gaps, i + 1).alias("gap"), F.left(F.element_at(gaps, i + 2), F.lit(2)).alias("after")))
+        return F.when(F.size(found) > 0, each).otherwise(F.expr("cast(array() as array<struct<match:string,gap:string,after:string>>)"))
+
+    rows = rows.select(*own, *[pairs(n).alias(f"pairs{n}") for n in made.values()])
+
+    def before(n: str) -> Column:
+        """The code points before each block, and after the last."""
+        all_ = F.col(f"pairs{n}")
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) + (BLOCK - 1)) / BLOCK).cast("int") - 1)
+        sums = F.transform(blocks, lambda b: F.aggregate(F.slice(all_, b * BLOCK + 1, BLOCK), F.lit(0), lambda at, x: at + F.length(x["gap"]) + F.length(x["match"])))
+        return F.when(F.size(all_) > 0, F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))).otherwise(F.array(F.lit(0)))
+
+    rows = rows.select(*own, *[c for n in made.values() for c in (F.col(f"pairs{n}"), before(n).alias(f"before{n}"))])
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string,before:string,after:string>>)")
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"), F.right(pair["gap"], F.lit(24)).alias("before"), F.left(pair["next"], F.lit(2)).alias("after"))
+        one = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"), F.right(pair["gap"], F.lit(24)).alias("before"), pair["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("match"), F.element_at(gaps, i + 1).alias("gap"), F.element_at(gaps, i + 2).alias("next")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string,before:string,after:string>>)")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    def placed(n: str) -> Column:
+        all_, at = F.col(f"pairs{n}"), F.col(f"before{n}")
+        blocks = F.when(F.size(at) > 1, F.sequence(F.lit(0), F.size(at) - 2)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.flatten(F.transform(blocks, lambda b: F.aggregate(F.slice(all_, b * BLOCK + 1, BLOCK), F.struct(F.element_at(at, b + 1).alias("at"), empty.alias("out")), step, lambda s: s["out"])))
+
+    return rows.select(*own, *[placed(n).alias(k) for k, n in made.items()])
+
+
+def _apart(chosen: str, base: str) -> Column:
+    """The spans of chosen (by start) that touch none of base. Both are columns; a block of chosen spans meets only the base spans in its reach."""
+    own, other = F.col(chosen), F.col(base)
+    blocks = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def free(block: Column) -> Column:
+        first, last = F.array_min(F.transform(block, lambda x: x["start"])), F.array_max(F.transform(block, lambda x: x["end"]))
+        reach = F.transform(F.array(F.struct(first.alias("a"), last.alias("b"))), lambda r: F.filter(other, lambda s: (s["start"] < r["b"]) & (r["a"] < s["end"])))
+        return F.flatten(F.transform(reach, lambda near: F.filter(block, lambda c: ~F.exists(near, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))))
+
+    return F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(F.array(F.slice(own, b * BLOCK + 1, BLOCK)), free))))
 
 
 def _digits(m: Column) -> Column:
@@ -132,7 +177,7 @@ def _trained(spark: SparkSession) -> dict[str, tuple[Boosted, float]]:
     rows = spark.createDataFrame(made_texts(), "kind string, text string, label int")
     out = {}
     for kind in KINDS:
-        found = rows.filter(F.col("kind") == kind).select("label", F.explode(matches(F.col("text"), _FOUND[kind])).alias("c"))
+        found = with_matches(rows.filter(F.col("kind") == kind), {"found": _parts(F.col("text"), _FOUND[kind])}).select("label", F.explode("found").alias("c"))
         got = np.array([[r[0], *r[1]] for r in found.select("label", F.array(*[f.cast("double") for f in _features(kind, F.col("c"))])).collect()])
         y, x, half = got[:, 0], got[:, 1:], len(got) // 2
         model = Boosted().fit(x[:half], y[:half], x[half:], y[half:])
@@ -146,17 +191,19 @@ def annotated(df: DataFrame, text: Column, carried: list[Column]) -> DataFrame:
     """carried columns, text (null as empty), base and spans: arrays of (kind number, start, end), in that order, without repeats."""
     trained = _trained(df.sparkSession)
     rows = df.select(*carried, F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string,before:string,after:string>>)")
-    rows = rows.select("*", *[F.when(F.col("text").rlike(_NEEDS[k]), matches(F.col("text"), p[k])).otherwise(none).alias(f"{name}_{k}") for name, p in (("base", _BASE), ("found", _FOUND)) for k in KINDS])
+    rows = with_matches(rows, {f"{name}_{k}": F.when(F.col("text").rlike(_NEEDS[k]), _parts(F.col("text"), p[k])) for name, p in (("base", _BASE), ("found", _FOUND)) for k in KINDS})
 
     def span(i: int):
         return lambda c: F.struct(F.lit(i).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
 
     base = F.concat(*[F.transform(F.filter(f"base_{k}", functools.partial(_valid_of, k)), span(i)) for i, k in enumerate(KINDS)])
     chosen = F.concat(*[F.transform(F.filter(F.transform(f"found_{k}", functools.partial(_described, k)), functools.partial(_chosen, trained[k])), span(i)) for i, k in enumerate(KINDS)])
-    rows = rows.select(*[C.col(c) for c in rows.columns if not c.startswith(("base_", "found_"))], base.alias("base"), chosen.alias("chosen"))
-    added = F.filter("chosen", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.select(*[C.col(c) for c in rows.columns if c != "chosen"], F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))
+    own = [C.col(c) for c in rows.columns if not c.startswith(("base_", "found_"))]
+    rows = rows.select(*own, base.alias("base"), chosen.alias("chosen"))
+    by_start = F.array_sort(F.transform(F.array_except("chosen", "base"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    rows = rows.select(*own, "base", by_start.alias("chosen"))
+    added = F.transform(_apart("chosen", "base"), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return rows.select(*own, "base", F.array_sort(F.array_distinct(F.concat("base", added))).alias("spans"))
 
 
 def _same(value: int, c: Column) -> Column:
