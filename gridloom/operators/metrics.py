@@ -7,14 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import prefix
 from .matching import best_truth
 
 #: The IoU thresholds are these very doubles (the sixth is above 0.75), and the recall levels are i times 0.01.
 IOU_THRESHOLDS = [float(t) for t in np.arange(0.5, 1.0, 0.05)]
 LEVELS = 101
 EPS = 1e-9
-#: Score bins of the running counts: each is a window of its own, so no task sorts all detections of a group.
-BINS = 256
 
 
 def prf(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -43,31 +42,20 @@ def pooled_errors(rows: DataFrame, keys: tuple[str, ...], truth: str = "groundtr
     return own.join(rows.groupBy(*keys).agg((F.avg(part) * 100).alias("mape")), list(keys)) if keys else own.crossJoin(rows.agg((F.avg(part) * 100).alias("mape")))
 
 
-def _above(totals: DataFrame, parts: list[str]) -> DataFrame:
-    """For each bin the sum of n over the bins above it, before."""
-    over = W.partitionBy(*parts).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, -1)
-    return totals.select(*parts, "bin", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-
-
 def average_precision(found: DataFrame, n_truth: DataFrame, group: tuple[str, ...] = (), keys: tuple[str, ...] = ("image_id",), thresholds: list[float] | None = None) -> DataFrame:
     """ap for each group and iou_threshold: the mean over 101 recall levels of the best precision at that recall or more.
 
     n_truth: a row for each group with n_gt. A group without truth or without detections has ap 0. Detections are ranked once, by falling score,
-    then keys and det_id: score bins first, whose totals are few, then a window in each bin. Recall rises and precision peaks at hits alone, so only hits
-    are counted for each threshold.
+    then keys and det_id, in ranges of that order (see prefix.running), so no task sorts a group and equal scores may span tasks. Recall rises and precision peaks at
+    hits alone, so only hits are counted for each threshold.
     """
-    parts, one = ["iou_threshold", *group], F.count(F.lit(1))
-    rows = found.withColumn("bin", F.floor(F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(0.0)) * BINS).cast("int"))
-    place = F.row_number().over(W.partitionBy(*group, "bin").orderBy(F.desc("score"), *keys, "det_id"))
-    rows = rows.withColumn("place", place).join(_above(rows.groupBy(*group, "bin").agg(one.alias("n")), list(group)), [*group, "bin"])
-    rows = rows.select(*group, *keys, "det_id", "gt_id", "score", "bin", (F.col("place") + F.col("before")).alias("seen"), F.explode(F.filter(F.array(*map(F.lit, thresholds or IOU_THRESHOLDS)), lambda t: t <= F.col("iou"))).alias("iou_threshold"))
+    parts = ["iou_threshold", *group]
+    rows = prefix.running(found.select(*group, *keys, "det_id", "gt_id", "score", "iou"), [F.desc("score"), *keys, "det_id"], {"seen": F.lit(1)}, group)
+    rows = rows.select(*group, *keys, "det_id", "gt_id", "score", "seen", F.explode(F.filter(F.array(*map(F.lit, thresholds or IOU_THRESHOLDS)), lambda t: t <= F.col("iou"))).alias("iou_threshold"))
     rank = F.row_number().over(W.partitionBy(*parts, *keys, "gt_id").orderBy(F.desc("score"), "det_id"))
-    hits = rows.withColumn("rank", rank).filter("rank = 1").select(*parts, "bin", "seen")
-    place = F.row_number().over(W.partitionBy(*parts, "bin").orderBy("seen"))
-    rows = hits.withColumn("place", place).join(_above(hits.groupBy(*parts, "bin").agg(one.alias("n")), parts), [*parts, "bin"])
+    rows = prefix.running(rows.withColumn("rank", rank).filter("rank = 1").select(*parts, "seen"), ["seen"], {"hits": F.lit(1)}, tuple(parts))
     rows = rows.join(F.broadcast(n_truth), list(group)) if group else rows.crossJoin(F.broadcast(n_truth))
-    hits = F.col("place") + F.col("before")
-    rows = rows.filter("n_gt > 0").select(*parts, (hits / F.col("n_gt")).alias("recall"), (hits / (F.col("seen") + EPS)).alias("precision"))
+    rows = rows.filter("n_gt > 0").select(*parts, (F.col("hits") / F.col("n_gt")).alias("recall"), (F.col("hits") / (F.col("seen") + EPS)).alias("precision"))
     near = F.floor(F.col("recall") * 100)
     level = F.when((near + 1) * 0.01 <= F.col("recall"), near + 1).when(near * 0.01 > F.col("recall"), near - 1).otherwise(near).cast("int")
     best = rows.groupBy(*parts, level.alias("level")).agg(F.max("precision").alias("precision"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from . import metrics
 from .matching import best_truth, counting, matched
 from .suppression import PREFIX, suppress
@@ -33,15 +34,16 @@ def _reached(thresholds: list[float]) -> Column:
 
 def fold_metrics(images: DataFrame, dets: DataFrame, truths: DataFrame, thresholds: list[float], method: str = "nms", iou: float = 0.5, group: tuple[str, ...] = ("fold",), keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """For each threshold and group: map50, precision, recall, fscore, mae. keys must name an image over all groups; images have group and keys."""
-    kept = at_thresholds(dets, thresholds, method, iou, (*group, *keys))
     both = (*group, *keys)
     steps = images.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
     grid = images.select(*both).crossJoin(F.broadcast(steps))
     wide = ("threshold", *both)
-    if method in PREFIX:  # a box's best truth is the same at every threshold
-        once = suppress(dets.filter(F.col("score") >= min(thresholds)), method, iou, both)
-        found = best_truth(once, truths, both).select("*", _reached(thresholds))
+    if method in PREFIX:  # a box's fate and its best truth are the same at every threshold, so both are worked out once
+        path = scratch(images.sparkSession, "kept")
+        best_truth(suppress(dets.filter(F.col("score") >= min(thresholds)), method, iou, both), truths, both).write.parquet(path)
+        kept = found = images.sparkSession.read.parquet(path).select("*", _reached(thresholds))
     else:
+        kept = at_thresholds(dets, thresholds, method, iou, both)
         found = best_truth(kept, truths.crossJoin(F.broadcast(steps)), wide)
     n_truth = truths.groupBy(*group).agg(F.count(F.lit(1)).alias("n_gt")).crossJoin(F.broadcast(steps))
     ap = metrics.average_precision(found, n_truth, ("threshold", *group), keys, [metrics.IOU_THRESHOLDS[0]])

@@ -83,6 +83,14 @@ SELECT width, height, round(r / CAST(width * height AS DOUBLE) * 100, 1) AS redu
         return own.select("width", "height", F.round(F.col("redundant_pixels") / (F.col("width").cast("long") * F.col("height")) * 100, 1).alias("redundancy_pct"))
 
 
+    @query(f"redundancy_pct_{mode}", sql(tile_sql(mode) + body.replace("* 100, 1)", "* 100, 6)")))
+    def _(spark, d):
+        """The operator's own percentage: two digits of the exact one, or null where it strays from that."""
+        own = tiling.geometry(X.images(spark, d).select("width", "height").distinct(), TILINGS[mode])
+        exact = F.col("redundant_pixels") / (F.col("width").cast("long") * F.col("height")) * 100
+        return own.select("width", "height", F.when(F.abs(F.col("redundancy_pct") - exact) <= 0.005 + 1e-9, F.round(exact, 6)).alias("redundancy_pct"))
+
+
 for _mode in TILINGS:
     _redundancy(_mode)
 
@@ -142,17 +150,22 @@ def _(spark, d):
     return stats.named(X.images(spark, d).select("image_id", F.concat(F.lit("m"), (F.col("image_id") % 3).cast("string")).alias("model")), names).select("image_id", "display")
 
 
-@query("displayed_summary", sql(sweep_sql(STEPS) + ", o AS (SELECT threshold, round(avg(fscore), 5) AS fscore_mean, round(coalesce(stddev_samp(fscore), 0), 5) AS fscore_std FROM fm WHERE threshold < 0.5 OR fold = 0 GROUP BY threshold) SELECT * FROM o"))
-def _(spark, d):
-    own = _fold_metrics(spark, d, STEPS).filter("threshold < 0.5 OR fold = 0")
-    return rounded(sweep.displayed(own, ("threshold",)).select("threshold", "fscore_mean", "fscore_std"), "fscore_mean", "fscore_std", digits=5)
+def _display_queries(suffix: str, steps: list[float]) -> None:
+    @query(f"displayed_summary{suffix}", sql(sweep_sql(steps) + ", o AS (SELECT threshold, round(avg(fscore), 5) AS fscore_mean, round(coalesce(stddev_samp(fscore), 0), 5) AS fscore_std FROM fm WHERE threshold < 0.5 OR fold = 0 GROUP BY threshold) SELECT * FROM o"))
+    def _(spark, d):
+        own = _fold_metrics(spark, d, steps).filter("threshold < 0.5 OR fold = 0")
+        return rounded(sweep.displayed(own, ("threshold",)).select("threshold", "fscore_mean", "fscore_std"), "fscore_mean", "fscore_std", digits=5)
+
+    @query(f"suggested_threshold{suffix}", sql(sweep_sql(steps) + " SELECT threshold, round(fscore, 5) AS fscore, 'asahi_rect' AS mode FROM cv ORDER BY cv.fscore DESC, threshold LIMIT 1"))
+    def _(spark, d):
+        own = sweep.curve(_fold_metrics(spark, d, steps))
+        both = own.withColumn("mode", F.lit("asahi_rect")).unionByName(own.withColumns({"mode": F.lit("sahi"), "fscore": F.col("fscore") * 2}))
+        return rounded(sweep.suggested(both, ["sahi", "asahi_rect"]).select("threshold", "fscore", "mode"), "fscore", digits=5)
 
 
-@query("suggested_threshold", sql(sweep_sql(STEPS) + " SELECT threshold, round(fscore, 5) AS fscore, 'asahi_rect' AS mode FROM cv ORDER BY cv.fscore DESC, threshold LIMIT 1"))
-def _(spark, d):
-    own = sweep.curve(_fold_metrics(spark, d, STEPS))
-    both = own.withColumn("mode", F.lit("asahi_rect")).unionByName(own.withColumns({"mode": F.lit("sahi"), "fscore": F.col("fscore") * 2}))
-    return rounded(sweep.suggested(both, ["sahi", "asahi_rect"]).select("threshold", "fscore", "mode"), "fscore", digits=5)
+#: As for the sweeps: four steps, and the reference's.
+_display_queries("", STEPS)
+_display_queries("_full", sweep.VALIDATION)
 
 
 def _cube_rows(suffix: str, steps: list[float]) -> None:
@@ -179,7 +192,8 @@ def clamped_sql(a: str, b: str) -> str:
     return f"({iou_of(a, b)} - ({dist}) / greatest({diag}, 1e-6))"
 
 
-@query("similarities", sql(f", n AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, det_id) AS n FROM det) SELECT a.det_id AS a, b.det_id AS b, round({iou_of('a', 'b')}, 6) AS iou, round({diou_of('a', 'b')}, 6) AS diou, round({clamped_sql('a', 'b')}, 6) AS clamped FROM n a JOIN n b ON a.image_id = b.image_id AND a.label = b.label AND b.n = a.n + 1"))
+@query("similarities", sql(f""", n AS (SELECT det_id, x1, y1, x2, y2, lead(struct_pack(det_id := det_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2)) OVER (PARTITION BY image_id, label ORDER BY score DESC, det_id) AS b FROM det)
+SELECT n.det_id AS a, b.det_id AS b, round({iou_of('n', 'b')}, 6) AS iou, round({diou_of('n', 'b')}, 6) AS diou, round({clamped_sql('n', 'b')}, 6) AS clamped FROM n WHERE b IS NOT NULL"""))
 def _(spark, d):
     from pyspark.sql import Window as W
 
