@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import prefix
+
 RANGES = 64
 
 
@@ -118,11 +120,41 @@ def group_folds(sizes: dict, folds: int) -> dict:
     return out
 
 
+def shares(load: list[int], size: int, count: int) -> list[int]:
+    """How many of `count` groups of this size each fold gets when each goes to the emptiest fold (the first of equals). A fold offers its places at loads that are a
+    size apart, and the lowest places are taken; the last load among them comes from a binary search, so the count does not matter."""
+    below = lambda x: sum(max(0, -((n - x) // size)) for n in load)  # noqa: E731  places under a load of x
+    low, high = min(load), min(load) + count * size
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if below(middle) <= count else (low, middle - 1)
+    out, rest = [max(0, -((n - low) // size)) for n in load], count - below(low)
+    for f, n in enumerate(load):
+        if rest and n <= low and not (low - n) % size:
+            out[f], rest = out[f] + 1, rest - 1
+    return out
+
+
 def group_kfold(images: DataFrame, group_col: str, folds: int = 5) -> DataFrame:
-    """images with test_fold, by group_folds. Groups are few (their sizes go to the driver); images stay distributed."""
-    sizes = {r[0]: r[1] for r in images.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), group_col).collect()}
-    placed = images.sparkSession.createDataFrame(list(group_folds(sizes, folds).items()), images.select(group_col, F.lit(0).alias("test_fold")).schema)
-    return images.join(placed, group_col)
+    """images with test_fold, by group_folds (groups of equal size in their order), for any number of groups: the driver sees only how many groups have each size.
+
+    Of the groups of a size each has a rank, and the places that folds offer for that size have theirs, by load and then fold, worked out from the loads before;
+    the two meet in a join. Null is a group.
+    """
+    sizes = images.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = prefix.running(sizes, [group_col], {"_rank": F.lit(1)}, ("_n",))
+    load, rows = [0] * folds, []
+    for size, count in sorted(map(tuple, ranked.groupBy("_n").count().collect()), reverse=True):
+        own = shares(load, size, count)
+        rows += [(size, f, list(load), n) for f, n in enumerate(own) if n]
+        load = [x + n * size for x, n in zip(load, own, strict=True)]
+    places = images.sparkSession.createDataFrame(rows, "_n long, test_fold int, _load array<long>, _taken int")
+    places = places.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
+    at, n, fold = F.element_at("_load", F.col("test_fold") + 1) + F.col("_at") * F.col("_n"), F.col("_n"), F.col("test_fold")
+    before = F.transform("_load", lambda x, g: F.when(at > x, F.ceil((at - x) / n)).otherwise(0) + F.when((g < fold) & (at >= x) & ((at - x) % n == 0), 1).otherwise(0))
+    places = places.select("_n", "test_fold", (F.aggregate(before, F.lit(0).cast("long"), lambda a, x: a + x) + 1).alias("_rank"))
+    placed = ranked.join(places, ["_n", "_rank"]).select(F.col(group_col).alias("_group"), "test_fold")
+    return images.join(placed, F.col(group_col).eqNullSafe(F.col("_group"))).select(*images.columns, "test_fold")
 
 
 def sample_empty(tiles: DataFrame, n_annotated: int, ratio: float, id_col: str, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, labels, tiling
-from ..sources import pixels, readers, writers
+from ..sources import cache, pixels, readers, writers
 from ..sources.scratch import scratch
 from . import fixture as X
 from .catalogue import _SEEN, TILINGS, query, tile_sql
@@ -168,6 +168,41 @@ def _(spark, d):
     return readers.cached(spark, path, never).select("det_id", "image_id", F.col("fold").cast("long").alias("fold"), "label", "score")
 
 
+@query("collected_in_runs", sql("SELECT det_id, image_id, fold, label, score FROM det"))
+def _(spark, d):
+    """A run over three folds, one over all that dies half-way, and one over all."""
+    path, own = scratch(spark, "growing"), X.detections(spark, d)
+    made = own.withColumns({"split": F.lit("test"), "arch": F.lit("made"), "dataset": F.lit("parts"), "fold": F.col("fold").cast("int"), "image": F.concat(F.lit("img_"), F.col("image_id").cast("string"))})
+    wanted = X.images(spark, d).select(F.lit("test").alias("split"), F.lit("made").alias("arch"), F.lit("parts").alias("dataset"), F.col("fold").cast("int").alias("fold"), F.concat(F.lit("img_"), F.col("image_id").cast("string")).alias("image"))
+    names = [c.split(" ")[0] for c in readers.DETECTION.split(", ")]
+    run = lambda todo: made.join(todo, list(cache.KEYS), "left_semi").select(*names)
+
+    def dying(todo):
+        return run(todo).withColumn("label", F.when(F.col("det_id") % 1000 == 0, F.raise_error(F.lit("the engine died"))).otherwise(F.col("label")).cast("int"))
+
+    cache.collect(wanted.filter("fold < 3"), path, run)
+    try:
+        cache.collect(wanted, path, dying)
+    except Exception as e:
+        if "the engine died" not in str(e):
+            raise
+    return cache.collect(wanted, path, run).select("det_id", F.expr("cast(substring(image, 5) as bigint)").alias("image_id"), F.col("fold").cast("long").alias("fold"), "label", "score")
+
+
+@query("encoded_tiles", sql(_POINTS + " SELECT DISTINCT 'img_' || image_id || '_tile_' || t.x || '_' || t.y || '.png' AS file_name, CAST(w - t.x AS INT) AS width, CAST(h - t.y AS INT) AS height, TRUE AS same FROM s, LATERAL (VALUES (0, 0), (w // 2, 0), (w // 2, h // 2)) t(x, y)"))
+def _(spark, d):
+    """Tiles of each small image encoded, written as files and decoded again: the bytes are those that were cut."""
+    own = pixels.load(spark, _small_images(spark, d)).withColumn("image_id", F.regexp_extract("file_name", "[0-9]+", 0).cast("long"))
+    half = lambda c: F.floor(F.col(c) / 2).cast("int")
+    at = F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), (F.col("width") - x).cast("int").alias("tile_width"), (F.col("height") - y).cast("int").alias("tile_height")) for x, y in ((F.lit(0), F.lit(0)), (half("width"), F.lit(0)), (half("width"), half("height")))])
+    cut = pixels.cropped(own, own.select("image_id", F.inline(at)))
+    name = F.format_string("img_%d_tile_%d_%d.png", "image_id", "x", "y").alias("name")
+    folder = scratch(spark, "encoded")
+    writers.export_files(folder, pixels.encoded(cut, pixels.png).select(name, F.col("file").alias("content")))
+    again = pixels.load(spark, folder).select("file_name", "width", "height", "pixels")
+    return again.join(cut.select(name.alias("file_name"), F.col("pixels").alias("was")), "file_name").select("file_name", "width", "height", (F.col("pixels") == F.col("was")).alias("same"))
+
+
 @query("fold_stats_rows", sql("SELECT image_id, width, CASE image_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM img WHERE fold = 2"))
 def _(spark, d):
     path = scratch(spark, "stats")
