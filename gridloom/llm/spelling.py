@@ -35,7 +35,7 @@ def word_counts(rows: DataFrame, letters: int = LETTERS, marred: int = MARRED) -
     CRC-32 of "<id>:<run>" the run loses the code point at that number modulo its length. A null id is the empty string; a null text has none."""
 
     def count(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 8 << 20):
             total: Counter = Counter()
             for i, text in zip(column(batch, "id").to_pylist(), utf8(column(batch, "text")), strict=True):
                 start = b"%s:" % (b"" if i is None else str(i).encode())
@@ -87,8 +87,10 @@ def _cuts(words: DataFrame) -> DataFrame:
 
 
 def _numbered(names: DataFrame, label: str) -> DataFrame:
-    """A number for each distinct name (a column `name`), broadcast where the table is small."""
-    out = C.staged(names.filter("name IS NOT NULL").distinct().select("name", F.monotonically_increasing_id().alias("node")), label)
+    """A number for each name (a column `name`) of a node that two words or more go through, broadcast where the table is small. The other nodes, the lonely
+    ends of words, join no two words."""
+    shared = names.groupBy("name").agg(F.count(F.lit(1)).alias("words")).filter("words > 1")
+    out = C.staged(shared.select("name", F.monotonically_increasing_id().alias("node")), label)
     return _small(out, NAMED + 49)
 
 
@@ -102,7 +104,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     cuts = C.staged(_cuts(words), "cuts")
     forward, reverse = _numbered(cuts.select(F.col("p").alias("name")), "forward"), _numbered(cuts.select(F.col("s").alias("name")), "reverse")
     at = lambda nodes, name: nodes.select(F.col("name").alias(name), F.col("node").alias(f"{name}_node"))
-    placed = cuts.join(at(forward, "p"), "p").join(at(reverse, "s"), "s").join(at(reverse, "skip"), "skip", "left")
+    placed = cuts.join(at(forward, "p"), "p").drop("p").join(at(reverse, "s"), "s", "left").drop("s").join(at(reverse, "skip"), "skip", "left")
     # Whole: the word itself, cut here. Else: the word without the next letter.
     each = F.array(F.struct(F.col("s_node").alias("s"), F.lit(True).alias("whole")), F.struct(F.col("skip_node").alias("s"), F.lit(False).alias("whole")))
     pairs = placed.select(F.col("p_node").alias("p"), "wid", "n", "start", F.explode(each).alias("x")).filter("x.s IS NOT NULL")
