@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
+#: Bins of a histogram that ranks are selected by, and bytes up to which the open ranks are broadcast.
+BINS, SMALL = 1024, 32 << 20
+
 
 def unioned(tiled: DataFrame, baseline: DataFrame) -> DataFrame:
     return tiled.unionByName(baseline, allowMissingColumns=True)
@@ -24,10 +30,50 @@ def long_form(results: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("
     return results.unpivot(list(keys), metrics, "metric", "value")
 
 
+def quantiles(df: DataFrame, value: str, at: list[float], keys: tuple[str, ...] = (), bins: int = BINS) -> DataFrame:
+    """keys, n, low, high and, for each of at, q0, q1, ...: exact quantiles, linear between neighbours, of the finite values of each group.
+
+    Ranks are selected by histograms that refine: each round counts, for every open rank, its values in bins between its bounds, and the bin that holds the rank gives
+    the next bounds, the least and greatest value in it, until they are one. So what a group needs is one histogram for each rank, whatever its size, and no values are kept.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "quantiles")
+    own, v = list(keys), F.col("_v")
+    df.select(*own, F.col(value).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).write.parquet(f"{path}/values")
+    rows = spark.read.parquet(f"{path}/values")
+    groups = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).filter("n > 0")
+    groups.write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
+    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    ranks = F.array_distinct(F.array(*[f(place(p)).cast("long") for p in at for f in (F.floor, F.ceil)]))
+    wanted, n = groups.select(*own, F.explode(ranks).alias("_rank"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.lit(0).cast("long").alias("_below")), 0
+    while True:
+        wanted.write.parquet(f"{path}/{n}")
+        wanted = spark.read.parquet(f"{path}/{n}")
+        left = wanted.filter("_low < _high")
+        if not left.limit(1).count():
+            break
+        small = F.broadcast(left) if left.count() * 200 <= SMALL else left
+        met = (rows.join(small, own) if own else rows.crossJoin(small)).filter((v >= F.col("_low")) & (v <= F.col("_high")))
+        bin_ = F.least(F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1)).alias("_bin")
+        counts = met.groupBy(*own, "_rank", "_below", bin_).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+        upto = F.sum("_n").over(W.partitionBy(*own, "_rank").orderBy("_bin"))
+        found = counts.withColumn("_upto", F.col("_below") + upto).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        found = found.select(*own, "_rank", "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_below"))
+        wanted, n = found.unionByName(wanted.filter("_low >= _high")), n + 1
+    known = wanted.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_low"))).alias("_known"))
+    both = groups.join(known, own) if own else groups.crossJoin(known)
+
+    def between(p: float):
+        low, high = F.floor(place(p)).cast("long"), F.ceil(place(p)).cast("long")
+        return F.when(low == high, F.col("_known")[low]).otherwise((high - place(p)) * F.col("_known")[low] + (place(p) - low) * F.col("_known")[high])
+
+    return both.select(*own, "n", "low", "high", *[between(p).alias(f"q{i}") for i, p in enumerate(at)])
+
+
 def box_numbers(long: DataFrame, keys: tuple[str, ...] = ("model", "metric")) -> DataFrame:
-    """Least, quartiles (linear between neighbours) and greatest."""
-    q = F.percentile("value", [0.25, 0.5, 0.75])
-    return long.groupBy(*keys).agg(F.min("value").alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max("value").alias("high"))
+    """Least, quartiles (linear between neighbours) and greatest; see quantiles. Groups without a value have no row."""
+    own = quantiles(long, "value", [0.25, 0.5, 0.75], keys)
+    return own.select(*keys, "low", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"), "high")
 
 
 def anova(long: DataFrame, by: str = "model", keys: tuple[str, ...] = ("metric",)) -> DataFrame:

@@ -685,6 +685,12 @@ def _(spark, d):
     return rounded(stats.box_numbers(stats.long_form(_results(spark, d), ["map50", "recall"])), "low", "q1", "median", "q3", "high")
 
 
+@query("place_quantiles", sql(" SELECT fold, label, count(*) AS n, round(quantile_cont(x1, 0.1), 9) AS q0, round(quantile_cont(x1, 0.5), 9) AS q1, round(quantile_cont(x1, 0.99), 9) AS q2, round(max(x1), 9) AS high FROM det GROUP BY ALL"))
+def _(spark, d):
+    """Places of boxes: whole groups of tens of thousands, selected by histograms."""
+    return rounded(stats.quantiles(X.detections(spark, d), "x1", [0.1, 0.5, 0.99], ("fold", "label")).select("fold", "label", "n", "q0", "q1", "q2", "high"), "q0", "q1", "q2", "high", digits=9)
+
+
 @query("anova_f", sql(_L + ", g AS (SELECT metric, model, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM lg GROUP BY ALL), t AS (SELECT metric, sum(n) AS a, count(*) AS k, sum(n * m) AS s, sum(n * m * m) AS q, sum(n * v) AS w FROM g GROUP BY ALL) SELECT metric, round(((q - s * s / a) / (k - 1)) / (w / (a - k)), 5) AS f, k - 1 AS df_between, CAST(a - k AS BIGINT) AS df_within FROM t"))
 def _(spark, d):
     return rounded(stats.anova(stats.long_form(_results(spark, d), ["map50", "recall"])), "f", digits=5)
