@@ -57,20 +57,20 @@ class Setup:
         s, f, i = self.slicing, self.folds, self.inference
         inside = lambda x: x is not None and 0 < x < 1
         rules = {
-            f"slicing.mode must be one of {', '.join(MODES)}": s.mode in MODES,
-            "slicing.tile_size must be two positive numbers": len(s.tile_size) == 2 and min(s.tile_size) > 0,
-            "slicing.overlap_ratio must be between 0 and 1": s.mode == "none" or inside(s.overlap_ratio),
-            "crossfolds.n_folds must be 2 or more": f.n_folds >= 2,
-            "crossfolds.val_ratio must be between 0 and 1": inside(f.val_ratio),
-            f"crossfolds.split_strategy must be one of {', '.join(STRATEGIES)}": f.split_strategy in STRATEGIES,
-            "crossfolds.test_ratio must be between 0 and 1": f.split_strategy != "fixed_ratios" or inside(f.test_ratio),
-            "crossfolds.val_ratio and test_ratio must leave something to train on": f.split_strategy != "fixed_ratios" or f.val_ratio + (f.test_ratio or 0) < 1,
-            "crossfolds.ioa_threshold must be above 0 and at most 1": 0 < f.ioa_threshold <= 1,
-            "crossfolds.empty_tile_ratio must be from 0 to 1": 0 <= f.empty_tile_ratio <= 1,
-            f"inference.suppression must be one of {', '.join(METHODS)}": i.suppression in METHODS,
-            "inference.conf_threshold must be above 0 and at most 1": 0 < i.conf_threshold <= 1,
-            "inference.iou_threshold must be above 0 and at most 1": 0 < i.iou_threshold <= 1,
-            "inference.batch_size must be positive": i.batch_size >= 1,
+            f"slicing.mode: one of {', '.join(MODES)}": s.mode in MODES,
+            "slicing.tile_size: width and height, both above 0": len(s.tile_size) == 2 and min(s.tile_size) > 0,
+            "slicing.overlap_ratio: a share, neither none nor all": s.mode == "none" or inside(s.overlap_ratio),
+            "crossfolds.n_folds: two at least": f.n_folds >= 2,
+            "crossfolds.val_ratio: a share, neither none nor all": inside(f.val_ratio),
+            f"crossfolds.split_strategy: one of {', '.join(STRATEGIES)}": f.split_strategy in STRATEGIES,
+            "crossfolds.test_ratio: a share, neither none nor all": f.split_strategy != "fixed_ratios" or inside(f.test_ratio),
+            "crossfolds.val_ratio, crossfolds.test_ratio: less than all together": f.split_strategy != "fixed_ratios" or f.val_ratio + (f.test_ratio or 0) < 1,
+            "crossfolds.ioa_threshold: a share, not none": 0 < f.ioa_threshold <= 1,
+            "crossfolds.empty_tile_ratio: a share": 0 <= f.empty_tile_ratio <= 1,
+            f"inference.suppression: one of {', '.join(METHODS)}": i.suppression in METHODS,
+            "inference.conf_threshold: a share, not none": 0 < i.conf_threshold <= 1,
+            "inference.iou_threshold: a share, not none": 0 < i.iou_threshold <= 1,
+            "inference.batch_size: one at least": i.batch_size >= 1,
         }
         return [text for text, good in rules.items() if not good]
 
