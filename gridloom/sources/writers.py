@@ -82,11 +82,23 @@ def export_labels(folder: str, lines: DataFrame) -> int:
     return export_files(folder, lines.select(F.concat("sample_name", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
 
 
-def copy_split(source: str, target: str, names: DataFrame) -> int:
-    """Copies the files of a folder that names (file_name) has, in tasks; the number copied. Missing ones are passed over."""
-    rows = names.sparkSession.read.format("binaryFile").load(source).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
-    own = rows.join(names.select("file_name").distinct(), "file_name", "left_semi")
-    return export_files(target, own.select(F.col("file_name").alias("name"), "content"))
+def copy_split(source: str, target: str, names: DataFrame, block: int = 10_000) -> int:
+    """Copies the files of a folder that names (file_name) has, in tasks; the number copied. Missing ones are passed over. The folder is listed first, and only chosen
+    files are opened, so many at a time as a block has paths."""
+    spark = names.sparkSession
+    listed = spark.read.format("binaryFile").load(source).select("path").withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    chosen = listed.join(names.select("file_name").distinct(), "file_name", "left_semi").select(F.regexp_replace("path", r"([\[\]{}*?\\])", r"\\$1"))
+
+    def copied(paths: list[str]) -> int:
+        rows = spark.read.format("binaryFile").load(paths)
+        return export_files(target, rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
+
+    n, paths = 0, []
+    for (path,) in chosen.toLocalIterator():
+        paths.append(path)
+        if len(paths) == block:
+            n, paths = n + copied(paths), []
+    return n + (copied(paths) if paths else 0)
 
 
 def write_fold_yaml(spark: SparkSession, path: str, root: str, names: list[str], test: bool = True) -> None:

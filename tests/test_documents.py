@@ -72,3 +72,13 @@ def test_numbers_and_running_sums(spark):
     whole = prefix.running(df, ["at", "id"], {"n": F.lit(1)}, tasks=5)
     assert sorted(x.n for x in whole.collect()) == list(range(1, 2001))
     assert prefix.running(df.limit(0), ["at"], {"n": F.lit(1)}, ("g",)).collect() == [] == prefix.numbered(df.limit(0), ["at"]).collect()
+
+
+def test_only_chosen_files_are_copied(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("x.jpg", "y [1].jpg", "z{2}.jpg", "other.jpg"):
+        (tmp_path / "a" / name).write_bytes(name.encode())
+    names = spark.createDataFrame([("x.jpg",), ("y [1].jpg",), ("z{2}.jpg",), ("none.jpg",), ("x.jpg",)], "file_name string")
+    for block in (1, 100):
+        assert writers.copy_split(f"{tmp_path}/a", f"{tmp_path}/to{block}", names, block) == 3
+        assert {p.name: p.read_bytes() for p in (tmp_path / f"to{block}").iterdir() if not p.name.startswith(".")} == {n: n.encode() for n in ("x.jpg", "y [1].jpg", "z{2}.jpg")}
