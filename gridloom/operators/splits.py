@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import prefix
 
 RANGES = 64
+#: Steps of a walk back into the places of a permutation; each ends it with a chance of a quarter at least.
+WALK = 256
 
 
 def mixed(id_: Column, seed: int = 0) -> Column:
@@ -37,7 +39,11 @@ def numbered(df: DataFrame, id_col: str, seed: int = 0, keys: tuple[str, ...] =
 def kfold_holdout(images: DataFrame, folds: int = 5, val_ratio: float = 0.15, seed: int = 42, id_col: str = "image_id") -> DataFrame:
     """images for each fold with split. The first n % folds chunks have one more image; chunk i is fold i's test set, and of the
     others, in order, the first max(1, round half even of their share) are its validation set."""
-    rows = numbered(images, id_col, seed)
+    return _chunked(numbered(images, id_col, seed), folds, val_ratio)
+
+
+def _chunked(rows: DataFrame, folds: int, val_ratio: float) -> DataFrame:
+    """rows with pos and n for each fold with split, as kfold_holdout says."""
     size, more = F.floor(F.col("n") / folds), F.col("n") % folds
     chunk = F.when(F.col("pos") < more * (size + 1), F.floor(F.col("pos") / (size + 1))).otherwise(more + F.floor((F.col("pos") - more * (size + 1)) / F.greatest(size, F.lit(1))))
     rows = rows.withColumn("chunk", chunk.cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("split_fold"))
@@ -48,6 +54,34 @@ def kfold_holdout(images: DataFrame, folds: int = 5, val_ratio: float = 0.15, se
     return rows.withColumn("split", split).drop("pos", "n", "chunk")
 
 
+def permuted(place: Column, n: int, key: int = 0) -> Column:
+    """Where a keyed permutation of 0 to n - 1 sends a place: a Feistel network on the least even number of bits that n fits in, applied again as long as it
+    leads beyond n. Each row works out its own, so nothing is sorted; the number of places beyond n is under 3 n, so a walk of WALK steps that does not end is out of reach."""
+    half = next(h for h in range(1, 32) if 4**h >= n)
+    mask, keys = (1 << half) - 1, F.array(*[F.lit(k).cast("long") for k in round_keys(key)])
+
+    def once(x: Column) -> Column:
+        def swap(a: Column, k: Column) -> Column:
+            right = a.bitwiseAND(F.lit(mask))
+            mixed_ = F.shiftright(((right + k) * F.lit(2654435761)) % F.lit(4294967296), 8)
+            return right * F.lit(1 << half) + F.shiftright(a, half).bitwiseXOR(mixed_.bitwiseAND(F.lit(mask)))
+
+        return F.aggregate(keys, x, swap)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(place.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+
+def round_keys(key: int) -> list[int]:
+    return [(key * 7919 + i * 104729) % (1 << 31) for i in range(1, 5)]
+
+
+def kfold_permuted(images: DataFrame, folds: int = 5, val_ratio: float = 0.15, key: int = 42, id_col: str = "image_id") -> DataFrame:
+    """As kfold_holdout, with images in the order of a keyed permutation of their numbers by id: numbered once, they are dealt anew with any key without a sort."""
+    rows = prefix.numbered(images, [id_col], "_n")
+    total = rows.count()
+    return _chunked(rows.select(*images.columns, permuted(F.col("_n") - 1, total, key).alias("pos"), F.lit(total).cast("long").alias("n")), folds, val_ratio)
+
+
 def fixed_ratios(images: DataFrame, folds: int = 5, val_ratio: float = 0.15, test_ratio: float = 0.2, seed: int = 42, id_col: str = "image_id") -> DataFrame:
     """images for each fold with split, reshuffled for each fold: first the test set, then validation, the rest trains."""
     rows = images.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("split_fold"))

@@ -228,6 +228,19 @@ def _(spark, d):
     return splits.kfold_holdout(X.images(spark, d).select("image_id")).groupBy("split_fold", "split").agg(F.count(F.lit(1)).alias("n_images"))
 
 
+def _feistel(x: str) -> str:
+    return f"list_reduce(CAST([{x}, {', '.join(map(str, splits.round_keys(42)))}] AS BIGINT[]), lambda a, k: ((a & ((1 << h) - 1)) << h) + xor(a >> h, (((((a & ((1 << h) - 1)) + k) * 2654435761) % 4294967296) >> 8) & ((1 << h) - 1)))"
+
+
+_PERMUTED = f""", p0 AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS i, count(*) OVER () AS n FROM img), p1 AS (SELECT *, (SELECT CAST(min(k) AS INT) FROM range(1, 32) t(k) WHERE power(4, k) >= (SELECT max(n) FROM p0)) AS h FROM p0),
+wk AS (SELECT image_id, n, h, {_feistel('i')} AS x FROM p1 UNION ALL SELECT image_id, n, h, {_feistel('x')} FROM wk WHERE x >= n), pm AS (SELECT image_id, x AS pos, n FROM wk WHERE x < n)"""
+
+
+@query("kfold_permuted", sql(_PERMUTED + _KFOLD.replace(_KFOLD[: _KFOLD.index(", q AS")], "").replace("FROM p)", "FROM pm)", 1) + " SELECT * FROM sp"))
+def _(spark, d):
+    return splits.kfold_permuted(X.images(spark, d).select("image_id"))
+
+
 @query("fixed_ratio_assign", sql(""", f AS (SELECT image_id, unnest(range(5)) AS split_fold FROM img), g AS (SELECT *, image_id + split_fold * 7919 AS h FROM f),
 p AS (SELECT *, row_number() OVER (PARTITION BY split_fold ORDER BY (h + 42) * 2654435761 % 4294967296, h) - 1 AS pos, count(*) OVER (PARTITION BY split_fold) AS n FROM g),
 s AS (SELECT *, greatest(1, CAST(round_even(n * CAST(0.2 AS DOUBLE), 0) AS BIGINT)) AS t, greatest(1, CAST(round_even(n * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS v FROM p)
