@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +16,13 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
-def pieces(batches, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that column has about `most` bytes in each (one row at least), without a copy."""
+def pieces(batches, of: str | Callable, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a column (by name, or what a function of the batch gives) has about `most` bytes in each (one row at least), without a copy."""
     trim()
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = batch.column(batch.schema.get_field_index(column))
+        texts = of(batch) if callable(of) else column(batch, of)
         sizes = np.cumsum(lengths(texts))
         at = 0
         while at < batch.num_rows:

@@ -226,18 +226,21 @@ def sample(rows: DataFrame, per_lang: int = PER_LANG, segments: int = SEGMENTS,
     return sorted((a, b.split(" ")) for a, b in zip(got.column("lang").to_pylist(), got.column("words").to_pylist(), strict=True))
 
 
-def predict(rows: DataFrame, field: Field) -> DataFrame:
-    """rows (with a string column text, which goes) and lang_pred, score."""
+def predict(rows: DataFrame, field: Field, inside: str | None = None) -> DataFrame:
+    """rows (with a string column text, which goes) and lang_pred, score. With inside the text is that field of the struct column row, and stays there:
+    so a text that is kept goes to the worker once."""
     shared = rows.sparkSession.sparkContext.broadcast(field)
-    kept = [f for f in rows.schema if f.name != "text"]
+    kept = [f for f in rows.schema if inside or f.name != "text"]
+    at = rows.schema["row"].dataType.fieldNames().index(inside) if inside else None
+    texts = (lambda batch: column(batch, "text")) if at is None else (lambda batch: column(batch, "row").field(at))
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label(batches):
         own = shared.value
         known: dict[str, int] = {}
         table = np.empty((0, len(own.labels)))
-        for batch in pieces(batches, "text", 1 << 18):
-            found = [words(t) if t else [] for t in column(batch, "text").to_pylist()]
+        for batch in pieces(batches, texts, 1 << 18):
+            found = [words(t) if t else [] for t in texts(batch).to_pylist()]
             size = np.array([len(w) for w in found], np.int64)
             every = [w for f in found for w in f]
             fresh = set(every).difference(known)
@@ -282,7 +285,13 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, field: Field | None = None) -> DataFrame:
-    """The rows of df, all columns, that have a language with at least this score; und goes."""
+    """The rows of df, all columns, that have a language with at least this score; und goes, and so do null texts.
+
+    Rows with a null id are judged like others, repeated rows are judged alike and all stay or go, and an empty table gives no rows."""
     field = field or fitted(df, id_col, text_col, lang_col)
-    rows = C.packed(df, id_col, text_col).select("row", F.col("text").cast("string").alias("text"))
-    return predict(rows, field).filter(F.col("lang_pred") != "und").filter(F.col("score") >= least).select("row.*")
+    rows = C.packed(df, id_col, text_col)
+    if isinstance(rows.schema["text"].dataType, T.StringType):
+        found = predict(rows.select("row"), field, text_col)
+    else:
+        found = predict(rows.select("row", F.col("text").cast("string").alias("text")), field)
+    return found.filter(F.col("lang_pred") != "und").filter(F.col("score") >= least).select("row.*")

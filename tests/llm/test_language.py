@@ -74,3 +74,18 @@ def test_code_switching(corpus):
 def test_empty_and_unlabelled(spark):
     assert L.identify(frame(spark, [])).collect() == []
     assert [r.lang_pred for r in L.identify(frame(spark, [(1, "ab cd", None, "s")])).collect()] == ["und"]
+
+
+def test_kept_rows_whatever_way_the_text_goes(spark, corpus):
+    """A text inside its row, and one that is cast first, leave the same rows; many slices of a batch keep rows and languages together."""
+    from pyspark.sql import functions as F
+
+    odd = [(None, corpus[3][1], "xx"), (7, None, "xx"), (8, "1 2", None), (9, "", "yy"), *[corpus[5]] * 3, (910, "ka lo " * 60_000, "xx")]
+    df = frame(spark, [(*x, str(i)) for i, x in enumerate(corpus + odd)]).coalesce(2)
+    field = L.fitted(df)
+    rows = df.select(F.struct(*df.columns).alias("row"), "text")
+    judged = L.predict(rows, field).filter("lang_pred != 'und' AND score >= 0.6")
+    wanted = sorted(r.row.score for r in judged.collect())
+    assert sorted(r.score for r in L.keep_identified(df, least=0.6, field=field).collect()) == wanted
+    assert sorted(r.score for r in L.keep_identified(df.withColumn("text", F.col("text").cast("binary")), least=0.6, field=field).collect()) == wanted
+    assert L.keep_identified(df.limit(0), field=field).collect() == [] and L.keep_identified(df.limit(0)).collect() == []
