@@ -7,21 +7,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def rebuild(tiles: DataFrame) -> DataFrame:
-    """image_id, width, height, pixels from tiles (those, x, y, tile_width, tile_height, pixels: rows of three bytes): each pixel is the mean of
-    the tiles over it, cut to a whole number, 0 where there is none. One image is one group."""
+#: Bytes of an image that one group puts together.
+STRIP_BYTES = 4 << 20
 
+
+def _rows(strip_bytes: int):
+    return F.greatest(F.floor(F.lit(strip_bytes) / (3 * F.col("width"))), F.lit(1)).cast("int")
+
+
+def strips(tiles: DataFrame, strip_bytes: int = STRIP_BYTES) -> DataFrame:
+    """image_id, width, height, strip (from 0), pixels: the images in strips of whole rows, as many rows as strip_bytes hold (one at least), from tiles (those columns, x, y,
+    tile_width, tile_height, pixels: rows of three bytes). Each pixel is the mean of the tiles over it, cut to a whole number, 0 where there is none.
+
+    A tile is cut into the rows that each strip needs before anything moves, so a strip is one group. Parts of tiles beyond the image go; strips without
+    a tile have no row. Repeated tiles count as often as they come."""
+    rows = _rows(strip_bytes)
+    own = tiles.select("image_id", "width", "height", "x", "y", "tile_width", "tile_height", "pixels").withColumn("rows", rows)
+    end = F.least(F.col("y") + F.col("tile_height"), F.col("height"))
+    inside = own.filter((F.col("y") < F.col("height")) & (F.col("x") < F.col("width")) & (F.col("tile_height") > 0) & (F.col("tile_width") > 0))
+    met = inside.withColumn("end", end).withColumn("strip", F.explode(F.sequence(F.floor(F.col("y") / F.col("rows")).cast("int"), F.floor((F.col("end") - 1) / F.col("rows")).cast("int"))))
+    first = F.greatest(F.col("y"), F.col("strip") * F.col("rows"))
+    count = F.least(F.col("end"), (F.col("strip") + 1) * F.col("rows")) - first
+    line = 3 * F.col("tile_width")
+    cut = met.select("image_id", "width", "height", "rows", "strip", "x", (first - F.col("strip") * F.col("rows")).alias("y"), "tile_width", F.substring("pixels", (first - F.col("y")) * line + 1, count * line).alias("pixels"))
     def join(pdf):
-        w, h = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
-        total, count = np.zeros((h, w, 3)), np.zeros((h, w, 1))
-        for t in pdf.itertuples(index=False):
-            part = np.frombuffer(t.pixels, np.uint8).reshape(t.tile_height, t.tile_width, 3)[: h - t.y, : w - t.x]
-            total[t.y : t.y + len(part), t.x : t.x + part.shape[1]] += part
-            count[t.y : t.y + len(part), t.x : t.x + part.shape[1]] += 1
-        out = (total / np.maximum(count, 1)).astype(np.uint8)
-        return type(pdf)({"image_id": [pdf["image_id"].iloc[0]], "width": [w], "height": [h], "pixels": [out.tobytes()]})
-
-    return tiles.select("image_id", "width", "height", "x", "y", "tile_width", "tile_height", "pixels").groupBy("image_id").applyInPandas(join, "image_id long, width int, height int, pixels binary")
+        r = pdf.iloc[0]
+        w, high, strip = int(r["width"]), int(r["height"]), int(r["strip"])
+        h = min(int(r["rows"]), high - strip * int(r["rows"]))
+        total, seen = np.zeros((h, w, 3)), np.zeros((h, w, 1))
+        for x, y, width, pixels in zip(*(pdf[c] for c in ("x", "y", "tile_width", "pixels")), strict=True):
+            x, y = int(x), int(y)
+            part = np.frombuffer(pixels, np.uint8).reshape(-1, int(width), 3)[:, : w - x]
+            total[y : y + len(part), x : x + part.shape[1]] += part
+            seen[y : y + len(part), x : x + part.shape[1]] += 1
+        out = (total / np.maximum(seen, 1)).astype(np.uint8)
+        return type(pdf)({"image_id": [r["image_id"]], "width": [w], "height": [high], "strip": [strip], "pixels": [out.tobytes()]})
+
+    kind = tiles.select("image_id").schema.add("width", "integer").add("height", "integer").add("strip", "integer").add("pixels", "binary")
+    return cut.groupBy("image_id", "strip").applyInPandas(join, kind)
+
+
+def rebuild(tiles: DataFrame, strip_bytes: int = STRIP_BYTES) -> DataFrame:
+    """image_id, width, height, pixels: the strips of each image one after another (see strips), zeros for those without a tile. Images that no tile touches have no row."""
+    parts = strips(tiles, strip_bytes).groupBy("image_id", "width", "height").agg(F.map_from_entries(F.collect_list(F.struct("strip", "pixels"))).alias("parts"))
+    rows, at = _rows(strip_bytes), lambda i: F.try_element_at(F.col("parts"), i)
+    empty = lambda i: F.unhex(F.repeat(F.lit("00"), 3 * F.col("width") * F.least(rows, F.col("height") - i * rows)))
+    whole = F.aggregate(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / rows).cast("int")), F.lit(b""), lambda done, i: F.concat(done, F.coalesce(at(i), empty(i))))
+    return parts.select("image_id", "width", "height", whole.alias("pixels"))
 
 
 def mismatches(originals: DataFrame, rebuilt: DataFrame) -> DataFrame:

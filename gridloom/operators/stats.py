@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import string
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.scratch import scratch
 
 #: Bins of a histogram that ranks are selected by, and bytes up to which the open ranks are broadcast.
 BINS, SMALL = 1024, 32 << 20
+#: Nodes of the rule that tails of distributions are summed by.
+NODES = 48
 
 
 def unioned(tiled: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -77,7 +84,7 @@ def box_numbers(long: DataFrame, keys: tuple[str, ...] = ("model", "metric")) ->
 
 
 def anova(long: DataFrame, by: str = "model", keys: tuple[str, ...] = ("metric",)) -> DataFrame:
-    """One-way analysis of variance of value by group: f, df_between, df_within and p (null where nothing varies within)."""
+    """One-way analysis of variance of value by group: f (null where nothing varies within), df_between, df_within; see significance for p."""
     g = long.groupBy(*keys, by).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     t = g.groupBy(*keys).agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum(F.col("n") * F.col("v")).alias("within"))
     between = F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n_all"), F.lit(0.0))
@@ -85,73 +92,93 @@ def anova(long: DataFrame, by: str = "model", keys: tuple[str, ...] = ("metric",
     return t.select(*keys, f.alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("n_all") - F.col("k")).alias("df_within"))
 
 
-def f_tail(f: float, between: int, within: int) -> float:
-    """P(F > f): the regularised incomplete beta function, by its continued fraction."""
-    import math
-
-    if f <= 0:
-        return 1.0
-    x, a, b = within / (within + between * f), within / 2, between / 2
-
-    def fraction(a, b, x):
-        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-        h = d
-        for m in range(1, 300):
-            for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / (1 + n * d), 1 + n / c
-                h *= d * c
-            if abs(d * c - 1) < 1e-14:
-                break
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
-
-
-def significance(anovas: DataFrame) -> list[dict]:
-    """anova rows at the driver (one for each metric) with p."""
-    return [r.asDict() | {"p": None if r["f"] is None else f_tail(r["f"], r["df_between"], r["df_within"])} for r in anovas.collect()]
-
-
-def studentised_tail(q: float, k: int, df: int, steps: int = 160) -> float:
-    """P(range of k standard normals over an independent scale > q), by numeric integration."""
-    import math
-
-    import numpy as np
-
-    phi = lambda z: 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
-    z = np.linspace(-8, 8, 801)
-    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    s = np.linspace(1e-6, max(2.0, 1 + 8 / math.sqrt(df)), steps)
-    log = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
-    inner = np.array([k * np.trapezoid(density * np.clip(phi(z) - phi(z - q * x), 0, 1) ** (k - 1), z) for x in s])
-    return float(min(1.0, max(0.0, 1 - np.trapezoid(np.exp(log) * inner, s))))
-
-
-def tukey(long: DataFrame, by: str = "model") -> list[dict]:
-    """Pairs of groups of one metric: difference of means, q and p. Groups are few; only their sums reach the driver."""
-    rows = [r.asDict() for r in long.groupBy(by).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).orderBy(by).collect()]
-    df = sum(r["n"] for r in rows) - len(rows)
-    spread = sum(r["n"] * r["v"] for r in rows) / df if df > 0 else 0.0
-    out = []
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
-            scale = (spread / 2 * (1 / a["n"] + 1 / b["n"])) ** 0.5
-            q = abs(b["m"] - a["m"]) / scale if scale else float("inf")
-            out.append({"a": a[by], "b": b[by], "difference": b["m"] - a["m"], "q": q, "p": studentised_tail(q, len(rows), df) if scale else 0.0})
-    return out
-
-
-def letters(means: dict[str, float], differ: set[tuple[str, str]]) -> dict[str, str]:
-    """Compact letters: two groups share one if and only if they don't differ. means order the letters, largest first."""
-    names, unlike = sorted(means, key=lambda g: -means[g]), {frozenset(p) for p in differ}
+def nodes(n: int = NODES) -> list[tuple[float, float]]:
+    """Places between 0 and 1 and weights of the Gauss-Legendre rule with n nodes."""
+    x, w = np.polynomial.legendre.leggauss(n)
+    return [(float(a), float(b)) for a, b in zip((x + 1) / 2, w / 2, strict=True)]
+
+
+def _nodes():
+    """The rule as an array column of fixed size: exploded, it makes a row for each node; folded, a sum over them."""
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in nodes()])
+
+
+def significance(anovas: DataFrame) -> DataFrame:
+    """anova rows with p, the chance of a greater f; null where f is.
+
+    With tan(t)^2 = f df_between / df_within the tail is an integral of cos(t)^(df_within - 1) sin(t)^(df_between - 1) over the whole one. Its logarithm curves by
+    df_between + df_within - 2 at least, so nine deviations around its peak hold all of it at any number of rows, and both integrals are sums over nodes."""
+    d1, d2, half = F.col("df_between").cast("double"), F.col("df_within").cast("double"), F.lit(math.pi / 2)
+    log = lambda t: (d2 - 1) * F.ln(F.greatest(F.cos(t), F.lit(1e-300))) + (d1 - 1) * F.ln(F.greatest(F.sin(t), F.lit(1e-300)))
+    own = anovas.withColumn("_top", F.atan2(F.sqrt(d1 - 1), F.sqrt(d2 - 1))).withColumn("_far", F.coalesce(F.try_divide(F.lit(9.0), F.sqrt(d1 + d2 - 2)), half))
+    own = own.withColumn("_from", F.atan2(F.sqrt(F.col("f") * d1), F.sqrt(d2)))
+    top, far = F.col("_top"), F.col("_far")
+    area = lambda low, high: F.aggregate(_nodes(), F.lit(0.0), lambda sum_, at: sum_ + at["w"] * F.exp(log(low + (high - low) * at["x"]) - log(top))) * (high - low)
+    low, high = F.greatest(top - far, F.lit(0.0)), F.least(top + far, half)
+    begin = F.greatest(F.col("_from"), low)
+    tail = F.try_divide(area(begin, F.least(F.greatest(begin, top) + far, half)), area(low, high))
+    return own.withColumn("p", F.when(F.col("f").isNotNull(), F.least(tail, F.lit(1.0)))).drop("_top", "_far", "_from")
+
+
+def _groups(long: DataFrame, by: str, keys: tuple[str, ...]) -> DataFrame:
+    return long.groupBy(*keys, by).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).filter("n > 0")
+
+
+def tukey(long: DataFrame, by: str = "model", keys: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """keys, a, b (groups, a before b), difference (b's mean less a's), q and p: all pairs of groups by the studentised range.
+
+    p is a double sum over nodes, of the scale (its density normalised by the same nodes) and of the greatest of k normals, around a sum over nodes for the normal
+    between it and the range. Pairs are of groups, not of rows. Where nothing varies within, q is null and p is 1 for equal means, else 0; without degrees of freedom both are null."""
+    own = long if keys else long.withColumn("_one", F.lit(1))
+    on = list(keys) or ["_one"]
+    g = _groups(own, by, tuple(on))
+    total = g.groupBy(*on).agg(F.count(F.lit(1)).alias("_k"), (F.sum("n") - F.count(F.lit(1))).cast("double").alias("_df"), F.sum(F.col("n") * F.col("v")).alias("_within"))
+    side = lambda name: g.select(*on, F.col(by).alias(name), F.col("n").alias(f"_n{name}"), F.col("m").alias(f"_m{name}"))
+    pairs = side("a").join(side("b"), on).filter("a < b").join(total, on)
+    spread = F.try_divide("_within", "_df")
+    scale = F.sqrt(spread / 2 * (1 / F.col("_na") + 1 / F.col("_nb")))
+    pairs = pairs.select(*on, "a", "b", (F.col("_mb") - F.col("_ma")).alias("difference"), scale.alias("_scale"), "_k", "_df")
+    pairs = pairs.withColumn("q", F.try_divide(F.abs("difference"), F.col("_scale")))
+    df, k, wide = F.col("_df"), F.col("_k"), F.try_divide(F.lit(9.0), F.sqrt(2 * F.col("_df")))
+    low = F.greatest(1 - wide, F.lit(0.0))
+    grid = pairs.withColumn("_s", F.explode(_nodes())).withColumn("_z", F.explode(_nodes()))
+    grid = grid.withColumn("_at", low + (1 + wide - low) * F.col("_s.x")).withColumn("_top", 16 * F.col("_z.x") - 8)
+    grid = grid.withColumn("_low", F.greatest(F.col("_top") - F.col("q") * F.col("_at"), F.lit(-9.0)))
+    bell = lambda x: F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    reach = F.col("_top") - F.col("_low")
+    between = reach * F.aggregate(_nodes(), F.lit(0.0), lambda sum_, at: sum_ + at["w"] * bell(F.col("_low") + reach * at["x"]))
+    weight = F.col("_s.w") * F.col("_z.w") * F.exp((df - 1) * F.ln("_at") - df * (F.col("_at") * F.col("_at") - 1) / 2)
+    within = F.try_divide(F.sum(weight * 16 * k * bell(F.col("_top")) * F.pow(between, k - 1)), F.sum(weight))
+    out = grid.groupBy(*on, "a", "b", "difference", "q", "_scale").agg(within.alias("_within"))
+    p = F.when(F.col("_scale") > 0, F.greatest(F.least(1 - F.col("_within"), F.lit(1.0)), F.lit(0.0))).when(F.col("_scale") == 0, (F.col("difference") == 0).cast("double"))
+    return out.select(*keys, "a", "b", "difference", "q", p.alias("p"))
+
+
+def letters(means: dict, differ: set[tuple]) -> dict:
+    """Compact letters: two groups share one if and only if they don't differ. means order the letters, largest first, equal ones by name."""
+    names, unlike = sorted(means, key=lambda g: (-means[g], g)), {frozenset(p) for p in differ}
     sets = [set(names)]
     for pair in unlike:
         a, b = tuple(pair)
         sets = [x for s in sets for x in ((s - {a}, s - {b}) if {a, b} <= s else (s,))]
         sets = [s for i, s in enumerate(sets) if s and not any(s < o or (s == o and j < i) for j, o in enumerate(sets))]
-    sets.sort(key=lambda s: min(names.index(x) for x in s))
-    return {n: "".join(chr(97 + i) for i, s in enumerate(sets) if n in s) for n in names}
+    sets.sort(key=lambda s: sorted(names.index(x) for x in s))
+    sign = lambda i: string.ascii_letters[i] if i < 52 else f"({i + 1})"
+    return {n: "".join(sign(i) for i, s in enumerate(sets) if n in s) for n in names}
+
+
+def lettered(long: DataFrame, by: str = "model", keys: tuple[str, ...] = ("metric",), level: float = 0.05) -> DataFrame:
+    """keys, by, mean and letters: groups whose pair has p under level by tukey share no letter. A task holds the means and pairs of one set of keys, never its rows."""
+    means = _groups(long, by, keys).select(*keys, F.col(by).alias("a"), F.lit(None).cast(long.schema[by].dataType).alias("b"), F.col("m").alias("mean"))
+    differ = tukey(long, by, keys).filter(F.col("p") < level).select(*keys, "a", "b", F.lit(None).cast("double").alias("mean"))
+    made = StructType([f for f in means.schema if f.name != "b"]).add("letters", "string")
+
+    def spell(rows):
+        pairs, own = rows[rows["b"].notna()], rows[rows["b"].isna()].drop(columns="b")
+        got = letters(dict(zip(own["a"], own["mean"], strict=True)), set(zip(pairs["a"], pairs["b"], strict=True)))
+        return own.assign(letters=[got[x] for x in own["a"]])
+
+    return means.unionByName(differ).groupBy(*keys).applyInPandas(spell, made).withColumnRenamed("a", by)
 
 
 def linear_fit(rows: DataFrame, keys: tuple[str, ...] = (), truth: str = "groundtruth", seen: str = "predicted") -> DataFrame:

@@ -690,7 +690,7 @@ def _results(spark, d):
     return own.selectExpr("concat('model_', ann_id % 3) AS model", "CAST(fold AS INT) AS fold", "(w % 97 + ann_id % 3) / 10.0D AS map50", "(h % 89) / 7.0D AS recall")
 
 
-_L = ", lg AS (SELECT 'model_' || ann_id % 3 AS model, 'map50' AS metric, (w % 97 + ann_id % 3) / 10.0::DOUBLE AS value FROM ann UNION ALL SELECT 'model_' || ann_id % 3, 'recall', (h % 89) / 7.0::DOUBLE FROM ann)"
+_L = ", lg AS (SELECT 'model_' || ann_id % 3 AS model, 'map50' AS metric, (w % 97 + ann_id % 3) / 10.0::DOUBLE AS value FROM ann UNION ALL SELECT 'model_' || ann_id % 3, 'recall', (h % 89) / 7.0::DOUBLE FROM ann), lgf AS (SELECT CAST(fold AS INT) AS fold, 'model_' || ann_id % 3 AS model, 'map50' AS metric, (w % 97 + ann_id % 3) / 10.0::DOUBLE AS value FROM ann UNION ALL SELECT CAST(fold AS INT), 'model_' || ann_id % 3, 'recall', (h % 89) / 7.0::DOUBLE FROM ann)"
 
 
 @query("boxplot_stats", sql(_L + " SELECT model, metric, round(min(value), 6) AS low, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS high FROM lg GROUP BY ALL"))
@@ -709,6 +709,50 @@ def _(spark, d):
     return rounded(stats.anova(stats.long_form(_results(spark, d), ["map50", "recall"])), "f", digits=5)
 
 
+_NODES = ", nd(x, w) AS (VALUES " + ", ".join(f"({x!r}::DOUBLE, {w!r}::DOUBLE)" for x, w in stats.nodes()) + ")"
+
+
+@query("anova_p", sql(_L + _NODES + """, g AS (SELECT metric, fold, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM lgf GROUP BY ALL),
+t AS (SELECT metric, sum(n) AS a, count(*) AS k, sum(n * m) AS s, sum(n * m * m) AS q, sum(n * v) AS w FROM g GROUP BY ALL),
+f AS (SELECT metric, ((q - s * s / a) / (k - 1)) / (w / (a - k)) AS f, CAST(k - 1 AS DOUBLE) AS d1, CAST(a - k AS DOUBLE) AS d2 FROM t),
+c AS (SELECT *, atan2(sqrt(d1 - 1), sqrt(d2 - 1)) AS top, 9 / sqrt(d1 + d2 - 2) AS far, atan2(sqrt(f * d1), sqrt(d2)) AS start FROM f),
+e AS (SELECT *, greatest(top - far, 0.0) AS l0, least(top + far, pi() / 2) AS h0, greatest(start, top - far, 0.0) AS l1, least(greatest(start, top) + far, pi() / 2) AS h1 FROM c),
+b AS (SELECT *, l0 + (h0 - l0) * x AS u0, l1 + (h1 - l1) * x AS u1 FROM e, nd)
+SELECT metric, round(f, 5) AS f, round(sum(w * (h1 - l1) * exp((d2 - 1) * ln(cos(u1) / cos(top)) + (d1 - 1) * ln(sin(u1) / sin(top)))) / sum(w * (h0 - l0) * exp((d2 - 1) * ln(cos(u0) / cos(top)) + (d1 - 1) * ln(sin(u0) / sin(top)))), 6) AS p FROM b GROUP BY metric, f"""))
+def _(spark, d):
+    return rounded(rounded(stats.significance(stats.anova(stats.long_form(_results(spark, d), ["map50", "recall"]), "fold")), "f", digits=5), "p").select("metric", "f", "p")
+
+
+def _pairs_sql(by: str) -> str:
+    """Common table expressions g (groups), t (metrics) and tk (pairs with difference, q, p) of the results by a column."""
+    return _NODES + f""", g AS (SELECT metric, {by} AS by_, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM lgf GROUP BY ALL),
+t AS (SELECT metric, count(*) AS k, CAST(sum(n) - count(*) AS DOUBLE) AS df, sum(n * v) / (sum(n) - count(*)) AS spread, 9 / sqrt(2.0 * (sum(n) - count(*))) AS wide FROM g GROUP BY metric),
+pr AS (SELECT t.*, a.by_ AS a, b.by_ AS b, b.m - a.m AS difference, abs(b.m - a.m) / sqrt(spread / 2 * (1.0 / a.n + 1.0 / b.n)) AS q, greatest(1 - wide, 0.0) AS lo FROM g a JOIN g b ON a.metric = b.metric AND a.by_ < b.by_ JOIN t ON t.metric = a.metric),
+gr AS (SELECT pr.*, lo + (1 + wide - lo) * s.x AS pt, s.w * z.w AS ww, 16 * z.x - 8 AS top FROM pr, nd s, nd z),
+gl AS (SELECT *, greatest(top - q * pt, -9.0) AS low FROM gr),
+gu AS (SELECT metric, a, b, difference, q, k, df, pt, ww, top, sum((top - low) * u.w * exp(-pow(low + (top - low) * u.x, 2) / 2) / sqrt(2 * pi())) AS mid FROM gl, nd u GROUP BY ALL),
+tk AS (SELECT metric, a, b, difference, q, greatest(least(1 - sum(ww * exp((df - 1) * ln(pt) - df * (pt * pt - 1) / 2) * 16 * k * exp(-top * top / 2) / sqrt(2 * pi()) * pow(mid, k - 1)) / sum(ww * exp((df - 1) * ln(pt) - df * (pt * pt - 1) / 2)), 1.0), 0.0) AS p FROM gu GROUP BY ALL)"""
+
+
+@query("tukey_pairs", sql(_L + _pairs_sql("model") + " SELECT metric, a, b, round(difference, 6) AS difference, round(q, 5) AS q, round(p, 6) AS p FROM tk"))
+def _(spark, d):
+    """Pairs of models by the studentised range, over all rows of both metrics."""
+    return rounded(rounded(stats.tukey(stats.long_form(_results(spark, d), ["map50", "recall"])), "difference", "p"), "q", digits=5)
+
+
+@query("group_letters", sql(_L + _pairs_sql("model || fold % 2") + """, r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY m DESC, by_) - 1 AS i FROM g),
+un AS (SELECT tk.metric, x.i AS i, y.i AS j FROM tk JOIN r x ON x.metric = tk.metric AND x.by_ = a JOIN r y ON y.metric = tk.metric AND y.by_ = b WHERE p < 0.05),
+mk AS (SELECT metric, unnest(range(1, CAST(pow(2, k) AS BIGINT))) AS mask FROM t),
+fr AS (SELECT * FROM mk WHERE NOT EXISTS (SELECT 1 FROM un WHERE un.metric = mk.metric AND (mask >> i) & 1 = 1 AND (mask >> j) & 1 = 1)),
+mx AS (SELECT * FROM fr x WHERE NOT EXISTS (SELECT 1 FROM fr y WHERE y.metric = x.metric AND y.mask <> x.mask AND (y.mask & x.mask) = x.mask)),
+nt AS (SELECT metric, mask, row_number() OVER (PARTITION BY metric ORDER BY list_filter(range(16), lambda b: (mask >> b) & 1 = 1)) AS nth FROM mx)
+SELECT r.metric, by_ AS name, round(m, 6) AS mean, string_agg(chr(CAST(96 + nth AS INT)), '' ORDER BY nth) AS letters FROM r JOIN nt ON nt.metric = r.metric AND (mask >> i) & 1 = 1 GROUP BY r.metric, by_, m"""))
+def _(spark, d):
+    """Compact letters of six groups of each metric; the SQL enumerates all sets of groups without a difference."""
+    own = stats.long_form(_results(spark, d), ["map50", "recall"]).withColumn("name", F.concat("model", (F.col("fold") % 2).cast("string")))
+    return rounded(stats.lettered(own, "name"), "mean")
+
+
 @query("linear_fit", sql(ROWS + " SELECT fold, round(regr_slope(predicted, groundtruth), 6) AS slope, round(regr_intercept(predicted, groundtruth), 5) AS intercept FROM counts GROUP BY fold"))
 def _(spark, d):
     own = _rows(spark, d).join(X.images(spark, d).select("image_id", "fold"), "image_id")

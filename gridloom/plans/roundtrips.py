@@ -130,14 +130,14 @@ def _(spark, d):
 
 @query("rebuilt_pixels", sql("SELECT 'img_' || image_id || '.png' AS file_name, TRUE AS same FROM img"))
 def _(spark, d):
-    """Each small image cut into four overlapping tiles and put together again."""
+    """Each small image cut into four overlapping tiles and put together again, from strips of a few rows."""
     from ..operators import reconstruct
 
     own = pixels.load(spark, _small_images(spark, d)).withColumn("image_id", F.regexp_extract("file_name", "[0-9]+", 0).cast("long"))
     half = lambda c: (F.floor(F.col(c) / 2) + 1).cast("int")
     at = F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")) for x in (F.lit(0), F.col("width") - half("width")) for y in (F.lit(0), F.col("height") - half("height"))])
     tiles = own.select("image_id", "width", "height", half("width").alias("tile_width"), half("height").alias("tile_height"), F.inline(at))
-    again = reconstruct.rebuild(pixels.cropped(own, tiles.drop("width", "height")).join(own.select("image_id", "width", "height"), "image_id"))
+    again = reconstruct.rebuild(pixels.cropped(own, tiles.drop("width", "height")).join(own.select("image_id", "width", "height"), "image_id"), strip_bytes=4096)
     wrong = reconstruct.mismatches(own, again).withColumn("wrong", F.lit(True))
     return own.join(wrong, "image_id", "left").select("file_name", F.col("wrong").isNull().alias("same"))
 
