@@ -1,8 +1,7 @@
 """Suppression and fusion of overlapping detections.
 
-Detections are rows (keys, det_id, label, score, x1, y1, x2, y2). A group (an image, or an image and a label) is one array, sorted by falling score
-and then det_id, and a fold over it keeps or drops each box; groups are bounded by what one image holds. Adaptive suppression and fusion
-depend on what remains or on boxes that move, so they run in Arrow batches that hold one group at a time.
+Detections are rows (keys, det_id, label, score, x1, y1, x2, y2). Groups (an image, or an image and a label) are dealt by their keys and sorted by falling score and then
+det_id; an Arrow batch of whole groups is decided at once, in numpy steps that all of its groups take together (see functions.boxes). Groups are bounded by what one image holds.
 """
 
 from __future__ import annotations
@@ -10,42 +9,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import boxes
 from ..functions import geometry as G
 
 EPS_SKIP = 0.001
 
 
-def _sorted(dets: DataFrame, keys: list[str]) -> DataFrame:
-    others = [c for c in dets.columns if c not in {*keys, "score", "det_id"}]
-    one = F.struct((-F.col("score")).alias("_order"), F.col("det_id"), F.col("score"), *[F.col(c) for c in others])
-    return dets.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_boxes"))
+def _by_group(dets: DataFrame, keys: list[str], run: Callable, schema: T.StructType) -> DataFrame:
+    """dets through run, which takes a record batch of whole groups in falling order and where they begin, and returns one of schema."""
 
+    def stream(batches):
+        for rows, first in boxes.whole_groups(batches, keys):
+            yield run(rows, first)
 
-def _kept(dets: DataFrame, keys: list[str], like: Callable[[dict, dict], Column], threshold: float) -> DataFrame:
+    return dets.repartition(*keys).sortWithinPartitions(*keys, -F.col("score"), "det_id").mapInArrow(stream, schema)
+
+
+def _kept(dets: DataFrame, keys: list[str], like: Callable, threshold: float) -> DataFrame:
     """Greedy suppression: a box stays unless it is too much like one that stays and has a higher score."""
-    groups = _sorted(dets, keys)
-    kind = groups.schema["_boxes"].dataType.simpleString()
 
-    def step(kept: Column, box: Column) -> Column:
-        near = F.exists(kept, lambda k: like(G.fields(k), G.fields(box)) > threshold)
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(box)))
+    def run(rows, first):
+        n = rows.num_rows
+        verdict = boxes.decide(boxes.edges(rows), first, np.zeros(n, bool), np.ones(n, bool), like, threshold)
+        return rows.filter(pa.array(verdict == boxes.FREE))
 
-    kept = F.aggregate("_boxes", F.expr(f"cast(array() as {kind})"), step)
-    return groups.select(*keys, F.inline(kept)).select(*dets.columns)
+    return _by_group(dets, keys, run, dets.schema)
 
 
 def nms(dets: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Greedy suppression for each label: IoU over the threshold."""
-    return _kept(dets, [*keys, "label"], G.iou, threshold)
+    return _kept(dets, [*keys, "label"], boxes.iou, threshold)
 
 
 def cluster_diou_nms(dets: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Suppression over all labels together: DIoU over the threshold. The cluster iteration's fixed point is the greedy result."""
-    return _kept(dets, list(keys), G.diou, threshold)
+    return _kept(dets, list(keys), boxes.diou, threshold)
 
 
 def bws(dets: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -61,71 +65,28 @@ def bws(dets: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image
     return fused.select(*own, "det_id", "score", *G.EDGES)
 
 
-def _by_group(dets: DataFrame, keys: list[str], run: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """run(boxes, scores, ids) in falling order of scores, to the same of what stays."""
+def _boxes_by_group(dets: DataFrame, keys: list[str], run: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """run(boxes, scores, where groups begin), to the rows that stay, their boxes and scores."""
     schema = T.StructType([*[dets.schema[k] for k in keys], T.StructField("det_id", T.LongType()), T.StructField("score", T.DoubleType()), *[T.StructField(e, T.DoubleType()) for e in G.EDGES]])
+    kind = to_arrow_schema(schema)
 
-    def starts(pdf) -> np.ndarray:
-        values = [pdf[k].to_numpy() for k in keys]
-        new = np.zeros(len(pdf) - 1, bool)
-        for v in values:
-            new |= v[1:] != v[:-1]
-        return np.concatenate([[0], np.flatnonzero(new) + 1])
-
-    def done(pdf):
-        boxes, scores, ids = pdf[list(G.EDGES)].to_numpy(float), pdf["score"].to_numpy(float), pdf["det_id"].to_numpy()
-        first = starts(pdf)
-        parts = [run(boxes[a:b], scores[a:b], ids[a:b]) for a, b in zip(first, np.append(first[1:], len(pdf)), strict=True)]
-        owner = np.repeat(first, [len(p[2]) for p in parts])
-        box = np.concatenate([p[0] for p in parts])
-        out = {k: pdf[k].to_numpy()[owner] for k in keys} | {"det_id": np.concatenate([p[2] for p in parts]), "score": np.concatenate([p[1] for p in parts])} | {e: box[:, i] for i, e in enumerate(G.EDGES)}
-        return type(pdf)(out)[schema.names]
-
-    def stream(frames):
-        import pandas as pd
-
-        held = None
-        for pdf in frames:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if len(pdf):
-                cut = int(starts(pdf)[-1])  # the last group may go on
-                held = pdf.iloc[cut:]
-                if cut:
-                    yield done(pdf.iloc[:cut])
-        if held is not None and len(held):
-            yield done(held)
-
-    rows = dets.select(*keys, "det_id", "score", *G.EDGES).repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "det_id")
-    return rows.mapInPandas(stream, schema)
-
-
-def _likeness(box: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """IoU, and DIoU with a diagonal of at least 1e-6, of a box with others."""
-    low, high = np.maximum(box[:2], others[:, :2]), np.minimum(box[2:], others[:, 2:])
-    both = np.prod(np.clip(high - low, 0, None), axis=1)
-    union = np.prod(np.clip(box[2:] - box[:2], 0, None)) + np.prod(np.clip(others[:, 2:] - others[:, :2], 0, None), axis=1) - both
-    iou = np.divide(both, union, out=np.zeros(len(others)), where=union > 0)
-    centre = (((box[:2] + box[2:]) / 2 - (others[:, :2] + others[:, 2:]) / 2) ** 2).sum(axis=1)
-    hull = np.maximum(box[2:], others[:, 2:]) - np.minimum(box[:2], others[:, :2])
-    return iou, iou - centre / np.maximum((np.clip(hull, 0, None) ** 2).sum(axis=1), 1e-6)
+    def done(rows, first):
+        at, box, score = run(boxes.edges(rows), rows.column("score").to_numpy(zero_copy_only=False).astype(float), first)
+        same = rows.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*[same.column(k).cast(kind.field(k).type) for k in (*keys, "det_id")], pa.array(score), *[pa.array(box[:, i]) for i in range(4)]], schema=kind)
+
+    return _by_group(dets.select(*keys, "det_id", "score", *G.EDGES), keys, done, schema)
 
 
 def adaptive_nms(dets: DataFrame, tau: float = 0.5, k: int = 5, alpha: float = 0.1, least: float = 0.3, duplicate: float = 0.7, ratio: float = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Suppression for each label with a threshold that falls where the best box's k most alike remaining boxes are dense: a box goes if its
     DIoU exceeds max(least, tau - alpha * their mean), or exceeds `duplicate` with at least `ratio` of the score."""
 
-    def run(boxes, scores, ids):
-        left, kept = np.arange(len(ids)), []
-        while len(left):
-            best, left = left[0], left[1:]
-            kept.append(best)
-            if len(left):
-                _, alike = _likeness(boxes[best], boxes[left])
-                cut = max(least, tau - alpha * np.sort(alike)[::-1][:k].mean())
-                left = left[~((alike > cut) | ((alike > duplicate) & (scores[left] >= ratio * scores[best])))]
-        return boxes[kept], scores[kept], ids[kept]
+    def run(box, scores, first):
+        at = boxes.adaptive(box, scores, first, tau, k, alpha, least, duplicate, ratio)
+        return at, box[at], scores[at]
 
-    return _by_group(dets, [*keys, "label"], run)
+    return _boxes_by_group(dets, [*keys, "label"], run)
 
 
 def wbf(dets: DataFrame, threshold: float = 0.45, skip: float = EPS_SKIP, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
@@ -133,22 +94,9 @@ def wbf(dets: DataFrame, threshold: float = 0.45, skip: float = EPS_SKIP, keys:
     more than the threshold, else it starts one. A fused box is the score-weighted mean of its boxes, its score their mean; det_id is the first's.
     Boxes are put in order and cut to the unit square first; empty ones go."""
 
-    def run(boxes, scores, ids):
-        fused, members = np.empty((0, 4)), []
-        for i in range(len(ids)):
-            iou = _likeness(boxes[i], fused)[0] if len(fused) else np.empty(0)
-            if len(iou) and iou.max() > threshold:
-                at = int(iou.argmax())
-                members[at].append(i)
-                fused[at] = np.average(boxes[members[at]], axis=0, weights=scores[members[at]])
-            else:
-                members.append([i])
-                fused = np.concatenate([fused, boxes[i : i + 1]])
-        return fused, np.array([scores[m].mean() for m in members]), np.array([ids[m[0]] for m in members], dtype=ids.dtype)
-
     edges = {f"{c}{i}": G.unit(f(f"{c}1", f"{c}2")) for c in "xy" for i, f in ((1, F.least), (2, F.greatest))}
     whole = dets.filter(F.col("score") >= skip).withColumns(edges).filter((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) > 0)
-    return _by_group(whole, [*keys, "label"], run)
+    return _boxes_by_group(whole, [*keys, "label"], lambda box, scores, first: boxes.fused(box, scores, first, threshold))
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {"nms": nms, "cluster_diou_nms": cluster_diou_nms, "nms_ioa": adaptive_nms, "bws": bws, "wbf": wbf}
