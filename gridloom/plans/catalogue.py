@@ -262,8 +262,9 @@ r AS (SELECT tile_id, row_number() OVER (ORDER BY tile_id * 2654435761 % 4294967
 
 def _used_and_empty(spark, d):
     tiled = _tiled(spark, d, "asahi").withColumn("tile_id", F.col("image_id") * 100 + F.col("row_index") * 10 + F.col("column_index"))
-    used = labels.tile_boxes(X.annotations(spark, d).select("ann_id", "image_id", "x", "y", "w", "h"), tiled, 1e-12).select("tile_id").distinct()
-    return used, tiled.join(used, "tile_id", "left_anti").select("tile_id")
+    own = X.annotations(spark, d).select("ann_id", "image_id", "x", "y", "w", "h", "width", "height")
+    used = labels.boxes_on_tiles(own, TILINGS["asahi"], 1e-12).select((F.col("image_id") * 100 + F.col("row_index") * 10 + F.col("column_index")).alias("tile_id")).distinct()
+    return used, tiled.join(used.hint("merge"), "tile_id", "left_anti").select("tile_id")  # no table of tiles is broadcast: Spark takes one for as small as its images' file
 
 
 @query("empty_tile_sample", sql(_EMPTY + " SELECT tile_id FROM r WHERE n <= ceil(1000 * 0.08)"))

@@ -17,3 +17,9 @@ def test_sample_follows_annotated(spark):
     got = sorted(r.tile_id for r in __spark_entry__.queries()["empty_tile_sample_full"](spark, DATA).collect())
     assert len(got) == min(empty, math.ceil((tiles - empty + images) * 0.08)) != 80
     assert got == sorted(r[0] for r in db.execute(__spark_entry__.oracle_sql()["empty_tile_sample_full"]).fetchall())
+
+
+def test_no_table_of_tiles_is_broadcast(spark):
+    """Its size is that of the images' file to the planner, whatever number of tiles images have."""
+    for part in catalogue._used_and_empty(spark, DATA):
+        assert "BroadcastExchange" not in part._jdf.queryExecution().executedPlan().toString()
