@@ -17,10 +17,13 @@ def best_truth(dets: DataFrame, truths: DataFrame, keys: tuple[str, ...] = ("ima
     """keys, det_id, score, gt_id, iou: the ground truth with the largest IoU (the smallest gt_id of equals), null where none overlaps."""
     own = dets.select(*keys, "det_id", "score", *[F.col(e).alias(f"d_{e}") for e in G.EDGES])
     other = truths.select(*keys, "gt_id", *[F.col(e).alias(f"g_{e}") for e in G.EDGES])
-    pairs = own.join(other, list(keys)).filter(G.overlaps(G.corners("d_"), G.corners("g_")))
-    best = pairs.groupBy(*keys, "det_id").agg(F.max(F.struct(G.iou(G.corners("d_"), G.corners("g_")).alias("iou"), (-F.col("gt_id")).alias("o"), F.col("gt_id").alias("gt_id"))).alias("b"))
-    joined = own.select(*keys, "det_id", "score").join(best, [*keys, "det_id"], "left")
-    return joined.select(*keys, "det_id", "score", F.col("b.gt_id").alias("gt_id"), F.col("b.iou").alias("iou"))
+    near = G.overlaps(G.corners("d_"), G.corners("g_"))
+    for k in keys:
+        near &= F.col(k) == F.col(f"g_{k}")
+    pairs = own.join(other.withColumnsRenamed({k: f"g_{k}" for k in keys}), near, "left")  # detections are read once: those without a partner stay in the join
+    one = F.when(F.col("gt_id").isNotNull(), F.struct(G.iou(G.corners("d_"), G.corners("g_")).alias("iou"), (-F.col("gt_id")).alias("o"), F.col("gt_id").alias("gt_id")))
+    best = pairs.groupBy(*keys, "det_id").agg(F.first("score").alias("score"), F.max(one).alias("b"))
+    return best.select(*keys, "det_id", "score", F.col("b.gt_id").alias("gt_id"), F.col("b.iou").alias("iou"))
 
 
 def match(dets: DataFrame, truths: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

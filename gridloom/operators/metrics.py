@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import prefix
+from ..sources.scratch import scratch
 from .matching import best_truth
 
 #: The IoU thresholds are these very doubles (the sixth is above 0.75), and the recall levels are i times 0.01.
@@ -45,26 +46,47 @@ def pooled_errors(rows: DataFrame, keys: tuple[str, ...], truth: str = "groundtr
 def average_precision(found: DataFrame, n_truth: DataFrame, group: tuple[str, ...] = (), keys: tuple[str, ...] = ("image_id",), thresholds: list[float] | None = None) -> DataFrame:
     """ap for each group and iou_threshold: the mean over 101 recall levels of the best precision at that recall or more.
 
-    n_truth: a row for each group with n_gt. A group without truth or without detections has ap 0. Detections are ranked once, by falling score,
+    n_truth: a row for each group with n_gt. A group without truth or without detections has ap 0. Detections are ranked once for all thresholds, by falling score,
     then keys and det_id, in ranges of that order (see prefix.running), so no task sorts a group and equal scores may span tasks. Recall rises and precision peaks at
-    hits alone, so only hits are counted for each threshold.
+    hits alone, so only hits are looked at for each threshold.
     """
-    parts = ["iou_threshold", *group]
-    rows = prefix.running(found.select(*group, *keys, "det_id", "gt_id", "score", "iou"), [F.desc("score"), *keys, "det_id"], {"seen": F.lit(1)}, group)
-    rows = rows.select(*group, *keys, "det_id", "gt_id", "score", "seen", F.explode(F.filter(F.array(*map(F.lit, thresholds or IOU_THRESHOLDS)), lambda t: t <= F.col("iou"))).alias("iou_threshold"))
-    rank = F.row_number().over(W.partitionBy(*parts, *keys, "gt_id").orderBy(F.desc("score"), "det_id"))
-    rows = prefix.running(rows.withColumn("rank", rank).filter("rank = 1").select(*parts, "seen"), ["seen"], {"hits": F.lit(1)}, tuple(parts))
+    steps, parts = thresholds or IOU_THRESHOLDS, ["iou_threshold", *group]
+    spark, path = found.sparkSession, scratch(found.sparkSession, "hits")
+    rows = hits(found, steps, group, keys)
+    rows.select(*group, *keys, "det_id", "score", *[c for c in rows.columns if c.startswith("hit_")]).write.parquet(path)  # ranges of an order take two passes
+    best = best_precision(spark.read.parquet(path), n_truth, steps, group, keys)
+    grid = n_truth.select(*group, F.explode(F.array(*map(F.lit, steps))).alias("iou_threshold"))
+    return grid.join(mean_precision(best, parts), parts, "left").fillna(0.0, ["ap"])
+
+
+def hits(found: DataFrame, thresholds: list[float], group: tuple[str, ...] = (), keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """found with hit_0, hit_1, ...: whether the detection is a match at each IoU threshold. It is if its IoU reaches the threshold and that of no stronger detection of its
+    best truth does, so the largest IoU of those before it settles all thresholds at once."""
+    before = W.partitionBy(*group, *keys, "gt_id").orderBy(F.desc("score"), "det_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = found.withColumn("_before", F.coalesce(F.max("iou").over(before), F.lit(-1.0)))
+    return rows.withColumns({f"hit_{i}": F.coalesce((F.col("iou") >= t) & (F.col("_before") < t), F.lit(False)) for i, t in enumerate(thresholds)}).drop("_before")
+
+
+def best_precision(rows: DataFrame, n_truth: DataFrame, thresholds: list[float], group: tuple[str, ...] = (), keys: tuple[str, ...] = ("image_id",), more: tuple[str, ...] = ()) -> DataFrame:
+    """iou_threshold, group, further columns, level (of recall, 0 to 100), precision: the best at each level that hits have, of rows with hits."""
+    parts, each = ["iou_threshold", *group], {f"hits_{i}": F.col(f"hit_{i}") for i in range(len(thresholds))}
+    rows = rows.select(*group, *keys, "det_id", "score", *more, *[f"hit_{i}" for i in range(len(thresholds))])
+    rows = prefix.running(rows, [F.desc("score"), *keys, "det_id"], {"seen": F.lit(1), **each}, group)
+    one = F.array(*[F.when(F.col(f"hit_{i}"), F.struct(F.lit(t).alias("iou_threshold"), F.col(f"hits_{i}").alias("hits"))) for i, t in enumerate(thresholds)])
+    rows = rows.filter(F.exists(F.array(*[f"hit_{i}" for i in range(len(thresholds))]), lambda h: h)).select(*group, *more, "seen", F.inline(F.filter(one, lambda h: h.isNotNull())))
     rows = rows.join(F.broadcast(n_truth), list(group)) if group else rows.crossJoin(F.broadcast(n_truth))
-    rows = rows.filter("n_gt > 0").select(*parts, (F.col("hits") / F.col("n_gt")).alias("recall"), (F.col("hits") / (F.col("seen") + EPS)).alias("precision"))
+    rows = rows.filter("n_gt > 0").select(*parts, *more, (F.col("hits") / F.col("n_gt")).alias("recall"), (F.col("hits") / (F.col("seen") + EPS)).alias("precision"))
     near = F.floor(F.col("recall") * 100)
     level = F.when((near + 1) * 0.01 <= F.col("recall"), near + 1).when(near * 0.01 > F.col("recall"), near - 1).otherwise(near).cast("int")
-    best = rows.groupBy(*parts, level.alias("level")).agg(F.max("precision").alias("precision"))
+    return rows.groupBy(*parts, *more, level.alias("level")).agg(F.max("precision").alias("precision"))
+
+
+def mean_precision(best: DataFrame, parts: list[str]) -> DataFrame:
+    """parts, ap: the mean over recall levels of the best precision at that level or more."""
     every = best.groupBy(*parts).agg(F.collect_list(F.struct("level", "precision")).alias("best"))
     at = lambda i: F.coalesce(F.array_max(F.transform(F.filter("best", lambda b: b["level"] >= i), lambda b: b["precision"])), F.lit(0.0))
     total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at), F.lit(0.0), lambda a, x: a + x) / LEVELS
-    got = every.select(*parts, total.alias("ap"))
-    grid = n_truth.select(*group, F.explode(F.array(*map(F.lit, thresholds or IOU_THRESHOLDS))).alias("iou_threshold"))
-    return grid.join(got, parts, "left").fillna(0.0, ["ap"])
+    return every.select(*parts, total.alias("ap"))
 
 
 def map_summary(ap: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:

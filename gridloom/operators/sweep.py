@@ -34,17 +34,14 @@ def _reached(thresholds: list[float]) -> Column:
 
 def fold_metrics(images: DataFrame, dets: DataFrame, truths: DataFrame, thresholds: list[float], method: str = "nms", iou: float = 0.5, group: tuple[str, ...] = ("fold",), keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """For each threshold and group: map50, precision, recall, fscore, mae. keys must name an image over all groups; images have group and keys."""
+    if method in PREFIX:
+        return _prefix_metrics(images, dets, truths, sorted(set(thresholds)), method, iou, group, keys)
     both = (*group, *keys)
     steps = images.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
     grid = images.select(*both).crossJoin(F.broadcast(steps))
     wide = ("threshold", *both)
-    if method in PREFIX:  # a box's fate and its best truth are the same at every threshold, so both are worked out once
-        path = scratch(images.sparkSession, "kept")
-        best_truth(suppress(dets.filter(F.col("score") >= min(thresholds)), method, iou, both), truths, both).write.parquet(path)
-        kept = found = images.sparkSession.read.parquet(path).select("*", _reached(thresholds))
-    else:
-        kept = at_thresholds(dets, thresholds, method, iou, both)
-        found = best_truth(kept, truths.crossJoin(F.broadcast(steps)), wide)
+    kept = at_thresholds(dets, thresholds, method, iou, both)
+    found = best_truth(kept, truths.crossJoin(F.broadcast(steps)), wide)
     n_truth = truths.groupBy(*group).agg(F.count(F.lit(1)).alias("n_gt")).crossJoin(F.broadcast(steps))
     ap = metrics.average_precision(found, n_truth, ("threshold", *group), keys, [metrics.IOU_THRESHOLDS[0]])
     rows = counting(grid, truths.crossJoin(F.broadcast(steps)), kept, matched(found, 0.5, wide), wide)
@@ -52,6 +49,32 @@ def fold_metrics(images: DataFrame, dets: DataFrame, truths: DataFrame, threshol
     return out.join(ap.select("threshold", *group, F.col("ap").alias("map50")), ["threshold", *group]).select("threshold", *group, "map50", "precision", "recall", "fscore", "mae")
 
 
+def _prefix_metrics(images: DataFrame, dets: DataFrame, truths: DataFrame, thresholds: list[float], method: str, iou: float, group: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """As fold_metrics where what stays at a threshold is what stays at the lowest one, cut by score: a box's fate, its best truth, whether it is a match and its place in the
+    order of scores are then the same at every threshold, so each is worked out once and no row is repeated for thresholds but an image's counts, inside an aggregate."""
+    both, spark, n = (*group, *keys), images.sparkSession, len(thresholds)
+    at = metrics.IOU_THRESHOLDS[:1]
+    path = scratch(spark, "kept")
+    reached = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("score")))
+    found = best_truth(suppress(dets.filter(F.col("score") >= thresholds[0]), method, iou, both), truths, both)
+    metrics.hits(found, at, group, keys).select(*both, "det_id", "score", "hit_0", reached.alias("reached")).write.parquet(path)
+    found = spark.read.parquet(path)
+    n_truth = truths.groupBy(*both).agg(F.count(F.lit(1)).alias("g"))
+    counts = [F.sum((F.col("reached") > i).cast("long")).alias(f"p{i}") for i in range(n)] + [F.sum(((F.col("reached") > i) & F.col("hit_0")).cast("long")).alias(f"t{i}") for i in range(n)]
+    rows = images.select(*both).distinct().join(n_truth, list(both), "left").join(found.groupBy(*both).agg(*counts), list(both), "left").fillna(0)
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"p{i}").alias("p"), F.col(f"t{i}").alias("t")) for i, t in enumerate(thresholds)])
+    rows = rows.select(*group, "g", F.inline(each)).select("threshold", *group, F.col("t").alias("tp"), (F.col("p") - F.col("t")).alias("fp"), (F.col("g") - F.col("t")).alias("fn"), F.abs(F.col("p") - F.col("g")).alias("gap"))
+    sums = rows.groupBy("threshold", *group).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.avg("gap").alias("mae"))
+    out = metrics.prf(sums, ("threshold", *group)).join(sums.select("threshold", *group, "mae"), ["threshold", *group])
+    gt = truths.groupBy(*group).agg(F.count(F.lit(1)).alias("n_gt"))
+    best = metrics.best_precision(found, gt, at, group, keys, ("reached",))  # a row for each fold, level and number of thresholds reached
+    steps = F.explode(F.slice(F.array(*map(F.lit, thresholds)), F.lit(1), F.col("reached"))).alias("threshold")
+    best = best.select(*group, "level", "precision", steps).groupBy("threshold", *group, "level").agg(F.max("precision").alias("precision"))
+    grid = gt.select(F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), *group)
+    ap = grid.join(metrics.mean_precision(best, ["threshold", *group]), ["threshold", *group], "left").fillna(0.0, ["ap"])
+    return out.join(ap.withColumnRenamed("ap", "map50"), ["threshold", *group]).select("threshold", *group, "map50", "precision", "recall", "fscore", "mae")
+
+
 def curve(by_fold: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """Means over folds of fold metrics (not pooled), for each threshold."""
     return by_fold.groupBy(*group, "threshold").agg(*[F.avg(c).alias(c) for c in ("map50", "precision", "recall", "fscore", "mae")])
