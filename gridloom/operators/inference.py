@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import EDGES, unit
+from ..sources.scratch import spread
 from . import failures
 from .suppression import suppress
 
@@ -86,6 +87,7 @@ def infer_captured(images: DataFrame, tiles: DataFrame, load: Callable[[], Calla
     """(raw, final, outcome by image): as infer, but an image with a tile on which the engine raises has no detections and stands in outcome.failures with the error of
     its first such tile, row by row of tiles. load: see failures.captured."""
     rows = with_whole(images, tiles) if whole else tiles.select("image_id", "width", "height", "row_index", "column_index", "x", "y", "tile_width", "tile_height")
+    rows = rows.repartition(spread(rows.sparkSession), "image_id")  # a file of images is one task, whatever number of tiles they have; an image's tiles stay together, so failures share halves
     outcome = failures.by_group(failures.captured(rows, load, DETECTIONS, ("image_id", "row_index", "column_index")), "image_id", ("row_index", "column_index"))
     raw = _numbered(outcome.results, images, conf, engine_kind)
     return raw, suppress(raw, method, iou), outcome

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import boxes
 
 #: Bytes of an image that one group puts together.
 STRIP_BYTES = 4 << 20
@@ -30,21 +33,27 @@ def strips(tiles: DataFrame, strip_bytes: int = STRIP_BYTES) -> DataFrame:
     count = F.least(F.col("end"), (F.col("strip") + 1) * F.col("rows")) - first
     line = 3 * F.col("tile_width")
     cut = met.select("image_id", "width", "height", "rows", "strip", "x", (first - F.col("strip") * F.col("rows")).alias("y"), "tile_width", F.substring("pixels", (first - F.col("y")) * line + 1, count * line).alias("pixels"))
-    def join(pdf):
-        r = pdf.iloc[0]
-        w, high, strip = int(r["width"]), int(r["height"]), int(r["strip"])
-        h = min(int(r["rows"]), high - strip * int(r["rows"]))
+    kind = tiles.select("image_id").schema.add("width", "integer").add("height", "integer").add("strip", "integer").add("pixels", "binary")
+    arrow = to_arrow_schema(kind)
+
+    def join(parts):
+        r = parts[0]
+        w, h = r["width"], min(r["rows"], r["height"] - r["strip"] * r["rows"])
         total, seen = np.zeros((h, w, 3)), np.zeros((h, w, 1))
-        for x, y, width, pixels in zip(*(pdf[c] for c in ("x", "y", "tile_width", "pixels")), strict=True):
-            x, y = int(x), int(y)
-            part = np.frombuffer(pixels, np.uint8).reshape(-1, int(width), 3)[:, : w - x]
+        for p in parts:
+            x, y = p["x"], p["y"]
+            part = np.frombuffer(p["pixels"], np.uint8).reshape(-1, p["tile_width"], 3)[:, : w - x]
             total[y : y + len(part), x : x + part.shape[1]] += part
             seen[y : y + len(part), x : x + part.shape[1]] += 1
-        out = (total / np.maximum(seen, 1)).astype(np.uint8)
-        return type(pdf)({"image_id": [r["image_id"]], "width": [w], "height": [high], "strip": [strip], "pixels": [out.tobytes()]})
+        return {k: r[k] for k in kind.names[:-1]} | {"pixels": (total / np.maximum(seen, 1)).astype(np.uint8).tobytes()}
 
-    kind = tiles.select("image_id").schema.add("width", "integer").add("height", "integer").add("strip", "integer").add("pixels", "binary")
-    return cut.groupBy("image_id", "strip").applyInPandas(join, kind)
+    def joined(batches):
+        """Batches sorted by strip; many strips at once, as a group of Spark's each costs far more than a small strip's work."""
+        for rows, first in boxes.whole_groups(batches, ["image_id", "strip"]):
+            parts = rows.to_pylist()
+            yield pa.RecordBatch.from_pylist([join(parts[i:j]) for i, j in zip(first, [*first[1:], len(parts)], strict=True)], schema=arrow)
+
+    return cut.repartition("image_id", "strip").sortWithinPartitions("image_id", "strip").mapInArrow(joined, kind)
 
 
 def rebuild(tiles: DataFrame, strip_bytes: int = STRIP_BYTES) -> DataFrame:
