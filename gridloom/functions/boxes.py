@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pairs compared at a time, and boxes of a group beyond which it is decided block by block.
-PAIRS, BLOCK = 1 << 20, 1024
+#: Pairs compared at a time, boxes of a group beyond which it is decided block by block, and pairs whose columns stay in a processor's cache.
+PAIRS, BLOCK, CACHED = 1 << 20, 1024, 1 << 15
 DROPPED, FREE, OPEN = 0, 1, 2
 
 
@@ -135,6 +135,46 @@ def _settled_with_open(n: int, a: np.ndarray, b: np.ndarray, sure: np.ndarray, s
     return _settled(n + 1, a, b, np.append(sure, False), np.append(single, False))[:n]
 
 
+def most_alike(boxes: np.ndarray, rows: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, IoU) for each of these rows: of the n[i] boxes from low[i] on the one with the largest IoU (the first of equals), of those that overlap; -1 without one."""
+    best, like = np.full(len(rows), -1), np.full(len(rows), -1.0)
+    x1, y1, x2, y2 = np.ascontiguousarray(boxes.T)
+    cuts = np.searchsorted(np.cumsum(n), np.arange(CACHED, n.sum() + CACHED, CACHED)) + 1
+    begin = 0
+    for end in np.minimum(cuts, len(rows)):
+        if begin < end:
+            own, size = rows[begin:end], n[begin:end]
+            of, other = ranges(low[begin:end], size)
+            near = np.flatnonzero((np.repeat(x1[own], size) < x2[other]) & (x1[other] < np.repeat(x2[own], size)))
+            of, other = of[near], other[near]
+            near = (y1[own[of]] < y2[other]) & (y1[other] < y2[own[of]])
+            of, other = of[near], other[near]
+            alike = iou(boxes[own[of]], boxes[other])
+            if len(of):
+                new = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                at = np.flatnonzero(alike == np.repeat(np.maximum.reduceat(alike, new), np.diff(np.append(new, len(of)))))
+                at = at[np.append(True, of[at][1:] != of[at][:-1])[: len(at)]]
+                best[begin + of[at]], like[begin + of[at]] = other[at], alike[at]
+        begin = end
+    return best, like
+
+
+def largest_before(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each value the largest of those of its owner that stand before it, -1 without one; by doubling steps, so that an owner may have any number of them."""
+    order = np.argsort(owner, kind="stable")
+    own, top = owner[order], values[order]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    step = 1
+    while step <= place.max(initial=0):
+        at = np.flatnonzero(place >= step)
+        top[at] = np.maximum(top[at], top[at - step])
+        step *= 2
+    out = np.full(len(own), -1.0)
+    later = np.flatnonzero(place)
+    out[order[later]] = top[later - 1]
+    return out
+
+
 def adaptive(boxes: np.ndarray, scores: np.ndarray, first: np.ndarray, tau: float, k: int, alpha: float, least: float, duplicate: float, ratio: float) -> np.ndarray:
     """Rows that suppression.adaptive_nms keeps of groups in falling order; each step takes the best box that is left of every group."""
     left = np.arange(len(boxes))

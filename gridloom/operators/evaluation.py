@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import metrics
 from .matching import best_truth, counting, matched
-from .suppression import suppress
+from .suppression import LIKE, suppress
 
 
 def evaluate(images: DataFrame, truths: DataFrame, raw: DataFrame, method: str = "nms", iou: float = 0.5, threshold: float = 0.5, group: tuple[str, ...] = ("fold",), keys: tuple[str, ...] = ("image_id",)) -> tuple[DataFrame, DataFrame]:
@@ -16,8 +17,8 @@ def evaluate(images: DataFrame, truths: DataFrame, raw: DataFrame, method: str =
     images have group and keys; so do truths and raw detections.
     """
     both = (*group, *keys)
-    final = suppress(raw, method, iou, both)
-    found = best_truth(final, truths, both)
+    found = best_truth(raw, truths, both, method, iou) if method in LIKE else best_truth(suppress(raw, method, iou, both), truths, both)
+    found = written(found, "found")  # all results come from these matches
     rows = counting(images, truths, raw, matched(found, threshold, both), both)
     n_truth = truths.groupBy(*group).agg(F.count(F.lit(1)).alias("n_gt"))
     ap = metrics.map_summary(metrics.average_precision(found, n_truth, group, keys), group)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import prefix
-from ..sources.scratch import scratch
+from ..sources.scratch import written
 from .matching import best_truth
 
 #: The IoU thresholds are these very doubles (the sixth is above 0.75), and the recall levels are i times 0.01.
@@ -51,29 +53,28 @@ def average_precision(found: DataFrame, n_truth: DataFrame, group: tuple[str, ..
     hits alone, so only hits are looked at for each threshold.
     """
     steps, parts = thresholds or IOU_THRESHOLDS, ["iou_threshold", *group]
-    spark, path = found.sparkSession, scratch(found.sparkSession, "hits")
-    rows = hits(found, steps, group, keys)
-    rows.select(*group, *keys, "det_id", "score", *[c for c in rows.columns if c.startswith("hit_")]).write.parquet(path)  # ranges of an order take two passes
-    best = best_precision(spark.read.parquet(path), n_truth, steps, group, keys)
+    rows = hits(found, steps)
+    rows = written(rows.select(*group, *keys, "det_id", "score", *[c for c in rows.columns if c.startswith("hit_")]), "hits")  # ranges of an order take two passes
+    best = best_precision(rows, n_truth, steps, group, keys)
     grid = n_truth.select(*group, F.explode(F.array(*map(F.lit, steps))).alias("iou_threshold"))
     return grid.join(mean_precision(best, parts), parts, "left").fillna(0.0, ["ap"])
 
 
-def hits(found: DataFrame, thresholds: list[float], group: tuple[str, ...] = (), keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def hits(found: DataFrame, thresholds: list[float]) -> DataFrame:
     """found with hit_0, hit_1, ...: whether the detection is a match at each IoU threshold. It is if its IoU reaches the threshold and that of no stronger detection of its
-    best truth does, so the largest IoU of those before it settles all thresholds at once."""
-    before = W.partitionBy(*group, *keys, "gt_id").orderBy(F.desc("score"), "det_id").rowsBetween(W.unboundedPreceding, -1)
-    rows = found.withColumn("_before", F.coalesce(F.max("iou").over(before), F.lit(-1.0)))
-    return rows.withColumns({f"hit_{i}": F.coalesce((F.col("iou") >= t) & (F.col("_before") < t), F.lit(False)) for i, t in enumerate(thresholds)}).drop("_before")
+    best truth does, so the largest IoU of those before it (before, see best_truth) settles all thresholds at once."""
+    return found.withColumns({f"hit_{i}": F.coalesce((F.col("iou") >= t) & (F.col("before") < t), F.lit(False)) for i, t in enumerate(thresholds)}).drop("before")
 
 
 def best_precision(rows: DataFrame, n_truth: DataFrame, thresholds: list[float], group: tuple[str, ...] = (), keys: tuple[str, ...] = ("image_id",), more: tuple[str, ...] = ()) -> DataFrame:
     """iou_threshold, group, further columns, level (of recall, 0 to 100), precision: the best at each level that hits have, of rows with hits."""
     parts, each = ["iou_threshold", *group], {f"hits_{i}": F.col(f"hit_{i}") for i in range(len(thresholds))}
     rows = rows.select(*group, *keys, "det_id", "score", *more, *[f"hit_{i}" for i in range(len(thresholds))])
-    rows = prefix.running(rows, [F.desc("score"), *keys, "det_id"], {"seen": F.lit(1), **each}, group)
+    any_hit = reduce(or_, [F.col(f"hit_{i}") for i in range(len(thresholds))])
+    wanted = [*group, *more, *[f"hit_{i}" for i in range(len(thresholds))]]
+    rows = prefix.running(rows, [F.desc("score"), *keys, "det_id"], {"seen": F.lit(1), **each}, group, None, any_hit, wanted)
     one = F.array(*[F.when(F.col(f"hit_{i}"), F.struct(F.lit(t).alias("iou_threshold"), F.col(f"hits_{i}").alias("hits"))) for i, t in enumerate(thresholds)])
-    rows = rows.filter(F.exists(F.array(*[f"hit_{i}" for i in range(len(thresholds))]), lambda h: h)).select(*group, *more, "seen", F.inline(F.filter(one, lambda h: h.isNotNull())))
+    rows = rows.select(*group, *more, "seen", F.inline(one)).filter("hits IS NOT NULL")
     rows = rows.join(F.broadcast(n_truth), list(group)) if group else rows.crossJoin(F.broadcast(n_truth))
     rows = rows.filter("n_gt > 0").select(*parts, *more, (F.col("hits") / F.col("n_gt")).alias("recall"), (F.col("hits") / (F.col("seen") + EPS)).alias("precision"))
     near = F.floor(F.col("recall") * 100)

@@ -102,8 +102,10 @@ def wbf(dets: DataFrame, threshold: float = 0.45, skip: float = EPS_SKIP, keys:
 METHODS: dict[str, Callable[..., DataFrame]] = {"nms": nms, "cluster_diou_nms": cluster_diou_nms, "nms_ioa": adaptive_nms, "bws": bws, "wbf": wbf}
 #: Suppression that goes with each tiling mode.
 BY_MODE = {"sahi": "nms", "none": "nms", "asahi": "cluster_diou_nms", "asahi_rect": "cluster_diou_nms"}
+#: Greedy methods: what makes two boxes alike, and whether labels are apart.
+LIKE = {"nms": (boxes.iou, True), "cluster_diou_nms": (boxes.diou, False)}
 #: Methods whose result at a higher score threshold is what they keep at a lower one, cut at the higher.
-PREFIX = {"nms", "cluster_diou_nms"}
+PREFIX = set(LIKE)
 
 
 def suppress(dets: DataFrame, method: str, threshold: float, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch
+from ..sources.scratch import written
 from . import metrics
 from .matching import best_truth, counting, matched
 from .suppression import PREFIX, suppress
@@ -52,13 +52,11 @@ def fold_metrics(images: DataFrame, dets: DataFrame, truths: DataFrame, threshol
 def _prefix_metrics(images: DataFrame, dets: DataFrame, truths: DataFrame, thresholds: list[float], method: str, iou: float, group: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
     """As fold_metrics where what stays at a threshold is what stays at the lowest one, cut by score: a box's fate, its best truth, whether it is a match and its place in the
     order of scores are then the same at every threshold, so each is worked out once and no row is repeated for thresholds but an image's counts, inside an aggregate."""
-    both, spark, n = (*group, *keys), images.sparkSession, len(thresholds)
+    both, n = (*group, *keys), len(thresholds)
     at = metrics.IOU_THRESHOLDS[:1]
-    path = scratch(spark, "kept")
     reached = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("score")))
-    found = best_truth(suppress(dets.filter(F.col("score") >= thresholds[0]), method, iou, both), truths, both)
-    metrics.hits(found, at, group, keys).select(*both, "det_id", "score", "hit_0", reached.alias("reached")).write.parquet(path)
-    found = spark.read.parquet(path)
+    found = best_truth(dets.filter(F.col("score") >= thresholds[0]), truths, both, method, iou)
+    found = written(metrics.hits(found, at).select(*both, "det_id", "score", "hit_0", reached.alias("reached")), "kept")
     n_truth = truths.groupBy(*both).agg(F.count(F.lit(1)).alias("g"))
     counts = [F.sum((F.col("reached") > i).cast("long")).alias(f"p{i}") for i in range(n)] + [F.sum(((F.col("reached") > i) & F.col("hit_0")).cast("long")).alias(f"t{i}") for i in range(n)]
     rows = images.select(*both).distinct().join(n_truth, list(both), "left").join(found.groupBy(*both).agg(*counts), list(both), "left").fillna(0)
