@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +49,8 @@ def best_truth(dets: DataFrame, truths: DataFrame, keys: tuple[str, ...] = ("ima
             gt = rows.column("gt_id").take(pa.array(best, mask=~found))
             yield pa.RecordBatch.from_arrays([*[out.column(c) for c in (*keys, "det_id", "score")], gt, pa.array(iou, mask=~found), pa.array(before)], schema.names)
 
-    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "_det", F.desc("score"), "det_id", "gt_id")
+    # A window asks for whole images in this order, and deals boxes again only where they are not dealt by image (or a part of keys) already.
+    dealt = both.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy("_det", F.desc("score"), "det_id", "gt_id")))
     return dealt.mapInArrow(stream, schema).select(*[F.col(k).cast(kind[k]).alias(k) for k in keys], "det_id", "score", "gt_id", "iou", "before")
 
 

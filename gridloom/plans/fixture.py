@@ -19,7 +19,8 @@ _ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedpr
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(W.partitionBy("l_partkey").orderBy(*_ORDER)))
+    # the flag parts no lines that differ elsewhere; with it annotations and detections need the same columns, so one shuffle of the lines serves both
+    own = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(W.partitionBy("l_partkey").orderBy(*_ORDER, "l_returnflag")))
     return own.join(images(spark, sf_dir).hint("merge"), F.col("l_partkey") == F.col("image_id"))  # lines are dealt and sorted by image already
 
 

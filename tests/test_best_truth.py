@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from gridloom.functions import boxes as B
 from gridloom.functions import prefix
 from gridloom.operators import matching, suppression
+from gridloom.plans import fixture as X
 from tests.test_metrics import GT, truth
 from tests.test_suppression import SCHEMA, boxes, iou
 
+SMOKE = "/root/testdata/sf0.001"
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -75,3 +78,14 @@ def test_only_wanted_rows_are_written(spark, monkeypatch):
         seen, hits, last = (seen + 1, hits + hit, g) if g == last else (1, int(hit), g)
         want += [(g, at, seen, hits)] * hit
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_lines_are_dealt_once(spark):
+    """Detections and annotations share one shuffle of the lines, and boxes that are dealt by image stay where they are."""
+    own = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows what is reused
+    try:
+        text = plan(matching.best_truth(X.detections(spark, SMOKE), X.truths(spark, SMOKE), ("fold", "image_id"), "nms"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", own)
+    assert text.count("- Exchange ") == 2 and text.count("ReusedExchange ") == 2  # of lines and images
