@@ -1,8 +1,8 @@
 """Near copies by the exact Jaccard similarity of their word shingles, through a prefix-filtered self-join.
 
-Two sets with a similarity of s or more share one of the n - ceil(s n) + 1 rarest shingles of each, in one order over all documents. Shingles
-that a single document has come first in that order and join nothing, so a document with more of them than that has no candidates. Candidates
+Two sets with a similarity of s or more share one of the n - ceil(s n) + 1 first shingles of each, in any one order over all documents. Candidates
 of fitting sizes are compared by their whole sets (of 64-bit hashes), so no pair is lost and none below s is linked.
+similar_pairs gives all pairs, with the rarest shingles first; linked gives their components, with work that does not grow with the pairs inside one.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..functions.prefix import ranged
 from . import common as C
 from .arrow import column, lists, pieces, utf8
 from .components import components
+from .windows import mix
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Against rounding in products with the similarity.
@@ -28,10 +29,15 @@ SLACK = 1e-9
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct XXH64 of the text's word shingles; fewer words than a shingle are one, no words too."""
+    """The distinct 64-bit hashes of the text's word shingles, made from its words' XXH64, in unsigned order; fewer words than a shingle are one, no words too."""
     words = text.lower().split()
-    own = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
-    return np.array(sorted(own), np.uint64).view(np.int64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    wide = min(shingle, len(words))
+    n = len(words) - wide + 1
+    h = np.full(n, wide, np.uint64)
+    for i in range(wide):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + own[i : i + n])
+    return np.unique(h).view(np.int64)
 
 
 def similar_pairs(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -79,57 +85,158 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() * 24 <= C.BROADCAST_BYTES else keys
 
 
-def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, prints: DataFrame | None = None, apart: int = 0) -> DataFrame:
-    """rows (key long, text): (node, root) as the components of similar pairs, with work in proportion to the shingles.
+def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, known: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    """rows (key long, text): (node, root) as the components of all similar pairs, without the pairs inside a component.
 
-    Equal sets (by SHA-256) are one. Each set is compared, by all its shingles, with its neighbour by size and with the smallest key in the list of each of its rarest
-    shingles, never with a whole list; so every link is right, and a pair of similar texts is missed where neither those nor a chain of them leads from one to
-    the other. prints (key, an array of longs): pairs whose fingerprints differ in more than `apart` bits in all are not compared.
+    Equal sets (by SHA-256) are one. The order of the prefixes is that of the hashes, but for the most frequent shingles, which come last; so a prefix needs no count over
+    all shingles, and only prefixes shuffle. First each set is compared with its neighbour by size and with the smallest key in the list of each of its shingles: mostly that
+    joins a group of near copies. Then the pairs of each list that are not in one component yet are compared, all of them; lists of one component have none. Pairs
+    must have enough shingles in common in their prefixes, and marks (see _signer) that are near enough, before whole sets move, which loses no similar pair.
+
+    known (a, b): pairs that are one component already. Without whole the second step is left out: every link is right, but some may be missing.
     """
+    rows = rows.select("key", "text")
+    every = C.staged(rows.mapInArrow(_signer(shingle, similarity, None), _SIGNED), "signed")
+    firsts = C.staged(every.groupBy("digest").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "b"), "equal")
+    copies = C.staged(every.select("digest", F.col("key").alias("a")).join(firsts.hint("merge"), "digest").filter("a != b").select("a", "b"), "copies")
+    single = every.join(_small(copies.select(F.col("a").alias("key"))), "key", "left_anti")
+    lists = _lists(_unlike_last(single, rows, shingle, similarity), single)
+    settled = copies.unionByName(known.select("a", "b")) if known else copies
+
+    one = F.struct("key", "n", "marks")
+    firsts = C.staged(lists.groupBy("h").agg(F.min(one).alias("x")), "firsts")
+    both = _after(lists).unionByName(lists.join(firsts.hint("merge"), "h").select("key", "n", "marks", "x")).filter("x.key != key")
+    both = both.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"), F.col("x.key").alias("b"), F.col("x.n").alias("n_b"), F.col("x.marks").alias("marks_b"))
+    both = both.filter(_fits(similarity) & _near(similarity)).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), _share(similarity).alias("share"))
+    tried = C.staged(_sharing(both), "candidates")  # a pair may meet in fewer lists here than it has in common, so some wait for the second step
+    if known:
+        tried = C.staged(_apart(tried, components(settled)), "apart")
+    settled = C.staged(_verified(tried, _sets(tried, rows, shingle), similarity).unionByName(settled), "links")
+    found = components(settled)
+    if not whole:
+        return found
+    rest = C.staged(_across(lists, found, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = _verified(rest, _sets(rest, rows, shingle), similarity)
+    return components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")))
+
+
+#: A prefix has one more shingle for so many that a similar set must share, and similar sets share as many more in their prefixes.
+EACH = 40
+#: Bits of the marks of a set; documents of a list beyond which its shingle is frequent, and the most of such shingles, which go to all tasks.
+MARKS, FREQUENT, MOST = 512, 100, 100_000
+_SIGNED = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("marks", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
+
+
+def _signer(shingle: int, similarity: float, last: np.ndarray | None):
+    """Over rows (key, text): n shingles, their digest, marks and prefix, in the order of the hashes but with those of last (sorted) at its end.
+
+    A shingle flips one bit of the marks, so two sets have at least as many shingles apart as their marks have bits."""
+
+    def signed(batches):
+        for batch in pieces(batches, "text", 1 << 19):
+            own = [shingles(t, shingle) for t in utf8(column(batch, "text"))]
+            n = np.array([len(x) for x in own])
+            h = np.concatenate(own)
+            at = np.repeat(np.arange(len(own)), n) * MARKS + (mix(h.view(np.uint64)) % np.uint64(MARKS)).astype(np.int64)
+            flips = (np.bincount(at, minlength=len(own) * MARKS) & 1).astype(np.uint8)
+            marks = np.packbits(flips, bitorder="little").view("<i8")
+            if last is not None:
+                own = [x[np.argsort(np.isin(x, last, assume_unique=True), kind="stable")] for x in own]
+            least = np.ceil(similarity * n - SLACK).astype(np.int64)
+            size = n - least + 1 + least // EACH
+            prefix = np.concatenate([x[:m] for x, m in zip(own, size, strict=True)])
+            digests = pa.array([hashlib.sha256(np.sort(x).tobytes()).digest() for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int32()), digests, lists(marks, np.full(len(own), MARKS // 64), pa.int64()), lists(prefix, size, pa.int64())], _SIGNED.names)
+
+    return signed
+
+
+def _unlike_last(single: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(key, n, h): the prefixes of single. Where one holds a frequent shingle it is made again with those at the end of the order; all others stay as they are."""
+    each = single.select("key", "n", F.explode("prefix").alias("h"))
+    frequent = each.groupBy("h").count().filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "h").limit(MOST)
+    last = np.sort(np.array([r.h for r in frequent.select("h").collect()], np.int64))
+    if not len(last):
+        return each
+    table = single.sparkSession.createDataFrame([(int(h),) for h in last], "h long")
+    named = C.staged(each.join(F.broadcast(table), "h", "left_semi").select("key").distinct(), "frequent")
+    again = rows.join(_small(named), "key", "left_semi").mapInArrow(_signer(shingle, similarity, last), _SIGNED)
+    return each.join(_small(named), "key", "left_anti").unionByName(again.select("key", "n", F.explode("prefix").alias("h")))
+
+
+def _lists(prefix: DataFrame, single: DataFrame) -> DataFrame:
+    """(h, key, n, marks): the lists of two and more documents."""
+    prefix = C.staged(prefix, "prefix")
+    shared = C.staged(prefix.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h"), "shared")
+    own = C.staged(prefix.join(shared.hint("merge"), "h"), "lists")
+    return C.staged(own.join(single.select("key", "marks").hint("merge"), "key").select("h", "key", "n", "marks"), "marked")
+
+
+def _near(similarity: float) -> Column:
+    """Whether marks_a and marks_b leave room for this similarity: of n_a + n_b shingles so many may be apart."""
+    bits = sum((F.bit_count(F.col("marks_a")[i].bitwiseXOR(F.col("marks_b")[i])) for i in range(MARKS // 64)), F.lit(0))
+    return bits <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _share(similarity: float) -> Column:
+    """Shingles that two similar sets of n_a and n_b at least have in common in their prefixes."""
+    return F.floor(F.ceil(F.lit(similarity) * F.least("n_a", "n_b") - SLACK) / EACH) + 1
+
+
+def _sharing(met: DataFrame) -> DataFrame:
+    """(a, b) of rows (a, b, share), one for each list in which a pair meets: the pairs that meet in enough of them."""
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.first("share").alias("share")).filter("lists >= share").select("a", "b")
+
+
+def _sets(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """(key, own): the shingles of the documents of these pairs."""
 
     def hashed(batches):
         for batch in pieces(batches, "text", 1 << 19):
             own = [shingles(t, shingle) for t in utf8(column(batch, "text"))]
-            digests = pa.array([hashlib.sha256(x.tobytes()).digest() for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), lists(np.concatenate(own), [len(x) for x in own], pa.int64()), digests], ["key", "own", "digest"])
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), lists(np.concatenate(own), [len(x) for x in own], pa.int64())], ["key", "own"])
 
-    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType())), T.StructField("digest", T.BinaryType())])
-    every = C.staged(rows.select("key", "text").mapInArrow(hashed, kind), "sets")
-    firsts = C.staged(every.groupBy("digest").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "b"), "equal")
-    copies = C.staged(every.select("digest", F.col("key").alias("a")).join(firsts.hint("merge"), "digest").filter("a != b").select("a", "b"), "copies")
-    sets = every.select("key", "own").join(_small(copies.select(F.col("a").alias("key"))), "key", "left_anti")
-    prefix = _prefixes(sets, similarity)
-    prefix = prefix.join(prints, "key") if prints else prefix.withColumn("prints", F.expr("cast(array() as array<bigint>)"))
-    prefix = C.staged(prefix, "printed")
+    named = C.staged(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "named")
+    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("own", T.ArrayType(T.LongType()))])
+    return C.staged(rows.join(_small(named), "key", "left_semi").mapInArrow(hashed, kind), "sets")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component of found (node, root)."""
+    for k in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-    def near(a: Column, b: Column) -> Column:
-        bits = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, n: m + n)
-        return _fits(similarity) & (bits <= apart)
 
-    one = F.struct("key", "n", "prints")
-    firsts = C.staged(prefix.groupBy("h").agg(F.min(one).alias("x")), "firsts")
-    both = _after(prefix).unionByName(prefix.join(firsts.hint("merge"), "h").select("key", "n", "prints", "x"))
-    both = both.filter("x.key != key").select(F.col("key").alias("a"), F.col("n").alias("n_a"), "prints", F.col("x.key").alias("b"), F.col("x.n").alias("n_b"), F.col("x.prints").alias("others"))
-    both = C.staged(both.filter(near(F.col("prints"), F.col("others"))).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "candidates")
-    return components(_verified(both, sets, similarity).unionByName(copies))
+def _across(lists: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) with a < b: the pairs of a list in different components that may be similar. The largest component of a list meets the others of it alone."""
+    own = lists.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own = C.staged(own, "rooted")
+    sizes = own.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top"))
+    mixed = C.staged(sizes.filter("roots > 1").select("h", F.col("top.root").alias("top")), "mixed")
+    own = C.staged(own.join(mixed.hint("merge"), "h"), "mixed_lists")
+    a, b = (own.select("h", "top", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "marks", "root")]) for k in "ab")
+    once = (F.col("key_a") < F.col("key_b")) | (F.col("root_b") == F.col("top"))
+    both = a.filter("root_a != top").join(b.drop("top").hint("merge"), "h").filter((F.col("root_a") != F.col("root_b")) & once & _fits(similarity) & _near(similarity))
+    return _sharing(both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), _share(similarity).alias("share")))
 
 
-def _after(prefix: DataFrame) -> DataFrame:
-    """key, n, prints and x, the same of the row before it in its list (h) by n and key. Lists are cut into ranges, so a list of any length spans as many tasks as it
+def _after(lists: DataFrame) -> DataFrame:
+    """key, n, marks and x, the same of the row before it in its list (h) by n and key. Lists are cut into ranges, so a list of any length spans as many tasks as it
     needs; a range's first row has the row before it from the last one of the range before."""
-    rows = ranged(prefix.select("h", "n", "key", "prints"), ["h", "n", "key"])
-    one = F.struct("h", "n", "key", "prints")
-    ends = rows.groupBy("_task").agg(F.max(F.struct("_row", "h", "n", "key", "prints")).alias("x"))  # a row for each range
-    ends = ends.select(F.lead("_task").over(W.orderBy("_task")).alias("_task"), F.struct("x.h", "x.n", "x.key", "x.prints").alias("end")).filter("_task IS NOT NULL")
+    rows = ranged(lists.select("h", "n", "key", "marks"), ["h", "n", "key"])
+    one = F.struct("h", "n", "key", "marks")
+    ends = rows.groupBy("_task").agg(F.max(F.struct("_row", "h", "n", "key", "marks")).alias("x"))  # a row for each range
+    ends = ends.select(F.lead("_task").over(W.orderBy("_task")).alias("_task"), F.struct("x.h", "x.n", "x.key", "x.marks").alias("end")).filter("_task IS NOT NULL")
     rows = rows.withColumn("x", F.lag(one).over(W.partitionBy("_task").orderBy("_row"))).join(F.broadcast(ends), "_task", "left")
-    return rows.withColumn("x", F.when(F.col("_row") == 0, F.col("end")).otherwise(F.col("x"))).filter("x.h = h").select("key", "n", "prints", F.struct("x.key", "x.n", "x.prints").alias("x"))
+    return rows.withColumn("x", F.when(F.col("_row") == 0, F.col("end")).otherwise(F.col("x"))).filter("x.h = h").select("key", "n", "marks", F.struct("x.key", "x.n", "x.marks").alias("x"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of df, with all their columns, that stay: of each group of documents linked by similar pairs the one with the smallest id
     (null ids last; of rows that share it one, by their texts' hash). A null text counts as empty, and texts without words are copies."""
     rows = C.keyed(df, id_col, text_col, rows=True)
-    found = components(similar_pairs(rows.select("key", "text"), shingle, similarity))
+    found = linked(rows.select("key", "text"), shingle, similarity)
     gone = C.staged(found.filter("node != root").select(F.col("node").alias("key")), "gone")
     gone = F.broadcast(gone) if gone.count() * 24 <= C.BROADCAST_BYTES else gone
     return rows.join(gone, "key", "left_anti").select("row.*")

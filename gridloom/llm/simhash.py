@@ -11,7 +11,7 @@ Components of the edges come from a distributed contraction; documents get them
 
 For near copies by a similarity of word shingles (keep_similar) the same index is a filter: several fingerprints of each document, each from hashes mixed
 anew, are dealt once to each of their four blocks, so a document has the same number of rows in a corpus of any size. Within a group of one block's value the index finds
-fingerprints with a neighbour within a wider radius, and only documents with such a one are compared by their shingles.
+fingerprints with a neighbour within a wider radius, and documents with such a one are compared by their shingles; an exact join finds the links that this misses.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ from .windows import mix
 SEED = 42
 #: For similar documents: words in a shingle, similarity, fingerprints of a document, and differing bits within which two are candidates.
 WORDS, SIMILARITY, FINGERPRINTS, RADIUS = 5, 0.8, 6, 9
-#: Bits of all fingerprints together beyond which a pair is not compared. At a similarity of 0.8, 58 of 384 are expected, with a deviation of 7.
-APART = 96
 #: Fingerprints in a group before it is dealt again by more bits.
 GROUP = 10_000
 LEAF = FAN = 8
@@ -286,20 +284,20 @@ def neighboured(made: DataFrame, most: int = RADIUS) -> DataFrame:
     return made.join(keys, "key", "left_semi")
 
 
-def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, most: int = RADIUS, prints: int = FINGERPRINTS, apart: int = APART) -> DataFrame:
+def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, most: int = RADIUS, prints: int = FINGERPRINTS) -> DataFrame:
     """The rows of df, with all their columns, that stay: of each group of near copies the one with the smallest id (null ids last; of rows that
     share it one, by their texts' hash).
 
-    Candidates have a fingerprint within `most` bits of another's; among them pairs are compared by all their shingles (see jaccard.linked), those with
-    this similarity whose fingerprints differ in no more than `apart` bits in all are links, and chains of links are a group. So no row goes without a chain of similar
-    ones; a row with no close fingerprint, or that is not compared with its like, is missed. A null text counts as empty, and texts without words are
-    copies. An empty table gives no rows.
+    Pairs with this similarity of their shingles are links, and chains of links are a group. Rows with a fingerprint within `most` bits of another's are compared first,
+    by all their shingles; then the exact join (see jaccard.linked) looks for the links between groups and rows that this did not join, so none is missed and a group's own
+    pairs are not compared again. A null text counts as empty, and texts without words are copies. An empty table gives no rows.
     """
     rows = C.keyed(df, id_col, text_col, rows=True)
     near = C.staged(neighboured(C.staged(printed(rows, shingle, prints), "fingerprints"), most), "neighboured")
     own = near.select("key")
     own = F.broadcast(own) if near.count() * 24 <= C.BROADCAST_BYTES else own
-    found = linked(C.staged(rows.select("key", "text").join(own, "key", "left_semi"), "compared"), shingle, similarity, near, apart)
+    found = linked(C.staged(rows.select("key", "text").join(own, "key", "left_semi"), "compared"), shingle, similarity, whole=False)
+    found = linked(rows, shingle, similarity, known=found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b"))
     gone = C.staged(found.filter("node != root").select(F.col("node").alias("key")), "gone")
     gone = F.broadcast(gone) if gone.count() * 24 <= C.BROADCAST_BYTES else gone
     return rows.join(gone, "key", "left_anti").select("row.*")

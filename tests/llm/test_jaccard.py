@@ -65,3 +65,27 @@ def test_groups_of_near_copies_are_not_expanded(spark, make):
 
 def test_empty(spark, make):
     assert corpus_pipeline.verified_near_dedup(spark, make([]), "").collect() == []
+
+
+def test_no_link_is_missed(spark, make):
+    """Pairs at a similarity of just 0.8, whose fingerprints may be far apart."""
+    r = random.Random(6)
+    rows = []
+    for i in range(40):
+        words = [f"w{r.randrange(9000)}" for _ in range(49)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(w if k != 20 else "changed" for k, w in enumerate(words)))]
+    kept, near = brute(rows)
+    assert len(kept) == len(near) == 40
+    assert sorted((x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, make(rows), "").collect()) == sorted(kept)
+
+
+def test_pairs_of_a_group_are_not_candidates(spark, make, monkeypatch):
+    """Of 300 near copies few pairs are compared, and the result is that of all pairs."""
+    compared, real = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda near, *more: compared.append(near.count()) or real(near, *more))
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if k != i % 120 else f"x{i}" for k, w in enumerate(words))) for i in range(300)]
+    rows += [(300 + i, " ".join(words[:104] + [f"y{i}"] * 3)) for i in range(3)]
+    kept, near = brute(rows)
+    assert sorted((x.doc_id, x.text) for x in corpus_pipeline.verified_near_dedup(spark, make(rows), "").collect()) == sorted(kept)
+    assert len(near) > 40_000 and sum(compared) < 10 * len(rows)
