@@ -94,32 +94,51 @@ def linked(rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     must have enough shingles in common in their prefixes, and marks (see _signer) that are near enough, before whole sets move, which loses no similar pair.
 
     known (a, b): pairs that are one component already. Without whole the second step is left out: every link is right, but some may be missing.
+
+    Each table goes as soon as the next one is written, and the rows of lists have no marks: those meet the pairs, and in the second step the lists that still have pairs.
     """
     rows = rows.select("key", "text")
     every = C.staged(rows.mapInArrow(_signer(shingle, similarity, None), _SIGNED), "signed")
     firsts = C.staged(every.groupBy("digest").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "b"), "equal")
     copies = C.staged(every.select("digest", F.col("key").alias("a")).join(firsts.hint("merge"), "digest").filter("a != b").select("a", "b"), "copies")
     single = every.join(_small(copies.select(F.col("a").alias("key"))), "key", "left_anti")
-    lists = _lists(_unlike_last(single, rows, shingle, similarity), single)
+    marks = C.staged(single.filter(F.size("marks") > 0).select("key", "n", "marks"), "marks")
+    prefix = C.staged(_unlike_last(single, rows, shingle, similarity), "prefix")
+    _drop(every, firsts)
+    lists = _lists(prefix)
     settled = copies.unionByName(known.select("a", "b")) if known else copies
 
-    one = F.struct("key", "n", "marks")
-    firsts = C.staged(lists.groupBy("h").agg(F.min(one).alias("x")), "firsts")
-    both = _after(lists).unionByName(lists.join(firsts.hint("merge"), "h").select("key", "n", "marks", "x")).filter("x.key != key")
-    both = both.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"), F.col("x.key").alias("b"), F.col("x.n").alias("n_b"), F.col("x.marks").alias("marks_b"))
-    both = both.filter(_fits(similarity) & _near(similarity)).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), _share(similarity).alias("share"))
-    tried = C.staged(_sharing(both), "candidates")  # a pair may meet in fewer lists here than it has in common, so some wait for the second step
+    firsts = C.staged(lists.groupBy("h").agg(F.min(F.struct("key", "n")).alias("x")), "firsts")
+    order = ranged(lists.select("h", "n", "key"), ["h", "n", "key"])
+    both = _after(order).unionByName(lists.join(firsts.hint("merge"), "h").select("key", "n", "x")).filter("x.key != key")
+    both = both.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("x.key").alias("b"), F.col("x.n").alias("n_b"))
+    both = both.filter(_fits(similarity)).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"), _share(similarity).alias("share"))
+    met = C.staged(_sharing(both), "met")  # a pair may meet in fewer lists here than it has in common, so some wait for the second step
+    _drop(firsts, order)
+    tried = C.staged(_marked(met, marks, similarity), "candidates")
     if known:
         tried = C.staged(_apart(tried, components(settled)), "apart")
-    settled = C.staged(_verified(tried, _sets(tried, rows, shingle), similarity).unionByName(settled), "links")
+    sets = _sets(tried, rows, shingle)
+    settled = C.staged(_verified(tried, sets, similarity).unionByName(settled), "links")
+    _drop(met, sets)
     found = components(settled)
     if not whole:
+        _drop(lists, marks)
         return found
-    rest = C.staged(_across(lists, found, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, _sets(rest, rows, shingle), similarity)
+    own = _mixed(lists, found, marks)
+    rest = C.staged(_across(own, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
+    _drop(own)
+    sets = _sets(rest, rows, shingle)
+    more = C.staged(_verified(rest, sets, similarity), "more")
+    _drop(sets)
     return components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")))
 
 
+def _drop(*tables: DataFrame) -> None:
+    for table in tables:
+        C.release(table)
+
+
 #: A prefix has one more shingle for so many that a similar set must share, and similar sets share as many more in their prefixes.
 EACH = 40
 #: Bits of the marks of a set; documents of a list beyond which its shingle is frequent, and the most of such shingles, which go to all tasks.
@@ -130,7 +149,9 @@ _SIGNED = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T
 def _signer(shingle: int, similarity: float, last: np.ndarray | None):
     """Over rows (key, text): n shingles, their digest, marks and prefix, in the order of the hashes but with those of last (sorted) at its end.
 
-    A shingle flips one bit of the marks, so two sets have at least as many shingles apart as their marks have bits."""
+    A shingle flips one bit of the marks, so two sets have at least as many shingles apart as their marks have bits. Sets so large that similar ones may be apart by half the
+    bits, which is what any two large sets have, get none."""
+    most = MARKS / 4 * (1 + similarity) / (1 - similarity) if similarity < 1 else np.inf
 
     def signed(batches):
         for batch in pieces(batches, "text", 1 << 19):
@@ -139,14 +160,15 @@ def _signer(shingle: int, similarity: float, last: np.ndarray | None):
             h = np.concatenate(own)
             at = np.repeat(np.arange(len(own)), n) * MARKS + (mix(h.view(np.uint64)) % np.uint64(MARKS)).astype(np.int64)
             flips = (np.bincount(at, minlength=len(own) * MARKS) & 1).astype(np.uint8)
-            marks = np.packbits(flips, bitorder="little").view("<i8")
+            few = n <= most
+            marks = np.packbits(flips, bitorder="little").view("<i8").reshape(len(own), -1)[few]
             if last is not None:
                 own = [x[np.argsort(np.isin(x, last, assume_unique=True), kind="stable")] for x in own]
             least = np.ceil(similarity * n - SLACK).astype(np.int64)
             size = n - least + 1 + least // EACH
             prefix = np.concatenate([x[:m] for x, m in zip(own, size, strict=True)])
             digests = pa.array([hashlib.sha256(np.sort(x).tobytes()).digest() for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int32()), digests, lists(marks, np.full(len(own), MARKS // 64), pa.int64()), lists(prefix, size, pa.int64())], _SIGNED.names)
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(n, pa.int32()), digests, lists(marks.ravel(), few * (MARKS // 64), pa.int64()), lists(prefix, size, pa.int64())], _SIGNED.names)
 
     return signed
 
@@ -164,18 +186,25 @@ def _unlike_last(single: DataFrame, rows: DataFrame, shingle: int, similarity: f
     return each.join(_small(named), "key", "left_anti").unionByName(again.select("key", "n", F.explode("prefix").alias("h")))
 
 
-def _lists(prefix: DataFrame, single: DataFrame) -> DataFrame:
-    """(h, key, n, marks): the lists of two and more documents."""
-    prefix = C.staged(prefix, "prefix")
+def _lists(prefix: DataFrame) -> DataFrame:
+    """(h, key, n): the lists of two and more documents. The table prefix goes."""
     shared = C.staged(prefix.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h"), "shared")
-    own = C.staged(prefix.join(shared.hint("merge"), "h"), "lists")
-    return C.staged(own.join(single.select("key", "marks").hint("merge"), "key").select("h", "key", "n", "marks"), "marked")
+    lists = C.staged(prefix.join(shared.hint("merge"), "h"), "lists")
+    _drop(prefix, shared)
+    return lists
 
 
 def _near(similarity: float) -> Column:
-    """Whether marks_a and marks_b leave room for this similarity: of n_a + n_b shingles so many may be apart."""
+    """Whether marks_a and marks_b leave room for this similarity: of n_a + n_b shingles so many may be apart. Without the marks of both they do."""
     bits = sum((F.bit_count(F.col("marks_a")[i].bitwiseXOR(F.col("marks_b")[i])) for i in range(MARKS // 64)), F.lit(0))
-    return bits <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    return F.coalesce(bits <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6, F.lit(True))
+
+
+def _marked(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose marks leave room for this similarity."""
+    for k in "ab":
+        pairs = pairs.join(marks.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("marks").alias(f"marks_{k}")), k, "left")
+    return pairs.filter(_near(similarity)).select("a", "b")
 
 
 def _share(similarity: float) -> Column:
@@ -208,28 +237,34 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _across(lists: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) with a < b: the pairs of a list in different components that may be similar. The largest component of a list meets the others of it alone."""
+def _mixed(lists: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
+    """(key, h, n, root, top, marks): the lists of several components of found (node, root), top being the largest in the list. The tables lists and marks go."""
     own = lists.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     own = C.staged(own, "rooted")
+    _drop(lists)
     sizes = own.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top"))
     mixed = C.staged(sizes.filter("roots > 1").select("h", F.col("top.root").alias("top")), "mixed")
-    own = C.staged(own.join(mixed.hint("merge"), "h"), "mixed_lists")
+    out = C.staged(own.join(mixed.hint("merge"), "h").join(marks.select("key", "marks").hint("merge"), "key", "left"), "mixed_lists")
+    _drop(own, mixed, marks)
+    return out
+
+
+def _across(own: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) with a < b: the pairs of a list (see _mixed) in different components that may be similar. The largest component of a list meets the others of it alone."""
     a, b = (own.select("h", "top", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "marks", "root")]) for k in "ab")
     once = (F.col("key_a") < F.col("key_b")) | (F.col("root_b") == F.col("top"))
     both = a.filter("root_a != top").join(b.drop("top").hint("merge"), "h").filter((F.col("root_a") != F.col("root_b")) & once & _fits(similarity) & _near(similarity))
     return _sharing(both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), _share(similarity).alias("share")))
 
 
-def _after(lists: DataFrame) -> DataFrame:
-    """key, n, marks and x, the same of the row before it in its list (h) by n and key. Lists are cut into ranges, so a list of any length spans as many tasks as it
+def _after(rows: DataFrame) -> DataFrame:
+    """key, n and x, the same of the row before it in its list (h) by n and key. Lists are cut into ranges (rows, see ranged), so a list of any length spans as many tasks as it
     needs; a range's first row has the row before it from the last one of the range before."""
-    rows = ranged(lists.select("h", "n", "key", "marks"), ["h", "n", "key"])
-    one = F.struct("h", "n", "key", "marks")
-    ends = rows.groupBy("_task").agg(F.max(F.struct("_row", "h", "n", "key", "marks")).alias("x"))  # a row for each range
-    ends = ends.select(F.lead("_task").over(W.orderBy("_task")).alias("_task"), F.struct("x.h", "x.n", "x.key", "x.marks").alias("end")).filter("_task IS NOT NULL")
+    one = F.struct("h", "n", "key")
+    ends = rows.groupBy("_task").agg(F.max(F.struct("_row", "h", "n", "key")).alias("x"))  # a row for each range
+    ends = ends.select(F.lead("_task").over(W.orderBy("_task")).alias("_task"), F.struct("x.h", "x.n", "x.key").alias("end")).filter("_task IS NOT NULL")
     rows = rows.withColumn("x", F.lag(one).over(W.partitionBy("_task").orderBy("_row"))).join(F.broadcast(ends), "_task", "left")
-    return rows.withColumn("x", F.when(F.col("_row") == 0, F.col("end")).otherwise(F.col("x"))).filter("x.h = h").select("key", "n", "marks", F.struct("x.key", "x.n", "x.marks").alias("x"))
+    return rows.withColumn("x", F.when(F.col("_row") == 0, F.col("end")).otherwise(F.col("x"))).filter("x.h = h").select("key", "n", F.struct("x.key", "x.n").alias("x"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

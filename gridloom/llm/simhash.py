@@ -293,10 +293,14 @@ def keep_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs are not compared again. A null text counts as empty, and texts without words are copies. An empty table gives no rows.
     """
     rows = C.keyed(df, id_col, text_col, rows=True)
-    near = C.staged(neighboured(C.staged(printed(rows, shingle, prints), "fingerprints"), most), "neighboured")
+    made = C.staged(printed(rows, shingle, prints), "fingerprints")
+    near = C.staged(neighboured(made, most), "neighboured")
+    C.release(made)
     own = near.select("key")
     own = F.broadcast(own) if near.count() * 24 <= C.BROADCAST_BYTES else own
-    found = linked(C.staged(rows.select("key", "text").join(own, "key", "left_semi"), "compared"), shingle, similarity, whole=False)
+    compared = C.staged(rows.select("key", "text").join(own, "key", "left_semi"), "compared")
+    found = linked(compared, shingle, similarity, whole=False)
+    C.release(compared)
     found = linked(rows, shingle, similarity, known=found.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b"))
     gone = C.staged(found.filter("node != root").select(F.col("node").alias("key")), "gone")
     gone = F.broadcast(gone) if gone.count() * 24 <= C.BROADCAST_BYTES else gone

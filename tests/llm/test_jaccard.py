@@ -1,7 +1,8 @@
+import os
 import random
 
 import corpus_pipeline
-from gridloom.llm import jaccard
+from gridloom.llm import common, jaccard
 
 
 def shingles(text):
@@ -89,3 +90,33 @@ def test_pairs_of_a_group_are_not_candidates(spark, make, monkeypatch):
     kept, near = brute(rows)
     assert sorted((x.doc_id, x.text) for x in corpus_pipeline.verified_near_dedup(spark, make(rows), "").collect()) == sorted(kept)
     assert len(near) > 40_000 and sum(compared) < 10 * len(rows)
+
+
+def test_tables_go_when_the_next_is_written(spark, make, texts, monkeypatch):
+    """The large tables of near-dedup are gone at its end, none of them is there beside the lists but marks, and rows of lists have no marks."""
+    made, real, beside = [], common.staged, []
+    there = lambda: {name for name, t in made if os.path.exists(t.staged_path.removeprefix("file://"))}
+
+    def staged(df, name, by=None):
+        made.append((name, real(df, name, by)))
+        if name == "firsts":
+            beside.append(there())
+        return made[-1][1]
+
+    monkeypatch.setattr(common, "staged", staged)
+    near = corpus_pipeline.near_dedup(spark, make([*enumerate(texts)]), "").collect()
+    assert near and len(beside) == 2 and not {"signed", "prefix", "shared", "fingerprints"} & (beside[0] | beside[1])
+    assert not {"fingerprints", "compared", "signed", "marks", "prefix", "shared", "lists", "firsts", "met", "sets", "rooted", "mixed", "mixed_lists"} & there()
+    assert all("marks" not in t.columns for name, t in made if name in ("lists", "rooted"))
+
+
+def test_large_sets_without_marks(spark, make):
+    """Pairs of which one or both have too many shingles for marks."""
+    r = random.Random(9)
+    rows = []
+    for i, (wide, cut) in enumerate([(1300, 1100), (1300, 1000), (2000, 1700), (2000, 1500), (1150, 1000), (1160, 1155)]):
+        words = [f"w{r.randrange(90_000)}" for _ in range(wide)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:cut]))]
+    kept, near = brute(rows)
+    assert len(near) == 4
+    assert sorted((x.doc_id, x.text) for x in corpus_pipeline.verified_near_dedup(spark, make(rows), "").collect()) == sorted(kept)
