@@ -96,11 +96,12 @@ def _small_images(spark, d):
     def drawn(frames):
         import pandas as pd
 
+        byte = np.arange(1 << 16).astype(np.uint8)  # numbers modulo 256
         for pdf in frames:
             out = []
             for i, w, h in zip(pdf["image_id"], pdf["width"] // 64, pdf["height"] // 36, strict=True):
-                y, x, c = np.mgrid[0:h, 0:w, 0:3]
-                out.append((f"img_{i}.png", pixels.png(((7 * x + 13 * y + 29 * c + i) % 256).astype(np.uint8))))
+                at = 7 * np.arange(w)[:, None] + 29 * np.arange(3) + i % 256
+                out.append((f"img_{i}.png", pixels.png(byte[13 * np.arange(h)[:, None, None] + at])))
             yield pd.DataFrame(out, columns=["name", "content"])
 
     folder = scratch(spark, "pixels")
@@ -119,13 +120,13 @@ def _(spark, d):
 @query("decoded_pixels", sql(_POINTS + " SELECT 'img_' || image_id || '.png' AS file_name, CAST(sum((7 * x + 13 * y + image_id) % 256 * (x + 1)) AS BIGINT) AS blue, CAST(sum((7 * x + 13 * y + 58 + image_id) % 256 * (x + 1)) AS BIGINT) AS red FROM py GROUP BY image_id"))
 def _(spark, d):
     def weighed(frames):
+        first = lambda p, w: int(np.frombuffer(p, np.uint8)[::3].reshape(-1, w).sum(axis=0, dtype=np.int64) @ np.arange(1, w + 1))
         for pdf in frames:
-            rows = [np.frombuffer(p, np.uint8).reshape(-1, w, 3).astype(np.int64) * np.arange(1, w + 1)[:, None] for p, w in zip(pdf["pixels"], pdf["width"], strict=True)]
-            yield pdf[["file_name"]].assign(first=[int(r[:, :, 0].sum()) for r in rows])
+            own = {k: [first(p, w) for p, w in zip(pdf[c], pdf["width"], strict=True)] for k, c in (("blue", "own"), ("red", "pixels"))}
+            yield pdf[["file_name"]].assign(**own)
 
-    loaded = pixels.load(spark, _small_images(spark, d))
-    blue, red = (x.mapInPandas(weighed, "file_name string, first long") for x in (loaded, pixels.rgb(loaded)))
-    return blue.withColumnRenamed("first", "blue").join(red.withColumnRenamed("first", "red"), "file_name")
+    loaded = pixels.load(spark, _small_images(spark, d)).withColumn("own", F.col("pixels"))
+    return pixels.rgb(loaded).mapInPandas(weighed, "file_name string, blue long, red long")
 
 
 @query("rebuilt_pixels", sql("SELECT 'img_' || image_id || '.png' AS file_name, TRUE AS same FROM img"))
