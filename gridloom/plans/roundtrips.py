@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, labels, tiling
 from ..sources import cache, pixels, readers, writers
-from ..sources.scratch import scratch, spread
+from ..sources.scratch import scratch, spread, written
 from . import fixture as X
 from .catalogue import _SEEN, TILINGS, query, tile_sql
 from .fixture import sql
@@ -136,11 +136,12 @@ def _(spark, d):
 
     own = pixels.load(spark, _small_images(spark, d)).withColumn("image_id", F.regexp_extract("file_name", "[0-9]+", 0).cast("long"))
     half = lambda c: (F.floor(F.col(c) / 2) + 1).cast("int")
-    at = F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")) for x in (F.lit(0), F.col("width") - half("width")) for y in (F.lit(0), F.col("height") - half("height"))])
-    tiles = own.select("image_id", "width", "height", half("width").alias("tile_width"), half("height").alias("tile_height"), F.inline(at))
-    again = reconstruct.rebuild(pixels.cropped(own, tiles.drop("width", "height")).join(own.select("image_id", "width", "height"), "image_id"), strip_bytes=4096)
-    wrong = reconstruct.mismatches(own, again).withColumn("wrong", F.lit(True))
-    return own.join(wrong, "image_id", "left").select("file_name", F.col("wrong").isNull().alias("same"))
+    size = [F.col("width"), F.col("height"), half("width").alias("tile_width"), half("height").alias("tile_height")]
+    at = F.array(*[F.struct(*size, x.cast("int").alias("x"), y.cast("int").alias("y")) for x in (F.lit(0), F.col("width") - half("width")) for y in (F.lit(0), F.col("height") - half("height"))])
+    again = reconstruct.rebuild(pixels.cut(own.withColumn("tiles", at)), strip_bytes=4096)
+    known = written(own.select("image_id", "file_name", F.sha2("pixels", 256).alias("sha")), "digests")
+    wrong = reconstruct.mismatches(known, again).withColumn("wrong", F.lit(True))
+    return known.join(wrong, "image_id", "left").select("file_name", F.col("wrong").isNull().alias("same"))
 
 
 @query("label_files", sql("SELECT 'img_' || image_id || '.txt' AS sample_name, count(*) AS n, CAST(sum(x1) AS BIGINT) AS x1, CAST(sum(y2) AS BIGINT) AS y2 FROM (SELECT image_id, 2 * x - w AS x1, 2 * y + h AS y2 FROM ann) GROUP BY image_id"))

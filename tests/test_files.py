@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import reconstruct
 from gridloom.sources import files, pixels, readers
 
 IMAGE = np.random.default_rng(1).integers(0, 256, (9, 7, 3)).astype(np.uint8)
@@ -72,3 +73,21 @@ def test_partitions_and_other_folders(spark, tmp_path):
     assert files.mounted(spark, f"{tmp_path}/none") is None and files.mounted(spark, f"{tmp_path}/day=1/a.png") is None
     assert [r.bytes for r in readers.image_listing(spark, f"{tmp_path}/day=1/a.png").collect()] == [2]
 
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_pixels_move_once(spark, monkeypatch):
+    """Tiles that stand in their image's row are cut without a shuffle, an image is rebuilt with one, and of its comparison only digests move."""
+    image = spark.createDataFrame([(i, 7, 9, IMAGE.tobytes()) for i in range(5)], "image_id long, width int, height int, pixels binary")
+    tiles = F.array(*[F.struct(F.col("width"), F.col("height"), F.lit(4).alias("tile_width"), F.lit(5).alias("tile_height"), F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (0, 3) for y in (0, 4)])
+    monkeypatch.setattr(files, "BYTES", 100)
+    cut = pixels.cut(image.withColumn("tiles", tiles))
+    again = reconstruct.rebuild(cut, 50)
+    assert exchanges(cut) == 0 and exchanges(again) == 1
+    assert cut.count() == 20 and {bytes(r.pixels) for r in again.collect()} == {IMAGE.tobytes()} and again.count() == 5
+    tiled = image.select("image_id", F.inline(tiles))
+    assert sorted(map(tuple, pixels.cropped(image, tiled).collect())) == sorted(map(tuple, cut.collect()))
+    other = image.withColumn("pixels", F.when(F.col("image_id") == 3, F.lit(b"x")).otherwise(F.col("pixels")))
+    assert [r.image_id for r in reconstruct.mismatches(other, again).collect()] == [3]
