@@ -40,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a written table that nothing will read again."""
+    at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+    at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(spark: SparkSession) -> int:
     """Tasks for work that costs far more than its rows' bytes tell; a number that is given is one that adaptive execution does not lower."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

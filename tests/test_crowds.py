@@ -24,6 +24,25 @@ def test_equal_to_the_fold(spark, crowd):
         assert got.columns == dets.columns and sorted(r.det_id for r in got.collect()) == sorted(r.det_id for r in want.collect())
 
 
+@pytest.mark.parametrize("task,crowd", [(40, 7), (150, 30)])
+def test_rounds_between_parts(spark, monkeypatch, task, crowd):
+    monkeypatch.setattr(crowds, "TASK", task)
+    dets = detections(spark, 900, seed=2)
+    for mine, fold in ((crowds.nms, suppression.nms), (crowds.cluster_diou_nms, suppression.cluster_diou_nms)):
+        assert sorted(map(tuple, mine(dets, 0.3, crowd=crowd).collect())) == sorted(map(tuple, fold(dets, 0.3).collect()))
+
+
+def test_only_what_is_kept_is_written(spark, monkeypatch):
+    """Images that a task may hold are decided in one pass: boxes move once, and no table has those that go."""
+    made, real = [], crowds.written
+    monkeypatch.setattr(crowds, "written", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    dets = detections(spark, 900)
+    got = crowds.nms(dets, 0.4, crowd=7)
+    kept = sorted(r.det_id for r in suppression.nms(dets, 0.4).collect())
+    assert [name for name, _ in made] == ["extents", "judged"] and sorted(r.det_id for r in made[1][1].collect()) == sorted(r.det_id for r in got.collect()) == kept
+    assert len(kept) < dets.count() and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_one_crowded_image(spark):
     n = 200_000
     r = np.random.default_rng(3)
