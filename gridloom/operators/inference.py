@@ -88,7 +88,8 @@ def infer_captured(images: DataFrame, tiles: DataFrame, load: Callable[[], Calla
     its first such tile, row by row of tiles. load: see failures.captured."""
     rows = with_whole(images, tiles) if whole else tiles.select("image_id", "width", "height", "row_index", "column_index", "x", "y", "tile_width", "tile_height")
     rows = rows.repartition(spread(rows.sparkSession), "image_id")  # a file of images is one task, whatever number of tiles they have; an image's tiles stay together, so failures share halves
-    outcome = failures.by_group(failures.captured(rows, load, DETECTIONS, ("image_id", "row_index", "column_index")), "image_id", ("row_index", "column_index"))
+    order = ("row_index", "column_index")
+    outcome = failures.by_group(failures.captured(rows, load, DETECTIONS, ("image_id", *order), "image_id", order), "image_id", order)
     raw = _numbered(outcome.results, images, conf, engine_kind)
     return raw, suppress(raw, method, iou), outcome
 

@@ -252,12 +252,16 @@ def _(spark, d):
 def _failing():
     """An engine as in engine_detections that raises at the second column of every 17th image."""
 
+    import numpy as np
+    import pandas as pd
+
     def predict(pdf):
-        bad = pdf[(pdf["image_id"] % 17 == 0) & (pdf["column_index"] == 1)]
+        image = pdf["image_id"].to_numpy()
+        bad = np.flatnonzero((image % 17 == 0) & (pdf["column_index"].to_numpy() == 1))
         if len(bad):
-            raise ValueError(f"tile {bad['row_index'].iloc[0]}-{bad['column_index'].iloc[0]} of image {bad['image_id'].iloc[0]}")
-        score = ((pdf["x"] + pdf["y"] + pdf["image_id"]) % 90 + 5) / 100.0
-        return pdf[["image_id"]].assign(tile_x=pdf["x"], tile_y=pdf["y"], label=0, score=score, x1=10.0, y1=10.0, x2=60.0, y2=600.0)
+            raise ValueError("tile {row_index}-{column_index} of image {image_id}".format(**pdf.iloc[bad[0]]))
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        return pd.DataFrame({"image_id": image, "tile_x": x, "tile_y": y, "label": 0, "score": ((x + y + image) % 90 + 5) / 100.0, "x1": 10.0, "y1": 10.0, "x2": 60.0, "y2": 600.0})
 
     return predict
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,42 @@ def test_a_failed_part_fails_its_group(spark):
     assert out.counts["done"] == 8 and out.counts["failed"] == 2
 
 
+def test_a_group_ends_at_its_first_failure():
+    """Groups are halved; of one that fails only its first row that does is searched for, and others are done once."""
+    calls = []
+
+    def picky(p):
+        calls.append(len(p))
+        if bad := sorted({21, 23, 24, 399} & set(p["a"])):
+            raise ValueError(bad[0])
+        return p
+
+    frame = pd.DataFrame({"a": range(400)})
+    parts = list(failures.halved_by_group(frame, np.arange(0, 400, 10), picky))
+    assert [(int(at[0]), str(e)) for at, _, e in parts if e] == [(21, "21"), (399, "399")]
+    assert np.concatenate([at for at, _, e in parts if not e]).tolist() == [x for x in range(0, 390, 10) if x != 20]
+    assert pd.concat([r for _, r, e in parts if not e])["a"].tolist() == [x for x in range(390) if not 20 <= x < 30] and len(calls) < 35
+    alone = lambda p: p if len(p) < 3 else (_ for _ in ()).throw(ValueError("too many"))
+    parts = list(failures.halved_by_group(frame[:9], np.array([0, 4, 5]), alone))  # a group whose rows fail together only
+    assert [at.tolist() for at, _, _ in parts] == [[0], [], [4], [5], []] and pd.concat([r for _, r, _ in parts])["a"].tolist() == list(range(9)) and not any(e for _, _, e in parts)
+
+
+def test_groups_over_batches(spark):
+    """Rows of a group in several batches, in any order: the first part that fails is the group's, and nothing of the group is left."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.range(60).selectExpr("id", "id % 6 AS image", "5 + id % 11 AS part").orderBy(F.rand(3)).coalesce(1)
+        load = lambda: lambda pdf: engine((8, 20, 32, 45))()(pdf).assign(image=lambda x: x["id"] % 6)
+        found = failures.captured(rows, load, "image long, id long, twice long", ("image", "part", "id"), "image", ("part", "id"))
+        out = failures.by_group(found, "image", ("part", "id"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, out.failures.collect())) == [(2, f"KeyError: 'row {min((8, 20, 32), key=lambda i: i % 11)}'"), (3, "KeyError: 'row 45'")]
+    good = [i for i in range(60) if i % 6 not in (2, 3)]
+    assert sorted(r.id for r in out.results.collect()) == [i for i in good if i % 3] and sorted(r.image for r in out.done.collect()) == [0, 1, 4, 5]
+    assert out.counts == {"done": 4, "failed": 2, "results": sum(i % 3 > 0 for i in good)}
+
+
 def test_empty(spark):
     out = failures.captured(spark.range(0), engine(), "id long, twice long", ("id",))
     assert out.results.collect() == out.failures.collect() == out.done.collect() == [] and out.checked().counts["done"] == 0
