@@ -40,6 +40,10 @@ def test_only_what_is_kept_is_written(spark, monkeypatch):
     got = crowds.nms(dets, 0.4, crowd=7)
     kept = sorted(r.det_id for r in suppression.nms(dets, 0.4).collect())
     assert [name for name, _ in made] == ["extents", "judged"] and sorted(r.det_id for r in made[1][1].collect()) == sorted(r.det_id for r in got.collect()) == kept
+    moved, real_map = [], type(dets).mapInArrow
+    monkeypatch.setattr(type(dets), "mapInArrow", lambda self, *a: moved.append(self._jdf.queryExecution().executedPlan().toString().count("Exchange ")) or real_map(self, *a))
+    again = crowds.nms(dets.repartition(3, "image_id"), 0.4, crowd=7)
+    assert moved == [1] and sorted(r.det_id for r in again.collect()) == kept
     assert len(kept) < dets.count() and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
