@@ -95,12 +95,13 @@ def suppressed(dets: DataFrame, keys: tuple[str, ...], like: Callable, threshold
     parts = _parts(dets, own, max(crowd, TASK))
     size = parts.agg(F.sum(F.size("_begin") * 4 + 200)).first()[0] or 0
     rows, zero = dets, F.lit(0)
+    whole = [zero.alias("_first"), F.lit(1).alias("_parts"), zero.alias("_part"), F.lit(False).alias("_sure")]
     if size:
         at = lambda x: F.coalesce(F.size(F.filter("_begin", lambda b: b <= _bin(x))) - 1, zero)
         rows = dets.join(F.broadcast(parts) if size <= SMALL else parts, own, "left").withColumns({"_first": at(F.least("x1", "x2")), "_end": at(F.greatest("x1", "x2"))})
         rows = rows.select(*dets.columns, "_first", (F.col("_end") - F.col("_first") + 1).alias("_parts"), F.explode(F.sequence("_first", "_end")).alias("_part"), F.lit(False).alias("_sure"))
     else:
-        rows = dets.select("*", zero.alias("_first"), F.lit(1).alias("_parts"), zero.alias("_part"), F.lit(False).alias("_sure"))
+        rows = dets.select("*", *whole)
     kind = T.StructType([*rows.schema.fields, T.StructField("_verdict", T.IntegerType())])
 
     def judge(batches):
@@ -115,7 +116,7 @@ def suppressed(dets: DataFrame, keys: tuple[str, ...], like: Callable, threshold
         """Sorted parts. Where each group is one, a window asks for them, which deals boxes again only if they are not dealt by their keys (or some of them) already."""
         if size:
             return state.repartition(*own, "_part").sortWithinPartitions(*own, "_part", F.desc("score"), "det_id")
-        return state.withColumn("_place", F.row_number().over(W.partitionBy(*own).orderBy(F.desc("score"), "det_id")))
+        return dets.withColumn("_place", F.row_number().over(W.partitionBy(*own).orderBy(F.desc("score"), "det_id"))).select(*dets.columns, *whole, "_place")  # nobody reads the place, but without it the window would go
 
     kept, state = None, rows
     while True:
